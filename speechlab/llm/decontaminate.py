@@ -115,7 +115,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: s
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` in which no window of an item occurs."""
-    bad = occurrences(docs, items, size, text, key).select("d", "t").distinct()
+    bad = occurrences(docs, items, size, text, key).select(F.col("d").alias("__bad"), F.col("t").alias("__bad_t")).distinct()
     marked = docs.withColumn("__t", F.xxhash64(text))
-    kept = marked.join(bad, F.col(key).eqNullSafe(F.col("d")) & (F.col("__t") == F.col("t")), "left_anti")
+    kept = marked.join(bad, F.col(key).eqNullSafe(F.col("__bad")) & (F.col("__t") == F.col("__bad_t")), "left_anti")
     return kept.drop("__t")

@@ -133,10 +133,10 @@ def _described(docs: DataFrame, text: str, key: str) -> DataFrame:
     return rows.mapInArrow(run, "id long, t long, cls long, n long, part binary")
 
 
-def _keys(docs: DataFrame, counts: np.ndarray, percent: int, text: str) -> DataFrame:
+def _keys(docs: DataFrame, counts: np.ndarray, percent: int, text: str, often: int | None) -> DataFrame:
     """``key, base, cls, n, often``: index rows, one for each class and key in a task; base is the key without salt."""
     shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int32) if counts.max(initial=0) < 1 << 31 else counts)
-    often = int(4 * counts.mean() + 48)
+    often = int(4 * counts.mean() + 48) if often is None else often
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
@@ -169,7 +169,7 @@ def _linked_sizes(a, b, percent: int):
     return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
 
 
-def _candidates(keys: DataFrame, percent: int) -> DataFrame:
+def _candidates(keys: DataFrame, percent: int, short_list: int) -> DataFrame:
     """``a, b, na, nb, base``: all pairs of short lists (base null), and of long or salted lists the first class with each (b = a: the first itself)."""
     names = ["a", "b", "na", "nb", "base"]
 
@@ -185,12 +185,12 @@ def _candidates(keys: DataFrame, percent: int) -> DataFrame:
             key, base, cls, n, hot, new = (x[fresh] for x in (key, base, cls, n, hot, new))
             start = np.flatnonzero(new)
             size = np.diff(np.concatenate([start, [len(key)]]))
-            long = (size > SHORT) | hot[start] & (size > 1)
+            long = (size > short_list) | hot[start]
             long[0] |= already
             of = np.repeat(np.arange(len(start)), size)
             last = len(start) - 1
             keep_last = [x[start[last] :] for x in (key, base, cls, n, hot)]
-            last_long = bool(size[last] > SHORT) or (already and last == 0)
+            last_long = bool(size[last] > short_list) or (already and last == 0)
             first_of = start[of]
             out: list[list[np.ndarray]] = []
             # long lists: the first with each; of the last list only if it is long already, then its rest goes out now
@@ -201,7 +201,7 @@ def _candidates(keys: DataFrame, percent: int) -> DataFrame:
                 f = first_of[i]
                 out.append([cls[f], cls[i], n[f], n[i], base[i], np.zeros(len(i), bool)])
             short = (~long[of]) & (of != last)
-            for gap in range(1, SHORT):
+            for gap in range(1, short_list):
                 i = np.flatnonzero(short[gap:] & (of[gap:] == of[:-gap]))
                 if not len(i):
                     break
@@ -299,13 +299,17 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     return out.union(now.select("y", "y").distinct()).groupBy("node").agg(F.min("component").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``doc_id, n_shingles, component_id, t`` (t: hash of the text) for every row of ``docs``."""
+def near_duplicates(docs: DataFrame, percent: int = 80, text: str = "text", key: str = "doc_id", often: int | None = None, short_list: int = SHORT) -> DataFrame:
+    """``doc_id, n_shingles, component_id, t`` (t: hash of the text) for every row of ``docs``.
+
+    often: the sketch count from which a shingle is frequent (None: from the mean count); short_list: the longest
+    list that is paired whole. Neither changes the result.
+    """
     all_rows = stored(_described(docs, text, key), "described")
     described = all_rows.where("part is null").select("id", "t", "cls", "n")
     parts = all_rows.where("part is not null").select("part").rdd.map(lambda r: np.frombuffer(zlib.decompress(bytes(r[0])), dtype=np.int64))
     counts = parts.treeReduce(lambda x, y: x + y, 2) if not parts.isEmpty() else np.zeros(CELLS, dtype=np.int64)
-    listed = stored(_candidates(_keys(docs, counts, percent, text), percent), "candidates")
+    listed = stored(_candidates(_keys(docs, counts, percent, text, often), percent, short_list), "candidates")
     sizes = _linked_sizes(F.col("na"), F.col("nb"), percent)
     ordered = listed.where("a <> b").where(sizes).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
@@ -354,7 +358,8 @@ def keep_one(docs: DataFrame, percent: int = 80, text: str = "text", key: str =
     """
     marks = near_duplicates(docs, percent, text, key)
     head = marks.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = head.groupBy("doc_id").agg(F.min("t").alias("t"))  # of rows that share the smallest id, one text
+    # of rows that share the smallest id, one text
+    kept = head.groupBy(F.col("doc_id").alias("__kept")).agg(F.min("t").alias("__kept_t"))
     rows = docs.withColumn("__t", F.xxhash64(text))
-    joined = rows.join(kept, rows[key].cast("long").eqNullSafe(kept["doc_id"]) & (F.col("__t") == kept["t"]), "left_semi")
+    joined = rows.join(kept, F.col(key).cast("long").eqNullSafe(F.col("__kept")) & (F.col("__t") == F.col("__kept_t")), "left_semi")
     return joined.drop("__t")

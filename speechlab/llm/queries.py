@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechlab.llm import decontaminate, jaccard, knn, language, line_dedup, quality, secrets, token_files, toxicity
+from speechlab.llm import decontaminate, jaccard, knn, language, line_dedup, pieces, quality, secrets, token_files, toxicity
 from speechlab.llm._common import held_out, shared_dir
 
 
@@ -59,6 +59,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded_documents(_read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = held_out("doc_id", 4, 2)
     docs = _read(spark, sf_dir, "documents").withColumn("held_out", out)
@@ -80,6 +84,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_voronoi_knn, op2_token_files, op3_quality_nbsvm, op4_secret_scan, op5_decontaminate, op7_language_id, op8_toxic_segments, op9_ngram_jaccard, op10_line_dedup)
+    f.__name__: f for f in (op1_voronoi_knn, op2_token_files, op3_quality_nbsvm, op4_secret_scan, op5_decontaminate, op6_sentencepiece, op7_language_id, op8_toxic_segments, op9_ngram_jaccard, op10_line_dedup)
 }
 ORACLES: dict[str, str] = {}
