@@ -10,12 +10,15 @@ a group are indexed. G is a twentieth of the size class (of ratio 1.3; each set
 its own class and the next, linked sets so meet in one). Sets of under 20 shingles have G = 0 and
 are indexed by single frequent shingles.
 
-A list of classes under one index key gives all pairs if it is short. A long list gives the pairs
-with its first class (frequent keys are salted, each salt has its own first class); pairs are
-verified exactly, and components found; then only pairs of a long list that lie in different
-components, that sizes allow, and that the triangle inequality of the Jaccard distance to the
-first class does not exclude, are verified as well. No link between different sets is lost,
-and a group of near copies is linked in about as many pairs as it has members.
+A pair needs to be found only under its first shared shingle, so each index row carries how many
+shingles of its set can still be shared there (the positional bound): less than the pair needs, and
+the pair is left out. A list of classes under one key gives all pairs if it is short. A long list,
+or one of a frequent key, gives the pairs with its pivot: the set with the smallest share of rare
+shingles, the likely original of near copies. Pairs are verified exactly, and components found; then
+only pairs of a long list that lie in different components, that sizes and positions allow, and that
+the triangle inequality of the Jaccard distance to the pivot does not exclude, are verified as well.
+No link between different sets is lost, and a group of near copies takes about a pair a member.
+Frequent keys are aggregated before they are shuffled, and their join back can be split by skew.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; fewer than five words
 are one shingle, none (or null text) give an empty set that links with nothing; rows that repeat
@@ -36,8 +39,8 @@ from pyspark.sql import functions as F
 from speechlab.llm._common import hashed_words, mix, small_side, stored, text_chunks
 
 WORDS = 5
-#: Cells of the count sketch; lists up to this length are paired whole; salts of a frequent key.
-CELLS, SHORT, SALTS = 1 << 19, 6, 16
+#: Cells of the count sketch; lists up to this length are paired whole.
+CELLS, SHORT = 1 << 19, 6
 _C = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -80,8 +83,8 @@ def groups_of(tag: int) -> int:
     return int(0.05 * 1.3**tag)
 
 
-def index_keys(shingles: np.ndarray, counts: np.ndarray, often: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of a set: of rare single shingles, and of combinations of frequent ones."""
+def index_keys(shingles: np.ndarray, counts: np.ndarray, often: int, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Index keys of a set: of rare single shingles in their order, of combinations of frequent ones, and the number of rare ones."""
     n = len(shingles)
     seen = counts[(shingles & np.uint64(CELLS - 1)).astype(np.int64)]
     order = np.lexsort((shingles, seen))
@@ -108,7 +111,7 @@ def index_keys(shingles: np.ndarray, counts: np.ndarray, often: int, percent: in
             if not same.any():
                 break
             combined.append(mix(frequent[:-gap][same] * _C + frequent[gap:][same] + salt))
-    return single, np.concatenate(combined) if combined else ranked[:0]
+    return single, np.concatenate(combined) if combined else ranked[:0], rare
 
 
 def _described(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -133,8 +136,11 @@ def _described(docs: DataFrame, text: str, key: str) -> DataFrame:
     return rows.mapInArrow(run, "id long, t long, cls long, n long, part binary")
 
 
-def _keys(docs: DataFrame, counts: np.ndarray, percent: int, text: str, often: int | None) -> DataFrame:
-    """``key, base, cls, n, often``: index rows, one for each class and key in a task; base is the key without salt."""
+def _keys(docs: DataFrame, counts: np.ndarray, percent: int, text: str, often: int | None, frequent: bool) -> DataFrame:
+    """``key, rank, cls, n, tail``: index rows of rare or of frequent keys, one for each class and key in a task.
+
+    rank: the share of rare shingles in thousandths; tail: shingles of the set from the key's place on.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int32) if counts.max(initial=0) < 1 << 31 else counts)
     often = int(4 * counts.mean() + 48) if often is None else often
 
@@ -144,34 +150,38 @@ def _keys(docs: DataFrame, counts: np.ndarray, percent: int, text: str, often: i
             for _, _, data, bounds in text_chunks(batch.column(0)):
                 if len(known) > 1_000_000:
                     known = set()
-                key, base, cls, n, hot = [], [], [], [], []
+                out: list[tuple[np.ndarray, ...]] = []
                 for s in shingle_sets(data, bounds):
                     c = class_of(s)
                     if not len(s) or c in known:
                         continue
                     known.add(c)
-                    single, combined = index_keys(s, shared.value, often, percent)
-                    key += [single, mix(combined + np.uint64(1 + c % SALTS))]
-                    base += [single, combined]
-                    size = len(single) + len(combined)
-                    cls.append(np.full(size, c, dtype=np.int64))
-                    n.append(np.full(size, len(s), dtype=np.int32))
-                    hot.append(np.arange(size) >= len(single))
-                if key:
-                    cols = [np.concatenate(key).view(np.int64), np.concatenate(base).view(np.int64), np.concatenate(cls), np.concatenate(n), np.concatenate(hot)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "base", "cls", "n", "often"])
+                    single, combined, rare = index_keys(s, shared.value, often, percent)
+                    key = combined if frequent else single
+                    tail = np.full(len(key), len(s) - rare) if frequent else len(s) - np.arange(len(key))
+                    if len(key):
+                        out.append((key.view(np.int64), np.full(len(key), 1000 * rare // len(s)), np.full(len(key), c, dtype=np.int64), np.full(len(key), len(s)), tail))
+                if out:
+                    key, rank, cls, n, tail = (np.concatenate(x) for x in zip(*out))
+                    cols = [pa.array(key), pa.array(rank.astype(np.int32)), pa.array(cls), pa.array(n.astype(np.int32)), pa.array(tail.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["key", "rank", "cls", "n", "tail"])
 
     rows = docs.select(F.col(text).alias("text")).where("text is not null")
-    return rows.mapInArrow(run, "key long, base long, cls long, n int, often boolean")
+    return rows.mapInArrow(run, "key long, rank int, cls long, n int, tail int")
+
+
+def _possible(na, nb, ta, tb, percent: int):
+    """Whether sizes, and the shingles left from the key's place on, allow a link."""
+    sizes = F.lit(100) * F.least(na, nb) >= F.lit(percent) * F.greatest(na, nb)
+    return sizes & (F.lit(100 + percent) * F.least(ta, tb) >= F.lit(percent) * (na + nb))
 
 
-def _linked_sizes(a, b, percent: int):
-    return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
+_LISTED = "a long, b long, na int, nb int, ta int, tb int, base long"
 
 
-def _candidates(keys: DataFrame, percent: int, short_list: int) -> DataFrame:
-    """``a, b, na, nb, base``: all pairs of short lists (base null), and of long or salted lists the first class with each (b = a: the first itself)."""
-    names = ["a", "b", "na", "nb", "base"]
+def _rare_candidates(keys: DataFrame, percent: int, short_list: int) -> DataFrame:
+    """``a, b, na, nb, ta, tb, base``: possible pairs of short lists (base null), and the pivot of a long list with each member (itself too)."""
+    names = ["a", "b", "na", "nb", "ta", "tb", "base"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: list[np.ndarray] | None = None
@@ -179,63 +189,71 @@ def _candidates(keys: DataFrame, percent: int, short_list: int) -> DataFrame:
 
         def emit(rows: list[np.ndarray], already: bool) -> tuple[pa.RecordBatch | None, list[np.ndarray], bool]:
             """Pairs of all whole lists in ``rows``; the last list is carried on (a long one as its first row)."""
-            key, base, cls, n, hot = rows
-            new = np.concatenate([[True], (key[1:] != key[:-1])])
+            key, cls, n, tail = rows
+            new = np.concatenate([[True], key[1:] != key[:-1]])
             fresh = new | np.concatenate([[True], cls[1:] != cls[:-1]])
-            key, base, cls, n, hot, new = (x[fresh] for x in (key, base, cls, n, hot, new))
+            key, cls, n, tail, new = (x[fresh] for x in (key, cls, n, tail, new))
             start = np.flatnonzero(new)
             size = np.diff(np.concatenate([start, [len(key)]]))
-            long = (size > short_list) | hot[start]
+            long = size > short_list
             long[0] |= already
             of = np.repeat(np.arange(len(start)), size)
             last = len(start) - 1
-            keep_last = [x[start[last] :] for x in (key, base, cls, n, hot)]
-            last_long = bool(size[last] > short_list) or (already and last == 0)
-            first_of = start[of]
-            out: list[list[np.ndarray]] = []
-            # long lists: the first with each; of the last list only if it is long already, then its rest goes out now
-            i = np.flatnonzero(long[of] & ((of != last) | last_long))
+            last_long = bool(long[last])
+            keep = [x[start[last] :][: 1 if last_long else None] for x in (key, cls, n, tail)]
+            out: list[tuple[np.ndarray, ...]] = []
+            i = np.flatnonzero(long[of])
             if already:
                 i = i[i != 0]  # the first row of a carried list was given before
             if len(i):
-                f = first_of[i]
-                out.append([cls[f], cls[i], n[f], n[i], base[i], np.zeros(len(i), bool)])
+                f = start[of[i]]
+                out.append((cls[f], cls[i], n[f], n[i], tail[f], tail[i], key[i], np.zeros(len(i), bool)))
             short = (~long[of]) & (of != last)
             for gap in range(1, short_list):
                 i = np.flatnonzero(short[gap:] & (of[gap:] == of[:-gap]))
                 if not len(i):
                     break
                 j = i + gap
-                fits = 100 * np.minimum(n[i], n[j]).astype(np.int64) >= percent * np.maximum(n[i], n[j]).astype(np.int64)
+                fits = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+                fits &= (100 + percent) * np.minimum(tail[i], tail[j]) >= percent * (n[i] + n[j])
                 i, j = i[fits], j[fits]
-                out.append([cls[i], cls[j], n[i], n[j], base[i], np.ones(len(i), bool)])
-            if last_long:
-                keep_last = [x[:1] for x in keep_last]
+                out.append((cls[i], cls[j], n[i], n[j], tail[i], tail[j], key[i], np.ones(len(i), bool)))
             if not out:
-                return None, keep_last, last_long
-            a, b, na, nb, k, none = (np.concatenate(c) for c in zip(*out))
-            cols = [pa.array(a), pa.array(b), pa.array(na), pa.array(nb), pa.array(k, mask=none)]
-            return pa.RecordBatch.from_arrays(cols, names=names), keep_last, last_long
+                return None, keep, last_long
+            *cols, none = (np.concatenate(c) for c in zip(*out))
+            arrays = [pa.array(c if k in (0, 1) else c.astype(np.int32)) for k, c in enumerate(cols[:6])]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(cols[6], mask=none)], names=names), keep, last_long
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(5)]
+            rows = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 2, 3, 4)]
             if carry is not None:
                 rows = [np.concatenate([c, r]) for c, r in zip(carry, rows)]
             made, carry, carried_long = emit(rows, carried_long)
             if made is not None:
                 yield made
-        if carry is not None and len(carry[0]):
-            end = [np.concatenate([c, c[-1:]]) for c in carry]  # a list of its own after the last closes it
-            end[0] = end[0].copy()
+        if carry is not None:
+            end = [np.concatenate([c, c[-1:]]) for c in carry]  # another key after the last list closes it
             end[0][-1] = ~end[0][-1]
             made, _, _ = emit(end, carried_long)
             if made is not None:
                 yield made
 
-    dealt = keys.repartition("key").sortWithinPartitions("key", "cls")
-    return dealt.mapInArrow(run, "a long, b long, na int, nb int, base long")
+    # rare by an upper bound of their count, so no list is a hot one
+    dealt = keys.repartition("key").sortWithinPartitions("key", "rank", "cls")
+    return dealt.mapInArrow(run, _LISTED)
+
+
+def _frequent_candidates(keys: DataFrame) -> DataFrame:
+    """The same rows for frequent keys: the pivot of each with every member."""
+    first = F.min(F.struct("rank", "cls", "n", "tail")).alias("f")
+    heads = keys.groupBy("key").agg(first, F.max("cls").alias("high"), F.min("cls").alias("low")).where("low < high").select("key", "f")
+    rows = keys.join(heads, "key")
+    return rows.select(
+        F.col("f.cls").alias("a"), F.col("cls").alias("b"), F.col("f.n").alias("na"), F.col("n").alias("nb"),
+        F.col("f.tail").alias("ta"), F.col("tail").alias("tb"), F.col("key").alias("base"),
+    )
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, described: DataFrame, percent: int, text: str, key: str) -> DataFrame:
@@ -309,9 +327,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, text: str = "text", key:
     described = all_rows.where("part is null").select("id", "t", "cls", "n")
     parts = all_rows.where("part is not null").select("part").rdd.map(lambda r: np.frombuffer(zlib.decompress(bytes(r[0])), dtype=np.int64))
     counts = parts.treeReduce(lambda x, y: x + y, 2) if not parts.isEmpty() else np.zeros(CELLS, dtype=np.int64)
-    listed = stored(_candidates(_keys(docs, counts, percent, text, often), percent, short_list), "candidates")
-    sizes = _linked_sizes(F.col("na"), F.col("nb"), percent)
-    ordered = listed.where("a <> b").where(sizes).select(
+    rare = _rare_candidates(_keys(docs, counts, percent, text, often, False), percent, short_list)
+    frequent = _frequent_candidates(stored(_keys(docs, counts, percent, text, often, True), "frequent"))
+    listed = stored(rare.union(frequent), "candidates")
+    possible = _possible(F.col("na"), F.col("nb"), F.col("ta"), F.col("tb"), percent)
+    ordered = listed.where("a <> b").where(possible).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
         F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"),
         F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"),
@@ -325,19 +345,21 @@ def near_duplicates(docs: DataFrame, percent: int = 80, text: str = "text", key:
     far = F.lit(1.0) - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
     distance = first.select(F.col("a").alias("p"), F.col("b").alias("q"), far.alias("d"))
     distance = distance.union(distance.select("q", "p", "d"))
-    members = listed.where("base is not null").select("base", F.col("a").alias("p"), F.col("b").alias("q"), F.col("nb").alias("n"))
-    members = members.union(listed.where("base is not null").select("base", "a", "a", "na")).distinct()
-    labelled = members.join(groups, F.col("q") == F.col("node"), "left").select("base", "p", "q", "n", F.coalesce("component", "q").alias("g"))
+    long = listed.where("base is not null")
+    members = long.select("base", F.col("a").alias("p"), F.col("b").alias("q"), F.col("nb").alias("n"), F.col("tb").alias("t"))
+    # a set whose tail is too short for a partner of its own size or less is in no pair here
+    members = members.where(F.lit(100) * F.col("t") >= F.lit(percent) * F.col("n"))
+    labelled = members.join(groups, F.col("q") == F.col("node"), "left").select("base", "p", "q", "n", "t", F.coalesce("component", "q").alias("g"))
     labelled = stored(labelled, "members")
     split = labelled.groupBy("base").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("base")
     rest = labelled.join(split, "base").join(distance, ["p", "q"], "left")
     rest = rest.withColumn("d", F.when(F.col("p") == F.col("q"), F.lit(0.0)).otherwise(F.col("d")))
-    rest = stored(rest.select("base", "p", "q", "n", "g", "d").distinct(), "rest")
+    rest = stored(rest.select("base", "q", "n", "t", "g", "d").distinct(), "rest")
     x, y = rest.alias("x"), rest.alias("y")
-    near = (F.col("x.p") != F.col("y.p")) | F.col("x.d").isNull() | F.col("y.d").isNull()
+    near = F.col("x.d").isNull() | F.col("y.d").isNull()
     near = near | (F.abs(F.col("x.d") - F.col("y.d")) <= F.lit(1 - percent / 100 + 1e-9))
-    across = x.join(y, (F.col("x.base") == F.col("y.base")) & (F.col("x.g") != F.col("y.g")) & (F.col("x.q") < F.col("y.q")))
-    across = across.where(near).where(_linked_sizes(F.col("x.n"), F.col("y.n"), percent))
+    apart = (F.col("x.base") == F.col("y.base")) & (F.col("x.g") != F.col("y.g")) & (F.col("x.q") < F.col("y.q"))
+    across = x.join(y, apart & near & _possible(F.col("x.n"), F.col("y.n"), F.col("x.t"), F.col("y.t"), percent))
     more = across.select(F.col("x.q").alias("a"), F.col("y.q").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
     more = stored(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb"), "more")
     if more.limit(1).count():
