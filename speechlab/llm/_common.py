@@ -153,13 +153,13 @@ def map_text(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for first, end, data, bounds in text_chunks(batch.column(batch.schema.get_field_index(text))):
+            for first, end, data, bounds in text_chunks(batch.column(batch.num_columns - 1)):
                 kept = batch.slice(first, end - first).select(keep)
                 new = work(data, bounds)
                 yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(v) for v in new.values())], names=[*keep, *new])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
-    return df.select(*keep, text).mapInArrow(run, f"{fields}, {schema}")
+    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{fields}, {schema}")
 
 
 def summed(df: DataFrame, work: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:

@@ -24,6 +24,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -175,9 +176,22 @@ def encode_words(words: DataFrame, model: Pieces, merges: bool | None = None) ->
 
 
 def fold_unit(word: str, model: Pieces) -> list[int]:
-    """The same fold for one unit of any length, in n log n (merges) or n times the longest piece (Viterbi)."""
+    """The same fold for one unit of any length: short ones by a scan, long ones in n log n (merges), or n times the longest piece (Viterbi)."""
     ids, scores = model.ids, model.scores
     n = len(word)
+    if model.merges and n <= 48:
+        get, none = scores.get, float("-inf")
+        parts = list(word)
+        rank = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while rank and (best := max(rank)) != none:
+            i = rank.index(best)
+            parts[i] += parts.pop(i + 1)
+            del rank[i]
+            if i < len(rank):
+                rank[i] = get(parts[i] + parts[i + 1], none)
+            if i:
+                rank[i - 1] = get(parts[i - 1] + parts[i], none)
+        return [x for p in parts for x in ((ids[p],) if p in ids else (model.first_byte + b for b in p.encode()))]
     if model.merges:
         size, after, before = [1] * n, list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(-scores[p], i, 2) for i in range(n - 1) if (p := word[i : i + 2]) in scores]
@@ -213,6 +227,12 @@ def fold_unit(word: str, model: Pieces) -> list[int]:
     return out
 
 
+@lru_cache(maxsize=1)
+def _remembered(path: str) -> dict[str, dict[str, bytes]]:
+    """A worker's memory of units beyond the head, kept from task to task."""
+    return {"young": {}, "old": {}}
+
+
 def head_table(docs: DataFrame, model: Pieces, text: str = "text", head: int = HEAD) -> DataFrame:
     """``word, ids`` of the ``head`` most frequent units of all documents (ties by the unit)."""
     whole = F.when(F.col(text) != "", F.concat(F.lit(model.prefix), F.col(text)))
@@ -232,8 +252,8 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", head
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = shared.value
-        young: dict[str, bytes] = {}
-        old: dict[str, bytes] = {}
+        memory = _remembered(path)
+        young, old = memory["young"], memory["old"]
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
@@ -252,6 +272,7 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", head
                     out.append(b"".join(row))
                     if len(young) > REMEMBERED:
                         old, young = young, {}
+                        memory["old"], memory["young"] = old, young
                 yield pa.RecordBatch.from_arrays([*part.select(keep).columns, pa.array(out, pa.binary())], names=[*keep, "ids"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)

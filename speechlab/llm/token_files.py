@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words that a worker remembers the ids of, in each of two generations, and the longest such word.
-REMEMBERED, LONGEST = 250_000, 64
+REMEMBERED, LONGEST = 500_000, 64
 _NULL_ID = -(1 << 63)
 
 
