@@ -384,14 +384,11 @@ def _(frames, targets):
     return K.force_align(K.drop_silence(frames), targets).select("rec_id", _r("cost"), _joined(F.col("path")).alias("path"))
 
 
-@_add("k11_pool", "SELECT label, CAST(unnest(range(10)) AS BIGINT) AS phone, unnest(list_transform(range(1, 11), lambda i: 0)) AS z FROM fx_frames LIMIT 0", "fx_frames")
+@_add("k11_pool", "SELECT label, phone, round(avg(p), 6) AS p FROM (SELECT label, CAST(unnest(range(10)) AS BIGINT) AS phone, unnest(probs) AS p FROM fx_frames) GROUP BY 1, 2", "fx_frames")
 def _(frames):
     return K.pool(frames, ["label"]).select("label", _long("phone"), _r("p"))
 
 
-_SQL["k11_pool"] = duck("SELECT label, phone, round(avg(p), 6) AS p FROM (SELECT label, CAST(unnest(range(10)) AS BIGINT) AS phone, unnest(probs) AS p FROM fx_frames) GROUP BY 1, 2")
-
-
 @_add("w3_posterior_runs", "WITH b AS (SELECT rec_id, frame_idx, list_position(probs, list_max(probs)) - 1 AS phone, list_max(probs) AS p FROM fx_frames), k AS (SELECT *, CAST(lag(phone) OVER (PARTITION BY rec_id ORDER BY frame_idx) IS DISTINCT FROM phone AS INT) AS new FROM b WHERE phone <> 9), r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY rec_id ORDER BY frame_idx) AS BIGINT) AS run FROM k) SELECT rec_id, run, phone, count(*) AS n_frames, max(p) AS p_max, round(avg(p), 6) AS p_mean, CAST(min(frame_idx) AS BIGINT) AS first_frame FROM r GROUP BY 1, 2, 3 HAVING max(p) > 0.3", "fx_frames")
 def _(frames):
     return K.posterior_runs(frames, 0.3, 9).select("rec_id", "run", "phone", "n_frames", "p_max", _r("p_mean"), "first_frame")
