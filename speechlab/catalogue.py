@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from speechlab import catalogue_speech  # noqa: F401  (registers its queries)
 from speechlab.functions import phonetics as P
 from speechlab.functions import text as T
 from speechlab.operators import frames as K
@@ -20,25 +21,12 @@ from speechlab.operators import metrics as G
 from speechlab.operators import syllables as Y
 from speechlab.operators import windows as W
 from speechlab.plans.fixtures import duck, table
+from speechlab.plans.registry import QUERIES as _QUERIES
+from speechlab.plans.registry import SQL as _SQL
+from speechlab.plans.registry import Query
+from speechlab.plans.registry import add as _add
 from speechlab.sources import files as S
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def _add(name: str, sql: str | None, *tables: str):
-    """Register a function of the named tables' DataFrames."""
-
-    def put(f):
-        _QUERIES[name] = lambda spark, sf_dir: f(*[table(spark, sf_dir, t) for t in tables])
-        if sql is not None:
-            _SQL[name] = duck(sql)
-        return f
-
-    return put
-
-
 def _joined(arr: Column, sep: str = "|") -> Column:
     return F.array_join(F.transform(arr, lambda x: x.cast("string")), sep)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -80,3 +80,55 @@ def one_insertion(short: Column, long: Column) -> Column:
         lambda i: F.concat(F.slice(long, F.lit(1), i), F.slice(long, i + 2, F.greatest(F.size(long) - i - 1, F.lit(0)))) == short,
     )
     return F.when(F.size(long) == F.size(short) + 1, F.try_element_at(where, F.lit(1)))
+
+# Phones by category; vowels are those that carry a stress digit.
+CATEGORIES = {
+    "approximant": ["L", "R", "W", "Y"],
+    "nasal": ["M", "N", "NG"],
+    "fricative": ["DH", "F", "HH", "S", "SH", "TH", "V", "Z", "ZH"],
+    "affricate": ["CH", "JH"],
+    "stop": ["B", "D", "G", "K", "P", "T"],
+}
+
+
+def category(phone: Column) -> Column:
+    """The category of a phone with or without its stress digit; null if it has none."""
+    out = F.when(phone.rlike("[012]$"), "vowel")
+    for name, members in CATEGORIES.items():
+        out = out.when(phone.isin(members), name)
+    return out
+
+
+def invalid_phone(phone_array: Column, alphabet: list[str]) -> Column:
+    """The first phone, without stress, that is not in the alphabet; null if all are."""
+    known = F.array(*map(F.lit, alphabet))
+    return F.get(F.filter(F.transform(phone_array, unstress), lambda p: ~F.array_contains(known, p)), F.lit(0))
+
+
+def phone_ids(inventory: DataFrame) -> DataFrame:
+    """``phone, id, code``: ids from 0 in alphabetical order and one-character codes; an alphabet is small."""
+    order = F.row_number().over(Window.orderBy("phone")) - 1
+    ids = inventory.select("phone", order.cast("long").alias("id"))
+    return ids.withColumn("code", F.char(F.col("id") + 33))
+
+
+def clusters(phones: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:
+    """``keys, onset, coda``: phones of a syllable before and after its vowel, joined by ``_``."""
+    seen = F.sum(F.col("phone").rlike("[012]$").cast("int")).over(Window.partitionBy(*keys).orderBy(order))
+    side = phones.withColumn("v", seen).where(~F.col("phone").rlike("[012]$"))
+
+    def joined(before: bool) -> Column:
+        picked = F.collect_list(F.when((F.col("v") == 0) if before else (F.col("v") > 0), F.struct(order, "phone")))
+        return F.array_join(F.transform(F.array_sort(picked), lambda x: x["phone"]), "_")
+
+    return side.groupBy(*keys).agg(joined(True).alias("onset"), joined(False).alias("coda"))
+
+
+def token_distance(a: Column, b: Column, alphabet: list[str]) -> Column:
+    """Edit distance of two phone arrays over an alphabet, by one character for each phone."""
+    known = F.array(*map(F.lit, alphabet))
+
+    def coded(x: Column) -> Column:
+        return F.array_join(F.transform(x, lambda p: F.char(F.array_position(known, p) + 33)), "")
+
+    return F.levenshtein(coded(a), coded(b))

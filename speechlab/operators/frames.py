@@ -73,3 +73,64 @@ def token_error_rate(truth: Column, found: Column, alphabet: Column) -> Column:
         return F.array_join(F.transform(tokens, lambda t: F.char(F.lit(33) + F.array_position(alphabet, t))), "")
 
     return F.levenshtein(coded(truth), coded(found)) / F.greatest(F.size(truth), F.size(found))
+
+
+def complete_classes(probs: Column, n: int) -> Column:
+    """A probability vector with zeros for the classes it lacks at its end."""
+    return F.concat(probs, F.array_repeat(F.lit(0.0), n - F.size(probs)))
+
+
+def soft_vote(a: DataFrame, b: DataFrame, keys: list[str], weight: float) -> DataFrame:
+    """Weighted mean of two tables of probability vectors."""
+    both = a.select(*keys, F.col("probs").alias("x")).join(b.select(*keys, F.col("probs").alias("y")), keys)
+    return both.select(*keys, F.zip_with("x", "y", lambda p, q: p * weight + q * (1 - weight)).alias("probs"))
+
+
+def with_silence(frames: DataFrame, aligned: DataFrame) -> DataFrame:
+    """Every frame with its aligned label, or ``[SIL]`` where it was dropped as silence."""
+    joined = frames.select("rec_id", "frame_idx").join(aligned, ["rec_id", "frame_idx"], "left")
+    return joined.withColumn("label", F.coalesce("label", F.lit("[SIL]")))
+
+
+def segments(frames: DataFrame, step: float) -> DataFrame:
+    """``rec_id, pos``: bounds in frames and seconds, and the mean maximum probability."""
+    return frames.groupBy("rec_id", "pos").agg(
+        F.min("frame_idx").alias("first_frame"),
+        F.max("frame_idx").alias("last_frame"),
+        (F.min("frame_idx") * step).alias("start"),
+        ((F.max("frame_idx") + 1) * step).alias("end"),
+        F.avg(F.array_max("probs")).alias("p"),
+    )
+
+
+def phone_contrast(probs: Column, target: Column, allowed: list[int], least: float) -> Column:
+    """The target if its probability exceeds ``least``; else the best of the allowed phones, or of all if these are all zero."""
+    masked = F.transform(probs, lambda p, i: F.when(i.isin(allowed), p).otherwise(0.0))
+    best = F.when(F.array_max(masked) > 0, argmax_phone(masked)).otherwise(argmax_phone(probs))
+    return F.when(F.get(probs, target.cast("int")) > least, target.cast("long")).otherwise(best)
+
+
+def accept_alternatives(df: DataFrame, accepted: list[tuple[str, str]]) -> DataFrame:
+    """A detection that is accepted for its target becomes the target; pairs: (target, detection)."""
+    pairs = df.sparkSession.createDataFrame(accepted, "target string, detection string").withColumn("ok", F.lit(True))
+    joined = df.join(F.broadcast(pairs), ["target", "detection"], "left")
+    return joined.withColumn("detection", F.when(F.col("ok"), F.col("target")).otherwise(F.col("detection"))).drop("ok")
+
+
+def gate(sound: Column, level: Column, seconds: Column, n_syllables: Column, pitch: Column, quiet: float = 40.0, fast: float = 8.0, slow: float = 1.0) -> Column:
+    """Verdict on a recording, the first that applies: empty, no sound, too quiet, too short, too long, no pitch, success."""
+    rate = n_syllables / seconds
+    return (
+        F.when(seconds <= 0, "empty")
+        .when(~sound, "no sound")
+        .when(level < quiet, "too quiet")
+        .when(rate > fast, "too short")
+        .when((rate < slow) & (n_syllables > 1), "too long")
+        .when(pitch.isNull(), "no pitch")
+        .otherwise("success")
+    )
+
+
+def validate(error_rate: Column, n_syllables: Column, usual: float = 0.7, single: float = 0.85) -> Column:
+    """Accepted if the error rate is under the bound (another for one syllable); null is rejected."""
+    return F.coalesce(error_rate < F.when(n_syllables == 1, single).otherwise(usual), F.lit(False))

@@ -50,3 +50,73 @@ def agreement(words: DataFrame, expected: DataFrame, by: list[str]) -> DataFrame
     """Share, in percent, of words whose syllable count is the expected one."""
     joined = words.join(expected, "word")
     return joined.groupBy(*by).agg((F.lit(100.0) * F.avg((F.col("n_text") == F.col("n_phone")).cast("double"))).alias("agreement"), F.count("*").alias("n"))
+
+
+def derive_elisions(lexicon: DataFrame, prefixes: list[tuple[str, str]]) -> DataFrame:
+    """Elided forms: each (prefix, its phones) before every word whose first alternative starts with a vowel."""
+    vowel = lexicon.where("alt_idx = 0").where(F.regexp_extract("phones", "^[^_]*", 0).rlike("[012]$"))
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(s).alias("s")) for p, s in prefixes]))
+    spread = vowel.withColumn("x", each)
+    return spread.select(F.concat("x.p", "word").alias("word"), F.concat_ws("_", "x.s", "phones").alias("phones"))
+
+
+def fix_rhotics(lexicon: DataFrame, diphthongs: list[str], rhotic: str = "R", merged: str = "ER0") -> DataFrame:
+    """A rhotic after a diphthong, at the end or before a non-vowel, becomes ``merged``."""
+    x = F.split("phones", "_")
+
+    def one(p, i):
+        before, after = F.get(x, i - 1), F.get(x, i + 1)
+        return F.when((p == rhotic) & before.isin(diphthongs) & (after.isNull() | ~after.rlike("[012]$")), merged).otherwise(p)
+
+    return lexicon.withColumn("phones", F.array_join(F.transform(x, one), "_"))
+
+
+def invert(df: DataFrame, value: str, key: str) -> DataFrame:
+    """Each value with the sorted keys that have it."""
+    return df.groupBy(value).agg(F.sort_array(F.collect_list(key)).alias("keys"))
+
+
+def stress_issues(lexicon: DataFrame) -> DataFrame:
+    """``word, alt_idx, primaries, issues``: more primary stresses than hyphen parts, or no stress digit at all."""
+    primaries = (F.length("phones") - F.length(F.replace("phones", F.lit("1"), F.lit("")))).cast("long")
+    parts = F.size(F.split("word", "-"))
+    issues = (primaries > parts).cast("long") + (~F.col("phones").rlike("[01]")).cast("long")
+    return lexicon.select("word", "alt_idx", primaries.alias("primaries"), issues.alias("issues"))
+
+
+def vowel_counts(lexicon: DataFrame) -> DataFrame:
+    """``word, alt_idx, n_vowels`` of every alternative: phones that carry a stress digit."""
+    return lexicon.select("word", "alt_idx", F.size(F.filter(F.split("phones", "_"), lambda p: p.rlike("[012]$"))).cast("long").alias("n_vowels"))
+
+
+def choose_alternative(lexicon: DataFrame, expected: DataFrame) -> DataFrame:
+    """``word, alt_idx, matched``: the first alternative with the expected count ``n_text`` and no stress issue, else the first."""
+    scored = vowel_counts(lexicon).join(stress_issues(lexicon), ["word", "alt_idx"]).join(expected, "word")
+    good = (F.col("n_vowels") == F.col("n_text")) & (F.col("issues") == 0)
+    best = F.min(F.when(good, F.col("alt_idx")))
+    return scored.groupBy("word").agg(F.coalesce(best, F.lit(0)).cast("long").alias("alt_idx"), best.isNotNull().alias("matched"))
+
+
+def phonetize_safe(tokens: DataFrame, lexicon: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts whose words are all known, with their phones; and the other texts with their first unknown word."""
+    first = lexicon.where("alt_idx = 0").select("word", "phones")
+    joined = tokens.join(first, "word", "left")
+    order = F.transform(F.array_sort(F.collect_list(F.struct("pos", "phones"))), lambda x: x["phones"])
+    unknown = F.min(F.when(F.col("phones").isNull(), F.struct("pos", "word")))
+    each = joined.groupBy("doc_id").agg(order.alias("phones"), unknown.alias("bad"))
+    ok = each.where("bad is null").select("doc_id", F.array_join("phones", "|").alias("phonetics"))
+    return ok, each.where("bad is not null").select("doc_id", F.col("bad.pos").cast("long").alias("pos"), F.col("bad.word").alias("word"))
+
+
+def diff_versions(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``ending, n``: words whose two phonetisations differ, by the ending of the second."""
+    differ = a.select("word", F.col("phones").alias("old")).join(b.select("word", F.col("phones").alias("new")), "word").where("old <> new")
+    return differ.groupBy(F.element_at(F.split("new", "_"), -1).alias("ending")).agg(F.count("*").alias("n"))
+
+
+def apply_filters(df: DataFrame, specs: list[tuple[str, bool, str, str]]) -> DataFrame:
+    """Rows that meet every (column, whether it does, startswith | endswith | contains, value)."""
+    for column, does, how, value in specs:
+        test = getattr(F.col(column), how)(value)
+        df = df.where(test if does else ~test)
+    return df

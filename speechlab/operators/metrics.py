@@ -75,3 +75,37 @@ def compare_models(df: DataFrame, baseline: str, slack: float) -> DataFrame:
     base = df.where(F.col("model") == baseline).select("target", F.col("rate").alias("base_rate"))
     joined = df.where(F.col("model") != baseline).join(base, "target")
     return joined.groupBy("model").agg(F.bool_and(F.col("rate") >= F.col("base_rate") - slack).alias("holds"), F.count("*").alias("n_targets"))
+
+
+def confusion(df: DataFrame, detections: list[str]) -> DataFrame:
+    """Share of each detection in a target's rows, one column for each of the given detections."""
+    wide = df.groupBy("target").pivot("detection", detections).count().fillna(0, detections)
+    total = sum(F.col(d) for d in detections)
+    return wide.select("target", *[F.when(total > 0, F.col(d) / total).otherwise(0.0).alias(f"share_{d.lower()}") for d in detections])
+
+
+def posterior_matrix(frames: DataFrame, label: str) -> DataFrame:
+    """``label, phone, share``: probability vectors summed for each label, as shares of the label's sum."""
+    sums = frames.select(label, F.posexplode("probs").alias("phone", "p")).groupBy(label, "phone").agg(F.sum("p").alias("s"))
+    return sums.select(label, "phone", (F.col("s") / F.sum("s").over(Window.partitionBy(label))).alias("share"))
+
+
+def weighted_confidence(segments: DataFrame, by: list[str], p: str, n: str) -> DataFrame:
+    """Confidence weighted by duration."""
+    return segments.groupBy(*by).agg((F.sum(F.col(p) * F.col(n)) / F.sum(n)).alias("confidence"))
+
+
+def truth_stats(frames: DataFrame, true_id, silence: int) -> DataFrame:
+    """``rec_id, mean, median, match_rate``: the true phone's probability and how often it is the maximum; silence rows are left out."""
+    kept = frames.where(true_id != silence).withColumn("p", F.get("probs", true_id.cast("int")))
+    hit = (F.array_position("probs", F.array_max("probs")) - 1 == true_id).cast("double")
+    return kept.groupBy("rec_id").agg(F.avg("p").alias("mean"), F.median("p").alias("median"), F.avg(hit).alias("match_rate"))
+
+
+def label_counts(df: DataFrame, label: str) -> DataFrame:
+    return df.groupBy(label).agg(F.count("*").alias("n"))
+
+
+def rates_by(df: DataFrame, group, hit) -> DataFrame:
+    """``speaker, n, rate`` for a speaker expression and a success expression."""
+    return df.groupBy(group.alias("speaker")).agg(F.count("*").alias("n"), F.avg(hit.cast("double")).alias("rate"))

@@ -93,3 +93,35 @@ def next_word_filter(df: DataFrame, part: list[str], order: list[str], starts: s
 
 def first_per_key(df: DataFrame, key: list[str], order: list) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__r = 1").drop("__r")
+
+
+def word_stress_bins(df: DataFrame, part: list[str], score: str, order: str) -> DataFrame:
+    """``bit``: 1 for the first maximum of each word."""
+    rank = F.row_number().over(Window.partitionBy(*part).orderBy(F.desc(score), order))
+    return df.withColumn("bit", (rank == 1).cast("int"))
+
+
+def stress_score(df: DataFrame, part: list[str], features: dict[str, float]) -> DataFrame:
+    """``score``: weighted mean, in percent, of features scaled within a partition; weights by column."""
+    out = df
+    for c in features:
+        out = minmax(out, c, part).withColumnRenamed("scaled", f"__{c}")
+    total = sum(F.col(f"__{c}") * w for c, w in features.items()) / sum(features.values())
+    return out.withColumn("score", F.floor(F.round(total * 100, 6)).cast("long")).drop(*[f"__{c}" for c in features])
+
+
+def phrase_ids(df: DataFrame, label: str, part: list[str], order: list[str]) -> DataFrame:
+    """``phrase_id``: label and position, from 1, in its run of equal labels."""
+    rows = segment_numbers(df, label, part, order)
+    return rows.withColumn("phrase_id", F.concat_ws("_", label, F.col("run").cast("string"), (F.col("segment") + 1).cast("string")))
+
+
+def sample_n(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
+    """The first ``n`` rows in the order of the md5 of key and seed (a sampling operator)."""
+    return df.withColumn("__h", F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(seed)))).orderBy("__h", key).limit(n).drop("__h")
+
+
+def user_panel(df: DataFrame, user: str, key: str, n_users: int, cap: int) -> DataFrame:
+    """At most ``cap`` rows of each of the first ``n_users`` users."""
+    users = df.select(user).distinct().orderBy(user).limit(n_users)
+    return cap_per_class(df.join(F.broadcast(users), user, "left_semi"), user, key, cap)
