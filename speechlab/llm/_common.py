@@ -130,7 +130,7 @@ def hashed_words(data: np.ndarray, bounds: np.ndarray, separator: np.ndarray = B
     last = bounds[1:][bounds[1:] > bounds[:-1]] - 1
     ends[last] = inside[last]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    bits = max(22, int(len(data)).bit_length())
+    bits = max(21, (len(data) - 1).bit_length())
     power, inverse = _powers(bits)
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])

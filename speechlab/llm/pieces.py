@@ -242,68 +242,106 @@ def head_table(docs: DataFrame, model: Pieces, text: str = "text", head: int = H
     return encode_words(words.repartition(F.col("word")), model)
 
 
-def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", head: int = HEAD) -> DataFrame:
-    """``keep`` and ``ids`` (32-bit little-endian ids in one binary) of every whole text; path: a model file all executors have."""
-    spark = docs.sparkSession
+def _shared(docs: DataFrame, path: str, text: str, head: int):
+    """The vocabulary and the head's ids, broadcast: at most ``head`` units of LONGEST characters."""
     model = load(path)
     table = {r["word"]: np.array(r["ids"], dtype="<u4").tobytes() for r in head_table(docs, model, text, head).toLocalIterator()}
-    shared = spark.sparkContext.broadcast((model, table))  # at most ``head`` units of LONGEST characters, and the vocabulary
-    find = re.compile(UNIT).findall
+    return docs.sparkSession.sparkContext.broadcast((model, table))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = shared.value
-        memory = _remembered(path)
+
+def _encoder(m: Pieces, known: dict[str, bytes], path: str):
+    """A function from a text, or null, to its packed ids."""
+    find, memory = re.compile(UNIT).findall, _remembered(path)
+
+    def one(own: str | None) -> bytes:
         young, old = memory["young"], memory["old"]
+        row = []
+        for u in find((m.prefix + own).replace(" ", BLANK)) if own else ():
+            got = known.get(u) or young.get(u)
+            if got is None:
+                got = old.get(u)
+                if got is None:
+                    got = np.array(fold_unit(u, m), dtype="<u4").tobytes()
+                if len(u) <= 64:
+                    young[u] = got
+            row.append(got)
+            if len(young) > REMEMBERED:
+                memory["old"], memory["young"] = young, {}
+                young, old = memory["young"], memory["old"]
+        return b"".join(row)
+
+    return one
+
+
+def _decoder(m: Pieces):
+    """A function from packed ids, or null, to their text."""
+    raw = [t.replace(BLANK, " ").encode() for t in m.texts]
+    raw[m.first_byte : m.first_byte + 256] = [bytes([b]) for b in range(256)]
+
+    def one(ids: bytes | None) -> str | None:
+        if ids is None:
+            return None
+        return b"".join([raw[i] for i in np.frombuffer(ids, dtype="<u4").tolist()]).decode(errors="replace").removeprefix(m.prefix)
+
+    return one
+
+
+def _by_row(df: DataFrame, make, schema: str, keep: list[str], column: str) -> DataFrame:
+    """``keep`` beside what ``make()`` gives for the values of a column, 512 rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                out = []
-                for value in part.column(part.num_columns - 1):
-                    row, own = [], value.as_py()
-                    for u in find((m.prefix + own).replace(" ", BLANK)) if own else ():
-                        got = known.get(u) or young.get(u)
-                        if got is None:
-                            got = old.get(u)
-                            if got is None:
-                                got = np.array(fold_unit(u, m), dtype="<u4").tobytes()
-                            if len(u) <= 64:
-                                young[u] = got
-                        row.append(got)
-                    out.append(b"".join(row))
-                    if len(young) > REMEMBERED:
-                        old, young = young, {}
-                        memory["old"], memory["young"] = old, young
-                yield pa.RecordBatch.from_arrays([*part.select(keep).columns, pa.array(out, pa.binary())], names=[*keep, "ids"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{fields}, ids binary")
+                new = work(v.as_py() for v in part.column(part.num_columns - 1))
+                yield pa.RecordBatch.from_arrays([*part.select(keep).columns, *new.values()], names=[*keep, *new])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
+    return df.select(*keep, F.col(column).alias("__value")).mapInArrow(run, f"{fields}, {schema}")
+
+
+def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", head: int = HEAD) -> DataFrame:
+    """``keep`` and ``ids`` (32-bit little-endian ids in one binary) of every whole text; path: a model file all executors have."""
+    shared = _shared(docs, path, text, head)
+
+    def make():
+        one = _encoder(*shared.value, path)
+        return lambda texts: {"ids": pa.array([one(t) for t in texts], pa.binary())}
+
+    return _by_row(docs, make, "ids binary", keep, text)
 
 
 def decode(encoded: DataFrame, path: str, keep: list[str], ids: str = "ids") -> DataFrame:
     """``keep`` and the ``decoded`` text of packed ids; bytes that are no UTF-8 become U+FFFD."""
-    model = load(path)
-    shared = encoded.sparkSession.sparkContext.broadcast(model)
+    shared = encoded.sparkSession.sparkContext.broadcast(load(path))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        raw = [t.replace(BLANK, " ").encode() for t in m.texts]
-        raw[m.first_byte : m.first_byte + 256] = [bytes([b]) for b in range(256)]
-        for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                out = []
-                for value in part.column(part.num_columns - 1):
-                    got = value.as_py()
-                    out.append(None if got is None else b"".join([raw[i] for i in np.frombuffer(got, dtype="<u4").tolist()]).decode(errors="replace").removeprefix(m.prefix))
-                yield pa.RecordBatch.from_arrays([*part.select(keep).columns, pa.array(out, pa.string())], names=[*keep, "decoded"])
+    def make():
+        one = _decoder(shared.value)
+        return lambda values: {"decoded": pa.array([one(v) for v in values], pa.string())}
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*keep).schema.fields)
-    return encoded.select(*keep, F.col(ids).alias("__ids")).mapInArrow(run, f"{fields}, decoded string")
+    return _by_row(encoded, make, "decoded string", keep, ids)
 
 
 def encoded_documents(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id, n_pieces, ids_crc32, round_trip``: sizes and checksums of the ids, and whether they decode to the text."""
-    ids = encode(docs.select("doc_id", "text", F.xxhash64("text").alias("__h")), path, ["doc_id", "__h"])
-    back = decode(ids.withColumn("n_pieces", (F.length("ids") / 4).cast("long")).withColumn("ids_crc32", F.crc32("ids")), path, ["doc_id", "__h", "n_pieces", "ids_crc32"])
-    same = F.xxhash64("decoded") == F.when(F.col("__h") == F.xxhash64(F.lit(None).cast("string")), F.xxhash64(F.lit(""))).otherwise(F.col("__h"))
-    return back.select("doc_id", "n_pieces", "ids_crc32", same.alias("round_trip"))
+    """``doc_id, n_pieces, ids_crc32, round_trip``: sizes and checksums of the ids, and whether they decode to the text.
+
+    Both ways are one pass over the texts, so a task holds one Python worker.
+    """
+    shared = _shared(docs, path, "text", HEAD)
+
+    def make():
+        m, known = shared.value
+        there, back = _encoder(m, known, path), _decoder(m)
+
+        def work(texts):
+            ids, same = [], []
+            for t in texts:
+                ids.append(there(t))
+                same.append(back(ids[-1]) == (t or ""))
+            return {"ids": pa.array(ids, pa.binary()), "round_trip": pa.array(same)}
+
+        return work
+
+    out = _by_row(docs, make, "ids binary, round_trip boolean", ["doc_id"], "text")
+    return out.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), "round_trip")
