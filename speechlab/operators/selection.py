@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from speechlab.operators.windows import sample_n
 
+from speechlab.operators.windows import sample_n
+
 
 def ending_class(word: Column, phones: Column) -> Column:
     """Class of a final -ed or -s by its sound; null for other words."""
@@ -48,3 +50,45 @@ def clean_word_list(df: DataFrame, column: str, lexicon: DataFrame) -> DataFrame
     """Lines without their numbering (``12.`` or ``3)``), lower-cased, that are words of the lexicon."""
     word = F.lower(F.regexp_replace(F.trim(F.col(column)), r"^[0-9]+[.)] *", ""))
     return df.withColumn("word", word).join(lexicon.select("word").distinct(), "word", "left_semi")
+
+
+def words_with_phone(lexicon: DataFrame, phone: str, n: int, seed: str) -> DataFrame:
+    """The first ``n`` words, in the order of the md5 of word and seed, that have the phone (a sampling operator)."""
+    return sample_n(lexicon.where(F.array_contains(F.split("phones", "_"), phone)), "word", n, seed)
+
+
+def phone_strength(lexicon: DataFrame, patterns: list[str]) -> DataFrame:
+    """``strength``: number of phones that match any pattern; words without one go."""
+    hits = F.size(F.filter(F.split("phones", "_"), lambda p: p.rlike("|".join(f"(?:{x})" for x in patterns))))
+    return lexicon.withColumn("strength", hits.cast("long")).where("strength > 0")
+
+
+def stress_groups(lexicon: DataFrame) -> DataFrame:
+    """``word, n_syll, pattern, n_words``: each word with the size of the group of its stress pattern."""
+    pattern = F.array_join(F.transform(F.filter(F.split("phones", "_"), lambda p: p.rlike("[0-2]$")), lambda p: F.right(p, F.lit(1))), "")
+    words = lexicon.select("word", F.length(pattern).cast("long").alias("n_syll"), pattern.alias("pattern"))
+    return words.join(words.groupBy("pattern").agg(F.count("*").alias("n_words")), "pattern")
+
+
+def contrast_pairs(pairs: DataFrame, lexicon: DataFrame, one: str, other: str) -> DataFrame:
+    """``a, b`` pairs of which one word has a phone of the first pattern and the other one of the second, once each."""
+    marks = lexicon.groupBy("word").agg(F.max(F.col("phones").rlike(one)).alias("one"), F.max(F.col("phones").rlike(other)).alias("other"))
+    both = pairs.join(marks.select(F.col("word").alias("a"), F.col("one").alias("a1"), F.col("other").alias("a2")), "a")
+    both = both.join(marks.select(F.col("word").alias("b"), F.col("one").alias("b1"), F.col("other").alias("b2")), "b")
+    return both.where("(a1 and b2) or (a2 and b1)").select("a", "b").distinct()
+
+
+def odd_one_out(lexicon: DataFrame, a: str, b: str, n: int, seed: str) -> DataFrame:
+    """``n`` triplets: the k-th sampled word of class ``a`` with the two next ones of class ``b``; classes are patterns of phones."""
+    order = Window.orderBy(F.md5(F.concat_ws("-", "word", F.lit(seed))), "word")
+    odd = sample_n(lexicon.where(F.col("phones").rlike(a) & ~F.col("phones").rlike(b)), "word", n, seed)
+    rest = sample_n(lexicon.where(F.col("phones").rlike(b) & ~F.col("phones").rlike(a)), "word", 2 * n, seed)
+    odd = odd.select((F.row_number().over(order) - 1).alias("k"), F.col("word").alias("odd"))
+    rest = rest.select("word", (F.row_number().over(order) - 1).alias("r")).withColumn("k", F.floor(F.col("r") / 2).cast("int"))
+    pairs = rest.groupBy("k").agg(F.min_by("word", "r").alias("first"), F.max_by("word", "r").alias("second"), F.count("*").alias("c")).where("c = 2")
+    return odd.join(pairs, "k").select("odd", "first", "second")
+
+
+def voicing_rule(phone: Column) -> Column:
+    """The ending -ed takes after a phone."""
+    return F.when(phone.isin("T", "D"), "IH0_D").when(phone.isin("P", "K", "F", "S", "SH", "CH", "TH"), "T").otherwise("D")
