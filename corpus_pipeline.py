@@ -30,7 +30,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.drop_repeated_lines(docs)
+    out = line_dedup.drop_repeated_runs(docs)
     left = (F.col("lines_deleted") == 0) | F.col("text").rlike(r"\S")
     n_chars = F.when(F.col("lines_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.where(left).withColumn("n_chars", n_chars).select(*docs.columns)

@@ -1,20 +1,25 @@
 """Line dedup by winnowing over line hashes, with DataFrame functions only.
 
-Lines are what ``\\n`` separates; a line of blanks only has no words and belongs to no run. The
-window of a line is the shortest run of lines from it on (lines without words left out) that
-holds ``min_words`` words. The fingerprint of a window is its smallest line hash, at its first
-place; any run of lines with at least ``min_words`` words that two places share holds a whole
-window, so both places select the same minimum: a guaranteed fingerprint. Positions are joined
-on the minimum together with the hash of all the window's lines, so that a match extends from
-the minimum to both ends of the window, and on through every neighbouring window that repeats.
-The earliest place (by document id, then hash of the text, then line) stays; the lines of each
-later window go, which deletes later repeated runs whole.
-
-Defined results: a line goes if and only if some window over it also stands at an earlier place,
-in the same document or another. Null text stays null and empty text empty; rows that repeat
-a document id and text are one document and share its fate (they do not delete each other);
-a null id comes first. A run of fewer words, or at the end of a document with too few words left,
-is kept. Extra columns are passed on; an empty table gives an empty result.
+Lines are what ``\\n`` separates; a line of blanks only has no words and belongs to no run. A run
+that two places share is extended to its maximum both ways: a line goes if any run over it of at
+least ``min_words`` words also stands at an earlier place, whichever place that is.
+
+No pair of places is needed for that. Any shared run is covered by the windows inside it: the
+shortest run of ``min_words`` words *from* each line on (covers what precedes the last window),
+the shortest one *up to* each line (covers the trailing lines, of fewer words), and each two
+neighbouring lines that are windows themselves (so that blank lines between them go as well).
+Which of these a run is depends on its own lines only, so both places select it. The fingerprint
+of a window is its smallest line hash; positions are joined on that minimum together with the
+hash of all the window's lines. The earliest place (by document id, then hash of the text, then
+line) stays; the lines of each later window go, which deletes later repeated runs whole.
+
+Defined results (``drop_repeated_runs``): a line goes if and only if it is in a run, repeated at
+an earlier place in the same document or another, that has ``min_words`` words; so do lines of
+blanks inside such a run. Places may overlap. ``drop_repeated_lines`` is the narrower rule of the
+windows from each line on: there up to ``min_words - 1`` words at the end of a repeated run stay.
+Null text stays null and empty text empty; rows that repeat a document id and text are one document
+and share its fate (they do not delete each other); a null id comes first. A run of fewer words is
+kept. Extra columns are passed on; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,26 +41,49 @@ def line_table(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     return lines.select("d", "t", "i", F.xxhash64("line").alias("h"), words.cast("long").alias("w"))
 
 
-def fingerprints(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``d, t, first, last, low, run``: each line's window, its minimum line hash and the hash of its lines."""
+def fingerprints(lines: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
+    """``d, t, first, last, low, run``: each line's window, its minimum line hash and the hash of its lines.
+
+    whole: also the windows up to each line and neighbouring lines that are windows, where they differ from those.
+    """
     lines = lines.repartition("d", "t").dropDuplicates(["d", "t", "i"])  # one shuffle for this and the windows
     of = Window.partitionBy("d", "t")
     placed = lines.withColumn("before", F.sum("w").over(of.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)))
     placed = placed.withColumn("before", F.coalesce("before", F.lit(0)).cast("long"))
     ahead = of.orderBy("before").rangeBetween(Window.currentRow, min_words - 1)
+
+    def window(first, last, low, hashes):
+        return F.struct(first.alias("first"), last.alias("last"), low.alias("low"), F.xxhash64(hashes, F.size(hashes)).alias("run"))
+
+    names = ["d", "t", "first", "last", "low", "run"]
     runs = placed.select(
-        "d", "t", F.col("i").alias("first"),
+        "d", "t", "i", "h", "w", (F.col("before") + F.col("w")).alias("end"),
         F.max("i").over(ahead).alias("last"),
         F.sum("w").over(ahead).alias("words"),
         F.min("h").over(ahead).alias("low"),
         F.collect_list("h").over(ahead).alias("lines"),
+        *([F.lead(c).over(of.orderBy("before")).alias(f"{c}_next") for c in "ihw"] if whole else []),
     )
-    return runs.where(F.col("words") >= min_words).select("d", "t", "first", "last", "low", F.xxhash64("lines", F.size("lines")).alias("run"))
+    found = [F.when(F.col("words") >= min_words, window(F.col("i"), F.col("last"), F.col("low"), F.col("lines")))]
+    if whole:
+        back = of.orderBy("end").rangeBetween(1 - min_words, Window.currentRow)
+        runs = runs.select(
+            "*",
+            F.min("i").over(back).alias("back_first"),
+            F.sum("w").over(back).alias("back_words"),
+            F.min("h").over(back).alias("back_low"),
+            F.collect_list("h").over(back).alias("back_lines"),
+        )
+        # without its last line it would still be long enough: it is no window from its first line on
+        found.append(F.when(F.col("back_words") - F.col("w") >= min_words, window(F.col("back_first"), F.col("i"), F.col("back_low"), F.col("back_lines"))))
+        pair = window(F.col("i"), F.col("i_next"), F.least("h", "h_next"), F.array("h", "h_next"))
+        found.append(F.when((F.col("w") >= min_words) & (F.col("w_next") >= min_words), pair))
+    return runs.select("d", "t", F.inline(F.array_compact(F.array(*found)))).toDF(*names)
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", key: str = "doc_id", whole: bool = False) -> DataFrame:
     """``d, t, runs``: for each document with later repeated runs the bounds of their windows, in order."""
-    prints = stored(fingerprints(line_table(docs, text, key), min_words), "fingerprints")
+    prints = stored(fingerprints(line_table(docs, text, key), min_words, whole), "fingerprints")
     place = F.struct("d", "t", "first")
     # partial minima come before the shuffle, so a passage in a third of all documents is a row for each task
     firsts = prints.groupBy("low", "run").agg(F.min(place).alias("place"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -63,9 +91,17 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "tex
     return later.groupBy("d", "t").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 
+def drop_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` with later repeated runs of lines, extended both ways, deleted from ``text``, plus ``lines_deleted`` and ``lines``."""
+    return _without(docs, repeated_lines(docs, min_words, text, key, whole=True), text, key)
+
+
 def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with later repeated runs of lines deleted from ``text``, plus ``lines_deleted`` and ``lines``."""
-    runs = repeated_lines(docs, min_words, text, key)
+    """The same for the windows from each line on alone: the end of a repeated run may stay."""
+    return _without(docs, repeated_lines(docs, min_words, text, key), text, key)
+
+
+def _without(docs: DataFrame, runs: DataFrame, text: str, key: str) -> DataFrame:
     names = docs.columns
     marked = docs.withColumn("__t", F.xxhash64(text)).alias("x")
     joined = marked.join(runs.alias("r"), F.col(f"x.{key}").eqNullSafe(F.col("r.d")) & (F.col("x.__t") == F.col("r.t")), "left")

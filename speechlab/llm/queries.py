@@ -79,7 +79,7 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.drop_repeated_lines(_read(spark, sf_dir, "documents"))
+    out = line_dedup.drop_repeated_runs(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "lines", "lines_deleted", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 

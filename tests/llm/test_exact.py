@@ -181,6 +181,65 @@ def test_line_dedup_inside_one_document(spark):
     assert [r["text"] for r in got] == [f"a\n{run}\nb\nc", "\nz"]
 
 
+def brute_runs(rows, order, least=50):
+    """Lines of maximal common runs: every later place against every earlier one, line by line both ways."""
+    docs = {}
+    for i, t in set(rows):
+        if t is not None:
+            live = [(k, x, len(re.findall(r"[^ \t\x0b\f\r]+", x))) for k, x in enumerate(t.split("\n"))]
+            docs[order[i, t]] = [x for x in live if x[2]]
+    gone = {}
+    for (own, x), (other, y) in itertools.product(docs.items(), repeat=2):
+        for shift in range(1 - len(x), len(y)):  # x[k] beside y[k + shift]
+            if other > own or other == own and shift >= 0:
+                continue
+            run = []
+            for k in range(len(x) + 1):
+                if k < len(x) and 0 <= k + shift < len(y) and x[k][1] == y[k + shift][1]:
+                    run.append(k)
+                    continue
+                if sum(x[j][2] for j in run) >= least:
+                    gone.setdefault(own, set()).update(range(x[run[0]][0], x[run[-1]][0] + 1))
+                run = []
+    return gone
+
+
+def run_texts():
+    """Lines of 60, 20 and 20 words in every awkward place, and lines that only some places go on with."""
+    rng = random.Random(12)
+    lines = {n: [" ".join(f"{c}{n}x{j}" for j in range(n)) for c in "abc"] for n in (5, 20, 30, 49, 50, 60)}
+    a, b, c = lines[60][0], lines[20][0], lines[20][1]
+    shared = "\n".join((a, b, c))
+    rows = [(1, f"one\n{shared}\ntwo"), (2, f"x\n{shared}\ny"), (3, f"{c}\n{b}\n{a}"), (4, f"{c}\n{b}\n{a}\nz")]
+    rows += [(10, a), (11, f"{a}\n{lines[5][0]}"), (12, f"k\n{a}\n{lines[5][0]}\nl")]
+    rows += [(20, f"{lines[60][1]}\n\n{lines[60][2]}"), (21, f"q\n{lines[60][1]}\n \n\n{lines[60][2]}\n\nr")]
+    rows += [(30, None), (31, ""), (32, " \n"), (33, "\n".join([lines[20][2]] * 9)), rows[1]]
+    pool = [x for v in lines.values() for x in v] + [""]
+    rows += [(40 + k, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 12)))) for k in range(60)]
+    return [*rows, (None, f"{a}\n{b}"), (41, f"{b}\n{c}\n{a}\n{lines[5][1]}")]
+
+
+@pytest.mark.parametrize("kind", ["runs", "texts"])
+def test_line_dedup_maximal_runs(spark, kind):
+    rows = run_texts() if kind == "runs" else [r for r in texts(6) if r[1] is None or r[1].count("\n") < 50]
+    docs = table(spark, rows)
+    order = {(r["doc_id"], r["text"]): (r["doc_id"] is not None, r["doc_id"] or 0, r["h"]) for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    gone = brute_runs(rows, order)
+    want = []
+    for i, t in rows:
+        own = gone.get(order[i, t], set())
+        want.append((i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in own), len(own)))
+    got = line_dedup.drop_repeated_runs(docs.drop("lines"))
+    assert sorted(((r["doc_id"], r["text"], r["lines_deleted"]) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert line_dedup.drop_repeated_runs(table(spark, [])).count() == 0
+
+
+def test_line_dedup_trailing_lines(spark):
+    a, b, c = (" ".join(f"{x}{j}" for j in range(n)) for x, n in (("a", 60), ("b", 20), ("c", 20)))
+    got = line_dedup.drop_repeated_runs(table(spark, [(1, f"{a}\n{b}\n{c}\nd"), (2, f"e\n{a}\n{b}\n{c}\nf")])).orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == [f"{a}\n{b}\n{c}\nd", "e\nf"]
+
+
 def brute_contamination(rows, items):
     def words(t):
         low = (t or "").translate({c: c + 32 for c in range(65, 91)})
