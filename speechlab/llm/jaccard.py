@@ -317,12 +317,8 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     return out.union(now.select("y", "y").distinct()).groupBy("node").agg(F.min("component").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, text: str = "text", key: str = "doc_id", often: int | None = None, short_list: int = SHORT) -> DataFrame:
-    """``doc_id, n_shingles, component_id, t`` (t: hash of the text) for every row of ``docs``.
-
-    often: the sketch count from which a shingle is frequent (None: from the mean count); short_list: the longest
-    list that is paired whole. Neither changes the result.
-    """
+def _grouped(docs: DataFrame, percent: int, text: str, key: str, often: int | None = None, short_list: int = SHORT) -> DataFrame:
+    """``id, t, n, g`` for every row of ``docs``: id, hash of the text, shingles, and the component's class (null without shingles)."""
     all_rows = stored(_described(docs, text, key), "described")
     described = all_rows.where("part is null").select("id", "t", "cls", "n")
     parts = all_rows.where("part is not null").select("part").rdd.map(lambda r: np.frombuffer(zlib.decompress(bytes(r[0])), dtype=np.int64))
@@ -366,22 +362,43 @@ def near_duplicates(docs: DataFrame, percent: int = 80, text: str = "text", key:
         second = _verified(more, docs, described, percent, text, key).where(_linked(percent)).select("a", "b")
         groups = stored(components(links.union(second)), "components")
 
-    known = described.join(groups, F.col("cls") == F.col("node"), "left").withColumn("g", F.coalesce("component", "cls"))
+    known = described.join(groups, F.col("cls") == F.col("node"), "left")
+    return known.select("id", "t", "n", F.when(F.col("n") > 0, F.coalesce("component", "cls")).alias("g"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, text: str = "text", key: str = "doc_id", often: int | None = None, short_list: int = SHORT) -> DataFrame:
+    """``doc_id, n_shingles, component_id, t`` (t: hash of the text) for every row of ``docs``.
+
+    often: the sketch count from which a shingle is frequent (None: from the mean count); short_list: the longest
+    list that is paired whole. Neither changes the result.
+    """
+    known = _grouped(docs, percent, text, key, often, short_list)
     least = known.where("n > 0").groupBy("g").agg(F.min("id").alias("component_id"))
-    out = known.select("id", "t", "n", F.when(F.col("n") > 0, F.col("g")).alias("g")).join(least, "g", "left")
+    out = known.join(least, "g", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"), "t")
 
 
 def keep_one(docs: DataFrame, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest id; rows repeating an id and text go too.
+    """``docs`` with one row of each component: that with the smallest id (null only if there is no other), then text hash.
 
-    Documents without words stand alone and stay.
+    Of rows that repeat this id and text, one stays. Every row without words stands alone and stays. Ids need not be
+    there nor differ: rows go only if they are near duplicates.
     """
-    marks = near_duplicates(docs, percent, text, key)
-    head = marks.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # of rows that share the smallest id, one text
-    kept = head.groupBy(F.col("doc_id").alias("__kept")).agg(F.min("t").alias("__kept_t"))
+    marks = _grouped(docs, percent, text, key)
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "t")
+    # partial minima, with the number of rows at the minimum, come before the shuffle
+    places = marks.where("n > 0").groupBy("g", "id", "t").agg(F.count("*").alias("copies"))
+    heads = places.groupBy("g").agg(F.min(F.struct(place.alias("place"), "copies")).alias("head")).select("head.place.id", "head.place.t", "head.copies")
+    alone = marks.where("n = 0").select("id", "t").distinct().withColumn("copies", F.lit(1).cast("long"))
+    kept = stored(heads.union(alone), "kept")
     rows = docs.withColumn("__t", F.xxhash64(text))
-    joined = rows.join(kept, F.col(key).cast("long").eqNullSafe(F.col("__kept")) & (F.col("__t") == F.col("__kept_t")), "left_semi")
-    return joined.drop("__t")
+
+    def of(chosen: DataFrame) -> DataFrame:
+        return rows.join(chosen, F.col(key).cast("long").eqNullSafe(chosen["id"]) & (F.col("__t") == chosen["t"]), "left_semi")
+
+    once, more = kept.where("copies = 1").select("id", "t"), kept.where("copies > 1").select("id", "t")
+    out = of(once)
+    if more.limit(1).count():
+        out = out.union(of(small_side(more)).dropDuplicates([key, "__t"]))
+    return out.drop("__t")

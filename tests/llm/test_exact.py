@@ -133,6 +133,32 @@ def test_jaccard_keep_one(spark):
     assert jaccard.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_jaccard_keep_one_rows(spark):
+    """Null ids, one id on different texts, repeated rows and rows without words: one row a component, each wordless row."""
+    rng = random.Random(11)
+    words = vocabulary(rng, 300)
+    base = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(9)]
+
+    def near(k, n):
+        return f"{base[k]} x{n}"
+
+    rows = [(None, base[0]), (None, base[1]), (None, near(1, 1)), (None, base[2]), (5, near(2, 1)), (4, near(2, 2))]
+    rows += [(7, base[3]), (7, base[4]), (7, near(4, 1)), (7, ""), (7, None), (7, " \n"), (None, ""), (None, None), (None, "")]
+    rows += [(8, base[5]), (8, base[5]), (8, base[5]), (None, base[6]), (None, base[6]), (9, base[7]), (3, base[7]), (3, base[8]), (3, "")]
+    order = {r["text"]: r["h"] for r in table(spark, rows).select("text", F.xxhash64("text").alias("h")).collect()}
+    groups, want = {}, []
+    for i, t in rows:
+        if (t or "").strip():
+            groups.setdefault(next(k for k, b in enumerate(base) if t.startswith(b)), []).append((i, t))
+        else:
+            want.append((i, t))
+    want += [min(g, key=lambda r: (r[0] is None, r[0] or 0, order[r[1]])) for g in groups.values()]
+    got = jaccard.keep_one(table(spark, rows).repartition(3))
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+    only_null = [(None, x) for x in base]
+    assert {r["text"] for r in jaccard.keep_one(table(spark, only_null)).collect()} == set(base)
+
+
 def brute_lines(rows, least=50):
     places, windows = {}, {}
     for i, t in set(rows):
