@@ -186,6 +186,16 @@ def _(embeddings):
     return A.knn_probabilities(W.cap_per_class(rows, "label", "id", 4), rows.select("id", "v"), 10).withColumn("p", F.round("p", 6))
 
 
+_WHOLE = "list_distance(CAST(a.embedding AS DOUBLE[]), CAST(t.embedding AS DOUBLE[]))"
+
+
+# the whole job: k2_knn_probabilities has an eighth of each vector and 4 rows a label
+@add("k2_knn_probabilities_whole", f"WITH t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) AS r FROM embeddings) WHERE r <= 500), d AS (SELECT a.vec_id AS id, t.label, t.vec_id AS tid, {_WHOLE} AS d FROM embeddings a, t), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, tid) AS r FROM d), k AS (SELECT *, bool_or(d = 0) OVER (PARTITION BY id) AS exact FROM n WHERE r <= 10), v AS (SELECT id, label, sum(CASE WHEN exact THEN CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END ELSE 1 / d END) AS w FROM k GROUP BY 1, 2) SELECT id, label, round(w / sum(w) OVER (PARTITION BY id), 6) AS p FROM v WHERE w > 0", "embeddings")
+def _(embeddings):
+    rows = embeddings.select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("v"))
+    return A.knn_probabilities(W.cap_per_class(rows, "label", "id", 500), rows.select("id", "v"), 10).withColumn("p", F.round("p", 6))
+
+
 @add("k17_unstressed_verdict", "WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, 100 - CAST(l_quantity AS BIGINT) AS s, l_returnflag = 'N' AS hit FROM lineitem), t AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY s DESC, l_linenumber, l_partkey) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM r) SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, (n = 1 OR k <= ceil(n / 3.0)) AND hit AS unstressed FROM t", "lineitem")
 def _(lineitem):
     rows = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", (100 - F.col("l_quantity").cast("long")).alias("s"), (F.col("l_returnflag") == "N").alias("hit"), F.struct("l_linenumber", "l_partkey").alias("o"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,19 +115,49 @@ def spelled(words: DataFrame, letters: DataFrame) -> DataFrame:
     return told.where(~F.exists("s", lambda x: x["name"].isNull())).select("word", F.array_join(F.transform("s", lambda x: x["name"]), "_").alias("phones"))
 
 
+def _nearest(x: np.ndarray, train: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, training row and distance of the ``k`` nearest to each row of ``x``: exact, ties to the smaller id."""
+    own, other = (x * x).sum(1), (train * train).sum(1)
+    about = own[:, None] + other[None, :] - 2 * (x @ train.T)
+    most = np.partition(about, k - 1, axis=1)[:, k - 1] if k < len(train) else np.full(len(x), np.inf)
+    # products round, so all that may be among the nearest are measured by their differences
+    row, col = np.nonzero(about <= (most + 1e-11 * (own + other.max(initial=0)))[:, None])
+    far = np.concatenate([np.zeros(0), *(np.sqrt(((x[row[j : j + 65536]] - train[col[j : j + 65536]]) ** 2).sum(1)) for j in range(0, len(row), 65536))])
+    order = np.lexsort((ids[col], far, row))
+    row, col, far = row[order], col[order], far[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], col[kept], far[kept]
+
+
 def knn_probabilities(train: DataFrame, test: DataFrame, k: int) -> DataFrame:
     """``id, label, p``: shares of the ``k`` nearest training rows' labels, weights 1 / Euclidean distance.
 
-    ``train`` (id, label, v) is a capped balanced set, packed into one row that every test row reads; ties go to
-    the smaller id. If a neighbour is at distance zero, only such ones count.
+    ``train`` (id, label, v) is a capped balanced set, which every task reads; ties go to the smaller id. If a
+    neighbour is at distance zero, only such ones count. Rows whose ``v`` is null or not all finite are left out.
     """
-    packed = train.agg(F.collect_list(F.struct("id", "label", "v")).alias("t"))
-
-    def far(v: Column) -> Column:
-        return F.sqrt(F.aggregate(F.zip_with(v, "v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-
-    near = F.slice(F.array_sort(F.transform("t", lambda r: F.struct(far(r["v"]).alias("d"), r["id"].alias("id"), r["label"].alias("label")))), 1, k)
-    rows = test.join(F.broadcast(packed)).select("id", near.alias("n")).select("id", F.exists("n", lambda x: x["d"] == 0).alias("exact"), F.explode("n").alias("x"))
-    weight = F.when(F.col("exact"), (F.col("x.d") == 0).cast("double")).otherwise(1 / F.col("x.d"))
-    votes = rows.groupBy("id", F.col("x.label").alias("label")).agg(F.sum(weight).alias("w"))
-    return votes.withColumn("p", F.col("w") / F.sum("w").over(Window.partitionBy("id"))).where("w > 0").drop("w")
+    rows = train.select("id", "label", F.col("v").cast("array<double>").alias("v")).where(_finite("v")).toArrow()
+    ids = rows.column("id").to_numpy()
+    vectors = np.array(rows.column("v").to_pylist(), dtype=np.float64).reshape(len(ids), -1)
+    shared = train.sparkSession.sparkContext.broadcast((vectors, ids, rows.column("label").combine_chunks()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, own, labels = shared.value
+        block = max(1, (1 << 20) // max(1, len(t)))
+        for batch in batches:
+            for j in range(0, batch.num_rows if len(t) else 0, block):
+                part = batch.slice(j, block)
+                x = np.array(part.column(1).to_pylist(), dtype=np.float64)
+                row, col, far = _nearest(x, t, own, k)
+                cols = [part.column(0).take(pa.array(row)), labels.take(pa.array(col)), pa.array(far)]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "label", "d"])
+
+    kind, label = test.schema["id"].dataType.simpleString(), train.schema["label"].dataType.simpleString()
+    near = test.select("id", F.col("v").cast("array<double>").alias("v")).where(_finite("v")).mapInArrow(run, f"id {kind}, label {label}, d double")
+    votes = near.groupBy("id", "label").agg(F.sum(F.when(F.col("d") > 0, 1 / F.nullif("d", F.lit(0.0)))).alias("far"), F.count_if(F.col("d") == 0).cast("double").alias("same"))
+    of = Window.partitionBy("id")
+    weighed = votes.withColumn("w", F.when(F.max("same").over(of) > 0, F.col("same")).otherwise(F.col("far")))
+    return weighed.withColumn("p", F.col("w") / F.sum("w").over(of)).where("w > 0").select("id", "label", "p")
+
+
+def _finite(v: str) -> Column:
+    return F.coalesce(F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))), F.lit(False))

@@ -1,9 +1,12 @@
 """Alignment and line assignment against plain Python on small inputs."""
 
+import hashlib
 import itertools
+import random
 
 from pyspark.sql import functions as F
 
+from speechlab import catalogue
 from speechlab.operators import alignment as A
 
 
@@ -46,3 +49,29 @@ def test_exact_neighbours_alone_count(spark):
     test = spark.createDataFrame([(10, [0.0, 0.0]), (11, [0.5, 0.0])], "id long, v array<double>")
     got = {(r["id"], r["label"]): round(r["p"], 6) for r in A.knn_probabilities(train, test, 2).collect()}
     assert got == {(10, 7): 1.0, (11, 7): 0.5, (11, 8): 0.5}
+
+
+def test_knn_whole_vectors(spark, tmp_path):
+    """The registered query against brute force: 64 components, most of them past the eighth, and a label over its cap."""
+    rng = random.Random(2)
+    data = [(i, [0.0] * 8 + [rng.choice((-0.5, 0.25, 1.0)) for _ in range(56)], 0 if i < 510 else 1 + i % 3) for i in range(540)]
+    data += [(600 + i, data[i][1], 2) for i in range(0, 540, 60)]
+    odd = [(900, None, 1), (901, [float("nan")] * 64, 1)]
+    schema = "vec_id long, embedding array<float>, label int"
+    spark.createDataFrame(data + odd, schema).write.parquet(f"{tmp_path}/embeddings.parquet")
+    dealt = {}
+    for i, v, label in data:
+        dealt.setdefault(label, []).append((hashlib.md5(str(i).encode()).hexdigest(), i, v))
+    train = [(i, v, label) for label, own in dealt.items() for _, i, v in sorted(own)[:500]]
+    assert len(train) < len(data)
+    want = {}
+    for i, v, _ in data:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(v, u)) ** 0.5, j, label) for j, u, label in train)[:10]
+        exact = any(d == 0 for d, _, _ in near)
+        w = {}
+        for d, _, label in near:
+            w[label] = w.get(label, 0) + ((d == 0) if exact else 1 / d)
+        want |= {(i, label): x / sum(w.values()) for label, x in w.items() if x}
+    got = {(r["id"], r["label"]): r["p"] for r in catalogue.queries()["k2_knn_probabilities_whole"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
