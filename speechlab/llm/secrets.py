@@ -3,10 +3,10 @@
 Fixed kinds: ``assign`` (a keyword set to a value of 6+ characters), ``access`` (AKIA keys of
 20+ characters), ``hex`` (24+ lower-case hex digits); leftmost matches that do not overlap
 within a kind, matches that are too short dropped. The fourth kind, ``token``, is a run of
-20+ letters, digits and ``+/_=-`` with a letter and a digit in it, of few characters per token
-under a tiktoken vocabulary (random strings compress badly), unless it is a known digest
-(hex of 32, 40, 56, 64, 96 or 128 digits), an UUID, or an identifier whose parts are words or
-numbers. Spans are code points of the text, the end exclusive.
+20+ letters, digits and ``+/_=-`` with a letter in it, of few characters per token under a
+tiktoken vocabulary (random strings compress badly), unless it is a known digest (hex of 32, 40,
+56, 64, 96 or 128 digits), an UUID, or an identifier: parts that look like words or numbers, the
+words together of no fewer characters per token (what separates parts costs tokens too). Spans are code points of the text, the end exclusive.
 
 Defined results: null or empty text has no span; repeated rows are scanned alike; spans that
 start together are ordered as the kinds are listed; an empty table gives an empty result.
@@ -48,11 +48,18 @@ def encoding(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def _plain(run: str) -> bool:
-    """Known digests and identifiers."""
-    if _UUID.match(run) or len(run) in _DIGEST_SIZES and _DIGEST.match(run):
-        return True
-    return all(_WORDS.match(x) for x in re.split(r"[+/_=-]+", run) if x)
+def _known(run: str) -> bool:
+    """UUIDs and digests."""
+    return bool(_UUID.match(run) or len(run) in _DIGEST_SIZES and _DIGEST.match(run))
+
+
+def _identifier(run: str, encode, ratio: float) -> bool:
+    """Whether the parts are words or numbers by their shape, and the words are efficient under the vocabulary."""
+    parts = [x for x in re.split(r"[+/_=-]+", run) if x]
+    if not all(_WORDS.match(x) for x in parts):
+        return False
+    words = [x for x in parts if not x.isdigit()]  # any number has about the same ratio
+    return sum(map(len, words)) >= ratio * sum(len(encode(x)) for x in words)
 
 
 def spans(text: str | None, encode, ratio: float = RATIO) -> list[tuple[int, int, int]]:
@@ -67,8 +74,8 @@ def spans(text: str | None, encode, ratio: float = RATIO) -> list[tuple[int, int
     out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     for m in _RUN.finditer(text):
         run = m[0]
-        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not _plain(run):
-            if len(run) < ratio * len(encode(run)):
+        if any(c.isalpha() for c in run) and not _known(run):
+            if len(run) < ratio * len(encode(run)) and not _identifier(run, encode, ratio):
                 out.append((m.start(), 3, m.end()))
     out.sort()
     return out

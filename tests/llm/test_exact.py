@@ -376,6 +376,17 @@ def test_secrets(spark):
     assert [x for x in got[4] if x[0] == "token"] == []
 
 
+def test_secrets_random_shapes():
+    """Random strings without digits, or with parts shaped like words and numbers, are tokens; words joined are not."""
+    import public_tokenizers
+
+    encode = secrets.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).encode_ordinary
+    for run in ("QxZkWpLmRtYvBnHsGdFj", "QXWZKJHGVB-PLMKTRQZ-48213977", "qzxkwpvjmqtrzxbnkhgd"):
+        assert secrets.spans(f"a {run} b", encode) == [(2, 3, 2 + len(run))], run
+    for run in ("some_long_identifier_name", "the-a-of-in-to-on-at-by-and-for", "some/path/to/a/file/name/2024/11/28", "d41d8cd98f00b204e9800998ecf8427e", "=" * 30, "12345678901234567890123"):
+        assert [x for x in secrets.spans(f"a {run} b", encode) if x[1] == 3] == [], run
+
+
 def test_token_files(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
