@@ -1,9 +1,12 @@
 """Language ID: a bidirectional gated recurrent network over bytes.
 
-A text is cut at blanks into words, and words into pieces of at most ``STEPS`` bytes; the network
-runs over a piece in both directions, labels every byte position with language probabilities,
-and a document pools the probabilities of all its positions (their mean). Equal pieces of a chunk
-are computed once. Training is numpy: backpropagation through time on pieces of a bounded sample.
+The network reads a document's bytes, blanks included, in both directions, labels every byte
+position with language probabilities, and a document pools the probabilities of all its positions
+(their mean). So that positions of one document can be read side by side, a text is dealt into
+windows of ``CORE`` bytes; each direction enters a window ``CONTEXT`` bytes before it, so a position
+is labelled from up to ``CORE + CONTEXT`` bytes on either side and never from less than ``CONTEXT``
+(or what the document has); beyond a document's ends the network reads a boundary symbol.
+Training is numpy: backpropagation through time over windows of a bounded sample.
 
 Defined results: null text or text without a letter is ``und`` with score 0; repeated rows are
 labelled alike; equal pooled probabilities go to the first language in sorted order; an empty
@@ -13,119 +16,126 @@ Extra columns of the input are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechlab.llm._common import BLANKS, KEEP_CASE, hashed_words, map_text, text_chunks
+from speechlab.llm._common import map_text, text_chunks
 
 UNDETERMINED = "und"
-STEPS, HIDDEN = 16, 16
-#: Bounds of training: documents a language, distinct pieces in all, languages.
-SAMPLE_DOCS, SAMPLE_PIECES, MOST_LANGUAGES = 250, 48_000, 512
+CORE, CONTEXT, HIDDEN = 96, 16, 16
+#: The symbol beyond a document's ends, after the 256 bytes.
+BOUNDARY, SYMBOLS = 256, 257
+#: Bounds of training: documents a language, windows a document, steps a window, windows in all (at least LEAST_WINDOWS a language).
+SAMPLE_DOCS, DOC_WINDOWS, STEPS, SAMPLE_WINDOWS, LEAST_WINDOWS = 250, 12, 64, 8_000, 32
+#: Bytes of text that the network reads side by side.
+CHUNK_BYTES = 1 << 18
 
 
 class Model(NamedTuple):
-    """Languages in order, and the weights: per direction input, recurrent and bias, then the output layer."""
+    """Languages in order, and the weights: per direction input (with bias) and recurrent, then the output layer."""
 
     languages: list[str]
     weights: dict[str, np.ndarray]
 
 
-def pieces(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document, start and length of each piece of a chunk, and a hash of its bytes' word and place."""
-    words = hashed_words(data, bounds, BLANKS, KEEP_CASE)
-    parts = (words.end - words.start + STEPS - 1) // STEPS
-    of = np.repeat(np.arange(len(words.doc)), parts)
-    nth = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
-    start = words.start[of] + nth * STEPS
-    length = np.minimum(words.end[of] - start, STEPS)
-    return words.doc[of], start, length, words.hash[of] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-
-
-def _grid(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    at = np.minimum(start[:, None] + np.arange(STEPS)[None, :], max(len(data) - 1, 0))
-    return np.where(np.arange(STEPS)[None, :] < length[:, None], data[at], 0)
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def _forward(w: dict[str, np.ndarray], way: str, x: np.ndarray, live: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-    """Hidden states (steps, pieces, units) of one direction. Padding leaves the state as it was."""
-    h = np.zeros((x.shape[0], HIDDEN), dtype=np.float32)
-    out = np.zeros((STEPS, x.shape[0], HIDDEN), dtype=np.float32)
-    tape: list = [None] * STEPS
-    for t in range(STEPS) if way == "f" else range(STEPS - 1, -1, -1):
-        n = x.shape[0] if keep else int(live[t].sum())  # when not training, pieces come longest first
-        if not n:
-            continue
-        m = live[t, :n, None]
-        own = h[:n]
-        inp = w[way + "x"][x[:n, t]] + w[way + "b"]
-        gates = _sigmoid(inp[:, : 2 * HIDDEN] + own @ w[way + "h"][:, : 2 * HIDDEN])
-        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        part = own @ w[way + "h"][:, 2 * HIDDEN :]
-        c = np.tanh(inp[:, 2 * HIDDEN :] + r * part)
-        new = own + m * (z * (c - own))
-        if keep:
-            tape[t] = (own, z, r, part, c, m)
-            h = new
-        else:
-            h[:n] = new
-        out[t, :n] = new
+def _gates(w: dict[str, np.ndarray], way: str, symbols: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One step of a direction: update and reset gates, the recurrent part of the candidate, the candidate, the new state."""
+    inp = w[way + "x"][symbols]
+    hid = own @ w[way + "h"]
+    both = inp[:, : 2 * HIDDEN] + hid[:, : 2 * HIDDEN]
+    both *= 0.5
+    np.tanh(both, out=both)
+    both += 1.0
+    both *= 0.5  # the logistic function
+    z, r, part = both[:, :HIDDEN], both[:, HIDDEN:], hid[:, 2 * HIDDEN :]
+    c = r * part
+    c += inp[:, 2 * HIDDEN :]
+    np.tanh(c, out=c)
+    new = c - own
+    new *= z
+    new += own
+    return z, r, part, c, new
+
+
+def forward(w: dict[str, np.ndarray], way: str, x: np.ndarray) -> tuple[np.ndarray, list]:
+    """States (steps, windows, units) of one direction over whole windows ``x`` (windows, steps), and the tape."""
+    n, steps = x.shape
+    own = np.zeros((n, HIDDEN), dtype=w[way + "h"].dtype)
+    out, tape = np.zeros((steps, n, HIDDEN), dtype=own.dtype), [None] * steps
+    for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
+        z, r, part, c, new = _gates(w, way, x[:, t], own)
+        tape[t] = (own, z, r, part, c)
+        out[t] = own = new
     return out, tape
 
 
-def _backward(w: dict[str, np.ndarray], way: str, x: np.ndarray, tape: list, dout: np.ndarray, grad: dict[str, np.ndarray]) -> None:
+def backward(w: dict[str, np.ndarray], way: str, x: np.ndarray, tape: list, dout: np.ndarray, grad: dict[str, np.ndarray]) -> None:
+    """Backpropagation through time: adds the gradients of one direction's weights, given those of its states."""
     dh = np.zeros_like(dout[0])
-    for t in range(STEPS - 1, -1, -1) if way == "f" else range(STEPS):
-        own, z, r, part, c, m = tape[t]
-        dh = dh + dout[t]
-        dn = dh * m
+    inputs = np.zeros((x.shape[1], x.shape[0], 3 * HIDDEN), dtype=dout.dtype)
+    for t in range(x.shape[1] - 1, -1, -1) if way == "f" else range(x.shape[1]):
+        own, z, r, part, c = tape[t]
+        dn = dh + dout[t]
         dz, dc = dn * (c - own) * z * (1 - z), dn * z * (1 - c * c)
         dr, dpart = dc * part * r * (1 - r), dc * r
-        dinp = np.concatenate([dz, dr, dc], axis=1)
+        inputs[t] = np.concatenate([dz, dr, dc], axis=1)
         back = np.concatenate([dz, dr, dpart], axis=1)
-        np.add.at(grad[way + "x"], x[:, t], dinp)
-        grad[way + "b"] += dinp.sum(0)
         grad[way + "h"] += own.T @ back
-        dh = dh - dn * z + back @ w[way + "h"].T
-
-
-def train(x: np.ndarray, length: np.ndarray, target: np.ndarray, n_languages: int, epochs: int = 3, batch: int = 256, seed: int = 3) -> dict[str, np.ndarray]:
-    """Weights fitted to pieces with soft language targets: cross-entropy at every position, Adam."""
-    rng = np.random.default_rng(seed)
+        dh = dn - dn * z + back @ w[way + "h"].T
+    order = np.argsort(x.T.ravel(), kind="stable")
+    symbols, first = np.unique(x.T.ravel()[order], return_index=True)
+    grad[way + "x"][symbols] += np.add.reduceat(inputs.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
+
+
+def loss_and_gradients(w: dict[str, np.ndarray], x: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross-entropy over all positions of the windows ``x`` inside documents, and its gradients."""
+    hf, tf = forward(w, "f", x)
+    hb, tb = forward(w, "b", x)
+    both = np.concatenate([hf, hb], axis=2)
+    logit = both @ w["o"] + w["ob"]
+    p = np.exp(logit - logit.max(2, keepdims=True))
+    p /= p.sum(2, keepdims=True)
+    live = (x.T != BOUNDARY).astype(p.dtype)
+    live /= max(live.sum(), 1)
+    rows = np.arange(len(x))
+    loss = float(-(np.log(np.maximum(p[:, rows, target], 1e-12)) * live).sum())
+    p[:, rows, target] -= 1
+    p *= live[:, :, None]
+    grad = {k: np.zeros_like(v) for k, v in w.items()}
+    grad["o"] = both.reshape(-1, 2 * HIDDEN).T @ p.reshape(-1, p.shape[2])
+    grad["ob"] = p.sum((0, 1))
+    dboth = p @ w["o"].T
+    backward(w, "f", x, tf, dboth[:, :, :HIDDEN], grad)
+    backward(w, "b", x, tb, dboth[:, :, HIDDEN:], grad)
+    return loss, grad
+
+
+def initial(n_languages: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
     w: dict[str, np.ndarray] = {}
     for way in "fb":
-        w[way + "x"] = rng.normal(0, 0.3, (256, 3 * HIDDEN)).astype(np.float32)
+        w[way + "x"] = rng.normal(0, 0.3, (SYMBOLS, 3 * HIDDEN)).astype(np.float32)
         w[way + "h"] = rng.normal(0, 0.25, (HIDDEN, 3 * HIDDEN)).astype(np.float32)
-        w[way + "b"] = np.zeros(3 * HIDDEN, dtype=np.float32)
     w["o"] = rng.normal(0, 0.2, (2 * HIDDEN, n_languages)).astype(np.float32)
     w["ob"] = np.zeros(n_languages, dtype=np.float32)
+    return w
+
+
+def train(x: np.ndarray, target: np.ndarray, n_languages: int, epochs: int = 4, batch: int = 128, seed: int = 3) -> dict[str, np.ndarray]:
+    """Weights fitted to windows of one language each: cross-entropy at every position, Adam with a falling rate."""
+    rng = np.random.default_rng(seed)
+    w = initial(n_languages, rng)
     first, second, step = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, 0
     steps = max(1, epochs * -(-len(x) // batch))
     for _ in range(epochs):
         order = rng.permutation(len(x))
         for a in range(0, len(x), batch):
             pick = order[a : a + batch]
-            xs, live = x[pick], (np.arange(STEPS)[:, None] < length[pick][None, :]).astype(np.float32)
-            hf, tf = _forward(w, "f", xs, live, True)
-            hb, tb = _forward(w, "b", xs, live, True)
-            both = np.concatenate([hf, hb], axis=2)
-            logit = both @ w["o"] + w["ob"]
-            p = np.exp(logit - logit.max(2, keepdims=True))
-            p /= p.sum(2, keepdims=True)
-            d = (p - target[pick][None]) * live[:, :, None] / live.sum()
-            grad = {k: np.zeros_like(v) for k, v in w.items()}
-            grad["o"] = np.einsum("tbi,tbj->ij", both, d)
-            grad["ob"] = d.sum((0, 1))
-            dboth = d @ w["o"].T
-            _backward(w, "f", xs, tf, dboth[:, :, :HIDDEN], grad)
-            _backward(w, "b", xs, tb, dboth[:, :, HIDDEN:], grad)
+            _, grad = loss_and_gradients(w, x[pick], target[pick])
             step += 1
             rate = 0.01 * (1 - 0.9 * step / steps)
             for k in w:
@@ -135,89 +145,127 @@ def train(x: np.ndarray, length: np.ndarray, target: np.ndarray, n_languages: in
     return w
 
 
-def position_sums(w: dict[str, np.ndarray], x: np.ndarray, length: np.ndarray, block: int = 16384) -> np.ndarray:
-    """Summed language probabilities over the positions of each piece."""
-    out = np.zeros((len(x), len(w["ob"])))
-    order = np.argsort(-length, kind="stable")
-    for a in range(0, len(x), block):
+def windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, first byte and length of each window of a chunk."""
+    parts = (np.diff(bounds) + CORE - 1) // CORE
+    doc = np.repeat(np.arange(len(parts)), parts)
+    start = bounds[:-1][doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)) * CORE
+    return doc, start, np.minimum(bounds[1:][doc] - start, CORE)
+
+
+def position_sums(w: dict[str, np.ndarray], data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each document of a chunk the summed language probabilities of all its byte positions."""
+    k = len(w["ob"])
+    doc, start, length = windows(bounds)
+    out = np.zeros((len(bounds) - 1, k))
+    order = np.argsort(-length, kind="stable")  # the longest first, so that windows that have ended are the last rows
+    block = max(64, min(2048, (1 << 21) // (CORE * k)))
+    for a in range(0, len(order), block):
         pick = order[a : a + block]
-        own = length[pick]
-        live = (np.arange(STEPS)[:, None] < own[None, :]).astype(np.float32)
-        hf, _ = _forward(w, "f", x[pick], live, False)
-        hb, _ = _forward(w, "b", x[pick], live, False)
-        for t in range(int(own.max(initial=0))):
-            n = int(live[t].sum())
-            logit = hf[t, :n] @ w["o"][:HIDDEN] + hb[t, :n] @ w["o"][HIDDEN:] + w["ob"]
-            p = np.exp(logit - logit.max(1, keepdims=True))
-            out[pick[:n]] += p / p.sum(1, keepdims=True)
+        d, s, l = doc[pick], start[pick], length[pick]
+        active = np.searchsorted(-l, -np.arange(CORE), "left")  # windows longer than t
+        logits = np.zeros((CORE, len(pick), k), dtype=np.float32)
+        sums = np.zeros((len(pick), k), dtype=np.float32)
+        row = np.arange(len(pick))
+        for way in "fb":
+            own = np.zeros((len(pick), HIDDEN), dtype=np.float32)
+            for t in range(-CONTEXT, int(l[0])):
+                n = len(pick) if t < 0 else int(active[t])
+                at = s[:n] + t if way == "f" else s[:n] + l[:n] - 1 - t
+                if t < 0:
+                    inside = (at >= bounds[d]) & (at < bounds[d + 1])
+                    symbols = np.where(inside, data[np.clip(at, 0, len(data) - 1)], BOUNDARY)
+                else:
+                    symbols = data[at]
+                own = _gates(w, way, symbols, own[:n])[-1]
+                if t < 0:
+                    continue
+                if way == "f":
+                    logits[t, :n] = own @ w["o"][:HIDDEN]
+                else:
+                    logit = logits[l[:n] - 1 - t, row[:n]]
+                    logit += own @ w["o"][HIDDEN:]
+                    logit += w["ob"]
+                    logit -= logit.max(1, keepdims=True)
+                    np.exp(logit, out=logit)
+                    sums[:n] += logit / logit.sum(1, keepdims=True)
+        for j in range(k):
+            out[:, j] += np.bincount(d, sums[:, j], len(out))
     return out
 
 
+def _cut(data: np.ndarray, bounds: np.ndarray) -> dict[str, list[bytes]]:
+    """Up to DOC_WINDOWS training windows of each document, evenly spread, as 16-bit symbols."""
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        n = min(DOC_WINDOWS, -(-(b - a) // STEPS))
+        first = a + np.linspace(-4, max(b - a - STEPS + 4, -4), n).astype(np.int64) if n else np.zeros(0, dtype=np.int64)
+        at = first[:, None] + np.arange(STEPS)[None, :]
+        inside = (at >= a) & (at < b)
+        out.append(np.where(inside, data[np.clip(at, a, max(b - 1, a))] if n else 0, BOUNDARY).astype("<u2").tobytes())
+    return {"cut": out}
+
+
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fit to ``sample_docs`` texts of each language, picked by a hash of ``order``."""
-    known = rows.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.col(order).alias("o")).where("t is not null and l is not null")
-    counts = {r["l"]: r["count"] for r in known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES).collect()}
-    languages = sorted(counts)
-    if not languages:
+    """Fit to windows of about ``sample_docs`` texts of each language that occurs, picked by a hash of ``order``."""
+    known = rows.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.col(order).alias("o")).where("t <> '' and l is not null")
+    counts = {r["l"]: r["count"] for r in known.groupBy("l").count().collect()}  # one row for each language
+    if not counts:
         return Model([], {})
     # a hash bound for each language keeps about sample_docs of its rows; no sort and no window over all rows
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, sample_docs / n) * (1 << 20)) + 1))])
     picked = known.where(F.pmod(F.xxhash64("o", F.lit("lang")), F.lit(1 << 20)) < share[F.col("l")])
-    table = picked.select("t", "l").toArrow()  # bounded: about sample_docs * MOST_LANGUAGES texts at most
-    label = np.array([languages.index(v) for v in table.column("l").to_pylist()], dtype=np.int64)
-    xs, lens, who, ids = [], [], [], []
-    for first, _, data, bounds in text_chunks(table.column("t")):
-        doc, start, length, key = pieces(data, bounds)
-        xs.append(_grid(data, start, length).astype(np.uint8))
-        lens.append(length)
-        who.append(label[first + doc])
-        ids.append(key)
-    if not xs or not sum(map(len, ids)):
+    cuts = map_text(picked, lambda: _cut, "cut binary", ["l"], "t").toArrow()  # about sample_docs * DOC_WINDOWS * STEPS symbols a language
+    parts = [np.frombuffer(c.as_buffer(), dtype="<u2").reshape(-1, STEPS) for c in cuts.column("cut")]
+    labels = cuts.column("l").to_pylist()
+    languages = sorted(set(labels))
+    number = {v: i for i, v in enumerate(languages)}
+    x = np.concatenate(parts) if parts else np.zeros((0, STEPS), dtype="<u2")
+    target = np.repeat([number[v] for v in labels], [len(p) for p in parts]).astype(np.int64)
+    if not len(x):
         return Model([], {})
-    x, length, lang_of, key = np.concatenate(xs), np.concatenate(lens), np.concatenate(who), np.concatenate(ids)
-    _, at, inverse = np.unique(key, return_index=True, return_inverse=True)
-    target = np.zeros((len(at), len(languages)))
-    np.add.at(target, (inverse, lang_of), 1.0)
-    target /= np.maximum(np.bincount(lang_of, minlength=len(languages)), 1)  # each language weighs the same
-    target /= target.sum(1, keepdims=True)
-    often = np.bincount(inverse)
-    pick = np.argsort(-often, kind="stable")
-    rest = pick[SAMPLE_PIECES // 2 :]
-    pick = np.concatenate([pick[: SAMPLE_PIECES // 2], rest[np.argsort(key[at[rest]])][: SAMPLE_PIECES // 2]])
-    w = train(x[at[pick]], length[at[pick]], target[pick].astype(np.float32), len(languages))
-    return Model(languages, w)
+    x = x.astype(np.int64)
+    keys = np.lexsort(x.T[::-1])  # the order of rows does not decide what is learned
+    x, target = x[keys], target[keys]
+    rng = np.random.default_rng(5)
+    most = max(LEAST_WINDOWS, SAMPLE_WINDOWS // len(languages))
+    pick = []
+    for i in range(len(languages)):
+        own = np.flatnonzero(target == i)
+        own = rng.permutation(own)[:most]
+        pick.append(own[np.arange(most) % len(own)] if 0 < len(own) else own)  # each language weighs the same
+    pick = np.concatenate(pick)
+    return Model(languages, train(x[pick], target[pick], len(languages)))
+
+
+def predictions(docs: DataFrame, model: Model, text: str = "text"):
+    """A column ``struct<best: int, pooled: double>`` for ``docs``: only the text goes to Python, the other columns stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand weights
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m = shared.value
+        for column in columns:
+            best, score = [np.zeros(0, dtype=np.int32)], [np.zeros(0)]
+            for _, _, data, bounds in text_chunks(column, CHUNK_BYTES):
+                pooled = position_sums(m.weights, data, bounds) / np.maximum(np.diff(bounds), 1)[:, None]
+                best.append(pooled.argmax(1).astype(np.int32))
+                score.append(np.clip(pooled.max(1), 0, 1))
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate(best)), pa.array(np.concatenate(score))], names=["best", "pooled"])
+
+    run.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    # not deterministic for the optimizer: a filter on the result is not computed apart from it
+    return F.arrow_udf(run, "best int, pooled double").asNondeterministic()(F.col(text))
 
 
 def label(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """``keep``, ``lang_pred`` and ``score`` (its pooled probability) for every whole text."""
-    letters = docs.withColumn("__letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     if not model.languages:
-        return letters.select(*keep, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand weights
-
-    def make():
-        m = shared.value
-
-        def work(data, bounds):
-            n, k = len(bounds) - 1, len(m.languages)
-            doc, start, length, key = pieces(data, bounds)
-            pooled = np.zeros((n, k))
-            if len(doc):
-                _, at, inverse = np.unique(key, return_index=True, return_inverse=True)
-                sums = position_sums(m.weights, _grid(data, start[at], length[at]), length[at])
-                for j in range(k):
-                    pooled[:, j] = np.bincount(doc, sums[inverse, j], n)
-            size = np.bincount(doc, length, n)
-            pooled /= np.maximum(size, 1)[:, None]
-            best = pooled.argmax(1)
-            return {"best": np.array(m.languages, dtype=object)[best], "pooled": np.clip(pooled[np.arange(n), best], 0, 1)}
-
-        return work
-
-    out = map_text(letters, make, "best string, pooled double", [*keep, "__letter"], text)
-    known = F.col("__letter")
+        return docs.select(*keep, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+    names = F.array(*[F.lit(v) for v in model.languages])
+    out = docs.select(*keep, letter.alias("__letter"), predictions(docs, model, text).alias("__p"))
     return out.select(
         *keep,
-        F.when(known, F.col("best")).otherwise(F.lit(UNDETERMINED)).alias("lang_pred"),
-        F.when(known, F.col("pooled")).otherwise(F.lit(0.0)).alias("score"),
+        F.when(F.col("__letter"), F.get(names, F.col("__p.best"))).otherwise(F.lit(UNDETERMINED)).alias("lang_pred"),
+        F.when(F.col("__letter"), F.col("__p.pooled")).otherwise(F.lit(0.0)).alias("score"),
     )

@@ -1,17 +1,24 @@
 """Line dedup by winnowing over line hashes, with DataFrame functions only.
 
 Lines are what ``\\n`` separates; a line of blanks only has no words and belongs to no run. A run
-that two places share is extended to its maximum both ways: a line goes if any run over it of at
-least ``min_words`` words also stands at an earlier place, whichever place that is.
-
-No pair of places is needed for that. Any shared run is covered by the windows inside it: the
-shortest run of ``min_words`` words *from* each line on (covers what precedes the last window),
-the shortest one *up to* each line (covers the trailing lines, of fewer words), and each two
-neighbouring lines that are windows themselves (so that blank lines between them go as well).
-Which of these a run is depends on its own lines only, so both places select it. The fingerprint
-of a window is its smallest line hash; positions are joined on that minimum together with the
-hash of all the window's lines. The earliest place (by document id, then hash of the text, then
-line) stays; the lines of each later window go, which deletes later repeated runs whole.
+that two places share is deleted at the later one, extended to its maximum both ways: a line goes if
+any run over it of at least ``min_words`` words also stands at an earlier place, whichever that is.
+
+1. Winnowing: from each line on, the shortest run with ``min_words`` words is a window; its smallest
+   line hash (the last of equals) is selected. Only selected places are kept, a few for each window's
+   length of text. Any shared run holds a whole window, whose selection depends on its own lines only,
+   so both places select the same line: shared runs have a common fingerprint for certain.
+2. Join of positions: fingerprints that stand at one place only match nothing and go, and with them
+   most of the text. Their places are joined by counts, not in pairs.
+3. Extension: around each place left, runs are grown line by line to both sides over the fingerprint
+   until they have ``min_words`` words: from each earlier line on, and up to each later line. A grown
+   run is matched by its fingerprint and the hash of its lines; the earliest place of each (by document
+   id, then hash of the text, then line) stays. Any line of a maximal shared run lies in a run grown
+   over one of its fingerprints (what follows the last whole window has fewer than ``min_words`` words),
+   so the grown runs of later places together are the maximal ones, and their lines go.
+
+No pair of places is made: a passage in a third of all documents is a partial minimum for each task,
+and places of very frequent runs are not shuffled (``join_counted``).
 
 Defined results (``drop_repeated_runs``): a line goes if and only if it is in a run, repeated at
 an earlier place in the same document or another, that has ``min_words`` words; so do lines of
@@ -19,7 +26,8 @@ blanks inside such a run. Places may overlap. ``drop_repeated_lines`` is the nar
 windows from each line on: there up to ``min_words - 1`` words at the end of a repeated run stay.
 Null text stays null and empty text empty; rows that repeat a document id and text are one document
 and share its fate (they do not delete each other); a null id comes first. A run of fewer words is
-kept. Extra columns are passed on; an empty table gives an empty result.
+kept. Extra columns are passed on; where one has the name of an added column (``lines``,
+``lines_deleted``), the added one gets underscores at its end; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from speechlab.llm._common import stored
+from speechlab.llm._common import free_name, join_counted, stored
 
 #: Words that a repeated run of lines has at least.
 MIN_WORDS = 50
@@ -41,54 +49,79 @@ def line_table(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     return lines.select("d", "t", "i", F.xxhash64("line").alias("h"), words.cast("long").alias("w"))
 
 
-def fingerprints(lines: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
-    """``d, t, first, last, low, run``: each line's window, its minimum line hash and the hash of its lines.
+_OF = ("d", "t")
 
-    whole: also the windows up to each line and neighbouring lines that are windows, where they differ from those.
+
+def _placed(lines: DataFrame) -> DataFrame:
+    """``lines`` of whole documents in one partition each, with the words ``before`` each line."""
+    of = Window.partitionBy(*_OF).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    return lines.withColumn("before", F.coalesce(F.sum("w").over(of), F.lit(0)).cast("long"))
+
+
+def _ahead(min_words: int):
+    return Window.partitionBy(*_OF).orderBy("before").rangeBetween(Window.currentRow, min_words - 1)
+
+
+def fingerprints(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``d, t, i, h``: the places that some window selects, each once; ``lines``: as ``line_table``, each line once."""
+    ahead = _ahead(min_words)
+    low = F.min(F.struct("h", (-F.col("i")).alias("i"))).over(ahead)
+    chosen = _placed(lines).select(*_OF, low.alias("low"), F.sum("w").over(ahead).alias("words")).where(F.col("words") >= min_words)
+    return chosen.select(*_OF, (-F.col("low.i")).alias("i"), F.col("low.h").alias("h")).distinct()
+
+
+def grown_runs(lines: DataFrame, shared: DataFrame, min_words: int = MIN_WORDS, whole: bool = True) -> DataFrame:
+    """``d, t, first, last, low, run``: runs grown over the places ``shared`` (d, t, i), their fingerprint and the hash of their lines.
+
+    whole: not only from each line on, but also up to each line, and over the blanks between two lines of ``min_words`` words.
     """
-    lines = lines.repartition("d", "t").dropDuplicates(["d", "t", "i"])  # one shuffle for this and the windows
-    of = Window.partitionBy("d", "t")
-    placed = lines.withColumn("before", F.sum("w").over(of.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)))
-    placed = placed.withColumn("before", F.coalesce("before", F.lit(0)).cast("long"))
-    ahead = of.orderBy("before").rangeBetween(Window.currentRow, min_words - 1)
+    marks = shared.select(*_OF, "i", F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("w"), F.lit(True).alias("mark"))
+    both = lines.select(*_OF, "i", "h", "w", F.lit(False).alias("mark")).union(marks).repartition(*_OF)
+    rows = both.groupBy(*_OF, "i").agg(F.max("h").alias("h"), F.max("w").alias("w"), F.max("mark").alias("mark"))
+    rows = rows.withColumn("any", F.max("mark").over(Window.partitionBy(*_OF))).where("any").drop("any")  # other documents share nothing
+    of, ahead = Window.partitionBy(*_OF), _ahead(min_words)
 
-    def window(first, last, low, hashes):
+    def run(first, last, low, hashes):
         return F.struct(first.alias("first"), last.alias("last"), low.alias("low"), F.xxhash64(hashes, F.size(hashes)).alias("run"))
 
-    names = ["d", "t", "first", "last", "low", "run"]
-    runs = placed.select(
-        "d", "t", "i", "h", "w", (F.col("before") + F.col("w")).alias("end"),
+    rows = _placed(rows).select(
+        *_OF, "i", "h", "w", "before", (F.col("before") + F.col("w")).alias("end"),
+        F.min(F.struct("h", (-F.col("i")).alias("i"), "mark")).over(ahead).alias("least"),
         F.max("i").over(ahead).alias("last"),
         F.sum("w").over(ahead).alias("words"),
-        F.min("h").over(ahead).alias("low"),
         F.collect_list("h").over(ahead).alias("lines"),
         *([F.lead(c).over(of.orderBy("before")).alias(f"{c}_next") for c in "ihw"] if whole else []),
     )
-    found = [F.when(F.col("words") >= min_words, window(F.col("i"), F.col("last"), F.col("low"), F.col("lines")))]
+    rows = rows.withColumn("low", F.when((F.col("words") >= min_words) & F.col("least.mark"), F.col("least.h")))
+    found = [F.when(F.col("low").isNotNull(), run(F.col("i"), F.col("last"), F.col("low"), F.col("lines")))]
     if whole:
         back = of.orderBy("end").rangeBetween(1 - min_words, Window.currentRow)
-        runs = runs.select(
+        rows = rows.select(
             "*",
-            F.min("i").over(back).alias("back_first"),
+            F.min(F.struct("i", "low")).over(back).alias("start"),
             F.sum("w").over(back).alias("back_words"),
-            F.min("h").over(back).alias("back_low"),
             F.collect_list("h").over(back).alias("back_lines"),
         )
-        # without its last line it would still be long enough: it is no window from its first line on
-        found.append(F.when(F.col("back_words") - F.col("w") >= min_words, window(F.col("back_first"), F.col("i"), F.col("back_low"), F.col("back_lines"))))
-        pair = window(F.col("i"), F.col("i_next"), F.least("h", "h_next"), F.array("h", "h_next"))
-        found.append(F.when((F.col("w") >= min_words) & (F.col("w_next") >= min_words), pair))
-    return runs.select("d", "t", F.inline(F.array_compact(F.array(*found)))).toDF(*names)
+        # without its last line it would still be long enough: it is no run from its first line on
+        longer = F.col("start.low").isNotNull() & (F.col("back_words") - F.col("w") >= min_words)
+        found.append(F.when(longer, run(F.col("start.i"), F.col("i"), F.col("start.low"), F.col("back_lines"))))
+        pair = F.col("low").isNotNull() & (F.col("w") >= min_words) & (F.col("w_next") >= min_words)
+        found.append(F.when(pair, run(F.col("i"), F.col("i_next"), F.col("low"), F.array("h", "h_next"))))
+    return rows.select(*_OF, F.inline(F.array_compact(F.array(*found))))
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", key: str = "doc_id", whole: bool = False) -> DataFrame:
-    """``d, t, runs``: for each document with later repeated runs the bounds of their windows, in order."""
-    prints = stored(fingerprints(line_table(docs, text, key), min_words, whole), "fingerprints")
-    place = F.struct("d", "t", "first")
+    """``d, t, runs``: for each document with later repeated runs the bounds of their grown runs, in order."""
+    lines = stored(line_table(docs, text, key).repartition(*_OF).dropDuplicates([*_OF, "i"]), "lines")
+    places = stored(fingerprints(lines.repartition(*_OF), min_words), "fingerprints")
+    counts = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    shared = join_counted(places, counts, ["h"]).select(*_OF, "i")
+    prints = stored(grown_runs(lines, shared, min_words, whole), "runs")
+    place = F.struct(*_OF, "first")
     # partial minima come before the shuffle, so a passage in a third of all documents is a row for each task
-    firsts = prints.groupBy("low", "run").agg(F.min(place).alias("place"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = prints.join(firsts, ["low", "run"]).where(F.struct("d", "t", "first") > F.col("place"))
-    return later.groupBy("d", "t").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
+    firsts = prints.groupBy("low", "run").agg(F.min(place).alias("place"), F.count("*").alias("n")).where("n > 1")
+    later = join_counted(prints, stored(firsts, "firsts"), ["low", "run"]).where(place > F.col("place"))
+    return later.groupBy(*_OF).agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("runs"))
 
 
 def drop_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -123,5 +156,6 @@ def _without(docs: DataFrame, runs: DataFrame, text: str, key: str) -> DataFrame
     out = with_lines.withColumn("__kept", kept)
     size = F.coalesce(F.size("__lines"), F.lit(0)).cast("long")
     left = F.coalesce(F.size("__kept"), F.lit(0)).cast("long")
-    columns = [F.when(spans.isNull(), F.col(f"x.{c}")).otherwise(F.array_join("__kept", "\n")).alias(c) if c == text else F.col(f"x.{c}").alias(c) for c in names if c not in ("lines", "lines_deleted")]
-    return out.select(*columns, F.greatest(size, F.lit(0)).alias("lines"), F.greatest(size - left, F.lit(0)).alias("lines_deleted"))
+    columns = [F.when(spans.isNull(), F.col(f"x.{c}")).otherwise(F.array_join("__kept", "\n")).alias(c) if c == text else F.col(f"x.{c}").alias(c) for c in names]
+    counts = (F.greatest(size, F.lit(0)), F.greatest(size - left, F.lit(0)))
+    return out.select(*columns, *[c.alias(free_name(names, n)) for c, n in zip(counts, ("lines", "lines_deleted"))])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechlab.llm._common import hashed_words, map_text, mix, small_side, summed, text_chunks
+from speechlab.llm._common import cell_counts, hashed_words, map_text, mix, small_side, text_chunks
 
 #: Hash cells for n-grams.
 CELLS = 1 << 18
@@ -69,12 +69,13 @@ def indicators(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _counts(batch: pa.RecordBatch) -> np.ndarray:
-    out = np.zeros(2 * CELLS + 2, dtype=np.int64)
+    """Documents of each label by cell; the cell after the last counts all documents."""
+    out = np.zeros((2, CELLS + 1), dtype=np.int64)
     label = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), dtype=np.int64)
     for first, _, data, bounds in text_chunks(batch.column(0)):
         doc, cell = indicators(data, bounds)
-        out[: 2 * CELLS] += np.bincount(label[first + doc] * CELLS + cell, minlength=2 * CELLS)
-    out[2 * CELLS :] = np.bincount(label, minlength=2)
+        out += np.bincount(label[first + doc] * (CELLS + 1) + cell, minlength=2 * (CELLS + 1)).reshape(2, -1)
+    out[:, CELLS] = np.bincount(label, minlength=2)
     return out
 
 
@@ -126,14 +127,14 @@ def sigmoid_line(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 def fit(train: DataFrame, text: str = "text", label: str = "label", order: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit to the rows of ``train``; labels other than 0 and 1 are ignored."""
     rows = train.select(F.col(text).alias("t"), F.col(label).cast("int").alias("y"), F.col(order).alias("o")).where("y in (0, 1)")
-    total = summed(rows.select("t", "y"), _counts, 2 * CELLS + 2)
-    n0, n1 = int(total[-2]), int(total[-1])
+    total = cell_counts(rows.select("t", "y"), _counts, 2, CELLS + 1)
+    n0, n1 = int(total[0, CELLS]), int(total[1, CELLS])
     empty = np.zeros(CELLS, dtype=np.float32)
     if not n0 or not n1:
         share = n1 / (n0 + n1) if n0 + n1 else 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model(empty, empty, 0.0, 1.0, float(np.log(share / (1 - share))))
-    negative, positive = total[:CELLS] + 1.0, total[CELLS : 2 * CELLS] + 1.0
+    negative, positive = total[0, :CELLS] + 1.0, total[1, :CELLS] + 1.0
     ratios = np.log(positive / positive.sum()) - np.log(negative / negative.sum())
     marked = rows.withColumn("h", F.xxhash64("o", F.lit("sample")))
     # the bound comes from hashes alone, so that no task takes more than sample_rows texts (and ties at the bound)

@@ -51,7 +51,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
 
     base = text(F.filter("found", lambda x: x.kind != "token"))
-    return found.select("doc_id", *map(count, secrets.KINDS), F.sha2(base, 256).alias("base_sha256"), text(F.col("found")).alias("spans"))
+    return found.select("doc_id", *map(count, secrets.KINDS[:3]), F.sha2(base, 256).alias("base_sha256"), text(F.col("found")).alias("spans"), count("token"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.drop_repeated_runs(_read(spark, sf_dir, "documents"))
+    out = line_dedup.drop_repeated_runs(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "lines", "lines_deleted", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 

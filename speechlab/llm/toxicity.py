@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechlab.llm._common import BLANKS, FOLD_ASCII, Words, hashed_words, map_text, mix, small_side, summed, text_chunks
+from speechlab.llm._common import BLANKS, FOLD_ASCII, Words, cell_counts, hashed_words, map_text, mix, small_side, text_chunks
 from speechlab.llm.quality import sigmoid_line
 
 CELLS = 1 << 20
@@ -72,38 +72,42 @@ def segments(position: np.ndarray, value: np.ndarray, total: np.ndarray) -> list
 
     position, value: of the tokens with a positive score; total: sums of all scores before each token.
     The candidate list holds left and right sums; a new token joins the nearest earlier candidate
-    with a smaller left sum if that one's right sum is below its own, else it stands alone.
+    with a smaller left sum if that one's right sum is below its own, else it stands alone. Each
+    candidate links to the nearest earlier one with a smaller left sum: what a search passes over
+    lies between a candidate and its link and is not looked at again, so the scan is linear.
     """
     first: list[int] = []
     end: list[int] = []
     left: list[float] = []
     right: list[float] = []
+    link: list[int] = []
     for p, v in zip(position.tolist(), value.tolist()):
         a, low, high = p, float(total[p]), float(total[p]) + v
-        while True:
-            j = len(left) - 1
-            while j >= 0 and left[j] >= low:
-                j -= 1
-            if j < 0 or right[j] >= high:
-                break
-            a, low = first[j], left[j]
-            del first[j:], end[j:], left[j:], right[j:]
+        j = len(left) - 1
+        while j >= 0 and left[j] >= low:
+            j = link[j]
+        while j >= 0 and right[j] < high:
+            a, low, before = first[j], left[j], link[j]
+            del first[j:], end[j:], left[j:], right[j:], link[j:]
+            j = before
         first.append(a)
         end.append(p + 1)
         left.append(low)
         right.append(high)
+        link.append(j)
     return [(a, b, r - x) for a, b, x, r in zip(first, end, left, right)]
 
 
 def _class_counts(batch: pa.RecordBatch) -> np.ndarray:
-    out = np.zeros(2 * CELLS + 2, dtype=np.int64)
+    """Documents of each label by cell; the cell after the last counts all documents."""
+    out = np.zeros((2, CELLS + 1), dtype=np.int64)
     label = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), dtype=np.int64)
     for first, _, data, bounds in text_chunks(batch.column(0)):
         words, keys = cells(data, bounds)
         key = np.unique(words.doc[None, :] * CELLS + keys)
         doc, cell = key // CELLS, key % CELLS
-        out += np.bincount(label[first + doc] * CELLS + cell, minlength=2 * CELLS + 2)
-    out[2 * CELLS :] = np.bincount(label, minlength=2)
+        out += np.bincount(label[first + doc] * (CELLS + 1) + cell, minlength=2 * (CELLS + 1)).reshape(2, -1)
+    out[:, CELLS] = np.bincount(label, minlength=2)
     return out
 
 
@@ -159,12 +163,12 @@ def _lambda(scores: np.ndarray, weight: np.ndarray) -> float:
 
 def fit(train: DataFrame, text: str = "text", label: str = "label", order: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
     rows = train.select(F.col(text).alias("t"), F.col(label).cast("int").alias("y"), F.col(order).alias("o")).where("y in (0, 1)")
-    total = summed(rows.select("t", "y"), _class_counts, 2 * CELLS + 2)
-    n0, n1 = int(total[-2]), int(total[-1])
-    if not n0 or not n1 or not total[: 2 * CELLS].any():
+    total = cell_counts(rows.select("t", "y"), _class_counts, 2, CELLS + 1)
+    n0, n1 = int(total[0, CELLS]), int(total[1, CELLS])
+    if not n0 or not n1 or not total[:, :CELLS].any():
         share = min(max(n1 / (n0 + n1) if n0 + n1 else 0.5, 1e-6), 1 - 1e-6)
         return Model(np.full(CELLS, -DRIFT, dtype=np.float32), 1.0, 0.0, 1.0, float(np.log(share / (1 - share))))
-    clean, toxic = total[:CELLS].astype(float), total[CELLS : 2 * CELLS].astype(float)
+    clean, toxic = total[0, :CELLS].astype(float), total[1, :CELLS].astype(float)
     scores = token_scores(clean, toxic)
     lam = _lambda(scores, clean)
     shared = train.sparkSession.sparkContext.broadcast(scores)  # CELLS entries
