@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechlab.llm._common import ascii_lower, small_side, stored
+from speechlab.llm._common import ascii_lower, join_counted, stored
 
 WINDOW = 10
 #: Words of a document that travel with each match of a piece.
@@ -59,28 +59,46 @@ def pieces_of(docs: DataFrame, size: int = WINDOW, text: str = "text", key: str
     return words.select("d", "t", F.explode(cut).alias("x")).select("d", "t", "x.p", "x.before", "x.ws")
 
 
-def word_counts(docs: DataFrame, words: DataFrame, text: str = "text") -> DataFrame:
+def word_counts(docs: DataFrame, words: DataFrame, text: str = "text", most: int = BROADCAST) -> DataFrame:
     """``word, n``: how often each of ``words`` stands in all documents."""
     every = docs.select(F.explode(F.split(text, _SPLIT)).alias("raw")).select(F.lower("raw").alias("word"))
-    return every.join(small_side(words, BROADCAST), "word").groupBy("word").agg(F.count("*").alias("n"))
+    if words.limit(most + 1).count() <= most:
+        return every.join(F.broadcast(words), "word").groupBy("word").agg(F.count("*").alias("n"))
+    return every.groupBy("word").agg(F.count("*").alias("n")).join(words, "word", "left_semi")  # counted before it is shuffled
 
 
-def occurrences(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``d, t, first, last, item``: distinct exact occurrences of windows in documents (bounds in words, the last included)."""
+def _hits(pieces: DataFrame, tokens: DataFrame, most: int) -> DataFrame:
+    """``d, t, p, before, j, o, words, items, ws``: pieces beside the windows whose prefix token stands at their word ``j``.
+
+    Up to ``most`` tokens are broadcast. Beyond that the words alone are shuffled, without the words around them
+    (places of very frequent ones stay where they are), and pieces come back to the places that matched.
+    """
+    own = F.slice("ws", F.col("before") + 1, PIECE)
+    if tokens.limit(most + 1).count() <= most:
+        placed = pieces.select("d", "t", "p", "before", "ws", F.posexplode(own).alias("j", "raw"))
+        return placed.withColumn("word", F.lower("raw")).join(F.broadcast(tokens), "word")
+    placed = pieces.select("d", "t", "p", "before", F.size("ws").alias("size"), F.posexplode(own).alias("j", "raw"))
+    placed = placed.withColumn("word", F.lower("raw")).drop("raw")
+    start = F.col("before") + F.col("j") - F.col("o")
+    fits = (start >= 0) & (start + F.size("words") <= F.col("size"))
+    found = join_counted(placed, tokens, ["word"]).where(fits).drop("word", "size", "n").dropDuplicates(["d", "t", "p", "j", "o", "words"])
+    texts = pieces.select(F.col("d").alias("d0"), F.col("t").alias("t0"), F.col("p").alias("p0"), "ws").dropDuplicates(["d0", "t0", "p0"])
+    same = F.col("d").eqNullSafe(F.col("d0")) & (F.col("t") == F.col("t0")) & (F.col("p") == F.col("p0"))
+    return found.join(texts, same).drop("d0", "t0", "p0")
+
+
+def occurrences(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: str = "text", key: str = "doc_id", most: int = BROADCAST) -> DataFrame:
+    """``d, t, first, last, items``: exact occurrences of windows in documents (bounds in words, the last included)."""
     windows = stored(windows_of(items, size).select("item", "words").where("item is not null").distinct(), "windows")
     vocabulary = windows.select(F.explode("words").alias("word")).select(F.lower("word").alias("word")).distinct()
-    counts = stored(word_counts(docs, vocabulary, text), "counts")
+    counts = stored(word_counts(docs, vocabulary, text, most), "counts")
     ranked = windows.select("item", "words", F.posexplode("words").alias("o", "word")).withColumn("word", F.lower("word"))
     ranked = ranked.join(counts, "word")  # a window with a word that no document has occurs nowhere
     rarest = F.min(F.struct("n", "word", "o")).alias("r")
     prefixes = ranked.groupBy("item", "words").agg(rarest, F.count("*").alias("found")).where(F.col("found") == F.size("words"))
-    whole = prefixes.select(F.col("r.word").alias("word"), F.col("r.o").alias("o"), "words", "item")
-    distinct = whole.groupBy("word", "o", "words").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    tokens = small_side(stored(distinct, "prefixes"), BROADCAST)
-    pieces = pieces_of(docs, size, text, key)
-    own = F.slice("ws", F.col("before") + 1, PIECE)
-    placed = pieces.select("d", "t", "p", "before", "ws", F.posexplode(own).alias("j", "raw"))
-    hits = placed.withColumn("word", F.lower("raw")).join(tokens, "word")
+    whole = prefixes.select(F.col("r.word").alias("word"), F.col("r.n").alias("n"), F.col("r.o").alias("o"), "words", "item")
+    tokens = stored(whole.groupBy("word", "n", "o", "words").agg(F.sort_array(F.collect_set("item")).alias("items")), "prefixes")
+    hits = _hits(pieces_of(docs, size, text, key), tokens, most)
     start = F.col("before") + F.col("j") - F.col("o")  # in the piece, from 0
     n = F.size("words")
     fits = (start >= 0) & (start + n <= F.size("ws"))
@@ -89,9 +107,9 @@ def occurrences(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: str
     return hits.where(fits).where(same).select("d", "t", first.alias("first"), (first + n - 1).alias("last"), "items")
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: str = "text", key: str = "doc_id") -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: str = "text", key: str = "doc_id", most: int = BROADCAST) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, item_ids, contaminated`` for every row of ``docs``."""
-    found = occurrences(docs, items, size, text, key)
+    found = occurrences(docs, items, size, text, key, most)
     per = found.groupBy("d", "t").agg(
         F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"),
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("ids"),

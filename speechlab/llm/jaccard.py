@@ -15,8 +15,8 @@ shingles of its set can still be shared there (the positional bound): less than
 the pair is left out. A list of classes under one key gives all pairs if it is short. A long list,
 or one of a frequent key, gives the pairs with its pivot: the set with the smallest share of rare
 shingles, the likely original of near copies. Pairs are verified exactly, and components found; then
-only pairs of a long list that lie in different components, that sizes and positions allow, and that
-the triangle inequality of the Jaccard distance to the pivot does not exclude, are verified as well.
+only pairs of a long list (dealt by size classes and parts) that lie in different components, that
+sizes and positions allow, and that the triangle inequality of the Jaccard distance to the pivot does not exclude, are verified as well.
 No link between different sets is lost, and a group of near copies takes about a pair a member.
 Frequent keys are aggregated before they are shuffled, and their join back can be split by skew.
 
@@ -36,11 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechlab.llm._common import hashed_words, mix, small_side, stored, text_chunks
+from speechlab.llm._common import hashed_words, join_counted, mix, small_side, stored, text_chunks
 
 WORDS = 5
 #: Cells of the count sketch; lists up to this length are paired whole.
 CELLS, SHORT = 1 << 19, 6
+#: Members of one size class of a long list that a join key holds, about.
+LIST_PART = 1024
 _C = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -247,9 +249,10 @@ def _rare_candidates(keys: DataFrame, percent: int, short_list: int) -> DataFram
 
 def _frequent_candidates(keys: DataFrame) -> DataFrame:
     """The same rows for frequent keys: the pivot of each with every member."""
-    first = F.min(F.struct("rank", "cls", "n", "tail")).alias("f")
-    heads = keys.groupBy("key").agg(first, F.max("cls").alias("high"), F.min("cls").alias("low")).where("low < high").select("key", "f")
-    rows = keys.join(heads, "key")
+    least = F.min(F.struct("rank", "cls", "n", "tail")).alias("f")
+    heads = keys.groupBy("key").agg(least, F.max("cls").alias("high"), F.min("cls").alias("low"), F.count("*").alias("rows_of_key"))
+    heads = stored(heads.where("low < high").select("key", "f", "rows_of_key"), "heads")
+    rows = join_counted(keys, heads, ["key"], "rows_of_key")
     return rows.select(
         F.col("f.cls").alias("a"), F.col("cls").alias("b"), F.col("f.n").alias("na"), F.col("n").alias("nb"),
         F.col("f.tail").alias("ta"), F.col("tail").alias("tb"), F.col("key").alias("base"),
@@ -317,7 +320,7 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     return out.union(now.select("y", "y").distinct()).groupBy("node").agg(F.min("component").alias("component"))
 
 
-def _grouped(docs: DataFrame, percent: int, text: str, key: str, often: int | None = None, short_list: int = SHORT) -> DataFrame:
+def _grouped(docs: DataFrame, percent: int, text: str, key: str, often: int | None = None, short_list: int = SHORT, list_part: int = LIST_PART) -> DataFrame:
     """``id, t, n, g`` for every row of ``docs``: id, hash of the text, shingles, and the component's class (null without shingles)."""
     all_rows = stored(_described(docs, text, key), "described")
     described = all_rows.where("part is null").select("id", "t", "cls", "n")
@@ -347,14 +350,22 @@ def _grouped(docs: DataFrame, percent: int, text: str, key: str, often: int | No
     members = members.where(F.lit(100) * F.col("t") >= F.lit(percent) * F.col("n"))
     labelled = members.join(groups, F.col("q") == F.col("node"), "left").select("base", "p", "q", "n", "t", F.coalesce("component", "q").alias("g"))
     labelled = stored(labelled, "members")
-    split = labelled.groupBy("base").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("base")
-    rest = labelled.join(split, "base").join(distance, ["p", "q"], "left")
+    split = labelled.groupBy("base").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.count("*").alias("n_base")).where("low < high")
+    rest = join_counted(labelled, stored(split.select("base", "n_base"), "split"), ["base"], "n_base").join(distance, ["p", "q"], "left")
     rest = rest.withColumn("d", F.when(F.col("p") == F.col("q"), F.lit(0.0)).otherwise(F.col("d")))
-    rest = stored(rest.select("base", "q", "n", "t", "g", "d").distinct(), "rest")
-    x, y = rest.alias("x"), rest.alias("y")
+    # a list is dealt by the size of its sets (linked sets lie in one size class or neighbouring ones), and a large class over several keys
+    rest = rest.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) + 1e-9)).cast("int"))
+    rest = stored(rest.select("base", "size", "q", "n", "t", "g", "d").distinct(), "rest")
+    deal = rest.groupBy("base", "size").agg(F.count("*").alias("n_class"), F.min("g").alias("low"), F.max("g").alias("high"))
+    deal = stored(deal.select("base", "size", "n_class", F.ceil(F.col("n_class") / list_part).cast("int").alias("parts")), "deal")
+    x = join_counted(rest, deal, ["base", "size"], "n_class").withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int"))
+    y = rest.withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
+    y = join_counted(y, deal, ["base", "size"], "n_class").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    x, y = x.alias("x"), y.alias("y")
     near = F.col("x.d").isNull() | F.col("y.d").isNull()
     near = near | (F.abs(F.col("x.d") - F.col("y.d")) <= F.lit(1 - percent / 100 + 1e-9))
-    apart = (F.col("x.base") == F.col("y.base")) & (F.col("x.g") != F.col("y.g")) & (F.col("x.q") < F.col("y.q"))
+    together = (F.col("x.base") == F.col("y.base")) & (F.col("x.size") == F.col("y.size")) & (F.col("x.part") == F.col("y.part"))
+    apart = together & (F.col("x.g") != F.col("y.g")) & (F.col("x.q") < F.col("y.q"))
     across = x.join(y, apart & near & _possible(F.col("x.n"), F.col("y.n"), F.col("x.t"), F.col("y.t"), percent))
     more = across.select(F.col("x.q").alias("a"), F.col("y.q").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
     more = stored(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb"), "more")

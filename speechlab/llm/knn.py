@@ -7,8 +7,9 @@ and data into cells. Each cell has a summary: the largest query distance to the
 the k smallest and the largest data distance. From these summaries and the pivots' distances
 follows a bound on the k-th distance of every query of a cell; a data row is replicated to a
 query cell only if the triangle inequality does not put it beyond that bound. Rows travel packed
-in blocks of bounded size, hot cells are so split, and each pair of blocks is solved
-locally; a task's running best lists are bounded in number and merged by query id.
+in blocks of bounded size. The blocks of a data cell are dealt to groups, those of the queries likewise, and a
+join key is a pair of groups, so that neither a hot cell nor the number of pivots bounds the number
+of tasks or their size; each pair of blocks is solved locally; a task's running best lists are bounded in number and merged by query id.
 
 Defined results: vectors that are null or hold a null or non-finite component, or of another
 length than the commonest, take no part; rows that repeat an id and a vector count once; ties
@@ -31,6 +32,8 @@ from speechlab.llm._common import stored
 
 #: Pivots (bounded, so cell tables are), rows of a block of queries and of data.
 PIVOTS, QUERY_BLOCK, DATA_BLOCK = 48, 256, 256
+#: Blocks that meet in one task at most, about: of queries, and of one data cell. Beyond it they are dealt over several keys.
+TASK_QUERIES, TASK_DATA = 1024, 128
 #: Best entries that a task holds at once; beyond it they go on, to be merged later.
 HELD = 2_000_000
 
@@ -141,7 +144,7 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def top_k(data: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS) -> DataFrame:
+def top_k(data: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS, task_queries: int = TASK_QUERIES, task_data: int = TASK_DATA) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each query row its ``k`` highest products among other ids' rows."""
     spark = data.sparkSession
     schema = "query_id long, rank int, vec_id long, score long"
@@ -163,10 +166,16 @@ def top_k(data: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS) ->
     pairs = reach(_summary(left, 1), _summary(right, k + 1), centre, k + 1)
     if not pairs:
         return spark.createDataFrame([], schema)
-    near = spark.createDataFrame(pairs, "cell int, other int, least double")  # at most pivots * pivots rows
+    sizes = {r["cell"]: r["n"] for r in right.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most pivots rows
+    near = spark.createDataFrame([(i, j, least, -(-sizes[j] // task_data)) for i, j, least in pairs], "cell int, other int, least double, nd int")  # at most pivots * pivots rows
+    deal = spark.createDataFrame([(j, -(-n // task_data)) for j, n in sizes.items()], "other int, nd int")
+    groups = -(-left.count() // task_queries)
+    # a query block goes to every group of the data cells near it, a data block to every group of queries
     left = left.select("cell", "block", F.col("ids").alias("q_ids"), F.col("vectors").alias("q"))
-    plan = left.join(F.broadcast(near), "cell").select("block", "q_ids", "q", "other", "least")
-    right = right.select(F.col("cell").alias("other"), "ids", "vectors", "distances")
+    plan = left.join(F.broadcast(near), "cell").withColumn("qg", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
+    plan = plan.select("block", "q_ids", "q", "other", "least", "qg", F.explode(F.sequence(F.lit(0), F.col("nd") - 1)).alias("dg"))
+    right = right.withColumnRenamed("cell", "other").join(F.broadcast(deal), "other").withColumn("dg", F.pmod(F.xxhash64("ids"), F.col("nd")).cast("int"))
+    right = right.select("other", "ids", "vectors", "distances", "dg", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("qg"))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -198,7 +207,7 @@ def top_k(data: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS) ->
         if best:
             yield out()
 
-    joined = plan.join(right, "other").select("block", "q_ids", "q", "least", "ids", "vectors", "distances")
+    joined = plan.join(right, ["other", "dg", "qg"]).select("block", "q_ids", "q", "least", "ids", "vectors", "distances")
     # a query block's pairs may lie in several tasks: each gives its k best, which meet below
     local = joined.mapInArrow(solve, "query_id long, score long, vec_id long")
     return merged(local, k)

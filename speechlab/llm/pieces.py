@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from speechlab.llm._common import stored
 
 HEAD, LONGEST = 1 << 17, 24
+#: Tasks that the head's lattice and fold are dealt to, at most.
+FOLD_TASKS = 256
 #: Units that a worker remembers the ids of, in each of two generations.
 REMEMBERED = 200_000
 BLANK = "▁"
@@ -96,6 +98,11 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     return words.join(grouped, "word", "left").select("word", F.coalesce("edges", none).alias("edges"))
 
 
+def _edge(start, length):
+    """The key of an edge: its start and length in one number."""
+    return start.cast("long") * (1 << 32) + length
+
+
 def _byte_ids(char, first_byte: int):
     code = F.hex(F.encode(char, "UTF-8"))
     return F.transform(F.sequence(F.lit(0), (F.length(code) / 2).cast("int") - 1), lambda b: F.conv(F.substring(code, (b * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int") + first_byte)
@@ -105,7 +112,7 @@ def _ids_of(path, first_byte: int):
     """Ids of a path of (start, length): its edges' ids, or the bytes of a character without one."""
 
     def one(s):
-        known = F.try_element_at(F.col("id_of"), s["i"] * 4096 + s["l"])
+        known = F.try_element_at(F.col("id_of"), _edge(s["i"], s["l"]))
         return F.when(known.isNotNull(), F.array(known)).otherwise(_byte_ids(F.substring(F.col("word"), s["i"], s["l"]), first_byte))
 
     return F.flatten(F.transform(path, one))
@@ -118,7 +125,7 @@ def merge_fold():
         score = F.transform(
             F.when(F.size(path) > 1, F.sequence(F.lit(1), F.size(path) - 1)).otherwise(F.array().cast("array<int>")),
             lambda k: F.struct(
-                F.try_element_at(F.col("score_of"), F.element_at(path, k)["i"] * 4096 + F.element_at(path, k)["l"] + F.element_at(path, k + 1)["l"]).alias("s"),
+                F.try_element_at(F.col("score_of"), _edge(F.element_at(path, k)["i"], F.element_at(path, k)["l"] + F.element_at(path, k + 1)["l"])).alias("s"),
                 (-k).alias("k"),
             ),
         )
@@ -164,8 +171,8 @@ def encode_words(words: DataFrame, model: Pieces, merges: bool | None = None) ->
     edges = lattice(words.where(F.length("word") > 0), table, model.longest)
     keyed = edges.select(
         "word", "edges",
-        F.map_from_entries(F.transform("edges", lambda e: F.struct(e["i"] * 4096 + e["l"], e["id"]))).alias("id_of"),
-        F.map_from_entries(F.transform("edges", lambda e: F.struct(e["i"] * 4096 + e["l"], e["score"]))).alias("score_of"),
+        F.map_from_entries(F.transform("edges", lambda e: F.struct(_edge(e["i"], e["l"]), e["id"]))).alias("id_of"),
+        F.map_from_entries(F.transform("edges", lambda e: F.struct(_edge(e["i"], e["l"]), e["score"]))).alias("score_of"),
     )
     if model.merges if merges is None else merges:
         path = keyed.withColumn("path", merge_fold())
@@ -234,12 +241,23 @@ def _remembered(path: str) -> dict[str, dict[str, bytes]]:
 
 
 def head_table(docs: DataFrame, model: Pieces, text: str = "text", head: int = HEAD) -> DataFrame:
-    """``word, ids`` of the ``head`` most frequent units of all documents (ties by the unit)."""
+    """``word, ids`` of the most frequent units of all documents, at most ``head``.
+
+    Units are taken by count, in steps of a 64th of a doubling: as many whole steps as ``head`` holds.
+    So nothing is sorted and no task takes more than its share.
+    """
     whole = F.when(F.col(text) != "", F.concat(F.lit(model.prefix), F.col(text)))
     every = docs.select(F.explode(units(whole)).alias("word"))
-    counts = every.groupBy("word").count().where(F.length("word") <= LONGEST)
-    words = stored(counts.orderBy(F.desc("count"), "word").limit(head).select("word"), "head")
-    return encode_words(words.repartition(F.col("word")), model)
+    counts = every.groupBy("word").agg(F.floor(F.log2(F.count("*").cast("double")) * 64).cast("int").alias("step"))
+    counts = stored(counts.where(F.length("word") <= LONGEST), "units")
+    least, taken = None, 0
+    for r in sorted(counts.groupBy("step").count().collect(), key=lambda r: -r["step"]):  # 64 rows for each doubling
+        if taken + r["count"] > head:
+            break
+        least, taken = r["step"], taken + r["count"]
+    words = counts.where(F.col("step") >= least) if least is not None else counts.limit(0)
+    # a stated number of partitions is not coalesced: the fold is the work, not the bytes
+    return encode_words(words.select("word").repartition(max(1, min(FOLD_TASKS, taken // 256)), "word"), model)
 
 
 def _shared(docs: DataFrame, path: str, text: str, head: int):

@@ -14,6 +14,7 @@ document id all stay, ordered by text; a null document id sorts first and is sto
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -28,14 +29,26 @@ from pyspark.sql import functions as F
 
 #: Words that a worker remembers the ids of, in each of two generations, and the longest such word.
 REMEMBERED, LONGEST = 500_000, 64
+#: Words that the library encodes together.
+TOGETHER = 256
 _NULL_ID = -(1 << 63)
 
+#: ASCII letters in lower case, line ends and other ASCII white space as spaces.
+_FOLD = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: ASCII marks, without the apostrophe, which opens contractions.
+_MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
+#: What a vocabulary file must say for its words to be encoded one by one.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 
 class Encoder:
-    """Ids of texts by a ``tokenizers`` file, with a bounded memory of words between spaces and line ends.
+    """Ids of texts by a ``tokenizers`` file, with a bounded memory of words between blanks.
 
-    No token of such a vocabulary spans a space or line end, so words are encoded one by one; what was
-    not seen lately is encoded by the library in one batch.
+    A file that lower-cases, drops blanks, splits letters from marks and ends each word with a mark of its own
+    (this is checked) is encoded word by word: a word of letters between ASCII marks is encoded in its
+    three parts, and words not seen lately go to the library many at once. Any other file, and a text that
+    may hold a special token, is encoded by the library whole.
     """
 
     def __init__(self, path: str):
@@ -44,34 +57,98 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks have the cores already
         self.tokenizer = Tokenizer.from_file(path)
         self.width = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        file = json.loads(self.tokenizer.to_str())
+        model, steps = file["model"], (file.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        self.end = model.get("end_of_word_suffix")
+        split = steps[0].get("type") == "Split" and steps[0].get("pattern") == {"Regex": _SPLIT}
+        self.by_words = (
+            split and [s.get("type") for s in steps] == ["Split", "ByteLevel"] and not steps[1].get("add_prefix_space") and bool(self.end)
+            and model.get("type") == "BPE" and not model.get("dropout")
+            and (file.get("normalizer") or {}).get("normalizers") == _NORMALIZERS
+            and all(t["content"].startswith("<|") and not t["normalized"] for t in file["added_tokens"])
+        )
+        if self.by_words:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(self.end)]] = True
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _words_of_letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only: each is one run that ends at its only id with the end mark."""
+        out: list[bytes] = []
+        groups = [words[a : a + TOGETHER] for a in range(0, len(words), TOGETHER)]
+        size = np.dtype(self.width).itemsize
+        for group, raw in zip(groups, self.whole([" ".join(g) for g in groups])):
+            stops = (np.flatnonzero(self.ends[np.frombuffer(raw, dtype=self.width)]) + 1) * size
+            if len(stops) != len(group):
+                out += self.whole(group)
+                continue
+            bounds = [0, *stops.tolist()]
+            out += [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+        return out
+
+    @staticmethod
+    def _parts(word: bytes) -> tuple[bytes, bytes, bytes] | None:
+        """Marks, letters and marks of a word; None if it is otherwise (then the library gets it whole)."""
+        letters = word.strip(_MARKS)
+        if not (letters.isalpha() or letters and not letters.isascii() and (text := letters.decode()).isalpha() and "\u0130" not in text):
+            return None
+        at = word.index(letters)
+        return word[:at], letters, word[at + len(letters) :]
+
+    def _learn(self, new: list[bytes], now: dict[bytes, bytes]) -> None:
+        """Put the ids of ``new`` words into ``now`` and the memory."""
+        parts = {w: self._parts(w) for w in new}
+        letters, rest = set(), set()
+        for w, p in parts.items():
+            if p is None:
+                rest.add(w)
+                continue
+            if self.young.get(p[1]) is None:
+                letters.add(p[1])
+            rest.update(m for m in (p[0], p[2]) if m and self.young.get(m) is None)
+        got: dict[bytes, bytes] = {b"": b""}
+        ordered = list(letters)
+        got.update(zip(ordered, self._words_of_letters([w.decode() for w in ordered])))
+        ordered = list(rest)
+        got.update(zip(ordered, self.whole([w.decode() for w in ordered])))
+        self.young.update((w, v) for w, v in got.items() if w and len(w) <= LONGEST)
+        for w, p in parts.items():
+            own = got[w] if p is None else b"".join([got[x] if x in got else self.young[x] for x in p])
+            now[w] = own
+            if len(w) <= LONGEST:
+                self.young[w] = own
 
     def ids(self, texts: list[str], end: bytes) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        if not self.by_words:
+            return [i + end for i in self.whole(texts)]
+        special = [k for k, t in enumerate(texts) if "<|" in t]
+        apart = dict(zip(special, self.whole([texts[k] for k in special])))
+        split = [[] if k in apart else t.encode().translate(_FOLD).split() for k, t in enumerate(texts)]
         young, old = self.young, self.old
-        rest: set[str] = set()
+        distinct: set[bytes] = set()
         for words in split:
-            rest.update(words)
-        now: dict[str, bytes] = {"": b""}
-        new: list[str] = []
-        for w in rest:
+            distinct.update(words)
+        now: dict[bytes, bytes] = {}
+        new: list[bytes] = []
+        for w in distinct:
             got = young.get(w)
             if got is None:
                 got = old.get(w)
                 if got is None:
-                    if w:
-                        new.append(w)
+                    new.append(w)
                     continue
                 young[w] = got
             now[w] = got
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else []):
-            now[w] = got = np.array(e.ids, dtype=self.width).tobytes()
-            if len(w) <= LONGEST:
-                young[w] = got
+        if new:
+            self._learn(new, now)
         if len(young) > REMEMBERED:
             self.old, self.young = young, {}
-        return [b"".join([now[w] for w in words]) + end for words in split]
+        return [apart[k] + end if k in apart else b"".join([now[w] for w in words]) + end for k, words in enumerate(split)]
 
 
 @lru_cache(maxsize=2)
@@ -157,7 +234,8 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                 cols = [key, pa.array(offset[:-1] + row["base"], pa.int64()), pa.array(np.diff(offset), pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spread = manifest.select("shard", "file", "bytes", "base").repartition(F.col("shard"))
+    # a stated number of partitions is not coalesced: a row stands for a whole shard
+    spread = manifest.select("shard", "file", "bytes", "base").repartition(max(1, manifest.count()), "shard")
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
