@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechlab.llm import decontaminate, jaccard, language, line_dedup, pieces
-from speechlab.llm._common import held_out, stored
+from speechlab.llm._common import free_name, held_out, stored
 from speechlab.llm.queries import tokenizer_file
 
 
@@ -35,14 +35,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     floor = LEAST_SHARES / len(model.languages) if len(model.languages) > 1 else 0.0
-    placed = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= floor)
-    return language.label(docs, model, [*docs.columns]).where(placed).select(*docs.columns)
+    # the other columns stay beside the text that goes to the network; nothing is sent back but its result
+    found = docs.where(F.col("text").rlike(r"\p{L}")).withColumn("__placed", language.predictions(docs, model))
+    return found.where(F.col("__placed.pooled") >= floor).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_repeated_runs(docs)
-    left = (F.col("lines_deleted") == 0) | F.col("text").rlike(r"\S")
-    n_chars = F.when(F.col("lines_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    deleted = F.col(free_name(docs.columns, "lines_deleted"))
+    left = (deleted == 0) | F.col("text").rlike(r"\S")
+    n_chars = F.when(deleted > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.where(left).withColumn("n_chars", n_chars).select(*docs.columns)
 
 
