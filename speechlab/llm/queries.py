@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechlab.llm import decontaminate, jaccard, knn, language, line_dedup, pieces, quality, secrets, token_files, toxicity
+from speechlab.llm import decontaminate, jaccard, knn, language, line_dedup, pieces, quality, secrets, sql, token_files, toxicity
 from speechlab.llm._common import held_out, shared_dir
 
 
@@ -86,4 +86,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_voronoi_knn, op2_token_files, op3_quality_nbsvm, op4_secret_scan, op5_decontaminate, op6_sentencepiece, op7_language_id, op8_toxic_segments, op9_ngram_jaccard, op10_line_dedup)
 }
-ORACLES: dict[str, str] = {}
+#: The other operators are models, tokenizers or patterns with places, which SQL cannot state.
+ORACLES: dict[str, str] = {
+    "op1_voronoi_knn": sql.VORONOI_KNN,
+    "op5_decontaminate": sql.DECONTAMINATE,
+    "op9_ngram_jaccard": sql.NGRAM_JACCARD,
+    "op10_line_dedup": sql.LINE_DEDUP,
+}

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from speechlab.llm import decontaminate, jaccard, knn, line_dedup, secrets, token_files
-from speechlab.llm._common import shared_dir
+from speechlab.llm._common import join_counted, shared_dir
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, t long, h string, lines string"
 
@@ -105,6 +105,31 @@ def test_jaccard_frequent(spark):
         assert sorted(map(tuple, got.collect())) == want
 
 
+@pytest.mark.parametrize("part", [1, 7])
+def test_jaccard_long_lists(spark, part, monkeypatch):
+    """Lists whose members lie in many components, dealt over size classes and many parts, with hot keys at once."""
+    monkeypatch.setattr(jaccard, "LIST_PART", part)
+    monkeypatch.setattr(jaccard._grouped, "__defaults__", (*jaccard._grouped.__defaults__[:-1], part))
+    rng = random.Random(13)
+    words = vocabulary(rng, 300)
+    common = [rng.choice(words) for _ in range(30)]
+    rows = []
+    for k in range(50):
+        own = common + [rng.choice(words) for _ in range(rng.choice([4, 8, 12]))]
+        rows += [(10 * k + j, " ".join(own + [f"e{rng.randint(0, 3)}"] * j)) for j in range(rng.randint(1, 4))]
+    got = jaccard.near_duplicates(table(spark, rows), often=1 << 40, short_list=2).drop("t")
+    assert sorted(map(tuple, got.collect())) == brute_jaccard(rows)
+
+
+def test_join_counted(spark):
+    """Hot keys and the rest join as in one join."""
+    rows = spark.createDataFrame([(k % 3 if k < 90 else k, k) for k in range(120)], "key long, x long")
+    counted = rows.groupBy("key").agg(F.count("*").alias("n"))
+    want = sorted(map(tuple, rows.join(counted, "key").collect()))
+    for hot in (0, 5, 1000):
+        assert sorted(map(tuple, join_counted(rows, counted, ["key"], hot=hot).select("key", "x", "n").collect())) == want
+
+
 def test_index_keys_meet():
     """Linked sets share a key whatever counts as frequent."""
     rng = np.random.default_rng(5)
@@ -260,6 +285,27 @@ def test_line_dedup_maximal_runs(spark, kind):
     assert line_dedup.drop_repeated_runs(table(spark, [])).count() == 0
 
 
+def test_line_dedup_clashing_columns(spark):
+    """A caller's own columns stay; the added ones get underscores."""
+    docs = table(spark, [(1, "a"), (2, None)]).withColumn("LINES_deleted", F.lit(5))
+    out = line_dedup.drop_repeated_runs(docs)
+    assert out.columns == [*docs.columns, "lines_", "lines_deleted_"]
+    assert [(r["lines"], r["LINES_deleted"], r["lines_"], r["lines_deleted_"]) for r in out.orderBy("doc_id").collect()] == [("l", 5, 1, 0), ("l", 5, 0, 0)]
+
+
+def test_line_dedup_thins(spark):
+    """Selected places are far fewer than lines, and every window holds one."""
+    rng = random.Random(3)
+    rows = [(k, "\n".join(" ".join(rng.choice("abcdefgh") + str(rng.randint(0, 99)) for _ in range(4)) for _ in range(300))) for k in range(3)]
+    lines = line_dedup.line_table(table(spark, rows))
+    places = {}
+    for r in line_dedup.fingerprints(lines).collect():
+        places.setdefault(r["d"], []).append(r["i"])
+    for own in places.values():
+        own.sort()
+        assert len(own) < 75 and max(b - a for a, b in zip(own, own[1:])) <= 13
+
+
 def test_line_dedup_trailing_lines(spark):
     a, b, c = (" ".join(f"{x}{j}" for j in range(n)) for x, n in (("a", 60), ("b", 20), ("c", 20)))
     got = line_dedup.drop_repeated_runs(table(spark, [(1, f"{a}\n{b}\n{c}\nd"), (2, f"e\n{a}\n{b}\n{c}\nf")])).orderBy("doc_id").collect()
@@ -303,6 +349,10 @@ def test_decontaminate(spark):
     assert sorted(map(tuple, got.collect()), key=str) == want
     left = {r["doc_id"] for r in decontaminate.drop_contaminated(table(spark, rows), bench).collect()}
     assert left == {w[0] for w in want if not w[5]}
+    large = decontaminate.contamination(table(spark, [*rows, (None, rows[70][1]), (None, rows[70][1])]), bench, most=0)
+    large = large.select("doc_id", "n_words", "n_hit", "n_items", F.array_join("item_ids", ","), "contaminated")
+    assert sorted(map(tuple, large.where("doc_id is not null").collect()), key=str) == want
+    assert large.where("doc_id is null and contaminated").count() == 2 * want[[w[0] for w in want].index(rows[70][0])][5]
     assert decontaminate.contamination(table(spark, rows), bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.contamination(table(spark, []), bench).count() == 0
 
@@ -331,6 +381,15 @@ def test_knn(spark):
     assert knn.top_k(few.limit(0), few.limit(0), 20).count() == 0
 
 
+def test_knn_groups(spark):
+    """Many groups of blocks on both sides give the same result."""
+    rng = np.random.default_rng(5)
+    rows = [(int(i), [float(c) for c in rng.normal(0, 0.4, 4).round(2)]) for i in range(900)]
+    data = knn.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(9))
+    got = knn.top_k(data, data.where("id % 20 = 0"), 5, pivots=3, task_queries=2, task_data=2)
+    assert sorted(map(tuple, got.collect())) == brute_top(rows, {i for i, _ in rows if i % 20 == 0}, 5)
+
+
 def test_knn_prunes():
     """Tight far-off groups: most pairs of cells are left out."""
     rng = np.random.default_rng(1)

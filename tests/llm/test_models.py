@@ -48,6 +48,136 @@ def test_language(spark):
     assert language.label(rows, language.fit(rows.limit(0)), ["doc_id"]).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_gradients():
+    """Backpropagation through time against differences of the loss, in doubles."""
+    rng = np.random.default_rng(2)
+    w = {k: v.astype(np.float64) for k, v in language.initial(3, rng).items()}
+    x = rng.integers(0, 6, (5, 9))
+    x[0, :3] = x[1, 7:] = language.BOUNDARY
+    target = np.array([0, 1, 2, 1, 0])
+    _, grad = language.loss_and_gradients(w, x, target)
+    for k in w:
+        for _ in range(12):
+            at = tuple(rng.integers(0, n) for n in w[k].shape)
+            if k.endswith("x"):
+                at = (int(x[rng.integers(0, 5), rng.integers(0, 9)]), at[1])
+            step = np.zeros_like(w[k])
+            step[at] = 1e-5
+            up = language.loss_and_gradients({**w, k: w[k] + step}, x, target)[0]
+            down = language.loss_and_gradients({**w, k: w[k] - step}, x, target)[0]
+            assert abs((up - down) / 2e-5 - grad[k][at]) < 1e-7, (k, at)
+
+
+def brute_positions(w, text):
+    """Summed probabilities of all positions of a text, one window and one step at a time."""
+    out = np.zeros(len(w["ob"]))
+    n = len(text)
+    bounded = lambda v: v / (1 + abs(v))
+    for a in range(0, n, language.CORE):
+        b = min(a + language.CORE, n)
+        states = {}
+        for way, order in (("f", range(a - language.CONTEXT, b)), ("b", range(b + language.CONTEXT - 1, a - 1, -1))):
+            h = np.zeros(language.HIDDEN)
+            for t in order:
+                inp = w[way + "x"][text[t] if 0 <= t < n else language.BOUNDARY].astype(float)
+                hid = h @ w[way + "h"].astype(float)
+                z, r = np.split((1 + bounded(inp[: 2 * language.HIDDEN] + hid[: 2 * language.HIDDEN])) / 2, 2)
+                c = bounded(inp[2 * language.HIDDEN :] + r * hid[2 * language.HIDDEN :])
+                h = h + z * (c - h)
+                states[way, t] = h
+        for t in range(a, b):
+            p = np.exp(np.concatenate([states["f", t], states["b", t]]) @ w["o"].astype(float) + w["ob"])
+            out += p / p.sum()
+    return out
+
+
+def test_language_positions():
+    """Texts of every awkward length, read side by side, against one at a time; a blank stops nothing."""
+    rng = np.random.default_rng(4)
+    w = language.initial(3, rng)
+    texts = [bytes(rng.integers(32, 127, n).astype(np.uint8)) for n in (0, 1, 15, 95, 96, 97, 112, 113, 0, 250, 400)]
+    bounds = np.cumsum([0, *map(len, texts)])
+    got = language.position_sums(w, np.frombuffer(b"".join(texts), dtype=np.uint8), bounds)
+    for k, t in enumerate(texts):
+        assert np.allclose(got[k], brute_positions(w, t), atol=1e-3), k
+    one, other = (language.position_sums(w, np.frombuffer(t, dtype=np.uint8), np.array([0, len(t)])) for t in (b"ab cd", b"xb cd"))
+    assert abs(one - other).max() > 1e-6
+
+
+def test_language_ties(spark):
+    """Equal pooled probabilities: the first language in order; empty tables; every language that occurs is learned."""
+    w = {k: np.zeros_like(v) for k, v in language.initial(2, np.random.default_rng(0)).items()}
+    rows = spark.createDataFrame([(1, "abc", "x"), (2, None, "x"), (3, "12", "x")], "doc_id long, text string, lang_pred string")
+    out = language.label(rows, language.Model(["aa", "bb"], w), ["doc_id"]).orderBy("doc_id").collect()
+    assert [(r["lang_pred"], round(r["score"], 6)) for r in out] == [("aa", 0.5), ("und", 0.0), ("und", 0.0)]
+    assert language.label(rows.limit(0), language.Model(["aa", "bb"], w), ["doc_id"]).count() == 0
+    many = spark.createDataFrame([(i, f"text of {i % 40}", f"l{i % 40}") for i in range(80)], "doc_id long, text string, lang string")
+    assert language.fit(many).languages == sorted({f"l{i}" for i in range(40)})
+
+
+def test_empty_documents(spark):
+    rows, labels = docs(spark).limit(0), spark.read.parquet(f"{SF}/labels.parquet")
+    assert quality.classify(rows, labels, F.lit(False)).count() == 0
+    assert toxicity.classify(rows, labels, F.lit(False)).count() == 0
+
+
+def test_dual_descent_is_optimal():
+    """The hinge loss plus half the squared weights equals the dual sum at the solution (no gap), so it is the optimum."""
+    rng = np.random.default_rng(6)
+    rows = [np.sort(rng.choice(30, rng.integers(3, 9), replace=False)) for _ in range(80)]
+    values = [rng.normal(0, 1, len(r)) for r in rows]
+    y = np.where(rng.random(80) < 0.5, 1.0, -1.0)
+    w, b = quality.dual_descent(rows, values, y, 30, cost=0.5, epochs=4000)
+    margin = np.array([y[i] * (w[rows[i]] @ values[i] + b) for i in range(80)])
+    primal = 0.5 * (w @ w + b * b) + 0.5 * np.maximum(0, 1 - margin).sum()
+    x = np.zeros((80, 31))
+    for i, (r, v) in enumerate(zip(rows, values)):
+        x[i, r], x[i, 30] = v, 1.0
+    z = x * y[:, None]
+    alpha = np.clip(np.linalg.lstsq(z.T, np.append(w, b), rcond=None)[0], 0, 0.5)
+    for _ in range(20000):  # projected gradient steps on the dual
+        alpha = np.clip(alpha + 0.002 * (1 - z @ (z.T @ alpha)), 0, 0.5)
+    dual = alpha.sum() - 0.5 * ((z.T @ alpha) ** 2).sum()
+    assert dual <= primal + 1e-6 and primal - dual < 1e-2 * primal
+
+
+def brute_segments(s):
+    """Maximal segments by their definition: the best run (of equals the longest), then what is left of it and right of it."""
+    total = np.concatenate([[0.0], np.cumsum(s)])
+
+    def split(a, b):
+        best = max(((total[j] - total[i], j - i, -i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0, 0, 0, 0))
+        if best[0] <= 1e-9:
+            return []
+        i, j = -best[2], best[3]
+        return [*split(a, i), (i, j), *split(j, b)]
+
+    return split(0, len(s))
+
+
+def test_segments_are_maximal():
+    """The same segments, not only the same scores; scores are distinct, so that no two runs tie."""
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        s = rng.normal(-0.3, 1, rng.integers(1, 26))
+        total, up = np.concatenate([[0.0], np.cumsum(s)]), np.flatnonzero(s > 0)
+        assert [x[:2] for x in toxicity.segments(up, s[up], total)] == brute_segments(s)
+
+
+def test_segments_are_linear():
+    """Falling sums, on which nothing joins: steps grow with the text, not with its square."""
+    import time
+
+    took = []
+    for n in (50_000, 200_000):
+        s = np.tile([1.0, -2.0], n)
+        total, up = np.concatenate([[0.0], np.cumsum(s)]), np.flatnonzero(s > 0)
+        start = time.process_time()
+        assert len(toxicity.segments(up, s[up], total)) == n
+        took.append(time.process_time() - start)
+    assert took[1] < 12 * took[0]
+
+
 def test_segments():
     """Against all maximal segments by their definition."""
     rng = np.random.default_rng(0)

@@ -2,12 +2,12 @@
 
 import random
 
-import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from speechlab.llm import language
 from tests.llm.test_exact import brute_contamination, brute_jaccard, brute_runs
+from tests.llm.test_models import brute_positions
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,20 +33,9 @@ def test_empty(spark):
         assert stage(spark, docs, SF).count() == 0
 
 
-def shares(model, text, known):
-    """The pooled probability of each language, piece by piece."""
-    total = np.zeros(len(model.languages))
-    size = 0
-    for word in text.encode().split():
-        for k in range(0, len(word), language.STEPS):
-            piece = word[k : k + language.STEPS]
-            if piece not in known:
-                row = np.zeros((1, language.STEPS), dtype=np.int64)
-                row[0, : len(piece)] = list(piece)
-                known[piece] = language.position_sums(model.weights, row, np.array([len(piece)]))[0]
-            total += known[piece]
-            size += len(piece)
-    return total / size
+def shares(model, text):
+    """The pooled probability of each language, window by window."""
+    return brute_positions(model.weights, text.encode()) / len(text.encode())
 
 
 def mixed(docs, sizes=(3, 40)):
@@ -74,8 +63,7 @@ def test_brute_run(spark, tmp_path):
 
     model = language.fit(docs.where(~corpus_pipeline.held_out("doc_id", 4, 2)))
     first = [(i, t) for i, t, _ in rows if t and any(c.isalpha() for c in t)]
-    known = {}
-    best = {t: shares(model, t, known).max() for _, t in first}
+    best = {t: shares(model, t).max() for _, t in first}
     kept = [r for r in first if best[r[1]] >= corpus_pipeline.LEAST_SHARES / len(model.languages)]
     assert 0 < len(first) - len(kept) < 15
 
@@ -112,3 +100,18 @@ def test_no_language_known(spark):
     """Without a model documents with letters stay."""
     docs = spark.createDataFrame([(1, "some text", None), (2, "12", None), (3, None, None)], "doc_id long, text string, lang string")
     assert [r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, SF).collect()] == [1]
+
+
+def test_awkward_rows(spark):
+    """Each stage on nulls, an empty and a long text, repeated rows and columns with the operators' own names."""
+    given = spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null").limit(40)
+    names = ["t", "h", "i", "d", "lines", "lines_deleted", "score", "lang_pred", "cls", "n", "g", "word", "ids", "best"]
+    odd = [(None, None, None), (1, None, "en"), (2, "", "en"), (3, "the and of " * 40000, "en"), (4, "a b", None), (4, "a b", None)]
+    rows = given.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame([(i, t, g, None, None) for i, t, g in odd], "doc_id long, text string, lang string, source string, n_chars long"))
+    docs = corpus_pipeline.stored(rows.select("*", *[F.lit("x").alias(n) for n in names]), "odd")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert out.where("score is null or score <> 'x' or lines <> 'x'").count() == 0
+        assert 0 < out.count() <= docs.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
