@@ -33,7 +33,7 @@ BOUNDARY, SYMBOLS = 256, 257
 #: Bounds of training: documents a language, windows a document, steps a window, windows in all (at least LEAST_WINDOWS a language).
 SAMPLE_DOCS, DOC_WINDOWS, STEPS, SAMPLE_WINDOWS, LEAST_WINDOWS = 250, 12, 64, 8_000, 32
 #: Bytes of text that are dealt into windows together, and windows that the network reads side by side.
-CHUNK_BYTES, BLOCK = 1 << 18, 512
+CHUNK_BYTES, BLOCK = 1 << 18, 1024
 
 
 class Model(NamedTuple):
