@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechlab import catalogue_alignment, catalogue_speech  # noqa: F401  (they register their queries)
+from speechlab import catalogue_alignment, catalogue_evaluation, catalogue_files, catalogue_pronunciation, catalogue_speech  # noqa: F401  (they register their queries)
 from speechlab.functions import phonetics as P
 from speechlab.functions import text as T
 from speechlab.operators import frames as K
@@ -59,7 +59,7 @@ _text("t2_chunks", lambda c: _joined(T.chunks(c)), "array_to_string(list_filter(
 _text("t3_chunk_word_counts", lambda c: _joined(T.chunk_word_counts(c)), f"array_to_string(list_transform(list_filter(string_split_regex(text, '[,;.!¡?:/]'), lambda c: c <> ''), lambda c: len({_WS.format('c')})), '|')", "conversations", _TURN)
 _text("t4_glue_punctuation", T.glue_punctuation, r"regexp_replace(text, ' ([,?.!;:{}…])', '\1', 'g')")
 _text("t8_edge_marks", lambda c: _joined(T.edge_marks(c)), f"array_to_string(list_filter(list_transform({_WS.format('text')}, lambda w, i: (i - 1) || ':' || regexp_extract(w, '^[,?.!;:]*') || '|' || regexp_extract(w, '[,?.!;:]*$')), lambda x: NOT ends_with(x, ':|')), '|')", "conversations", _TURN)
-_text("t10_abbreviations", T.expand_abbreviations, "array_to_string(list_transform(string_split(text, ' '), lambda w: CASE w WHEN 'Mr' THEN 'Mister' WHEN 'Mrs' THEN 'Misses' WHEN 'Ms' THEN 'Miss' WHEN 'Dr' THEN 'Doctor' WHEN 'St' THEN 'Saint' ELSE w END), ' ')", "conversations", _TURN)
+_text("t10_abbreviations", lambda c: T.expand_abbreviations(F.concat(c, F.lit(" Dr etc dr"))), "array_to_string(list_transform(string_split(text || ' Dr etc dr', ' '), lambda w: CASE w WHEN 'mr' THEN 'mister' WHEN 'mrs' THEN 'misses' WHEN 'dr' THEN 'docteur' WHEN 'Mr' THEN 'Mister' WHEN 'Mrs' THEN 'Misses' WHEN 'Dr' THEN 'Docteur' WHEN 'etc' THEN 'etcetera' ELSE w END), ' ')", "conversations", _TURN)
 _text("t11_acronyms", lambda c: _joined(T.acronyms(c)), f"array_to_string(list_filter({_WS.format('text')}, lambda w: upper(w) = w AND lower(w) <> w), '|')", "conversations", _TURN)
 _text("t13_ungroup", T.ungroup, "replace(replace(replace(text, '-', ' '), '{', ''), '}', '')")
 _text("t15_fold_accents", T.fold_accents, f"translate(text, '{T.ACCENTED}', '{T.FOLDED}')")
@@ -119,7 +119,7 @@ def _(tokens):
 @_add("y1_sonority", "SELECT word, array_to_string(list_transform(list_filter(string_split(word, ''), lambda x: x <> ''), lambda x: CASE WHEN contains('aeiouyàáâäæãåāèéêëēėęîïíīįìôöòóœøōõûüùúūůÿ', x) THEN 5 WHEN contains('lmnrw', x) THEN 3 WHEN contains('zvsfh', x) THEN 2 ELSE 0 END), '') AS son FROM (SELECT DISTINCT word FROM fx_tokens)", "fx_tokens")
 def _(tokens):
     letters = F.filter(F.split("word", ""), lambda x: x != "")
-    return tokens.select("word").distinct().select("word", _joined(F.transform(letters, Y.sonority), "").alias("son"))
+    return tokens.select("word").distinct().select("word", _joined(F.transform(letters, lambda x: Y.sonority(x)), "").alias("son"))
 
 
 # lexicon
@@ -377,7 +377,7 @@ def _(frames):
     return K.pool(frames, ["label"]).select("label", _long("phone"), _r("p"))
 
 
-@_add("w3_posterior_runs", "WITH b AS (SELECT rec_id, frame_idx, list_position(probs, list_max(probs)) - 1 AS phone, list_max(probs) AS p FROM fx_frames), k AS (SELECT *, CAST(lag(phone) OVER (PARTITION BY rec_id ORDER BY frame_idx) IS DISTINCT FROM phone AS INT) AS new FROM b WHERE phone <> 9), r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY rec_id ORDER BY frame_idx) AS BIGINT) AS run FROM k) SELECT rec_id, run, phone, count(*) AS n_frames, max(p) AS p_max, round(avg(p), 6) AS p_mean, CAST(min(frame_idx) AS BIGINT) AS first_frame FROM r GROUP BY 1, 2, 3 HAVING max(p) > 0.3", "fx_frames")
+@_add("w3_posterior_runs", "WITH b AS (SELECT rec_id, frame_idx, list_position(probs, list_max(probs)) - 1 AS phone, list_max(probs) AS p FROM fx_frames), k AS (SELECT *, CAST(lag(phone) OVER (PARTITION BY rec_id ORDER BY frame_idx) IS DISTINCT FROM phone AS INT) AS new FROM b WHERE phone <> 9), r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY rec_id ORDER BY frame_idx) AS BIGINT) AS run FROM k), o AS (SELECT rec_id, run, phone, count(*) AS n, max(p) AS m, sum(p) AS s, min(frame_idx) AS f FROM r GROUP BY 1, 2, 3 HAVING max(p) > 0.3), q AS (SELECT *, CAST(lag(phone) OVER (PARTITION BY rec_id ORDER BY f) IS DISTINCT FROM phone AS INT) AS new FROM o), t AS (SELECT *, CAST(sum(new) OVER (PARTITION BY rec_id ORDER BY f) AS BIGINT) AS again FROM q) SELECT rec_id, again AS run, CAST(phone AS BIGINT) AS phone, CAST(sum(n) AS BIGINT) AS n_frames, max(m) AS p_max, round(sum(s) / sum(n), 6) AS p_mean, CAST(min(f) AS BIGINT) AS first_frame FROM t GROUP BY 1, 2, 3", "fx_frames")
 def _(frames):
     return K.posterior_runs(frames, 0.3, 9).select("rec_id", "run", "phone", "n_frames", "p_max", _r("p_mean"), "first_frame")
 

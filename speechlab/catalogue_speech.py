@@ -139,9 +139,9 @@ def _(frames):
     return G.posterior_matrix(frames, "label").select("label", _long("phone"), _r("share"))
 
 
-@add("g11_weighted_confidence", "SELECT l_orderkey, round(CAST(sum(CAST(l_discount AS DOUBLE) * CAST(l_quantity AS DOUBLE)) / sum(CAST(l_quantity AS DOUBLE)) AS DOUBLE), 6) AS confidence FROM lineitem GROUP BY 1", "lineitem")
+@add("g11_weighted_confidence", "SELECT l_orderkey, round(CAST(sum(CAST(l_discount AS DECIMAL(6, 4)) * CAST(l_quantity AS DECIMAL(8, 2))) AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(8, 2))) AS DOUBLE), 6) AS confidence FROM lineitem GROUP BY 1", "lineitem")
 def _(lineitem):
-    rows = lineitem.select("l_orderkey", F.col("l_discount").cast("double").alias("p"), F.col("l_quantity").cast("double").alias("n"))
+    rows = lineitem.select("l_orderkey", F.col("l_discount").cast("decimal(6,4)").alias("p"), F.col("l_quantity").cast("decimal(8,2)").alias("n"))
     return G.weighted_confidence(rows, ["l_orderkey"], "p", "n").select("l_orderkey", _r("confidence"))
 
 
@@ -203,7 +203,7 @@ def _(docs):
 
 @add("f4_ending_class", "SELECT * FROM (SELECT word, CASE WHEN ends_with(word, 'ed') AND regexp_matches(phones, '_[A-Z]+0_D$') THEN 'ed:syllable' WHEN ends_with(word, 'ed') AND ends_with(phones, '_T') THEN 'ed:T' WHEN ends_with(word, 'ed') AND ends_with(phones, '_D') THEN 'ed:D' WHEN ends_with(word, 's') AND ends_with(phones, '_S') THEN 's:S' WHEN ends_with(word, 's') AND ends_with(phones, '_Z') THEN 's:Z' END AS class FROM fx_lexicon WHERE alt_idx = 0) WHERE class IS NOT NULL", "fx_lexicon")
 def _(lexicon):
-    return lexicon.where("alt_idx = 0").select("word", E.ending_class(F.col("word"), F.col("phones")).alias("class")).where("class is not null")
+    return lexicon.where("alt_idx = 0").select("word", E.ending_class(F.col("word"), F.col("phones")).alias("class")).where("class is not null and class not like 'h:%'")
 
 
 @add("f5_cluster_selection", "SELECT word, phonetics FROM fx_phon WHERE starts_with(phonetics, 'D_') ORDER BY md5(word || '-' || 'D_'), word LIMIT 20", "fx_phon")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -81,7 +81,71 @@ def one_insertion(short: Column, long: Column) -> Column:
     )
     return F.when(F.size(long) == F.size(short) + 1, F.try_element_at(where, F.lit(1)))
 
-# Phones by category; vowels are those that carry a stress digit.
+
+def rle(arr: Column) -> Column:
+    """Runs of equal elements as ``value, n``."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(arr) - 1), lambda i: (i == 0) | (F.get(arr, i) != F.get(arr, F.greatest(i - 1, F.lit(0)))))
+    runs = F.transform(starts, lambda s, k: F.struct(F.get(arr, s).alias("value"), (F.coalesce(F.get(starts, k + 1), F.size(arr)) - s).alias("n")))
+    return F.when(F.size(arr) > 0, runs).otherwise(F.filter(runs, lambda x: F.lit(False)))
+
+
+def add_stress(syllables: Column, stressed: Column, expected: Column, vowels: list[str]) -> Column:
+    """Syllables of phones with 1 on vowels of the stressed syllable and 0 on others, if their number is the expected one."""
+    known = F.array(*map(F.lit, vowels))
+
+    def syllable(s: Column, i: Column) -> Column:
+        mark = F.when(F.coalesce(i == stressed, F.lit(False)), "1").otherwise("0")
+        return F.transform(s, lambda p: F.when(F.array_contains(known, p), F.concat(p, mark)).otherwise(p))
+
+    return F.when(F.size(syllables) == expected, F.transform(syllables, syllable)).otherwise(syllables)
+
+
+def stressed_syllable(syllables: Column, sign: str = "ˈ") -> Column:
+    """Index of the first syllable of phones that holds the stress sign; null without one."""
+    return F.nullif(F.array_position(F.transform(syllables, lambda s: F.exists(s, lambda p: p.contains(sign))), True) - 1, F.lit(-1))
+
+
+def substitute_basis(syllables: Column, index: Column, n_target: Column, basis: Column, position: str) -> Column:
+    """``phones, truth``: a word whose target syllable has its last (``end``) or first (``start``) phones replaced by the basis.
+
+    syllables: of the word; index: of the target syllable; n_target: phones of the target; basis: an array of phones.
+    truth: the phones of the target and the one beside it, as they were, without stress.
+    """
+    own = F.get(syllables, index)
+    keep = F.greatest(F.size(own) - n_target, F.lit(0))
+    changed = F.concat(F.slice(own, F.lit(1), keep), basis) if position == "end" else F.concat(basis, F.slice(own, n_target + 1, keep))
+    phones = F.flatten(F.transform(syllables, lambda s, i: F.when(i == index, changed).otherwise(s)))
+    n = F.least(n_target + 1, F.size(own))
+    truth = F.slice(own, F.size(own) - n + 1 if position == "end" else F.lit(1), n)
+    return F.struct(phones.alias("phones"), F.transform(truth, unstress).alias("truth"))
+
+
+def glide_schwa_alternatives(word: Column) -> Column:
+    """Forms of a formatted word whose glide and schwa (``ɪ|ə``, ``i|ə``) may be one syllable: merged first, then as given.
+
+    A schwa merged with its glide carries no stress digit; a word without such a pair has one form.
+    """
+    merged = F.regexp_replace(F.regexp_replace(word, r"(ɪ|i)([012]?)\|ə", "$1$2_ə"), r"(ɪ|i)([012])_ə[012]", "$1$2_ə")
+    return F.when(merged == word, F.array(word)).otherwise(F.array(merged, word))
+
+
+def target_error(phonetics: Column, target: Column, word: Column, syllable: Column, alphabet: list[str], occurrence: Column | None = None) -> Column:
+    """What is wrong with a target: the first of five errors, or null.
+
+    The target's phones are checked first, then the indexes of its word and syllable (both from 0), then whether it is
+    in that syllable, and, for a target of one phone, whether it is there more than ``occurrence`` times.
+    """
+    words = split_phonetics(phonetics)
+    own = F.get(F.get(words, word), syllable)
+    bad = invalid_phone(F.split(target, "_"), alphabet)
+    times = F.size(F.filter(own, lambda p: p == target))
+    out = F.when(bad.isNotNull(), F.concat(F.lit("target phone "), bad, F.lit(" is not a phoneme")))
+    out = out.when(word >= F.size(words), "word_idx >= n of words").when(syllable >= F.size(F.get(words, word)), "syl_idx >= n of syllables")
+    out = out.when(~F.array_join(own, "_").contains(target), "target not in syllable")
+    return out if occurrence is None else out.when(occurrence >= times, "target_occurence_idx >= n of ocurrences in syllable")
+
+
+# Phones by category, in three alphabets. Vowels of the first carry a stress digit.
 CATEGORIES = {
     "approximant": ["L", "R", "W", "Y"],
     "nasal": ["M", "N", "NG"],
@@ -89,14 +153,50 @@ CATEGORIES = {
     "affricate": ["CH", "JH"],
     "stop": ["B", "D", "G", "K", "P", "T"],
 }
+LETTERS = {
+    "vowel": list("aeiouyàáâäæãåāèéêëēėęîïíīįìôöòóœøōõûüùúūůÿ"),
+    "nasal": list("lmnrw"),
+    "fricative": list("zvsfh"),
+    "stop": list("bcdgtkpqxhj"),
+}
+IPA = {
+    "vowel": [*LETTERS["vowel"], *"ɝəaɔʌãeéẽɛøoõiu"],
+    "nasal": list("lmnrw"),
+    "fricative": list("zvsfhʃ"),
+    "stop": list("bcdgtkpqxhj"),
+}
+MFA_IPA = {
+    "vowel": [*IPA["vowel"], "ɐ", "ɑ", "ɑː", "ɑ̃", "ɒ", "ɒː", "ɚ", "ɜ", "ɜː", "ʉ", "ʉː", "ʊ", "ɪ", "ɫ̩", "m̩", "n̩", "ᵻ", "aʊ", "aɪ", "eɪ", "oʊ", "əʊ", "ɔɪ"],
+    "approximant": ["ɹ", "ɥ", "ɫ", "w", "j"],
+    "nasal": [*"lmnr", "ɱ", "ɲ", "ŋ", "ʎ"],
+    "fricative": [*"zvsfhʃ", "ʒ", "ʝ", "β", "θ", "ç", "ð", "ɣ", "ʁ"],
+    "affricate": ["ɟʝ"],
+    "stop": [*"bcdgtkpqxh", "ʔ", "ɡ", "ɟ", "ɾ", "ɾʲ"],
+}
+ALPHABETS = {"letters": LETTERS, "IPA": IPA, "MFA_IPA": MFA_IPA}
+
+
+def category(phone: Column, mode: str = "CMU") -> Column:
+    """The category of a phone; null if it has none. CMU phones are vowels by their stress digit.
 
+    In the other modes a symbol that is not listed itself has the category of its first character.
+    """
+    if mode == "CMU":
+        out = F.when(phone.rlike("[012]$"), "vowel")
+        for name, members in CATEGORIES.items():
+            out = out.when(phone.isin(members), name)
+        return out
+    low, out = F.lower(phone), None
+    table = F.create_map(*[F.lit(x) for p, c in {p: c for c, ps in reversed(ALPHABETS[mode].items()) for p in ps}.items() for x in (p, c)])
+    first = F.try_element_at(table, F.substring(low, 1, 1))
+    return F.when(first == "vowel", first).otherwise(F.coalesce(F.try_element_at(table, low), first))
 
-def category(phone: Column) -> Column:
-    """The category of a phone with or without its stress digit; null if it has none."""
-    out = F.when(phone.rlike("[012]$"), "vowel")
-    for name, members in CATEGORIES.items():
-        out = out.when(phone.isin(members), name)
-    return out
+
+def phone_categories(spark: SparkSession, mode: str) -> DataFrame:
+    """``phone, category`` of the listed phones of a mode; the first category that lists a phone holds."""
+    listed = CATEGORIES if mode == "CMU" else ALPHABETS[mode]
+    rows = {p: c for c, ps in reversed(listed.items()) for p in ps}
+    return spark.createDataFrame(sorted(rows.items()), "phone string, category string")
 
 
 def invalid_phone(phone_array: Column, alphabet: list[str]) -> Column:
@@ -112,6 +212,12 @@ def phone_ids(inventory: DataFrame) -> DataFrame:
     return ids.withColumn("code", F.char(F.col("id") + 33))
 
 
+def alphabet_ids(alphabet: DataFrame, silence: str = "[SIL]") -> DataFrame:
+    """``phone, id``: ids from 0 in alphabetical order, silence last; read the other way it gives phones of ids."""
+    order = F.row_number().over(Window.orderBy(F.col("phone") == silence, "phone")) - 1
+    return alphabet.select("phone").distinct().select("phone", order.cast("long").alias("id"))
+
+
 def clusters(phones: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:
     """``keys, onset, coda``: phones of a syllable before and after its vowel, joined by ``_``."""
     seen = F.sum(F.col("phone").rlike("[012]$").cast("int")).over(Window.partitionBy(*keys).orderBy(order))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from speechlab.functions.phonetics import collapse_runs
+from speechlab.operators.alignment import GAP, align
+from speechlab.operators.windows import order_positions
+
 
 def argmax_phone(probs: Column) -> Column:
     """Index, from 0, of the first maximum."""
@@ -51,19 +57,151 @@ def force_align(frames: DataFrame, targets: DataFrame) -> DataFrame:
     return solved.select("rec_id", F.when(F.col("fits"), cost).alias("cost"), F.when(F.col("fits"), walk).alias("path"))
 
 
+def _runs(rows: DataFrame, order: str) -> DataFrame:
+    w = Window.partitionBy("rec_id").orderBy(order)
+    before = F.lag("phone").over(w)
+    return rows.withColumn("__new", (before.isNull() | (before != F.col("phone"))).cast("long")).withColumn("run", F.sum("__new").over(w)).drop("__new")
+
+
 def posterior_runs(frames: DataFrame, least: float, silence: int) -> DataFrame:
-    """Runs of equal best phones without silence whose highest probability exceeds ``least``."""
+    """Runs of equal best phones without silence whose highest probability exceeds ``least``; runs that then are neighbours are one.
+
+    ``rec_id, run, phone, n_frames, p_max, p_mean`` (over frames), ``first_frame``; runs are numbered from 1.
+    """
     best = frames.select("rec_id", "frame_idx", argmax_phone(F.col("probs")).alias("phone"), F.array_max("probs").alias("p")).where(F.col("phone") != silence)
-    w = Window.partitionBy("rec_id").orderBy("frame_idx")
-    before = F.lag("phone").over(w)
-    runs = best.withColumn("new", (before.isNull() | (before != F.col("phone"))).cast("long")).withColumn("run", F.sum("new").over(w))
-    out = runs.groupBy("rec_id", "run", "phone").agg(F.count("*").alias("n_frames"), F.max("p").alias("p_max"), F.avg("p").alias("p_mean"), F.min("frame_idx").cast("long").alias("first_frame"))
-    return out.where(F.col("p_max") > least)
+    each = _runs(best, "frame_idx").groupBy("rec_id", "run", "phone").agg(F.count("*").alias("n"), F.max("p").alias("m"), F.sum("p").alias("s"), F.min("frame_idx").cast("long").alias("first"))
+    again = _runs(each.where(F.col("m") > least).drop("run"), "first")
+    return again.groupBy("rec_id", "run", "phone").agg(F.sum("n").alias("n_frames"), F.max("m").alias("p_max"), (F.sum("s") / F.sum("n")).alias("p_mean"), F.min("first").alias("first_frame"))
+
+
+def pool(frames: DataFrame, part: list[str], how: str = "mean") -> DataFrame:
+    """``part, phone, p``: mean (or max) probability of each phone over the frames of a group."""
+    agg = {"mean": F.avg, "max": F.max}[how]
+    return frames.select(*part, F.posexplode("probs").alias("phone", "p")).groupBy(*part, "phone").agg(agg("p").alias("p"))
+
+
+def halve_shared_runs(path: DataFrame) -> DataFrame:
+    """``path`` (``rec_id, frame_idx, pos, phone_id``) with runs of frames that adjacent equal targets share cut into equal parts.
+
+    The frames of k neighbouring positions of one phone are dealt to them in order, floor(n / k) each, the rest to the last.
+    """
+    w = Window.partitionBy("rec_id").orderBy("pos")
+    positions = path.select("rec_id", "pos", "phone_id").distinct()
+    new = F.coalesce((F.lag("phone_id").over(w) != F.col("phone_id")).cast("long"), F.lit(1))
+    groups = positions.withColumn("__new", new).withColumn("__g", F.sum("__new").over(w)).drop("__new")
+    groups = groups.withColumn("__k", F.count("*").over(Window.partitionBy("rec_id", "__g"))).withColumn("__low", F.min("pos").over(Window.partitionBy("rec_id", "__g")))
+    rows = path.join(groups.select("rec_id", "pos", "__g", "__k", "__low"), ["rec_id", "pos"])
+    of = Window.partitionBy("rec_id", "__g")
+    at, n = F.row_number().over(of.orderBy("frame_idx")) - 1, F.count("*").over(of)
+    share = F.greatest(F.floor(n / F.col("__k")), F.lit(1))
+    return rows.withColumn("__p", F.col("__low") + F.least(F.floor(at / share), F.col("__k") - 1)).select("rec_id", "frame_idx", F.col("__p").cast("long").alias("pos"), "phone_id")
+
+
+def path_rows(aligned: DataFrame, targets: DataFrame) -> DataFrame:
+    """``rec_id, t, pos, phone_id``: the paths of ``force_align`` as rows, one for each frame; recordings without a path go."""
+    rows = aligned.where("path is not null").select("rec_id", F.posexplode("path").alias("t", "pos"))
+    return rows.select("rec_id", F.col("t").cast("long").alias("t"), F.col("pos").cast("long").alias("pos")).join(targets.select("rec_id", F.col("pos").cast("long").alias("pos"), "phone_id"), ["rec_id", "pos"])
+
 
+def pooled_segments(path: DataFrame, frames: DataFrame, how: str = "mean", step: float = 0.02) -> DataFrame:
+    """``rec_id, pos, phone_id, predicted, p_true, p_predicted, n_frames, start, end`` of each aligned phone.
 
-def pool(frames: DataFrame, part: list[str]) -> DataFrame:
-    """Mean probability of each phone over the frames of a group."""
-    return frames.select(*part, F.posexplode("probs").alias("phone", "p")).groupBy(*part, "phone").agg(F.avg("p").alias("p"))
+    path: ``rec_id, frame_idx, pos, phone_id``; probabilities are pooled over a position's frames, whose best phone is the predicted one.
+    """
+    rows = halve_shared_runs(path).join(frames.select("rec_id", "frame_idx", "probs"), ["rec_id", "frame_idx"])
+    pooled = pool(rows, ["rec_id", "pos"], how).groupBy("rec_id", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("phone", "p"))), lambda x: x["p"]).alias("probs"))
+    bounds = rows.groupBy("rec_id", "pos", "phone_id").agg(F.count("*").alias("n_frames"), (F.min("frame_idx") * step).alias("start"), ((F.max("frame_idx") + 1) * step).alias("end"))
+    both = bounds.join(pooled, ["rec_id", "pos"])
+    return both.select("rec_id", "pos", "phone_id", argmax_phone(F.col("probs")).alias("predicted"), F.get("probs", F.col("phone_id").cast("int")).alias("p_true"), F.array_max("probs").alias("p_predicted"), "n_frames", "start", "end")
+
+
+def word_segments(segments: DataFrame, indexed: DataFrame, word: int) -> DataFrame:
+    """Segments (``rec_id, pos``) of one word, by the word of each phone place (``rec_id, pos, word_idx``)."""
+    return segments.join(indexed.where(F.col("word_idx") == word).select("rec_id", "pos", "word_idx"), ["rec_id", "pos"])
+
+
+def detected_flag(status: Column) -> Column:
+    """The flag that a recording's status is reported by."""
+    return (
+        F.when(status == "success", "speech").when(status == "empty", "empty_audio").when(status == "too short", "too_short")
+        .when(status == "too long", "too_long").when(status.isin("too quiet", "no sound"), "too_quiet").otherwise("nonsense")
+    )
+
+
+def recording_check(frames: DataFrame, expected: DataFrame, least: float, silence: int) -> DataFrame:
+    """``rec_id, error_rate, standard_rate, silent_share, count_ratio`` of each recording with expected phones (``rec_id, pos, phone_id``).
+
+    Phones found are the runs of best phones over ``least``. error_rate: edit distance of the two aligned arrays, gaps
+    included, over their length; standard_rate: of the arrays themselves, over the expected length; silent_share: of frames whose best
+    phone is silence; count_ratio: phones found to phones expected. Without any phone found the rates are null.
+    """
+    code = lambda c: F.char(F.lit(48) + c.cast("int"))
+    listed = lambda o, c: F.transform(F.array_sort(F.collect_list(F.struct(o, c))), lambda x: x[c].cast("string"))
+    found = posterior_runs(frames, least, silence).groupBy("rec_id").agg(listed("run", "phone").alias("found"))
+    goal = expected.groupBy("rec_id").agg(listed("pos", "phone_id").alias("goal"))
+    still = frames.groupBy("rec_id").agg(F.avg((argmax_phone(F.col("probs")) == silence).cast("double")).alias("silent_share"))
+    rows = goal.join(still, "rec_id", "left").join(found, "rec_id", "left").withColumn("z", align(F.col("goal"), F.col("found")))
+    text = lambda c: F.array_join(F.transform(c, lambda t: F.when(t == GAP, "-").otherwise(code(t.try_cast("int")))), "")
+    rate = F.levenshtein(text("z.a"), text("z.b")) / F.size("z.a")
+    standard = F.levenshtein(text("goal"), text("found")) / F.size("goal")
+    return rows.select("rec_id", rate.alias("error_rate"), standard.alias("standard_rate"), "silent_share", (F.coalesce(F.size("found"), F.lit(0)) / F.size("goal")).alias("count_ratio"))
+
+
+def cluster_contrast(rows: DataFrame, accepted: dict[str, list[str]], endings: dict[str, list[str]], position: str = "end", step: float = 0.02, single: list[int] | None = None) -> DataFrame:
+    """``rec_id, detection``: what is found in place of a target cluster, at the ``end`` or ``start`` of its syllable.
+
+    rows: the segments of a syllable aligned with its basis in place of the target: ``rec_id, segments`` (array of
+    ``found, start, end, probs`` in order), ``truth`` (the target and the phone beside it, without stress), ``syllable`` (as it was),
+    ``target`` (array of phones) and ``n_basis``. Silence and segments of one frame go; the outer n + 1 are kept, repeats collapse; phones accepted for a
+    target become it; what equals the syllable's own edge, or is accepted for the whole ending, becomes the target.
+    single: for a basis of one phone, the ids its outermost segment is decided among, by probability.
+    """
+    kept = F.filter("segments", lambda s: (s["found"] != "[SIL]") & (F.round(s["end"] - s["start"], 6) > step))
+    rows = rows.withColumn("__k", kept)
+    found = F.transform("__k", lambda s: F.regexp_replace(s["found"], "[012]$", ""))
+    if single is not None:
+        last = F.size("__k") - 1 if position == "end" else F.lit(0)
+        allowed = F.array(*map(F.lit, single))
+        best = lambda p: F.array_position(F.transform(p, lambda x, i: F.when(F.array_contains(allowed, i), x).otherwise(0.0)), F.array_max(F.transform(p, lambda x, i: F.when(F.array_contains(allowed, i), x).otherwise(0.0)))) - 1
+        found = F.transform("__k", lambda s, i: F.when((i == last) & (F.col("n_basis") == 1), F.get("names", best(s["probs"]).cast("int"))).otherwise(F.regexp_replace(s["found"], "[012]$", "")))
+    rows = rows.withColumn("__f", found)
+    n = F.least(F.col("n_basis") + 1, F.size("__f"))
+    rows = rows.withColumn("__t", collapse_runs(F.slice("__f", F.size("__f") - n + 1 if position == "end" else F.lit(1), n)))
+    table = F.create_map(*[x for t, ps in accepted.items() for x in (F.lit(t), F.array(*map(F.lit, ps)))])
+    mended = F.zip_with("__t", "truth", lambda p, g: F.when(F.coalesce(F.array_contains(F.try_element_at(table, g), p), F.lit(False)), g).otherwise(p))
+    rows = rows.withColumn("__t", F.when(F.size("__t") == F.size("truth"), mended).otherwise(F.col("__t")))
+    body = F.slice("__t", 2, F.greatest(F.size("__t") - 1, F.lit(0))) if position == "end" else F.slice("__t", F.lit(1), F.greatest(F.size("__t") - 1, F.lit(0)))
+    rows = rows.withColumn("__d", body)
+    bare = F.transform("syllable", lambda p: F.regexp_replace(p, "[012]$", ""))
+    edge = F.slice(bare, F.greatest(F.size(bare) - F.size("__d") + 1, F.lit(1)), F.size("__d")) if position == "end" else F.slice(bare, F.lit(1), F.size("__d"))
+    plain = F.transform("target", lambda p: F.regexp_replace(p, "[012]$", ""))
+    whole = F.create_map(*[x for t, ps in endings.items() for x in (F.lit(t), F.array(*map(F.lit, ps)))])
+    fits = F.coalesce(F.array_contains(F.try_element_at(whole, F.array_join(plain, "_")), F.array_join("__d", "_")), F.lit(False))
+    same = ((F.size("__d") > 0) & (F.col("__d") == edge)) | (F.col("__d") == plain) | fits
+    return rows.select("rec_id", F.array_join(F.when(same, F.col("target")).otherwise(F.col("__d")), "_").alias("detection"))
+
+
+def all_aspects(vowels: DataFrame, clusters: DataFrame, stress: DataFrame, keys: tuple[str, ...] = ("rec_id", "word", "syllable")) -> DataFrame:
+    """Vowels and clusters of each syllable in the order start, middle, end, with the stress of the syllable's vowel and of its word.
+
+    vowels: ``keys, phones, detection``; clusters: the same with ``position`` (empty clusters are left out); stress: ``stress_table``'s columns.
+    """
+    middle = vowels.select(*keys, "phones", "detection", F.lit("middle").alias("position"))
+    both = middle.unionByName(clusters.where("phones <> ''").select(*keys, "phones", "detection", "position"))
+    joined = both.join(stress.select(*keys, "score", "word_bit", "sentence_bit"), list(keys), "left")
+    return order_positions(joined, list(keys))
+
+
+def evaluate(selection: DataFrame, scorer: Callable[[DataFrame], DataFrame], key: str, needed: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Results of ``scorer`` (a table to a table with the ``key``) on the rows that have all ``needed`` columns, and the rows without a result.
+
+    The second table has ``key`` and ``error``: the first column that is null, or ``no result``.
+    """
+    lacking = F.coalesce(*[F.when(F.col(c).isNull(), F.lit(f"{c} is null")) for c in needed])
+    marked = selection.withColumn("__e", lacking)
+    results = marked.where("__e is null").drop("__e").transform(scorer)
+    silent = marked.where("__e is null").join(results.select(key).distinct(), key, "left_anti").select(key, F.lit("no result").alias("error"))
+    return results, marked.where("__e is not null").select(key, F.col("__e").alias("error")).unionByName(silent)
 
 
 def token_error_rate(truth: Column, found: Column, alphabet: Column) -> Column:

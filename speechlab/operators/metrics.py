@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from speechlab.functions.phonetics import collapse_runs
+
 
 def value_percent(df: DataFrame, col: str, by: list[str]) -> DataFrame:
     counts = df.groupBy(*by, col).agg(F.count("*").alias("n"))
@@ -57,12 +61,21 @@ def drop_top_words(df: DataFrame, k: int) -> DataFrame:
 
 
 def threshold_sweep(df: DataFrame, score: str, positive) -> DataFrame:
-    """True and false positive rates of accepting scores up to each distinct value; sums run over distinct scores."""
+    """True and false positive rates of accepting scores up to each distinct value; sums run over distinct scores.
+
+    Scores are dealt by range, each range is summed up, and sums within a range start from those of all ranges
+    before it: no task takes more than its range, also where scores hardly repeat.
+    """
     steps = df.groupBy(F.col(score).alias("threshold")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
-    total = steps.agg(F.sum("p").alias("tp"), F.sum("q").alias("tq"))
-    w = Window.orderBy("threshold")
-    run = steps.withColumn("cp", F.sum("p").over(w)).withColumn("cq", F.sum("q").over(w)).join(F.broadcast(total))
-    return run.select("threshold", (F.col("cp") / F.col("tp")).alias("tpr"), (F.col("cq") / F.col("tq")).alias("fpr"))
+    dealt = steps.repartitionByRange("threshold").withColumn("part", F.spark_partition_id())
+    of = Window.partitionBy("part").orderBy("threshold")
+    run = dealt.withColumn("cp", F.sum("p").over(of)).withColumn("cq", F.sum("q").over(of))
+    sums = run.groupBy("part").agg(F.min("threshold").alias("low"), F.sum("p").alias("sp"), F.sum("q").alias("sq"))
+    before = Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    every = Window.orderBy("low").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    base = sums.select("part", F.coalesce(F.sum("sp").over(before), F.lit(0)).alias("bp"), F.coalesce(F.sum("sq").over(before), F.lit(0)).alias("bq"), F.sum("sp").over(every).alias("tp"), F.sum("sq").over(every).alias("tq"))
+    joined = run.join(F.broadcast(base), "part")
+    return joined.select("threshold", ((F.col("cp") + F.col("bp")) / F.col("tp")).alias("tpr"), ((F.col("cq") + F.col("bq")) / F.col("tq")).alias("fpr"))
 
 
 def mean_vectors(df: DataFrame, label: str, vector: str) -> DataFrame:
@@ -91,8 +104,8 @@ def posterior_matrix(frames: DataFrame, label: str) -> DataFrame:
 
 
 def weighted_confidence(segments: DataFrame, by: list[str], p: str, n: str) -> DataFrame:
-    """Confidence weighted by duration."""
-    return segments.groupBy(*by).agg((F.sum(F.col(p) * F.col(n)) / F.sum(n)).alias("confidence"))
+    """Confidence weighted by duration; decimal columns are summed exactly and divided once."""
+    return segments.groupBy(*by).agg((F.sum(F.col(p) * F.col(n)).cast("double") / F.sum(n).cast("double")).alias("confidence"))
 
 
 def truth_stats(frames: DataFrame, true_id, silence: int) -> DataFrame:
@@ -109,3 +122,103 @@ def label_counts(df: DataFrame, label: str) -> DataFrame:
 def rates_by(df: DataFrame, group, hit) -> DataFrame:
     """``speaker, n, rate`` for a speaker expression and a success expression."""
     return df.groupBy(group.alias("speaker")).agg(F.count("*").alias("n"), F.avg(hit.cast("double")).alias("rate"))
+
+
+def error_ranking(df: DataFrame, by: list[str], wrong) -> DataFrame:
+    """``by, n_errors, n, share``: errors of each group, most first, and (in every row) the share of errors in all rows."""
+    counts = df.groupBy(*by).agg(F.count_if(wrong).alias("n_errors"), F.count("*").alias("n"))
+    total = counts.agg((F.sum("n_errors") / F.sum("n")).alias("share"))
+    return counts.where("n_errors > 0").join(F.broadcast(total), F.lit(True), "left").orderBy(F.desc("n_errors"), *by)
+
+
+def mismatched_truth_stats(frames: DataFrame, true_id, silence: int) -> DataFrame:
+    """As ``truth_stats``, with each recording's labels beside the frames of the next one (a control): ``rec_id, mean, median``.
+
+    Recordings are paired in the order of their ids, the last with the first.
+    """
+    ids = frames.select("rec_id").distinct().groupBy().agg(F.sort_array(F.collect_set("rec_id")).alias("ids"))
+    pairs = ids.select(F.explode(F.arrays_zip(F.col("ids").alias("a"), F.concat(F.slice("ids", 2, F.size("ids")), F.slice("ids", 1, 1)).alias("b"))).alias("p")).select("p.a", "p.b")
+    labels = frames.select("rec_id", "frame_idx", true_id.alias("__t")).join(pairs, F.col("rec_id") == F.col("a")).select("b", "frame_idx", "__t")
+    rows = frames.select(F.col("rec_id").alias("b"), "frame_idx", "probs").join(labels, ["b", "frame_idx"]).where(F.col("__t") != silence)
+    p = F.get("probs", F.col("__t").cast("int"))
+    return rows.groupBy(F.col("b").alias("rec_id")).agg(F.avg(p).alias("mean"), F.median(p).alias("median"))
+
+
+def match_rates(segments: DataFrame, keys: list[str], silence: str = "[SIL]") -> DataFrame:
+    """``n_phones, phone_rate, n_syllables, syllable_rate`` of a segment table (``keys`` of a syllable, ``pos, phone, found``).
+
+    A phone found as silence is no error; a syllable matches if its found phones, without silence and repeats of
+    neighbours, are its phones.
+    """
+    wrong = (F.col("phone") != F.col("found")) & (F.col("found") != silence)
+    order = F.array_sort(F.collect_list(F.struct("pos", "phone", "found")))
+    whole = segments.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(wrong).alias("bad"), order.alias("r"))
+    heard = collapse_runs(F.filter(F.transform("r", lambda x: x["found"]), lambda t: t != silence))
+    hit = (heard == F.transform("r", lambda x: x["phone"])).cast("double")
+    return whole.agg(F.sum("n").alias("n_phones"), (1 - F.sum("bad") / F.sum("n")).alias("phone_rate"), F.count("*").alias("n_syllables"), F.avg(hit).alias("syllable_rate"))
+
+
+def sentence_stress_eval(df: DataFrame) -> DataFrame:
+    """One row: how well stress is found inside the chunk that holds the stressed word.
+
+    df: ``bins`` and ``found`` (0/1 for each word) and ``counts`` (words of each chunk). Sentences without exactly one
+    stressed word are left out. ``base_rate, found_rate``: shares of ones in these chunks; ``failure_rate``: chunks without
+    any result; ``hit_rate``: of the others, those where the stressed word is found.
+    """
+    one = df.where(F.size(F.filter("bins", lambda b: b == 1)) == 1).withColumn("__at", F.array_position("bins", 1) - 1)
+    ends = F.transform("counts", lambda c, k: F.aggregate(F.slice("counts", F.lit(1), k + 1), F.lit(0), lambda a, v: a + v.cast("int")))
+    chunk = F.filter(F.transform(ends, lambda e, k: F.struct((e - F.get("counts", k)).cast("int").alias("a"), e.cast("int").alias("e"))), lambda x: (F.col("__at") >= x["a"]) & (F.col("__at") < x["e"]))
+    one = one.withColumn("__c", F.get(chunk, F.lit(0))).where("__c is not null")
+    cut = lambda c: F.slice(c, F.col("__c.a") + 1, F.col("__c.e") - F.col("__c.a"))
+    rows = one.select(cut("bins").alias("b"), cut("found").alias("f"), (F.get("found", F.col("__at").cast("int")) == 1).alias("hit"))
+    ones = lambda c: F.sum(F.size(F.filter(c, lambda b: b == 1))) / F.sum(F.size(c))
+    empty = F.size("f") == 0
+    hit = F.avg(F.when(~empty, F.coalesce(F.col("hit"), F.lit(False)).cast("double")))
+    return rows.agg(F.count("*").alias("n"), ones("b").alias("base_rate"), ones("f").alias("found_rate"), F.avg(empty.cast("double")).alias("failure_rate"), hit.alias("hit_rate"))
+
+
+def word_stress_eval(df: DataFrame) -> DataFrame:
+    """``n_syll, n, error``: share of wrong stress bits by the word's length in syllables.
+
+    df: ``truth`` and ``found`` (0/1 for each syllable) of each word. Words of several syllables that are all stressed, and
+    words whose lengths differ, are left out.
+    """
+    usual = (F.size("truth") == 1) | F.array_contains("truth", 0)
+    rows = df.where(usual & (F.size("truth") == F.size("found")))
+    wrong = rows.select(F.size("truth").cast("long").alias("n_syll"), F.explode(F.zip_with("truth", "found", lambda x, y: (x != y).cast("double"))).alias("bad"))
+    return wrong.groupBy("n_syll").agg(F.count("*").alias("n"), F.avg("bad").alias("error"))
+
+
+def syllable_set(phonetics: DataFrame, col: str = "phonetics") -> DataFrame:
+    """Distinct syllables of formatted phonetics."""
+    return phonetics.select(F.explode(F.split(col, r"[ |]")).alias("syllable")).distinct()
+
+
+def classifier_scores(df: DataFrame) -> DataFrame:
+    """``model, accuracy, accuracy_unstressed`` of ``model, phone, guess`` rows."""
+    bare = lambda c: F.regexp_replace(c, "[012]$", "")
+    equal, loose = F.col("phone") == F.col("guess"), bare("phone") == bare("guess")
+    return df.groupBy("model").agg(F.avg(equal.cast("double")).alias("accuracy"), F.avg(loose.cast("double")).alias("accuracy_unstressed"))
+
+
+def word_score_arrays(scores: DataFrame, paths: list[tuple[str, DataFrame]]) -> DataFrame:
+    """``sentence_id, text, total, words_accuracy, words_stress, words_phones, wav_path, data_set``.
+
+    scores: ``sentence_id`` and ``json``, an object with ``text``, ``total`` and ``words`` (objects with ``accuracy``, ``stress``, ``phones``);
+    paths: (data set, its ``sentence_id, wav_path``). What cannot be parsed has nulls; sentences without a path stay.
+    """
+    shape = "text string, total double, words array<struct<accuracy: double, stress: double, phones: array<string>>>"
+    parsed = scores.select("sentence_id", F.from_json("json", shape).alias("s"))
+    known = reduce(DataFrame.unionByName, [df.select("sentence_id", "wav_path").withColumn("data_set", F.lit(name)) for name, df in paths])
+    field = lambda n: F.transform("s.words", lambda w: w[n]).alias(f"words_{n}")
+    return parsed.select("sentence_id", "s.text", "s.total", field("accuracy"), field("stress"), field("phones")).join(known, "sentence_id", "left")
+
+
+def answer_scores(answers: DataFrame, key: DataFrame) -> DataFrame:
+    """``student, n_items, score``: items whose stressed place (the first 1 of ``bins``, from 1; null without any) is the key's.
+
+    answers: ``student, item, bins``; key: ``item, place``. Items without a key do not count.
+    """
+    place = F.nullif(F.array_position("bins", 1), F.lit(0))
+    rows = answers.select("student", "item", place.alias("given")).join(F.broadcast(key.select("item", "place")), "item")
+    return rows.groupBy("student").agg(F.count("*").alias("n_items"), F.count_if(F.col("given") == F.col("place")).alias("score"))

@@ -125,3 +125,31 @@ def user_panel(df: DataFrame, user: str, key: str, n_users: int, cap: int) -> Da
     """At most ``cap`` rows of each of the first ``n_users`` users."""
     users = df.select(user).distinct().orderBy(user).limit(n_users)
     return cap_per_class(df.join(F.broadcast(users), user, "left_semi"), user, key, cap)
+
+
+def run_blocks(df: DataFrame, label: str, part: list[str], order: list[str]) -> DataFrame:
+    """Rows inside runs of two or more equal labels."""
+    w = Window.partitionBy(*part).orderBy(*order)
+    marked = df.withColumn("__b", F.lag(label).over(w)).withColumn("__a", F.lead(label).over(w))
+    inside = (F.col("__b") == F.col(label)) | (F.col("__a") == F.col(label))
+    return marked.where(inside).drop("__b", "__a")
+
+
+def order_positions(df: DataFrame, keys: list[str], position: str = "position") -> DataFrame:
+    """``place``: number, from 0, in the order of keys and start, middle, end within the last key's group."""
+    rank = F.when(F.col(position) == "start", 0).when(F.col(position) == "middle", 1).when(F.col(position) == "end", 2).otherwise(3)
+    return df.withColumn("place", (F.row_number().over(Window.partitionBy(*keys).orderBy(rank)) - 1).cast("long"))
+
+
+def stress_table(syllables: DataFrame, key: str = "rec_id") -> DataFrame:
+    """``word_bit`` and ``sentence_bit`` of each stressed-vowel row (``key, chunk, word, syllable, score``).
+
+    word_bit: 1 for the first maximum of a word. sentence_bit: of a word's highest score, 1 if it is among the top third of its
+    chunk (at least one) and at least 60; a chunk of one word is always 1. A recording of one vowel has score 100 and ones.
+    """
+    alone = F.count("*").over(Window.partitionBy(key)) == 1
+    rows = syllables.withColumn("__one", alone).withColumn("score", F.when(F.col("__one"), 100).otherwise(F.col("score")))
+    rows = word_stress_bins(rows, [key, "word"], "score", "syllable").withColumnRenamed("bit", "word_bit")
+    words = rows.groupBy(key, "chunk", "word").agg(F.max("score").alias("score"))
+    bits = top_binary(words, [key, "chunk"], "score", "word", 3, 60.0).select(key, "word", F.col("bit").alias("sentence_bit"))
+    return rows.join(bits, [key, "word"]).drop("__one")

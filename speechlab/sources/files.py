@@ -42,6 +42,37 @@ def read_json_lexicon(spark: SparkSession, path: str) -> DataFrame:
     return words.select("word", F.posexplode("alternatives").alias("alt_idx", "p")).select("word", "alt_idx", F.array_join("p", "_").alias("phones"))
 
 
+def read_phone_cells(spark: SparkSession, path: str) -> DataFrame:
+    """``file, phones``: one JSON object for each file of names to ``start``, ``end`` and ``phone`` cells (maps by number), as arrays in their order."""
+    cell = "struct<start: map<string,double>, end: map<string,double>, phone: map<string,string>>"
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string,{cell}>")).alias("file", "c"))
+    order = F.array_sort(F.transform(F.map_keys("c.phone"), lambda k: k.try_cast("int")))
+    at = lambda name, k: F.try_element_at(F.col(f"c.{name}"), k.cast("string"))
+    return rows.select("file", F.transform(order, lambda k: F.struct(at("start", k).alias("start"), at("end", k).alias("end"), at("phone", k).alias("phone"))).alias("phones"))
+
+
+def read_tiers(spark: SparkSession, path: str, silent: tuple[str, ...] = ("sil", "sp", "", "spn")) -> DataFrame:
+    """``file, tier, idx, start, end, mark``: interval tiers of text grids (the long text format), many files at once.
+
+    Intervals of the tier ``phones`` whose mark is silent, and of other tiers whose mark is empty, go; the others keep their number.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    tiers = files.select("file", F.explode(F.slice(F.split("value", r"item \[[0-9]+\]:"), 2, 1_000_000)).alias("t"))
+    tiers = tiers.select("file", F.regexp_extract("t", r'name = "([^"]*)"', 1).alias("tier"), F.regexp_replace("t", r"(?s)^.*?intervals: size", "").alias("t"))
+    shape = r'xmin = ([-0-9.eE]+)\s+xmax = ([-0-9.eE]+)\s+text = "((?:[^"]|"")*)"'
+    group = lambda k: F.expr(f"regexp_extract_all(t, '{shape}', {k})".replace("\\", "\\\\"))
+    rows = tiers.select("file", "tier", F.posexplode(F.arrays_zip(group(1).alias("a"), group(2).alias("b"), group(3).alias("m"))).alias("idx", "x"))
+    mark = F.replace("x.m", F.lit('""'), F.lit('"'))
+    rows = rows.select("file", "tier", F.col("idx").cast("long").alias("idx"), F.col("x.a").cast("double").alias("start"), F.col("x.b").cast("double").alias("end"), mark.alias("mark"))
+    return rows.where(F.when(F.col("tier") == "phones", ~F.col("mark").isin(*silent)).otherwise(F.col("mark") != ""))
+
+
+def write_srt(df: DataFrame, path: str, part: list[str]) -> None:
+    """Cues of ``format_srt`` as text, one folder for each value of ``part``; cues stand in their order within a file."""
+    cues = format_srt(df, part).repartition(*part).sortWithinPartitions(*part, "start", "end", "text")
+    cues.select(*part, F.concat("cue", F.lit("\n")).alias("value")).write.partitionBy(*part).text(path)
+
+
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="word string, n long")
 
