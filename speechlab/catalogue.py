@@ -111,7 +111,17 @@ def _(phon):
     return out.select("word", _long("word_idx"), _long("syl_idx"), _long("phone_idx"), "phone")
 
 
-@_add("y1_syllabify", None, "fx_tokens")
+_SON = "CASE WHEN contains('aeiouyàáâäæãåāèéêëēėęîïíīįìôöòóœøōõûüùúūůÿ', c) THEN 5 WHEN contains('lmnrw', c) THEN 3 WHEN contains('zvsfh', c) THEN 2 ELSE 0 END"
+_SYLLABLES = f"""w AS (SELECT DISTINCT word FROM fx_tokens),
+s AS (SELECT word, list_filter(string_split(word, ''), lambda c: c <> '') AS l FROM w),
+t AS (SELECT word, l, list_transform(l, lambda c: {_SON}) AS son FROM s),
+b AS (SELECT *, list_filter(range(1, len(l) + 1), lambda i: i = 1 OR (i > 1 AND i < len(l) AND son[i] < son[i - 1] AND son[i] < son[i + 1]) OR (i > 2 AND son[i - 1] = son[i] AND son[i - 1] <= son[i - 2])) AS st FROM t),
+p AS (SELECT *, list_filter(list_transform(st, lambda x, k: {{'a': x, 'e': coalesce(st[k + 1], len(l) + 1)}}), lambda z: list_contains(son[z.a : z.e - 1], 5)) AS p FROM b),
+q AS (SELECT *, list_transform(p, lambda z, k: CASE WHEN k = 1 THEN 1 ELSE z.a END) AS q, len(list_filter(son, lambda x: x = 5)) AS n FROM p),
+y AS (SELECT word, CASE n WHEN 0 THEN '' WHEN 1 THEN word ELSE array_to_string(list_transform(q, lambda x, k: array_to_string(l[x : coalesce(q[k + 1], len(l) + 1) - 1], '')), '|') END AS syllables FROM q)"""
+
+
+@_add("y1_syllabify", f"WITH {_SYLLABLES} SELECT word, syllables FROM y", "fx_tokens")
 def _(tokens):
     return Y.syllabify(tokens).select("word", F.array_join("syllables", "|").alias("syllables"))
 
@@ -122,6 +132,9 @@ def _(tokens):
     return tokens.select("word").distinct().select("word", _joined(F.transform(letters, lambda x: Y.sonority(x)), "").alias("son"))
 
 
+_SQL["g17_syllables_per_word"] = duck(f"WITH {_SYLLABLES} SELECT lang, CASE WHEN syllables = '' THEN 0 ELSE len(string_split(syllables, '|')) END AS n_syllables, count(*) AS n_words FROM fx_tokens JOIN y USING (word) GROUP BY 1, 2")
+
+
 # lexicon
 @_add("x1_override", "SELECT word, CAST(alt_idx AS BIGINT) AS alt_idx, phones FROM fx_lexicon WHERE word NOT IN (SELECT word FROM fx_phon WHERE word LIKE 'a%') UNION ALL SELECT word, CAST(7 AS BIGINT), 'X' FROM fx_phon WHERE word LIKE 'a%'", "fx_lexicon", "fx_phon")
 def _(lexicon, phon):
@@ -367,7 +380,18 @@ def _(frames):
     return K.drop_silence(frames).select("rec_id", "frame_idx", "t")
 
 
-@_add("k9_force_align", None, "fx_frames", "fx_targets")
+_ALIGN = """WITH RECURSIVE f AS (SELECT rec_id, frame_idx, probs FROM fx_frames WHERE probs[10] < list_max(probs)),
+m AS (SELECT rec_id, list(probs ORDER BY frame_idx) AS m FROM f GROUP BY 1),
+g AS (SELECT rec_id, list(phone_id ORDER BY pos) AS goal FROM fx_targets GROUP BY 1),
+d AS (
+    SELECT rec_id, 1 AS t, m, goal, list_transform(goal, lambda x, j: CASE WHEN j = 1 THEN {'c': -m[1][x + 1], 'p': '0'} ELSE {'c': 1e18::DOUBLE, 'p': ''} END) AS row FROM m JOIN g USING (rec_id) WHERE len(m) >= len(goal)
+    UNION ALL
+    SELECT rec_id, t + 1, m, goal, list_transform(goal, lambda x, j: CASE WHEN j > 1 AND row[j - 1].c <= row[j].c AND row[j - 1].c < 1e17 THEN {'c': row[j - 1].c - m[t + 1][x + 1], 'p': row[j - 1].p || '|' || (j - 1)} ELSE {'c': row[j].c - m[t + 1][x + 1], 'p': row[j].p || '|' || (j - 1)} END) FROM d WHERE t < len(m)
+)
+SELECT g.rec_id, round(row[-1].c, 6) AS cost, row[-1].p AS path FROM g LEFT JOIN (SELECT * FROM d WHERE t = len(m)) d USING (rec_id)"""
+
+
+@_add("k9_force_align", _ALIGN, "fx_frames", "fx_targets")
 def _(frames, targets):
     return K.force_align(K.drop_silence(frames), targets).select("rec_id", _r("cost"), _joined(F.col("path")).alias("path"))
 

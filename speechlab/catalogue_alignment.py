@@ -68,7 +68,7 @@ def _(lexicon):
 
 
 # alignments
-@add("a1_global_alignment", None, "fx_lexicon")
+@add("a1_global_alignment", "WITH t AS (SELECT word, min_by(phones, alt_idx) AS x, max_by(phones, alt_idx) AS y FROM fx_lexicon GROUP BY 1) SELECT word, CAST(len(string_split(x, '_')) AS INT) AS n_match, CASE WHEN x = y THEN replace(x, '_', ' ') ELSE regexp_replace(replace(x, '_', ' '), ' ', ' - ') END AS a, replace(y, '_', ' ') AS b FROM t", "fx_lexicon")
 def _(lexicon):
     both = lexicon.groupBy("word").agg(F.min_by("phones", "alt_idx").alias("x"), F.max_by("phones", "alt_idx").alias("y"))
     got = both.select("word", A.align(F.split("x", "_"), F.split("y", "_")).alias("z"))

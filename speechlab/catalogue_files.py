@@ -145,18 +145,19 @@ def _stream(rows: DataFrame, last: DataFrame, job) -> DataFrame:
     return spark.read.schema(result.schema).parquet(out)
 
 
-_FAR = F.lit("2030-01-01").cast("timestamp").alias("ts")
+def _far():
+    return F.lit("2030-01-01").cast("timestamp").alias("ts")
 
 
 @add("r1_stream_sessions", "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e) SELECT user_id AS file_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 3600000000 AS \"end\", count(*) AS n_words FROM s GROUP BY user_id, k", "events")
 def _(events):
     rows = events.select(F.col("user_id").alias("file_id"), F.col("ts").cast("timestamp").alias("ts"))
-    got = _stream(rows, rows.limit(1).select(F.lit(-1).cast("long").alias("file_id"), _FAR), lambda df: live.stream_sessions(df, "1 hour", "400 days"))
+    got = _stream(rows, rows.limit(1).select(F.lit(-1).cast("long").alias("file_id"), _far()), lambda df: live.stream_sessions(df, "1 hour", "400 days"))
     return got.where("file_id >= 0").select("file_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n_words")
 
 
 @add("r2_stream_gate_counts", "SELECT epoch(date_trunc('day', ts))::BIGINT AS start, event_type AS status, count(*) AS n FROM events GROUP BY 1, 2", "events")
 def _(events):
     rows = events.select(F.col("event_type").alias("status"), F.col("ts").cast("timestamp").alias("ts"))
-    got = _stream(rows, rows.limit(1).select(F.lit("late").alias("status"), _FAR), lambda df: live.stream_gate_counts(df, "1 day", "400 days"))
+    got = _stream(rows, rows.limit(1).select(F.lit("late").alias("status"), _far()), lambda df: live.stream_gate_counts(df, "1 day", "400 days"))
     return got.where("status <> 'late'").select((F.unix_micros("start") / 1000000).cast("long").alias("start"), "status", "n")

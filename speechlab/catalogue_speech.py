@@ -278,3 +278,84 @@ def _(lineitem):
 @add("k25_explode_sequences", "SELECT rec_id, frame_idx, CAST(unnest(range(10)) AS BIGINT) AS phone, unnest(probs) AS p FROM fx_frames", "fx_frames")
 def _(frames):
     return frames.select("rec_id", "frame_idx", F.posexplode("probs").alias("phone", "p")).withColumn("phone", _long("phone"))
+
+
+# further forms of rows above
+_FORMS = "SELECT word || '''s' AS f, word, 'S' AS c FROM fx_phon UNION ALL SELECT word || '''d', word, 'D' FROM fx_phon"
+
+
+@add("x2_derive_forms", f"WITH f AS ({_FORMS}), d AS (SELECT f.f AS word, alt_idx, phones || '_' || CASE WHEN c = 'D' THEN CASE WHEN regexp_matches(phones, '(^|_)(T|D)$') THEN 'AH0_D' ELSE 'D' END WHEN regexp_matches(phones, '(^|_)(S|Z)$') THEN 'IH0_Z' WHEN regexp_matches(phones, '(^|_)(K|P|T|F)$') THEN 'S' ELSE 'Z' END AS phones FROM f JOIN fx_lexicon l ON l.word = f.word) SELECT word, CAST(alt_idx AS INT) AS alt_idx, phones FROM d WHERE word <> 'de''s' UNION ALL SELECT 'de''s', 0, 'X'", "fx_lexicon")
+def _(lexicon):
+    forms = lexicon.select(F.explode(F.array(F.concat("word", F.lit("'s")), F.concat("word", F.lit("'d")))).alias("word"))
+    endings = {"'s": [(("S", "Z"), "IH0_Z"), (("K", "P", "T", "F"), "S"), ((), "Z")], "'d": [(("T", "D"), "AH0_D"), ((), "D")]}
+    fixed = lexicon.sparkSession.createDataFrame([("de's", 0, "X")], "word string, alt_idx int, phones string")
+    return X.derive_forms(lexicon, forms, endings, fixed)
+
+
+@add("x11_lookup_oov", "WITH w AS (SELECT DISTINCT word FROM fx_tokens), l AS (SELECT word, phones FROM fx_lexicon WHERE alt_idx = 0) SELECT w.word, coalesce(l.phones, CASE WHEN length(w.word) = 9 THEN 'OOV' END) AS phones, CASE WHEN l.phones IS NOT NULL THEN 'exact' WHEN length(w.word) = 9 THEN 'oov' ELSE 'none' END AS how FROM w LEFT JOIN l ON l.word = w.word", "fx_tokens", "fx_lexicon")
+def _(tokens, lexicon):
+    oov = tokens.where(F.length("word") == 9).select("word", F.lit("OOV").alias("phones"))
+    return X.lookup(tokens, lexicon, lambda c: c, oov)
+
+
+@add("x14_letter_names", "SELECT word AS letter, CAST(0 AS INT) AS alt_idx, CASE word WHEN 'a' THEN 'EY1' ELSE phones END AS phones FROM fx_lexicon WHERE length(word) = 1 AND alt_idx = 0 UNION ALL SELECT 'w', 0, 'D_AH1_B'", "fx_lexicon")
+def _(lexicon):
+    fixes = lexicon.sparkSession.createDataFrame([("a", 0, "EY1"), ("w", 0, "D_AH1_B")], "word string, alt_idx int, phones string")
+    return X.letter_names(lexicon, fixes)
+
+
+@add("x16_mismatch_kind", "SELECT word, CAST(alt_idx AS BIGINT) AS alt_idx, CASE WHEN n <> e AND p > 1 THEN 'n_syl+stress' WHEN n <> e THEN 'n_syl' WHEN p > 1 THEN 'stress' END AS kind FROM (SELECT word, alt_idx, len(regexp_extract_all(phones, '[012]')) AS n, length(word) // 2 AS e, len(regexp_extract_all(replace(phones, '0', CASE WHEN length(word) % 3 = 0 THEN '1' ELSE '0' END), '1')) AS p FROM fx_lexicon)", "fx_lexicon")
+def _(lexicon):
+    phones = F.replace("phones", F.lit("0"), F.when(F.length("word") % 3 == 0, "1").otherwise("0"))
+    kind = X.mismatch_kind(F.regexp_count(phones, F.lit("[012]")), F.floor(F.length("word") / 2), F.regexp_count(phones, F.lit("1")), F.lit(1))
+    return lexicon.select("word", _long("alt_idx"), kind.alias("kind"))
+
+
+@add("x23_variant_join", "SELECT coalesce(a.word, b.word) AS word, a.phones AS first, b.phones AS second FROM (SELECT * FROM fx_lexicon WHERE alt_idx = 0 AND length(word) % 4 > 0) a FULL JOIN (SELECT * FROM fx_lexicon WHERE alt_idx = 1) b ON a.word = b.word", "fx_lexicon")
+def _(lexicon):
+    return X.variant_table([("first", lexicon.where("alt_idx = 0 and length(word) % 4 > 0")), ("second", lexicon.where("alt_idx = 1"))], "word", "phones")
+
+
+@add("w8_segment_names", "SELECT file_id, word_id, word || '_' || row_number() OVER (PARTITION BY file_id, run ORDER BY start, word_id) - 1 || '.wav' AS name FROM (SELECT *, CAST(sum(new) OVER (PARTITION BY file_id ORDER BY start, word_id) AS BIGINT) AS run FROM (SELECT *, CAST(lag(word) OVER (PARTITION BY file_id ORDER BY start, word_id) IS DISTINCT FROM word AS INT) AS new FROM fx_words))", "fx_words")
+def _(words):
+    rows = words.withColumn("word", F.concat(F.lit("a/"), "word", F.lit(".flac")))
+    return W.segment_names(rows, "word", ["file_id"], ["start", "word_id"]).select("file_id", "word_id", "name")
+
+
+@add("f1_select_words_operator", "SELECT word, phonetics FROM fx_phon WHERE contains(phonetics, 'IH') AND starts_with(word, 'd')", "fx_phon")
+def _(phon):
+    return E.select_words(E.select_words(phon, "IH", "phonetics", "contains"), "d", "word", "startswith").select("word", "phonetics")
+
+
+@add("f3_target_syllable_operator", "SELECT word, list_position(list_transform(string_split(phonetics, '|'), lambda s: list_contains(string_split(s, '_'), 'D')), true) - 1 AS syl FROM fx_phon WHERE list_contains(string_split_regex(phonetics, '[ |_]'), 'D')", "fx_phon")
+def _(phon):
+    return E.target_syllable(phon, "D").select("word", "syl")
+
+
+@add("e3_polysyllables", "SELECT word FROM fx_lexicon WHERE alt_idx = 0 AND len(regexp_extract_all(phones, '[012]')) >= 3 ORDER BY md5(word || '-three'), word LIMIT 50", "fx_lexicon")
+def _(lexicon):
+    return E.polysyllables(lexicon.where("alt_idx = 0"), 50, "three", 3)
+
+
+@add("g15_word_stress_operator", "WITH w AS (SELECT word, regexp_replace(phonetics, '[^012]', '', 'g') AS s FROM fx_phon), e AS (SELECT length(s) AS n_syll, unnest(range(length(s))) AS i, s, length(word) AS l FROM w WHERE (length(s) = 1 OR contains(s, '0'))) SELECT n_syll, count(*) AS n, round(avg(CASE WHEN (substring(s, CAST(i + 1 AS INT), 1) = '1') <> (l % n_syll = i) THEN 1.0 ELSE 0.0 END), 6) AS error FROM e GROUP BY 1", "fx_phon")
+def _(phon):
+    bits = phon.select("word", P.stress_bits(P.phones(F.col("phonetics"))).alias("truth"))
+    found = bits.withColumn("found", F.transform("truth", lambda x, i: (F.length("word") % F.size("truth") == i).cast("int")))
+    return G.word_stress_eval(found).select("n_syll", "n", _r("error"))
+
+
+@add("g18_syllable_set_operator", "SELECT DISTINCT unnest(string_split(phonetics, '|')) AS syllable FROM fx_phon WHERE length(word) > 3", "fx_phon")
+def _(phon):
+    return G.syllable_set(phon.where("length(word) > 3"))
+
+
+@add("k14_rewritten_syllable", "SELECT word, array_to_string(list_transform(string_split(string_split(phonetics, '|')[1], '_'), lambda p, i: regexp_replace(CASE WHEN i = 1 THEN 'K' ELSE p END, '[012]$', '')), '_') AS out FROM fx_phon", "fx_phon")
+def _(phon):
+    first = F.get(F.element_at(P.split_phonetics(F.col("phonetics")), 1), F.lit(0))
+    return phon.select("word", F.array_join(K.rewritten_syllable(first, F.lit(0), F.lit("K")), "_").alias("out"))
+
+
+@add("k7_classifier_scores", "SELECT CAST(pos % 2 AS BIGINT) AS model, round(avg(CASE WHEN phone = replace(phone, '1', '0') THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(avg(CASE WHEN true THEN 1.0 ELSE 0.0 END), 6) AS accuracy_unstressed FROM fx_phones_of_word GROUP BY 1", "fx_phones_of_word")
+def _(phones):
+    rows = phones.select((F.col("pos") % 2).cast("long").alias("model"), "phone", F.regexp_replace("phone", "1", "0").alias("guess"))
+    return G.classifier_scores(rows).select("model", _r("accuracy"), _r("accuracy_unstressed"))

@@ -115,6 +115,10 @@ def spelled(words: DataFrame, letters: DataFrame) -> DataFrame:
     return told.where(~F.exists("s", lambda x: x["name"].isNull())).select("word", F.array_join(F.transform("s", lambda x: x["name"]), "_").alias("phones"))
 
 
+#: Training rows that every task reads at most.
+MOST_TRAINING = 200_000
+
+
 def _nearest(x: np.ndarray, train: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, training row and distance of the ``k`` nearest to each row of ``x``: exact, ties to the smaller id."""
     own, other = (x * x).sum(1), (train * train).sum(1)
@@ -129,12 +133,22 @@ def _nearest(x: np.ndarray, train: np.ndarray, ids: np.ndarray, k: int) -> tuple
     return row[kept], col[kept], far[kept]
 
 
-def knn_probabilities(train: DataFrame, test: DataFrame, k: int) -> DataFrame:
-    """``id, label, p``: shares of the ``k`` nearest training rows' labels, weights 1 / Euclidean distance.
+def knn_probabilities(train: DataFrame, test: DataFrame, k: int, metric: str = "euclidean", weights: str = "distance") -> DataFrame:
+    """``id, label, p``: shares of the ``k`` nearest training rows' labels.
 
-    ``train`` (id, label, v) is a capped balanced set, which every task reads; ties go to the smaller id. If a
-    neighbour is at distance zero, only such ones count. Rows whose ``v`` is null or not all finite are left out.
+    metric: euclidean or cosine (1 minus the cosine: half the squared distance of the vectors at length 1; a vector of zeros
+    stays); weights: distance (1 / distance) or uniform. ``train`` (id, label, v) is a capped balanced set, which every task
+    reads: more than ``MOST_TRAINING`` rows raise. Ties go to the smaller id. If a neighbour is at distance zero, only such
+    ones count, unless weights are uniform. Rows whose ``v`` is null or not all finite are left out.
     """
+    if metric == "cosine":
+        size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double")))
+        unit = F.when(size > 0, F.transform("v", lambda c: c.cast("double") / size)).otherwise(F.col("v").cast("array<double>"))
+        train, test = train.withColumn("v", unit), test.withColumn("v", unit)
+    elif metric != "euclidean":
+        raise ValueError(f"unknown metric {metric!r}")
+    if train.limit(MOST_TRAINING + 1).count() > MOST_TRAINING:
+        raise ValueError("cap the training rows of each class first")
     rows = train.select("id", "label", F.col("v").cast("array<double>").alias("v")).where(_finite("v")).toArrow()
     ids = rows.column("id").to_numpy()
     vectors = np.array(rows.column("v").to_pylist(), dtype=np.float64).reshape(len(ids), -1)
@@ -148,11 +162,16 @@ def knn_probabilities(train: DataFrame, test: DataFrame, k: int) -> DataFrame:
                 part = batch.slice(j, block)
                 x = np.array(part.column(1).to_pylist(), dtype=np.float64)
                 row, col, far = _nearest(x, t, own, k)
+                if metric == "cosine":
+                    far = far * far / 2
                 cols = [part.column(0).take(pa.array(row)), labels.take(pa.array(col)), pa.array(far)]
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "label", "d"])
 
     kind, label = test.schema["id"].dataType.simpleString(), train.schema["label"].dataType.simpleString()
     near = test.select("id", F.col("v").cast("array<double>").alias("v")).where(_finite("v")).mapInArrow(run, f"id {kind}, label {label}, d double")
+    if weights == "uniform":
+        counts = near.groupBy("id", "label").agg(F.count("*").alias("n"))
+        return counts.select("id", "label", (F.col("n") / F.sum("n").over(Window.partitionBy("id"))).alias("p"))
     votes = near.groupBy("id", "label").agg(F.sum(F.when(F.col("d") > 0, 1 / F.nullif("d", F.lit(0.0)))).alias("far"), F.count_if(F.col("d") == 0).cast("double").alias("same"))
     of = Window.partitionBy("id")
     weighed = votes.withColumn("w", F.when(F.max("same").over(of) > 0, F.col("same")).otherwise(F.col("far")))

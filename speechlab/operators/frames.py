@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from speechlab.functions.phonetics import collapse_runs
 from speechlab.operators.alignment import GAP, align
@@ -27,34 +30,38 @@ def force_align(frames: DataFrame, targets: DataFrame) -> DataFrame:
     """``rec_id, cost, path``: the cheapest monotone assignment of a recording's frames to its expected phones.
 
     The cost of a frame is minus the probability of its phone; each frame keeps the phone or goes on to the
-    next; the path runs from the first phone to the last (ties go on). Fewer frames than phones give nulls.
+    next; the path runs from the first phone to the last (ties go on). Fewer frames than phones, or no frame, give nulls.
+    Recordings are grouped side by side with their phones; a task holds one recording and a byte for each of its cells.
     """
-    rows = frames.groupBy("rec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "probs"))), lambda x: x["probs"]).alias("m"))
-    goal = targets.groupBy("rec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "phone_id"))), lambda x: x["phone_id"]).alias("goal"))
-    both = goal.join(rows, "rec_id", "left")
-    big = F.lit(1e18)
-    start = F.transform(F.col("goal"), lambda g, j: F.struct(F.when(j == 0, -F.get(F.get(F.col("m"), F.lit(0)), g.cast("int"))).otherwise(big).alias("c"), F.lit(0).alias("b")))
-    first = F.struct(start.alias("row"), F.array().cast("array<array<int>>").alias("back"))
-
-    def step(state: Column, p: Column) -> Column:
-        row = F.transform(
-            F.col("goal"),
-            lambda g, j: F.struct(
-                (F.least(F.get(state["row"], j)["c"], F.when(j > 0, F.get(state["row"], F.greatest(j - 1, F.lit(0)))["c"]).otherwise(big)) - F.get(p, g.cast("int"))).alias("c"),
-                F.when((j > 0) & (F.get(state["row"], F.greatest(j - 1, F.lit(0)))["c"] <= F.get(state["row"], j)["c"]), 1).otherwise(0).alias("b"),
-            ),
-        )
-        return F.struct(row.alias("row"), F.concat(state["back"], F.array(F.transform(row, lambda x: x["b"]))).alias("back"))
-
-    done = F.aggregate(F.slice("m", 2, F.greatest(F.size("m") - 1, F.lit(0))), first, step)
-    solved = both.withColumn("fits", F.coalesce(F.size("m") >= F.size("goal"), F.lit(False))).withColumn("d", F.when(F.col("fits"), done))
-    walk = F.aggregate(
-        F.reverse("d.back"),
-        F.array((F.size("goal") - 1).cast("int")),
-        lambda a, b: F.concat(F.array((F.element_at(a, 1) - F.get(b, F.element_at(a, 1))).cast("int")), a),
-    )
-    cost = F.element_at("d.row", -1)["c"]
-    return solved.select("rec_id", F.when(F.col("fits"), cost).alias("cost"), F.when(F.col("fits"), walk).alias("path"))
+
+    def align_one(key: tuple, frame_rows: pa.Table, goal_rows: pa.Table) -> pa.Table:
+        goal = goal_rows.sort_by("pos").column("phone_id").to_numpy().astype(np.int64)
+        if not len(goal):
+            return empty
+        t, n = frame_rows.num_rows, len(goal)
+        cost, path = None, None
+        if t >= n:
+            flat = frame_rows.sort_by("t").column("probs").combine_chunks()
+            p = flat.flatten().to_numpy().reshape(t, -1)[:, goal]
+            row, on = np.full(n, np.inf), np.zeros((t, n), dtype=bool)
+            row[0] = -p[0, 0]
+            for i in range(1, t):
+                before = np.concatenate([[np.inf], row[:-1]])
+                on[i] = (before <= row) & np.isfinite(before)
+                row = np.where(on[i], before, row) - p[i]
+            cost, j, path = float(row[-1]), n - 1, []
+            for i in range(t - 1, -1, -1):
+                path.append(j)
+                j -= int(on[i, j])
+            path.reverse()
+        columns = [pa.array([key[0].as_py()], kind), pa.array([cost], pa.float64()), pa.array([path], pa.list_(pa.int32()))]
+        return pa.Table.from_arrays(columns, names=["rec_id", "cost", "path"])
+
+    kind = to_arrow_type(targets.schema["rec_id"].dataType)
+    schema = f"rec_id {targets.schema['rec_id'].dataType.simpleString()}, cost double, path array<int>"
+    empty = pa.table({"rec_id": pa.array([], kind), "cost": pa.array([], pa.float64()), "path": pa.array([], pa.list_(pa.int32()))})
+    own = frames.select("rec_id", "t", F.col("probs").cast("array<double>").alias("probs"))
+    return own.groupBy("rec_id").cogroup(targets.select("rec_id", "pos", "phone_id").groupBy("rec_id")).applyInArrow(align_one, schema)
 
 
 def _runs(rows: DataFrame, order: str) -> DataFrame:
@@ -248,6 +255,11 @@ def phone_contrast(probs: Column, target: Column, allowed: list[int], least: flo
     return F.when(F.get(probs, target.cast("int")) > least, target.cast("long")).otherwise(best)
 
 
+def rewritten_syllable(syllable: Column, at: Column, found: Column) -> Column:
+    """A syllable of phones with the phone at an index replaced by what was found, without stress digits."""
+    return F.transform(syllable, lambda p, i: F.regexp_replace(F.when(i == at, found).otherwise(p), "[012]$", ""))
+
+
 def accept_alternatives(df: DataFrame, accepted: list[tuple[str, str]]) -> DataFrame:
     """A detection that is accepted for its target becomes the target; pairs: (target, detection)."""
     pairs = df.sparkSession.createDataFrame(accepted, "target string, detection string").withColumn("ok", F.lit(True))

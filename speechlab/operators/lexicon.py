@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from speechlab.functions import phonetics
@@ -19,6 +19,28 @@ def derive_clitics(lexicon: DataFrame, clitic: str, phone: str) -> DataFrame:
     return forms.join(lexicon.select("word").distinct(), "word", "left_anti")
 
 
+def derive_forms(lexicon: DataFrame, forms: DataFrame, endings: dict[str, list[tuple[tuple[str, ...], str]]], corrections: DataFrame | None = None) -> DataFrame:
+    """``word, alt_idx, phones`` of given forms (``word``): stem and clitic, looked up by the stem; corrections replace what is derived.
+
+    endings: for each clitic its phones by the stem's last phone, the first that applies (an empty tuple applies always). Forms
+    whose stem is unknown go; a form that ends in several clitics takes the longest.
+    """
+    rows = forms.select("word").distinct()
+    clitic = F.coalesce(*[F.when(F.col("word").endswith(c), F.lit(c)) for c in sorted(endings, key=lambda c: (-len(c), c))])
+    rows = rows.withColumn("c", clitic).where("c is not null").withColumn("stem", F.substring("word", F.lit(1), F.length("word") - F.length("c")))
+    stems = lexicon.select(F.col("word").alias("stem"), "alt_idx", "phones")
+    last = F.element_at(F.split("phones", "_"), -1)
+    phone = F.lit(None).cast("string")
+    for c, cases in endings.items():
+        chosen = F.lit(None).cast("string")
+        for after, p in reversed(cases):
+            chosen = F.when(last.isin(*after), p).otherwise(chosen) if after else F.lit(p)
+        phone = F.when(F.col("c") == c, chosen).otherwise(phone)
+    out = rows.join(stems, "stem").withColumn("p", phone).where("p is not null")
+    out = out.select("word", F.col("alt_idx").cast("int").alias("alt_idx"), F.concat_ws("_", "phones", "p").alias("phones"))
+    return out if corrections is None else override(out, corrections.select("word", F.col("alt_idx").cast("int").alias("alt_idx"), "phones"))
+
+
 def one_diff_words(lexicon: DataFrame) -> DataFrame:
     """``word, token, idx``: words with two alternatives that differ by one inserted phone; the first such pair."""
     a = lexicon.select("word", F.col("alt_idx").alias("a_idx"), F.split("phones", "_").alias("a"))
@@ -36,14 +58,45 @@ def alternatives_histogram(lexicon: DataFrame) -> DataFrame:
     return lexicon.groupBy("word").agg(F.count("*").alias("n_alternatives")).groupBy("n_alternatives").agg(F.count("*").alias("n_words"))
 
 
-def lookup(words: DataFrame, lexicon: DataFrame, fold) -> DataFrame:
-    """``word, phones, how``: the first alternative, by the word itself, then by its folded form; else null and ``none``."""
+def lookup(words: DataFrame, lexicon: DataFrame, fold, oov: DataFrame | None = None) -> DataFrame:
+    """``word, phones, how``: the first alternative, by the word itself, then by its folded form, then in the ``oov`` table; else null and ``none``.
+
+    oov: ``word, phones``. Only words that the lexicon lacks and that folding changes are looked up again.
+    """
     first = lexicon.where("alt_idx = 0").select("word", "phones")
-    distinct = words.select("word").distinct()
-    exact = distinct.join(first, "word", "left").withColumn("folded", fold(F.col("word")))
-    by_fold = first.select(F.col("word").alias("folded"), F.col("phones").alias("more"))
-    how = F.when(F.col("phones").isNotNull(), "exact").when(F.col("more").isNotNull(), "folded").otherwise("none")
-    return exact.join(by_fold, "folded", "left").select("word", F.coalesce("phones", "more").alias("phones"), how.alias("how"))
+    exact = words.select("word").distinct().join(first, "word", "left")
+    again = exact.where("phones is null").select("word", fold(F.col("word")).alias("folded")).where("word <> folded")
+    told = again.join(first.select(F.col("word").alias("folded"), F.col("phones").alias("more")), "folded").select("word", "more")
+    rows = exact.join(told, "word", "left")
+    how = F.when(F.col("phones").isNotNull(), "exact").when(F.col("more").isNotNull(), "folded")
+    if oov is None:
+        return rows.select("word", F.coalesce("phones", "more").alias("phones"), F.coalesce(how, F.lit("none")).alias("how"))
+    known = oov.groupBy("word").agg(F.min("phones").alias("given"))
+    rows = rows.join(known, "word", "left")
+    how = F.coalesce(how, F.when(F.col("given").isNotNull(), "oov"), F.lit("none"))
+    return rows.select("word", F.coalesce("phones", "more", "given").alias("phones"), how.alias("how"))
+
+
+def letter_names(lexicon: DataFrame, fixes: DataFrame | None = None) -> DataFrame:
+    """``letter, alt_idx, phones``: the longest pronunciation of each one-letter word (of equals the first), then fixed letters replaced or added."""
+    rank = F.row_number().over(Window.partitionBy("word").orderBy(F.size(F.split("phones", "_")).desc(), "alt_idx"))
+    longest = lexicon.where(F.length("word") == 1).withColumn("r", rank).where("r = 1").select("word", F.lit(0).alias("alt_idx"), "phones")
+    out = longest if fixes is None else override(longest, fixes.select("word", F.col("alt_idx").cast("int").alias("alt_idx"), "phones"))
+    return out.withColumnRenamed("word", "letter")
+
+
+def mismatch_kind(n_vowels: Column, expected: Column, primaries: Column, parts: Column) -> Column:
+    """What is wrong with a chosen alternative: ``n_syl``, ``stress``, ``n_syl+stress``, or null."""
+    off, crowded = n_vowels != expected, primaries > parts
+    return F.when(off & crowded, "n_syl+stress").when(off, "n_syl").when(crowded, "stress")
+
+
+def variant_table(tables: list[tuple[str, DataFrame]], key: str, value: str) -> DataFrame:
+    """One column for each named variant of a value, side by side by key; keys that a variant lacks have null there."""
+    out = tables[0][1].select(key, F.col(value).alias(tables[0][0]))
+    for name, df in tables[1:]:
+        out = out.join(df.select(key, F.col(value).alias(name)), key, "full")
+    return out
 
 
 def agreement(words: DataFrame, expected: DataFrame, by: list[str]) -> DataFrame:

@@ -50,6 +50,13 @@ def segment_numbers(df: DataFrame, label: str, part: list[str], order: list[str]
     return runs.withColumn("segment", F.row_number().over(Window.partitionBy(*part, "run").orderBy(*order)) - 1)
 
 
+def segment_names(df: DataFrame, label: str, part: list[str], order: list[str], extension: str = ".wav") -> DataFrame:
+    """``name``: base name of the label's file, then the segment's number within its run, for the clip that is cut out."""
+    base = F.regexp_replace(F.element_at(F.split(label, "/"), -1), r"\.[^.]*$", "")
+    rows = segment_numbers(df, label, part, order)
+    return rows.withColumn("name", F.concat(base, F.lit("_"), F.col("segment").cast("string"), F.lit(extension)))
+
+
 def top_binary(df: DataFrame, part: list[str], score: str, order: str, share: int = 3, least: float = 60.0) -> DataFrame:
     """``bit``: 1 for the highest ceil(n / share) scores of a chunk that reach ``least``; a chunk of one is always 1."""
     w = Window.partitionBy(*part)

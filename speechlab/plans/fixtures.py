@@ -66,4 +66,6 @@ def duck(sql: str) -> str:
     if not order:
         return sql
     head = ", ".join(f"{n} AS ({DUCK[n]})" for n in order)
+    if sql.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head}, {sql[15:]}"
     return f"WITH {head}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {head} {sql}"
