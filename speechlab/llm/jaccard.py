@@ -23,7 +23,7 @@ Frequent keys are aggregated before they are shuffled, and their join back can b
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; fewer than five words
 are one shingle, none (or null text) give an empty set that links with nothing; rows that repeat
 a document id stay, each with its component; a null id never is a component's id unless it is
-alone (then null); empty tables give an empty result. Extra columns are ignored.
+alone (then null); ids may be of any type with an order; empty tables give an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from speechlab.llm._common import hashed_words, join_counted, mix, small_side, stored, text_chunks
 
@@ -133,9 +134,10 @@ def _described(docs: DataFrame, text: str, key: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names=names)
         yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds[:4]), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=names)
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
-    id_type = pa.int64()
-    return rows.mapInArrow(run, "id long, t long, cls long, n long, part binary")
+    rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+    kind = docs.schema[key].dataType
+    id_type = to_arrow_type(kind)
+    return rows.mapInArrow(run, f"id {kind.simpleString()}, t long, cls long, n long, part binary")
 
 
 def _keys(docs: DataFrame, counts: np.ndarray, percent: int, text: str, often: int | None, frequent: bool) -> DataFrame:
@@ -264,7 +266,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, described: DataFrame, percent:
     needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     one = described.where("n > 0").groupBy("cls").agg(F.min(F.struct("t", "id")).alias("r"))
     picked = stored(one.join(needed, "cls").select("r.t", "r.id"), "picked")
-    marked = docs.select(F.col(key).cast("long").alias("own"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    marked = docs.select(F.col(key).alias("own"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     p = small_side(picked)
     rows = marked.join(p, (F.col("h") == p["t"]) & F.col("own").eqNullSafe(p["id"]), "left_semi").select("text")
 
@@ -406,7 +408,7 @@ def keep_one(docs: DataFrame, percent: int = 80, text: str = "text", key: str =
     rows = docs.withColumn("__t", F.xxhash64(text))
 
     def of(chosen: DataFrame) -> DataFrame:
-        return rows.join(chosen, F.col(key).cast("long").eqNullSafe(chosen["id"]) & (F.col("__t") == chosen["t"]), "left_semi")
+        return rows.join(chosen, F.col(key).eqNullSafe(chosen["id"]) & (F.col("__t") == chosen["t"]), "left_semi")
 
     once, more = kept.where("copies = 1").select("id", "t"), kept.where("copies > 1").select("id", "t")
     out = of(once)

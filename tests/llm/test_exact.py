@@ -121,6 +121,15 @@ def test_jaccard_long_lists(spark, part, monkeypatch):
     assert sorted(map(tuple, got.collect())) == brute_jaccard(rows)
 
 
+def test_jaccard_text_ids(spark):
+    """Ids that are text: the smallest of a group in their own order."""
+    rows = [("b", "one two three four five six"), ("a10", "ONE two three four five six"), ("a9", "other words"), (None, "one two three four five six")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.near_duplicates(docs).collect()}
+    assert got == {("b", "a10"), ("a10", "a10"), (None, "a10"), ("a9", "a9")}
+    assert {r["doc_id"] for r in jaccard.keep_one(docs).collect()} == {"a10", "a9"}
+
+
 def test_join_counted(spark):
     """Hot keys and the rest join as in one join."""
     rows = spark.createDataFrame([(k % 3 if k < 90 else k, k) for k in range(120)], "key long, x long")
