@@ -119,11 +119,11 @@ def _(tokens, lexicon):
     return whole.select(F.col("compound").alias("word"), _long("alt_idx"), "phones")
 
 
-@add("x13_spelled_acronyms", "WITH w AS (SELECT DISTINCT word FROM fx_tokens WHERE length(word) <= 4), l AS (SELECT word, unnest(range(length(word))) AS i FROM w), n AS (SELECT l.word, i, CASE WHEN p.letter IN ('b', 'd', 'g', 'p', 't') THEN p.phone || '_IH1' ELSE p.phone END AS name FROM l LEFT JOIN fx_letter_phone p ON p.letter = substring(l.word, CAST(i + 1 AS INT), 1)) SELECT word, string_agg(name, '_' ORDER BY i) AS phones FROM n GROUP BY 1 HAVING count(*) = count(name)", "fx_tokens", "fx_letter_phone")
+@add("x13_spelled_acronyms", "WITH w AS (SELECT DISTINCT word FROM fx_tokens), l AS (SELECT word, unnest(range(length(word))) AS i FROM w), n AS (SELECT l.word, i, CASE WHEN p.letter IN ('b', 'd', 'g', 'p', 't') THEN p.phone || '_IH1' ELSE p.phone END AS name FROM l LEFT JOIN fx_letter_phone p ON p.letter = substring(l.word, CAST(i + 1 AS INT), 1)) SELECT word, string_agg(name, '_' ORDER BY i) AS phones FROM n GROUP BY 1 HAVING count(*) = count(name)", "fx_tokens", "fx_letter_phone")
 def _(tokens, names):
     first = names.select("letter", F.lit(0).alias("alt_idx"), F.col("phone").alias("phones"))
     more = names.where(F.col("letter").isin("b", "d", "g", "p", "t")).select("letter", F.lit(1).alias("alt_idx"), F.concat("phone", F.lit("_IH1")).alias("phones"))
-    return A.spelled(tokens.where(F.length("word") <= 4), first.unionByName(more))
+    return A.spelled(tokens, first.unionByName(more))
 
 
 @add("x14_longest_alternative", "SELECT word, phones FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY len(string_split(phones, '_')) DESC, alt_idx) AS r FROM fx_lexicon) WHERE r = 1", "fx_lexicon")

@@ -13,6 +13,7 @@ from speechlab.operators import metrics as G
 from speechlab.operators import programs as R
 from speechlab.operators import selection as E
 from speechlab.operators import windows as W
+from speechlab.operators.alignment import knn_probabilities
 from speechlab.plans.registry import add
 
 
@@ -179,9 +180,9 @@ def _(tokens, lexicon):
     return E.select_ed(words, 5)
 
 
-@add("f10_format_selection", "WITH f AS (SELECT doc_id AS file_id, pos, word FROM fx_tokens WHERE pos < 12), k AS (SELECT file_id, pos, coalesce(phonetics, 'AH0') AS p FROM f LEFT JOIN fx_phon USING (word)), s AS (SELECT file_id, string_agg(p, ' ' ORDER BY pos) AS phonetics FROM k GROUP BY 1) SELECT k.file_id, CAST(pos AS BIGINT) AS word_idx, phonetics, nullif(list_position(list_transform(string_split(p, '|'), lambda y: list_contains(string_split(y, '_'), 'T')), true) - 1, -1) AS syllable FROM k JOIN s USING (file_id) WHERE pos = 3", "fx_tokens", "fx_lexicon")
+@add("f10_format_selection", "WITH f AS (SELECT doc_id AS file_id, pos, word FROM fx_tokens), k AS (SELECT file_id, pos, coalesce(phonetics, 'AH0') AS p FROM f LEFT JOIN fx_phon USING (word)), s AS (SELECT file_id, string_agg(p, ' ' ORDER BY pos) AS phonetics FROM k GROUP BY 1) SELECT k.file_id, CAST(pos AS BIGINT) AS word_idx, phonetics, nullif(list_position(list_transform(string_split(p, '|'), lambda y: list_contains(string_split(y, '_'), 'T')), true) - 1, -1) AS syllable FROM k JOIN s USING (file_id) WHERE pos = 3", "fx_tokens", "fx_lexicon")
 def _(tokens, lexicon):
-    rows = tokens.where("pos < 12").join(lexicon.where("alt_idx = 0"), "word", "left").select(F.col("doc_id").alias("file_id"), _long("pos").alias("word_idx"), "phones")
+    rows = tokens.join(lexicon.where("alt_idx = 0"), "word", "left").select(F.col("doc_id").alias("file_id"), _long("pos").alias("word_idx"), "phones")
     return E.format_selection(rows.where("word_idx = 3").select("file_id", "word_idx"), rows, "T")
 
 
@@ -199,13 +200,13 @@ def _(lexicon):
     return E.stress_triplets(lexicon.withColumn("phones", varied), 20, "trip")
 
 
-_STAR = "SELECT doc_id, pos, word, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS w2, lead(word, 2) OVER (PARTITION BY doc_id ORDER BY pos) AS w3 FROM fx_tokens WHERE pos < 40"
+_STAR = "SELECT doc_id, pos, word, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS w2, lead(word, 2) OVER (PARTITION BY doc_id ORDER BY pos) AS w3 FROM fx_tokens"
 _HIT = "(SELECT word, len(list_filter(string_split(phones, '_'), lambda p: regexp_matches(p, 'IH|EH'))) AS h FROM fx_lexicon WHERE alt_idx = 0)"
 
 
 def _triples(tokens: DataFrame) -> DataFrame:
     """Three neighbouring words, the middle one starred."""
-    first = tokens.where("pos < 40").selectExpr("doc_id", "pos", "word", "lead(word) over (partition by doc_id order by pos) as w2", "lead(word, 2) over (partition by doc_id order by pos) as w3")
+    first = tokens.selectExpr("doc_id", "pos", "word", "lead(word) over (partition by doc_id order by pos) as w2", "lead(word, 2) over (partition by doc_id order by pos) as w3")
     rows = first.where("w3 is not null and pos % 3 = 0")
     return rows.select(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("pos").cast("string")).alias("sent_id"), F.concat("word", F.lit(" *"), "w2", F.lit("* "), "w3").alias("text"))
 
@@ -247,7 +248,7 @@ def _(events):
 
 @add("e13_ed_pairs", f"WITH l AS (SELECT doc_id, pos, word || 'ed' AS a, w2 || CASE WHEN pos % 2 = 0 THEN 'ed' ELSE 'e' END AS b FROM ({_STAR}) WHERE w2 IS NOT NULL) SELECT doc_id, CAST(pos AS BIGINT) AS pos, CASE WHEN md5(a || '/' || b || '-side')[1] < '8' THEN a ELSE b END AS target, CASE WHEN md5(a || '/' || b || '-side')[1] < '8' THEN b ELSE a END AS incorrect FROM l WHERE ends_with(b, 'ed')", "fx_tokens")
 def _(tokens):
-    rows = tokens.where("pos < 40").selectExpr("doc_id", "pos", "word", "lead(word) over (partition by doc_id order by pos) as w2").where("w2 is not null")
+    rows = tokens.selectExpr("doc_id", "pos", "word", "lead(word) over (partition by doc_id order by pos) as w2").where("w2 is not null")
     line = F.concat((F.col("pos") + 1).cast("string"), F.lit(". "), F.concat("word", F.lit("ed/"), "w2", F.when(F.col("pos") % 2 == 0, "ed").otherwise("e")))
     return E.ed_pairs(rows.withColumn("line", line), "side").select("doc_id", _long("pos"), "target", "incorrect")
 
@@ -401,3 +402,45 @@ def _(events):
     name = F.concat_ws("__", F.col("user_id").cast("string"), "event_type", F.concat(F.lit("P"), (F.col("event_id") % 3).cast("string")))
     out = R.parse_filenames(events.select("event_id", name.alias("name")), "name", ["speaker", "task", "kind"], {"kind": {"P0": "control", "P1": "patient"}})
     return out.select("event_id", "speaker", "task", "kind")
+
+
+# operators of rows that stood in queries alone
+@add("j3_attach_alignments", "SELECT c_custkey, n FROM customer JOIN (SELECT 'u' || file_id || '.lab' AS k, count(*) AS n FROM fx_words GROUP BY 1) ON k = 'u' || c_custkey || '.lab'", "customer", "fx_words")
+def _(customer, words):
+    found = words.groupBy(F.concat(F.lit("u"), F.col("file_id").cast("string"), F.lit(".lab")).alias("file")).agg(F.count("*").alias("n"))
+    meta = customer.select("c_custkey", F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("name"))
+    return J.attach_alignments(meta, found, "name", "file", ".lab").select("c_custkey", "n")
+
+
+@add("j9_first_match_phonetics", "WITH l AS (SELECT word, min_by(phones, alt_idx) AS phones FROM fx_lexicon GROUP BY 1) SELECT doc_id AS file_id, string_agg(coalesce(phones, ''), ' ' ORDER BY pos) AS phonetics FROM fx_tokens t LEFT JOIN l ON l.word = t.word GROUP BY 1", "fx_tokens", "fx_lexicon")
+def _(tokens, lexicon):
+    rows = tokens.join(lexicon, "word", "left").select(F.col("doc_id").alias("file_id"), F.col("pos").alias("word_idx"), "word", "phones", "alt_idx")
+    return J.sentence_phonetics(rows, ["alt_idx"])
+
+
+@add("j12_pair_labels", f"WITH a AS (SELECT l_orderkey AS rec, q FROM ({_ORDER})), b AS (SELECT o_orderkey AS rec, list_transform(range(o_orderkey % 4 + 1), lambda i: i * 3) AS d FROM orders) SELECT a.rec, array_to_string(q, ',') AS truth, array_to_string(d, ',') AS found FROM a JOIN b ON a.rec = b.rec AND len(q) = len(d)", "lineitem", "orders")
+def _(lineitem, orders):
+    truth = _order_lists(lineitem).select(F.col("l_orderkey").alias("rec"), F.col("q").alias("truth"))
+    found = orders.select(F.col("o_orderkey").alias("rec"), F.transform(F.sequence(F.lit(0), F.col("o_orderkey") % 4), lambda i: i * 3).alias("found"))
+    out = J.pair_labels(truth, found, "rec")
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return out.select("rec", text("truth"), text("found"))
+
+
+@add("k25_explode_operator", "SELECT rec_id, CAST(frame_idx AS BIGINT) AS frame_idx, t AS step, p FROM (SELECT rec_id, frame_idx, CAST(unnest(range(10)) AS BIGINT) AS t, unnest(probs) AS p FROM fx_frames)", "fx_frames")
+def _(frames):
+    return K.explode_sequences(frames, ["rec_id", "frame_idx"], "probs", "step", "p").select("rec_id", _long("frame_idx"), _long("step"), "p")
+
+
+@add("a2_token_error_rate", "SELECT word, round(CASE WHEN n > 1 THEN 1.0 / greatest(len(string_split(x, '_')), len(string_split(y, '_'))) ELSE 0.0 END, 6) AS rate FROM (SELECT word, count(DISTINCT phones) AS n, min_by(phones, alt_idx) AS x, max_by(phones, alt_idx) AS y FROM fx_lexicon GROUP BY 1)", "fx_lexicon")
+def _(lexicon):
+    both = lexicon.groupBy("word").agg(F.split(F.min_by("phones", "alt_idx"), "_").alias("x"), F.split(F.max_by("phones", "alt_idx"), "_").alias("y"))
+    alphabet = F.array(*map(F.lit, sorted({p for ps in P.CATEGORIES.values() for p in ps} | {f"{v}{d}" for v in ("AE", "AH", "EH", "IH", "OW", "UH") for d in "01"})))
+    return both.select("word", F.round(K.token_error_rate(F.col("x"), F.col("y"), alphabet), 6).alias("rate"))
+
+
+@add("k2_knn_uniform", "WITH t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) AS r FROM embeddings) WHERE r <= 500), d AS (SELECT a.vec_id AS id, t.label, t.vec_id AS tid, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(t.embedding AS DOUBLE[])) AS d FROM embeddings a, t), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, tid) AS r FROM d) SELECT id, label, round(count(*) / 10.0, 6) AS p FROM n WHERE r <= 10 GROUP BY 1, 2", "embeddings")
+def _(embeddings):
+    rows = embeddings.select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("v"))
+    out = knn_probabilities(W.cap_per_class(rows, "label", "id", 500), rows.select("id", "v"), 10, weights="uniform")
+    return out.withColumn("p", F.round("p", 6))

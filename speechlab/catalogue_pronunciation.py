@@ -227,7 +227,7 @@ def _(tokens):
 
 @add("y6_transfer_syllables", None, "fx_lexicon")
 def _(lexicon):
-    return Y.transfer_syllables(lexicon.where("alt_idx = 1"), "CMU").select("word", "phones", F.array_join("syllables", "|").alias("syllables"))
+    return Y.transfer_syllables(lexicon, "CMU").select("word", "phones", F.array_join("syllables", "|").alias("syllables"))
 
 
 @add("y7_format_lexicon", "SELECT word, phonetics FROM fx_phon", "fx_lexicon")

@@ -220,6 +220,11 @@ def token_error_rate(truth: Column, found: Column, alphabet: Column) -> Column:
     return F.levenshtein(coded(truth), coded(found)) / F.greatest(F.size(truth), F.size(found))
 
 
+def explode_sequences(df: DataFrame, keys: list[str], vectors: str, step: str, value: str) -> DataFrame:
+    """One row for each element of a sequence, with its number from 0."""
+    return df.select(*keys, F.posexplode(vectors).alias(step, value))
+
+
 def complete_classes(probs: Column, n: int) -> Column:
     """A probability vector with zeros for the classes it lacks at its end."""
     return F.concat(probs, F.array_repeat(F.lit(0.0), n - F.size(probs)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from speechlab.functions.text import focus_bins
 from speechlab.operators.alignment import GAP, align
+from speechlab.operators.windows import first_per_key
 
 #: Expected phonetics that a grid holds beside each recording at most.
 GRID = 10_000
@@ -51,6 +52,23 @@ def label_frames(frames: DataFrame, intervals: DataFrame, step: float, silence:
     return frames.join(spread, ["rec_id", "frame_idx"])
 
 
+def attach_alignments(metadata: DataFrame, alignments: DataFrame, name: str, file: str, extension: str) -> DataFrame:
+    """Metadata rows that have an alignment, with it; an alignment's ``file`` is the metadata's name and the extension."""
+    return metadata.withColumn(file, F.concat(name, F.lit(extension))).join(alignments, file)
+
+
+def sentence_phonetics(words: DataFrame, order: list[str]) -> DataFrame:
+    """``file_id, phonetics``: the phones of each file's words in their places, the first of several rows (by ``order``) of a place and word; empty where null."""
+    first = first_per_key(words, ["file_id", "word_idx", "word"], order)
+    rows = first.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", F.coalesce("phones", F.lit("")).alias("p")))).alias("r"))
+    return rows.select("file_id", F.array_join(F.transform("r", lambda x: x["p"]), " ").alias("phonetics"))
+
+
+def pair_labels(truth: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``truth`` and ``found`` arrays of the same key, where their lengths are equal."""
+    return truth.join(found, key).where(F.size("truth") == F.size("found"))
+
+
 def attach_paths(metadata: DataFrame, files: DataFrame, key: str, path: str = "path") -> DataFrame:
     """Rows with the path whose base name, without its extension, is their key; rows without a file go."""
     base = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
