@@ -23,7 +23,7 @@ BROADCAST_ROWS = 2_000_000
 #: Rows of one key that a shuffle join may meet in a task; keys with more are broadcast.
 HOT_ROWS = 20_000
 #: Bytes of text that the vectorised helpers look at together (a longer document is one chunk).
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 

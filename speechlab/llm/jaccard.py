@@ -42,6 +42,8 @@ from speechlab.llm._common import hashed_words, join_counted, mix, small_side, s
 WORDS = 5
 #: Cells of the count sketch; lists up to this length are paired whole.
 CELLS, SHORT = 1 << 19, 6
+#: Rows of a component from which it is joined by broadcast.
+LARGE_GROUP = 1000
 #: Members of one size class of a long list that a join key holds, about.
 LIST_PART = 1024
 _C = np.uint64(0xD6E8FEB86659FD93)
@@ -386,10 +388,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, text: str = "text", key:
     list that is paired whole. Neither changes the result.
     """
     known = _grouped(docs, percent, text, key, often, short_list)
-    least = known.where("n > 0").groupBy("g").agg(F.min("id").alias("component_id"))
-    out = known.join(least, "g", "left")
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"), "t")
+    known = stored(known, "grouped")
+    least = known.where("n > 0").groupBy("g").agg(F.min("id").alias("component_id"), F.count("*").alias("rows_of_g"))
+    # a group of copies may hold a third of all rows: rows of large groups stay where they are
+    linked = join_counted(known.where("n > 0"), stored(least, "least"), ["g"], "rows_of_g", LARGE_GROUP)
+    alone = known.where("n = 0").withColumn("component_id", F.col("id"))
+    columns = [F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "t"]
+    return linked.select(*columns).union(alone.select(*columns))
 
 
 def keep_one(docs: DataFrame, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
