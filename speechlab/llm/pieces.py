@@ -263,7 +263,13 @@ def head_table(docs: DataFrame, model: Pieces, text: str = "text", head: int = H
 def _shared(docs: DataFrame, path: str, text: str, head: int):
     """The vocabulary and the head's ids, broadcast: at most ``head`` units of LONGEST characters."""
     model = load(path)
-    table = {r["word"]: np.array(r["ids"], dtype="<u4").tobytes() for r in head_table(docs, model, text, head).toLocalIterator()}
+    # at most ``head`` rows, all tasks at once (an iterator over partitions would fold them one after the other)
+    rows = head_table(docs, model, text, head).toArrow().combine_chunks()
+    table: dict[str, bytes] = {}
+    if rows.num_rows:
+        ids = rows.column("ids").combine_chunks()
+        flat, bounds = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_pylist()
+        table = {w: flat[a:b].tobytes() for w, a, b in zip(rows.column("word").to_pylist(), bounds, bounds[1:])}
     return docs.sparkSession.sparkContext.broadcast((model, table))
 
 
