@@ -213,11 +213,11 @@ def _(syl):
     return Y.build_syllable_dict_fr(raw)
 
 
-@add("y4_syllabified_text", f"WITH t AS ({_TEXT}), v AS (SELECT DISTINCT word, len(regexp_extract_all(word, '[aeiou]')) AS n FROM fx_tokens) SELECT v.word, CASE WHEN v.n = 1 THEN '1 vowel = 1 syl' WHEN t.word IS NOT NULL THEN 'dataset' ELSE 'SonoriPy' END AS method, CASE WHEN v.n = 1 THEN v.word ELSE s END AS syllables FROM v LEFT JOIN t ON t.word = v.word", "fx_tokens", "fx_syl", "fx_lexicon")
+@add("y4_syllabified_text", f"WITH t AS ({_TEXT}), v AS (SELECT DISTINCT word, len(regexp_extract_all(word, '[aeiou]')) AS n FROM fx_tokens) SELECT v.word, CASE WHEN v.n = 1 THEN '1 vowel = 1 syl' WHEN t.word IS NOT NULL THEN 'dataset' ELSE 'sonority' END AS method, CASE WHEN v.n = 1 THEN v.word ELSE s END AS syllables FROM v LEFT JOIN t ON t.word = v.word", "fx_tokens", "fx_syl", "fx_lexicon")
 def _(tokens, syl, lexicon):
     words = tokens.select("word", F.regexp_count("word", F.lit("[aeiou]")).alias("n_vowels"))
     out = Y.syllabified_text(words, _dictionary(syl, lexicon), "en")
-    return out.select("word", "method", F.when(F.col("method") != "SonoriPy", F.col("syllables")).alias("syllables"))
+    return out.select("word", "method", F.when(F.col("method") != "sonority", F.col("syllables")).alias("syllables"))
 
 
 @add("y5_ending_rules", None, "fx_tokens")

@@ -175,7 +175,7 @@ def syllabified_text(words: DataFrame, dictionary: DataFrame, lang: str) -> Data
     told = rows.where(single | F.col("known").isNotNull()).select(
         "word", F.when(single, F.col("word")).otherwise(F.col("known")).alias("syllables"), F.when(single, "1 vowel = 1 syl").otherwise("dataset").alias("method")
     )
-    return told.unionByName(ending_rules(rest, lang).withColumn("method", F.lit("SonoriPy")))
+    return told.unionByName(ending_rules(rest, lang).withColumn("method", F.lit("sonority")))
 
 
 def transfer_syllables(pairs: DataFrame, mode: str = "MFA_IPA") -> DataFrame:

@@ -49,8 +49,8 @@ def test_marks(spark):
     assert column(spark, [["UCLA", "a", "I"]], "array<string>", T.spell_acronyms) == [["u-c-l-a", "a", "i"]]
     assert column(spark, ["c-A-b"], "string", lambda c: T.acronym_compound(F.array(c, F.lit("I")), F.array(F.lit(0), F.lit(1)))) == [["{c A b}", "I"]]
     assert column(spark, ["re|cord"], "string", lambda c: T.restore_case(F.array(c), F.array(F.lit("ReCORD")))) == [["Re|CORD"]]
-    lines = ["EDACC-C01-P1,000012 7", "no hyphen, here", "plain"]
-    assert column(spark, lines, "string", T.rewrite_utterance_line) == ["EDACC-C01.wav,P1-012 7".replace("-012", "-012"), "no hyphen.wav, here", "plain"]
+    lines = ["CORP-C01-P1,000012 7", "no hyphen, here", "plain"]
+    assert column(spark, lines, "string", T.rewrite_utterance_line) == ["CORP-C01.wav,P1-012 7".replace("-012", "-012"), "no hyphen.wav, here", "plain"]
 
 
 def sonority(symbol, mode):
