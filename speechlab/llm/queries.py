@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechlab.llm import decontaminate, jaccard, knn, language, line_dedup, pieces, quality, secrets, sql, token_files, toxicity
-from speechlab.llm._common import held_out, shared_dir
+from speechlab.llm import decontaminate, importance, jaccard, knn, language, line_dedup, pieces, prefix_trie, quality, secrets, sql, token_counts, token_files, toxicity
+from speechlab.llm._common import held_out, shared_dir, stored
 
 
 def tokenizer_file(name: str) -> str:
@@ -83,8 +83,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lines", "lines_deleted", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), percent=10, longest=1, buckets=10_000, least_words=20, seed=2024)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = stored(prefix_trie.numbered_turns(_read(spark, sf_dir, "conversations")), "turns")
+    c = F.col("conv_id")
+    sizes, rebuilt = prefix_trie.grafted(turns, F.crc32(c.cast("string").cast("binary")) % 9, c - c % 5, 8)
+    return prefix_trie.trie(sizes, rebuilt)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), 2048)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_voronoi_knn, op2_token_files, op3_quality_nbsvm, op4_secret_scan, op5_decontaminate, op6_sentencepiece, op7_language_id, op8_toxic_segments, op9_ngram_jaccard, op10_line_dedup)
+    f.__name__: f for f in (op1_voronoi_knn, op2_token_files, op3_quality_nbsvm, op4_secret_scan, op5_decontaminate, op6_sentencepiece, op7_language_id, op8_toxic_segments, op9_ngram_jaccard, op10_line_dedup, op11_importance_resampling, op12_prefix_trie, op13_token_counts)
 }
 #: The other operators are models, tokenizers or patterns with places, which SQL cannot state.
 ORACLES: dict[str, str] = {
@@ -92,4 +107,6 @@ ORACLES: dict[str, str] = {
     "op5_decontaminate": sql.DECONTAMINATE,
     "op9_ngram_jaccard": sql.NGRAM_JACCARD,
     "op10_line_dedup": sql.LINE_DEDUP,
+    "op11_importance_resampling": sql.IMPORTANCE,
+    "op12_prefix_trie": sql.PREFIX_TRIE,
 }

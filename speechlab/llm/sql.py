@@ -71,3 +71,67 @@ n AS (SELECT doc_id, count(*) AS lines_deleted FROM gone GROUP BY 1),
 out AS (SELECT doc_id, coalesce(len(ls), 0) AS lines, coalesce(lines_deleted, 0) AS lines_deleted, CASE WHEN ls IS NOT NULL THEN coalesce(t, '') END AS t FROM every LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id))
 SELECT doc_id, lines, lines_deleted, length(t) AS n_chars, sha256(t) AS text_sha256 FROM out
 """
+
+# the CRC-32 of a string's UTF-8 bytes, bit by bit
+_CRC_TABLE = "list_transform(range(256), lambda v: list_reduce(range(8), lambda a, k: xor(a >> 1, (a & 1) * 3988292384), v))"
+
+
+def _crc(text: str) -> str:
+    hexed = f"hex(encode({text}))"
+    bytes_ = f"list_transform(range(octet_length(encode({text}))), lambda i: CAST('0x' || {hexed}[2 * i + 1 : 2 * i + 2] AS BIGINT))"
+    return f"xor(list_reduce({bytes_}, lambda c, b: xor(c >> 8, crc_table[xor(c, b) & 255 + 1]), 4294967295), 4294967295)".replace("& 255 + 1", "& 255) + 1").replace("crc_table[xor", "crc_table[(xor")
+
+
+#: Every word's CRC from its own bytes.
+IMPORTANCE = f"""
+WITH tab AS (SELECT {_CRC_TABLE} AS crc_table),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+b AS (SELECT {_WORDS} AS ws FROM benchmark),
+dw AS (SELECT r, unnest(ws) AS w FROM d), bw AS (SELECT unnest(ws) AS w FROM b),
+known AS (SELECT DISTINCT w FROM (SELECT w FROM dw UNION ALL SELECT w FROM bw)),
+bucket AS (SELECT w, {_crc("w")} % 10000 AS k FROM known, tab),
+s AS (SELECT k, count(*) AS n FROM dw JOIN bucket USING (w) GROUP BY k),
+t AS (SELECT k, count(*) AS n FROM bw JOIN bucket USING (w) GROUP BY k),
+gain AS (
+    SELECT u.k, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM dw) + 10000.0::DOUBLE) / ((coalesce(s.n, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM bw) + 10000.0::DOUBLE)))) AS BIGINT) AS g
+    FROM (SELECT DISTINCT k FROM bucket) u LEFT JOIN s ON s.k = u.k LEFT JOIN t ON t.k = u.k
+),
+weight AS (SELECT r, sum(g) AS weight FROM dw JOIN bucket USING (w) JOIN gain USING (k) GROUP BY r),
+scored AS (
+    SELECT r, doc_id, CAST(len(ws) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+        CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substring(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+    FROM d LEFT JOIN weight USING (r)
+),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, r) AS rank FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CAST(CASE WHEN rank <= (SELECT count(*) FROM ranked) * 10 // 100 THEN rank END AS BIGINT) AS rank
+FROM scored LEFT JOIN ranked USING (r)
+"""
+
+#: Every prefix of every rebuilt conversation as a list, and each node beside all those above it.
+PREFIX_TRIE = f"""
+WITH tab AS (SELECT {_CRC_TABLE} AS crc_table),
+own AS (
+    SELECT conv_id AS c, list(struct_pack(role := coalesce(role, ''), txt := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS ts
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+),
+plan AS (SELECT c, ts, c - c % 5 AS b, CAST({_crc("CAST(c AS VARCHAR)")} % 9 AS BIGINT) AS h FROM own, tab),
+convs AS (SELECT p.c, list_concat(coalesce(o.ts[1 : p.h], []), p.ts[p.h + 1 :]) AS ts FROM plan p LEFT JOIN own o ON o.c = p.b),
+steps AS (SELECT c, ts, unnest(range(0, len(ts) + 1)) AS d FROM convs),
+nodes AS (
+    SELECT CAST(d AS BIGINT) AS depth, ts[1 : d] AS path, min(c) AS conv_id, count(*) AS n_convs,
+        string_agg(CASE WHEN len(ts) = d THEN CAST(c AS VARCHAR) END, ',' ORDER BY c) AS ends
+    FROM steps GROUP BY d, ts[1 : d]
+),
+kids AS (SELECT path[1 : depth - 1] AS path, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+full_nodes AS (
+    SELECT n.*, coalesce(k.n_children, 0) AS n_children,
+        CASE WHEN n.depth = 0 THEN 0 ELSE (n.n_convs - 1) * octet_length(encode(n.path[n.depth].txt)) END AS saved
+    FROM nodes n LEFT JOIN kids k ON k.path = n.path AND k.depth = n.depth
+),
+above AS (SELECT path, saved, n_children, unnest(range(0, depth + 1)) AS a FROM full_nodes),
+sums AS (SELECT path[1 : a] AS path, a AS depth, sum(saved) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM above GROUP BY 1, 2)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs, CAST(n.n_children AS BIGINT) AS n_children,
+    CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM full_nodes n JOIN sums s ON s.path = n.path AND s.depth = n.depth
+LEFT JOIN nodes p ON p.path = n.path[1 : n.depth - 1] AND p.depth = n.depth - 1 AND n.depth > 0
+"""
