@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechlab.llm._common import ascii_lower, join_counted, stored
+from speechlab.llm._common import ascii_lower, free_name, join_counted, stored
 
 WINDOW = 10
 #: Words of a document that travel with each match of a piece.
@@ -133,7 +133,8 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: s
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` in which no window of an item occurs."""
-    bad = occurrences(docs, items, size, text, key).select(F.col("d").alias("__bad"), F.col("t").alias("__bad_t")).distinct()
-    marked = docs.withColumn("__t", F.xxhash64(text))
-    kept = marked.join(bad, F.col(key).eqNullSafe(F.col("__bad")) & (F.col("__t") == F.col("__bad_t")), "left_anti")
-    return kept.drop("__t")
+    own, bad_id, bad_hash = (free_name(docs.columns, n) for n in ("__t", "__bad", "__bad_t"))
+    bad = occurrences(docs, items, size, text, key).select(F.col("d").alias(bad_id), F.col("t").alias(bad_hash)).distinct()
+    marked = docs.withColumn(own, F.xxhash64(text))
+    kept = marked.join(bad, F.col(key).eqNullSafe(F.col(bad_id)) & (F.col(own) == F.col(bad_hash)), "left_anti")
+    return kept.drop(own)

@@ -8,7 +8,7 @@ Token-combination prefixes: rare shingles of the prefix are indexed one by one.
 rare shingle is shared there, G + 1 frequent ones are, two of them in one group, so pairs within
 a group are indexed. G is a twentieth of the size class (of ratio 1.3; each set is indexed under
 its own class and the next, linked sets so meet in one). Sets of under 20 shingles have G = 0 and
-are indexed by single frequent shingles.
+are indexed by single frequent shingles. Below 77 percent classes are wider (``class_ratio``).
 
 A pair needs to be found only under its first shared shingle, so each index row carries how many
 shingles of its set can still be shared there (the positional bound): less than the pair needs, and
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from speechlab.llm._common import hashed_words, join_counted, mix, small_side, stored, text_chunks
+from speechlab.llm._common import free_name, hashed_words, join_counted, mix, small_side, stored, text_chunks
 
 WORDS = 5
 #: Cells of the count sketch; lists up to this length are paired whole.
@@ -84,8 +84,9 @@ def overlap_needed(n: int, percent: int) -> int:
     return (percent * n + 99) // 100
 
 
-def groups_of(tag: int) -> int:
-    return int(0.05 * 1.3**tag)
+def class_ratio(percent: int) -> float:
+    """Sizes of linked sets differ by at most this factor, so they lie in one size class or in neighbouring ones."""
+    return max(1.3, 100 / percent * (1 + 1e-9))
 
 
 def index_keys(shingles: np.ndarray, counts: np.ndarray, often: int, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -98,9 +99,10 @@ def index_keys(shingles: np.ndarray, counts: np.ndarray, often: int, percent: in
     spare = n - overlap_needed(n, percent)
     single = ranked[: min(spare + 1, rare)]
     combined: list[np.ndarray] = []
-    tag = int(np.log(n) / np.log(1.3))
+    ratio = class_ratio(percent)
+    tag = int(np.log(n) / np.log(ratio))
     for t in (tag, tag + 1):
-        groups = groups_of(t)
+        groups = int(0.05 * ratio**t)
         frequent = ranked[rare : min(n, spare + 1 + groups)]
         if not len(frequent):
             continue
@@ -299,7 +301,7 @@ def _linked(percent: int):
     return F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("both"))
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (the smallest node of each connected component) by alternating stars.
 
     Each round links every node's larger neighbours, then its smaller ones, to the smallest
@@ -307,7 +309,7 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """
     now = stored(edges.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x <> y").distinct(), "edges")
     before = None
-    for _ in range(most_rounds):
+    while True:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)")).alias("s")).first()
         if not state["n"] or state == before:
             break
@@ -318,8 +320,6 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         small = large.groupBy("x").agg(F.min("y").alias("m"))
         linked = large.join(small, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
         now = stored(linked.union(small.select("x", F.col("m").alias("y"))).where("x <> y").distinct(), "edges")
-    else:
-        raise RuntimeError("components did not settle")
     out = now.groupBy("x").agg(F.min("y").alias("component")).select(F.col("x").alias("node"), "component")
     return out.union(now.select("y", "y").distinct()).groupBy("node").agg(F.min("component").alias("component"))
 
@@ -410,13 +410,15 @@ def keep_one(docs: DataFrame, percent: int = 80, text: str = "text", key: str =
     heads = places.groupBy("g").agg(F.min(F.struct(place.alias("place"), "copies")).alias("head")).select("head.place.id", "head.place.t", "head.copies")
     alone = marks.where("n = 0").select("id", "t").distinct().withColumn("copies", F.lit(1).cast("long"))
     kept = stored(heads.union(alone), "kept")
-    rows = docs.withColumn("__t", F.xxhash64(text))
+    own, head, head_hash = (free_name(docs.columns, n) for n in ("__t", "__id", "__head"))
+    rows = docs.withColumn(own, F.xxhash64(text))
 
     def of(chosen: DataFrame) -> DataFrame:
-        return rows.join(chosen, F.col(key).eqNullSafe(chosen["id"]) & (F.col("__t") == chosen["t"]), "left_semi")
+        named = chosen.withColumnsRenamed({"id": head, "t": head_hash})
+        return rows.join(named, F.col(key).eqNullSafe(F.col(head)) & (F.col(own) == F.col(head_hash)), "left_semi")
 
     once, more = kept.where("copies = 1").select("id", "t"), kept.where("copies > 1").select("id", "t")
     out = of(once)
     if more.limit(1).count():
-        out = out.union(of(small_side(more)).dropDuplicates([key, "__t"]))
-    return out.drop("__t")
+        out = out.union(of(small_side(more)).dropDuplicates([key, own]))
+    return out.drop(own)

@@ -7,9 +7,11 @@ and data into cells. Each cell has a summary: the largest query distance to the
 the k smallest and the largest data distance. From these summaries and the pivots' distances
 follows a bound on the k-th distance of every query of a cell; a data row is replicated to a
 query cell only if the triangle inequality does not put it beyond that bound. Rows travel packed
-in blocks of bounded size. The blocks of a data cell are dealt to groups, those of the queries likewise, and a
-join key is a pair of groups, so that neither a hot cell nor the number of pivots bounds the number
-of tasks or their size; each pair of blocks is solved locally; a task's running best lists are bounded in number and merged by query id.
+in blocks of bounded size, sorted by distance. Query cells that lie near each other form a family, dealt to as many groups as its
+queries need, and the blocks of a data cell are dealt to groups likewise; a data block goes to the groups of those families
+only of which some cell's bound it reaches. A join key is a pair of groups, so that neither a hot cell nor the number of
+pivots bounds the number of tasks or their size; each pair of blocks is solved locally; a task's running best lists
+are bounded in number and merged by query id.
 
 Defined results: vectors that are null or hold a null or non-finite component, or of another
 length than the commonest, take no part; rows that repeat an id and a vector count once; ties
@@ -54,7 +56,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _packed(rows: DataFrame, pivots: np.ndarray, top: float, query: bool, size: int) -> DataFrame:
-    """Blocks ``cell, ids, vectors, distances, n`` of at most ``size`` rows, sorted by distance to the pivot in a cell's batch."""
+    """Blocks ``cell, ids, vectors, distances, n, far`` (``far``: the largest distance) of at most ``size`` rows, sorted by distance to the pivot in a cell's batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,12 +77,12 @@ def _packed(rows: DataFrame, pivots: np.ndarray, top: float, query: bool, size:
             for a, b in zip(cuts[:-1], cuts[1:]):
                 for c in range(a, b, size):
                     pick = order[c : min(c + size, b)]
-                    out.append((int(cell[pick[0]]), ids[pick].astype("<i8").tobytes(), v[pick].astype("<i8").tobytes(), dist[pick].astype("<f8").tobytes(), len(pick)))
-            names = ["cell", "ids", "vectors", "distances", "n"]
-            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32()]
+                    out.append((int(cell[pick[0]]), ids[pick].astype("<i8").tobytes(), v[pick].astype("<i8").tobytes(), dist[pick].astype("<f8").tobytes(), len(pick), float(dist[pick[-1]])))
+            names = ["cell", "ids", "vectors", "distances", "n", "far"]
+            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
-    return rows.mapInArrow(run, "cell int, ids binary, vectors binary, distances binary, n int")
+    return rows.mapInArrow(run, "cell int, ids binary, vectors binary, distances binary, n int, far double")
 
 
 def _summary(blocks: DataFrame, k: int) -> dict[int, tuple[float, np.ndarray]]:
@@ -126,6 +128,42 @@ def reach(queries: dict, data: dict, pivots: np.ndarray, k: int) -> list[tuple[i
     return out
 
 
+def families(blocks: dict[int, int], pivots: np.ndarray, most: int) -> dict[int, tuple[int, int]]:
+    """``{query cell: (family, groups of the family)}``: cells along a chain of nearest pivots, together up to ``most`` blocks.
+
+    A cell of more blocks is a family of its own, dealt to several groups.
+    """
+    left, chain = set(blocks), []
+    while left:
+        gap = (lambda c: float(((pivots[c] - pivots[chain[-1]]) ** 2).sum())) if chain else (lambda c: 0.0)
+        chain.append(min(left, key=lambda c: (gap(c), c)))
+        left.remove(chain[-1])
+    sets: list[list[int]] = []
+    for c in chain:
+        if sets and sum(blocks[x] for x in sets[-1]) + blocks[c] <= most:
+            sets[-1].append(c)
+        else:
+            sets.append([c])
+    return {c: (f, -(-sum(blocks[x] for x in own) // most)) for f, own in enumerate(sets) for c in own}
+
+
+def sent(blocks: DataFrame, pairs: list[tuple[int, int, float]], dealt: dict[int, tuple[int, int]], parts: dict[int, int]) -> DataFrame:
+    """``other, ids, vectors, distances, dg, family, qg``: data blocks, once for each group of each family that can need them.
+
+    parts: the groups of each data cell.
+    """
+    least: dict[tuple[int, int], float] = {}
+    for i, j, bound in pairs:
+        at = j, dealt[i][0]
+        least[at] = min(least.get(at, bound), bound)
+    groups = dict(dealt.values())
+    rows = [(j, f, bound, groups[f], parts[j]) for (j, f), bound in least.items()]  # at most pivots * pivots rows
+    needs = blocks.sparkSession.createDataFrame(rows, "other int, family int, least double, groups int, nd int")
+    out = blocks.withColumnRenamed("cell", "other").join(F.broadcast(needs), "other").where(F.col("far") * (1 + 1e-6) + 1e-6 >= F.col("least"))
+    dg = F.pmod(F.xxhash64("ids"), F.col("nd")).cast("int").alias("dg")
+    return out.select("other", "ids", "vectors", "distances", dg, "family", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("qg"))
+
+
 def _merge(best: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best of each query: higher score first, then smaller id."""
     q, s, x = best
@@ -167,15 +205,15 @@ def top_k(data: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS, tas
     if not pairs:
         return spark.createDataFrame([], schema)
     sizes = {r["cell"]: r["n"] for r in right.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most pivots rows
-    near = spark.createDataFrame([(i, j, least, -(-sizes[j] // task_data)) for i, j, least in pairs], "cell int, other int, least double, nd int")  # at most pivots * pivots rows
-    deal = spark.createDataFrame([(j, -(-n // task_data)) for j, n in sizes.items()], "other int, nd int")
-    groups = -(-left.count() // task_queries)
-    # a query block goes to every group of the data cells near it, a data block to every group of queries
+    parts = {c: -(-n // task_data) for c, n in sizes.items()}
+    counts = {r["cell"]: r["n"] for r in left.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most pivots rows
+    dealt = families(counts, centre, task_queries)
+    # a query block goes to every group of the data cells near it, a data block to the groups of queries that can need it
+    near = spark.createDataFrame([(i, j, least, parts[j], *dealt[i]) for i, j, least in pairs], "cell int, other int, least double, nd int, family int, groups int")  # at most pivots * pivots rows
     left = left.select("cell", "block", F.col("ids").alias("q_ids"), F.col("vectors").alias("q"))
-    plan = left.join(F.broadcast(near), "cell").withColumn("qg", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
-    plan = plan.select("block", "q_ids", "q", "other", "least", "qg", F.explode(F.sequence(F.lit(0), F.col("nd") - 1)).alias("dg"))
-    right = right.withColumnRenamed("cell", "other").join(F.broadcast(deal), "other").withColumn("dg", F.pmod(F.xxhash64("ids"), F.col("nd")).cast("int"))
-    right = right.select("other", "ids", "vectors", "distances", "dg", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("qg"))
+    plan = left.join(F.broadcast(near), "cell").withColumn("qg", F.pmod(F.xxhash64("block"), F.col("groups")).cast("int"))
+    plan = plan.select("block", "q_ids", "q", "other", "least", "family", "qg", F.explode(F.sequence(F.lit(0), F.col("nd") - 1)).alias("dg"))
+    right = sent(right, pairs, dealt, parts)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -207,7 +245,7 @@ def top_k(data: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS, tas
         if best:
             yield out()
 
-    joined = plan.join(right, ["other", "dg", "qg"]).select("block", "q_ids", "q", "least", "ids", "vectors", "distances")
+    joined = plan.join(right, ["other", "dg", "family", "qg"]).select("block", "q_ids", "q", "least", "ids", "vectors", "distances")
     # a query block's pairs may lie in several tasks: each gives its k best, which meet below
     local = joined.mapInArrow(solve, "query_id long, score long, vec_id long")
     return merged(local, k)

@@ -136,8 +136,9 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str =
 
 def _without(docs: DataFrame, runs: DataFrame, text: str, key: str) -> DataFrame:
     names = docs.columns
-    marked = docs.withColumn("__t", F.xxhash64(text)).alias("x")
-    joined = marked.join(runs.alias("r"), F.col(f"x.{key}").eqNullSafe(F.col("r.d")) & (F.col("x.__t") == F.col("r.t")), "left")
+    own, whole, rest = (free_name(names, n) for n in ("__t", "__lines", "__kept"))
+    marked = docs.withColumn(own, F.xxhash64(text)).alias("x")
+    joined = marked.join(runs.alias("r"), F.col(f"x.{key}").eqNullSafe(F.col("r.d")) & (F.col(f"x.{own}") == F.col("r.t")), "left")
     lines = F.split(F.col(f"x.{text}"), "\n")
     spans = F.col("r.runs")
     # the windows come in order of their first and last lines: one walk keeps the lines before, between and after them
@@ -147,15 +148,15 @@ def _without(docs: DataFrame, runs: DataFrame, text: str, key: str) -> DataFrame
         start,
         lambda a, x: F.struct(
             F.greatest(a["next"], x["last"] + 1).alias("next"),
-            F.when(x["first"] > a["next"], F.concat(a["kept"], F.slice(F.col("__lines"), a["next"] + 1, F.greatest(x["first"] - a["next"], F.lit(0))))).otherwise(a["kept"]).alias("kept"),
+            F.when(x["first"] > a["next"], F.concat(a["kept"], F.slice(F.col(whole), a["next"] + 1, F.greatest(x["first"] - a["next"], F.lit(0))))).otherwise(a["kept"]).alias("kept"),
         ),
-        lambda a: F.concat(a["kept"], F.slice(F.col("__lines"), a["next"] + 1, F.greatest(F.size(F.col("__lines")) - a["next"], F.lit(0)))),
+        lambda a: F.concat(a["kept"], F.slice(F.col(whole), a["next"] + 1, F.greatest(F.size(F.col(whole)) - a["next"], F.lit(0)))),
     )
-    with_lines = joined.withColumn("__lines", lines)
-    kept = F.when(spans.isNull(), F.col("__lines")).otherwise(walk)
-    out = with_lines.withColumn("__kept", kept)
-    size = F.coalesce(F.size("__lines"), F.lit(0)).cast("long")
-    left = F.coalesce(F.size("__kept"), F.lit(0)).cast("long")
-    columns = [F.when(spans.isNull(), F.col(f"x.{c}")).otherwise(F.array_join("__kept", "\n")).alias(c) if c == text else F.col(f"x.{c}").alias(c) for c in names]
+    with_lines = joined.withColumn(whole, lines)
+    kept = F.when(spans.isNull(), F.col(whole)).otherwise(walk)
+    out = with_lines.withColumn(rest, kept)
+    size = F.coalesce(F.size(whole), F.lit(0)).cast("long")
+    left = F.coalesce(F.size(rest), F.lit(0)).cast("long")
+    columns = [F.when(spans.isNull(), F.col(f"x.{c}")).otherwise(F.array_join(rest, "\n")).alias(c) if c == text else F.col(f"x.{c}").alias(c) for c in names]
     counts = (F.greatest(size, F.lit(0)), F.greatest(size - left, F.lit(0)))
     return out.select(*columns, *[c.alias(free_name(names, n)) for c, n in zip(counts, ("lines", "lines_deleted"))])

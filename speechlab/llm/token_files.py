@@ -8,7 +8,7 @@ each shard's documents, ids and base: the prefix sum of the ids of all shards be
 Shard files are written under a task's own name and renamed, so a task that runs again replaces them whole.
 
 Defined results: null or empty text is one document that holds only the end id; rows that repeat a
-document id all stay, ordered by text; a null document id sorts first and is stored as the smallest
+document id all stay, ordered by a hash of the text; a null document id sorts first and is stored as the smallest
 64-bit integer; an empty table gives no shard. Extra columns are ignored.
 """
 
@@ -201,8 +201,9 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int, shards: int
         cols = [pa.array([shard], pa.int64()), pa.array([f"{shard:05d}"]), pa.array([len(sizes)], pa.int64()), pa.array([int(offsets[-1])], pa.int64()), pa.array([width.itemsize], pa.int32())]
         yield pa.RecordBatch.from_arrays(cols, names=["shard", "file", "docs", "tokens", "bytes"])
 
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    rows = rows.repartitionByRange(n, "k").sortWithinPartitions("k", "t")
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("place"))
+    # the rows of one id (all null ids, say) may be dealt to several shards
+    rows = rows.repartitionByRange(n, "k", "h", "place").sortWithinPartitions("k", "h", "place").select("k", "t")
     rows.mapInArrow(run, "shard long, file string, docs long, tokens long, bytes int").write.parquet(f"{folder}/manifest")
     manifest = spark.read.parquet(f"{folder}/manifest")
     # one row for each shard, not for each document: the prefix sums fit one task

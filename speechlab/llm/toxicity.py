@@ -31,6 +31,8 @@ CELLS = 1 << 20
 #: Labelled rows that the statistics of segments (K and the curve) are fitted to, at most.
 SAMPLE_ROWS = 20000
 PRIOR, Z_LEAST, DRIFT, CAP = 2000.0, 3.0, 1.0, 6.0
+#: Root of the deviance from which a token of few documents counts: four toxic ones and no other at a share of 0.13.
+ROOT_LEAST = 4.0
 #: Segments with a smaller E are significant.
 E_MOST = 0.5
 
@@ -112,13 +114,20 @@ def _class_counts(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def token_scores(clean: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Log-odds of counts with Dirichlet priors in proportion to all counts, cut where not significant, minus the drift."""
+    """Log-odds of counts with Dirichlet priors in proportion to all counts, cut where not significant, minus the drift.
+
+    Significant is a ratio of ``Z_LEAST`` deviations, or, as the prior outweighs tokens of few documents, a signed root of the
+    deviance from the classes' shares of ``ROOT_LEAST``.
+    """
     every = clean + toxic
     prior = PRIOR * every / every.sum() + 0.01
     n0, n1, a = clean.sum(), toxic.sum(), prior.sum()
     odds = np.log((toxic + prior) / (n1 + a - toxic - prior)) - np.log((clean + prior) / (n0 + a - clean - prior))
     z = odds / np.sqrt(1 / (toxic + prior) + 1 / (clean + prior))
-    return (np.where(z >= Z_LEAST, np.clip(odds, 0, CAP), 0.0) - DRIFT).astype(np.float32)
+    expected = every * (toxic.sum() / every.sum())
+    parts = [np.where(n > 0, n * np.log(np.maximum(n, 1) / np.maximum(e, 1e-300)), 0.0) for n, e in ((toxic, expected), (clean, every - expected))]
+    root = np.where(toxic > expected, np.sqrt(2 * np.maximum(parts[0] + parts[1], 0)), 0.0)
+    return (np.where((z >= Z_LEAST) | (root >= ROOT_LEAST), np.clip(odds, 0, CAP), 0.0) - DRIFT).astype(np.float32)
 
 
 def found(scores: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
@@ -218,12 +227,12 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
 
 
 def classify(docs: DataFrame, labels: DataFrame, is_held_out, label: str = "toxic", threshold: float = 0.5) -> DataFrame:
-    """``doc_id, held_out, score, segments, predicted``: learn from labelled rows that are not held out, score every row."""
+    """``doc_id, held_out, score, predicted, segments``: learn from labelled rows that are not held out, score every row."""
     marks = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     marks = marks.groupBy("doc_id").agg(F.max("label").alias("label"))
     train = docs.where(~is_held_out).select("doc_id", "text").join(small_side(marks), "doc_id")
     model = fit(train)
     return (
         score(docs.select("doc_id", is_held_out.alias("held_out"), "text"), model, ["doc_id", "held_out"])
-        .withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+        .select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "segments")
     )

@@ -38,6 +38,16 @@ def test_toxicity(spark):
     assert toxicity.classify(rows, labels.limit(0), F.lit(False)).where("predicted is null").count() == 0
 
 
+def test_toxicity_recall(spark):
+    """The query's own held-out rows: nine of ten toxic documents are found, and one clean one in a hundred at most is marked."""
+    folder = "/root/testdata/sf0.1"
+    out = QUERIES["op8_toxic_segments"](spark, folder)
+    assert out.columns[:4] == ["doc_id", "held_out", "score", "predicted"]
+    held = out.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out").select("predicted", "toxic").toPandas()
+    assert held.predicted[held.toxic == 1].mean() >= 0.9
+    assert held.predicted[held.toxic == 0].mean() <= 0.01
+
+
 def test_language(spark):
     rows = docs(spark)
     out = language.label(rows, language.fit(rows.where("doc_id % 4 <> 1")), ["doc_id"])
@@ -199,4 +209,4 @@ def test_segments():
 
 
 def test_registered():
-    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))
