@@ -35,9 +35,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     floor = LEAST_SHARES / len(model.languages) if len(model.languages) > 1 else 0.0
+    placed = free_name(docs.columns, "placed")
     # the other columns stay beside the text that goes to the network; nothing is sent back but its result
-    found = docs.where(F.col("text").rlike(r"\p{L}")).withColumn("__placed", language.predictions(docs, model))
-    return found.where(F.col("__placed.pooled") >= floor).select(*docs.columns)
+    found = docs.where(F.col("text").rlike(r"\p{L}")).withColumn(placed, language.predictions(docs, model))
+    return found.where(F.col(f"{placed}.pooled") >= floor).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
