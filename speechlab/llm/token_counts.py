@@ -132,31 +132,32 @@ def _frequencies(tokenizer: str, head) -> Callable[[Iterator[pa.RecordBatch]], I
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, known = _pre_tokens(tokenizer), head.value
-        memory: dict = {}
-
-        def weigh(word) -> tuple[int, tuple[str, ...]]:
-            own, rest = 0, []
-            for k in map(_key, cutter.pre_tokens(word)):
-                n = known.get(k)
-                if n is None:
-                    rest.append(k)
-                else:
-                    own += n
-            if len(memory) > HELD:
-                memory.clear()
-            memory[word] = own, tuple(rest)
-            return memory[word]
+        others: dict = {}
 
+        class Own(dict):
+            """Pieces of a word's head pre-tokens; words with more pre-tokens have these in ``others``."""
+
+            def __missing__(self, word) -> int:
+                found = [(k, known.get(k)) for k in map(_key, cutter.pre_tokens(word))]
+                rest = [k for k, n in found if n is None]
+                if rest:
+                    others[word] = rest
+                self[word] = own = sum(n for _, n in found if n is not None)
+                return own
+
+        own = Own()
         for batch in batches:
             rows: list[tuple[int, str, int, int | None, int | None]] = []
             for at, (row, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2))):
+                if len(own) > HELD:
+                    own.clear()
+                    others.clear()
                 whole = t.as_py() or ""
                 words, pieces = cutter.words(whole)
+                pieces += sum(map(own.__getitem__, words))
                 rest: Counter = Counter()
-                for word, n in Counter(words).items():
-                    own, others = memory.get(word) or weigh(word)
-                    pieces += n * own
-                    for k in others:
+                for word, n in Counter(filter(others.__contains__, words)).items():
+                    for k in others[word]:
                         rest[k] += n
                 # no pre-token holds a blank, so this key meets none and is spread over all tasks
                 rows.append((row, f" {row}", pieces, at, len(whole.encode())))
