@@ -435,8 +435,7 @@ def _(frames):
 @add("a2_token_error_rate", "SELECT word, round(CASE WHEN n > 1 THEN 1.0 / greatest(len(string_split(x, '_')), len(string_split(y, '_'))) ELSE 0.0 END, 6) AS rate FROM (SELECT word, count(DISTINCT phones) AS n, min_by(phones, alt_idx) AS x, max_by(phones, alt_idx) AS y FROM fx_lexicon GROUP BY 1)", "fx_lexicon")
 def _(lexicon):
     both = lexicon.groupBy("word").agg(F.split(F.min_by("phones", "alt_idx"), "_").alias("x"), F.split(F.max_by("phones", "alt_idx"), "_").alias("y"))
-    alphabet = F.array(*map(F.lit, sorted({p for ps in P.CATEGORIES.values() for p in ps} | {f"{v}{d}" for v in ("AE", "AH", "EH", "IH", "OW", "UH") for d in "01"})))
-    return both.select("word", F.round(K.token_error_rate(F.col("x"), F.col("y"), alphabet), 6).alias("rate"))
+    return both.select("word", F.round(K.token_error_rate(F.col("x"), F.col("y")), 6).alias("rate"))
 
 
 @add("k2_knn_uniform", "WITH t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) AS r FROM embeddings) WHERE r <= 500), d AS (SELECT a.vec_id AS id, t.label, t.vec_id AS tid, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(t.embedding AS DOUBLE[])) AS d FROM embeddings a, t), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, tid) AS r FROM d) SELECT id, label, round(count(*) / 10.0, 6) AS p FROM n WHERE r <= 10 GROUP BY 1, 2", "embeddings")

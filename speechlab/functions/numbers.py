@@ -8,39 +8,62 @@ from pyspark.sql import functions as F
 # Words of numbers below twenty, of tens, of groups of three digits, and irregular ordinals.
 ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 TENS = "_ ten twenty thirty forty fifty sixty seventy eighty ninety".split()
-GROUPS = ["", " thousand", " million", " billion", " trillion", " quadrillion"]
+GROUPS = ["", " thousand", " million", " billion", " trillion", " quadrillion", " quintillion", " sextillion", " septillion", " octillion", " nonillion", " decillion"]
 ORDINALS = {"one": "first", "two": "second", "three": "third", "five": "fifth", "eight": "eighth", "nine": "ninth", "twelve": "twelfth"}
-#: One-character currency symbols and their names; a caller may pass others.
-CURRENCIES = {"$": "dollar", "€": "euro", "£": "pound", "¥": "yen"}
+# One-character currency symbols and their names.
+CURRENCIES = {
+    "$": "dollar", "؋": "afghani", "ƒ": "guilder", "₼": "manat", "P": "pula", "៛": "riel", "¥": "yen", "₡": "colon", "₱": "peso", "£": "pound",
+    "€": "euro", "₾": "lari", "¢": "cedis", "Q": "quetzal", "L": "lempira", "₹": "rupee", "﷼": "rial", "₪": "shekel", "₩": "won", "₭": "kip",
+    "₨": "rupee", "₮": "tughrik", "₦": "naira", "₽": "ruble", "S": "shilling", "R": "rand", "฿": "baht", "₺": "lira", "₴": "hryvna", "₫": "dong",
+}
 
+# characters that no text holds: before a unit, for a one that has been looked at, and for the unit cent
+_UNIT, _ONE, _CENT = "\u0001", "\u0002", "\u0003"
 
-def _amounts(text: Column, amount: str, name: str) -> Column:
-    """Amounts written as ``amount`` (its number in group 1): units and cents, in singular where they are 1."""
-    mark, one = "\u0001", "\u0002"  # a 1 must not follow a group's number in a replacement
-    number = amount.format
-    out = F.regexp_replace(text, number(r"([0-9]*\.[0-9]*\.[0-9.]*[0-9])"), f"$1 {name}s")  # more than two parts stay
-    out = F.regexp_replace(out, number(r"0*([1-9][0-9]*)\.0*([1-9][0-9]*)"), f"$1 {mark}{name}s and $2 {mark}cents")
-    out = F.regexp_replace(out, number(r"0*([1-9][0-9]*)(?:\.0+)?"), f"$1 {mark}{name}s")
-    out = F.regexp_replace(out, number(r"0*\.0*([1-9][0-9]*)"), f"$1 {mark}cents")
-    out = F.regexp_replace(out, number(r"0+(?:\.0+)?"), f"zero {mark}{name}s")
-    for unit in (name, "cent"):
-        out = F.regexp_replace(out, f"(^|[^0-9])1 {mark}{unit}s", f"$1{one} {unit}")
-    return F.translate(out, one + mark, "1")
+
+def _amounts(text: Column, amount: str, group: int, number: int) -> Column:
+    """Amounts written as ``amount`` with the symbol in ``group``: units and cents, marked, in singular where they are 1.
+
+    number: the first group of what is put into ``amount``.
+    """
+    unit, n, m = f"{_UNIT}${group}s", f"${number}", f"${number + 1}"
+    cents = f"{_UNIT}{_CENT}s"
+    out = F.regexp_replace(text, amount.format(r"([0-9]*\.[0-9]*\.[0-9.]*[0-9])"), f"{n} {unit}")  # more than two parts stay
+    two = r"0*([1-9][0-9]*)\.0*([1-9][0-9]*)"
+    if group < number:
+        out = F.regexp_replace(out, amount.format(two), f"{n} {unit} and {m} {cents}")
+    else:
+        out = F.regexp_replace(out, amount.format(two), f"{n} {_UNIT}$3s and $2 {cents}")
+        unit = f"{_UNIT}$2s"
+    out = F.regexp_replace(out, amount.format(r"0*([1-9][0-9]*)(?:\.0+)?"), f"{n} {unit}")
+    out = F.regexp_replace(out, amount.format(r"0*\.0*([1-9][0-9]*)"), f"{n} {cents}")
+    return F.regexp_replace(out, amount.format(r"(0+)(?:\.0+)?"), f"zero {unit}")
 
 
 def expand_symbols(text: Column, currencies: dict[str, str] | None = None) -> Column:
     """Thousands separators removed, then percent signs and currency symbols on either side of a number, then decimal points.
 
     ``$2.50`` is two dollars and fifty cents, an amount of nothing is zero of its unit, and a number of more than
-    two dotted parts is kept before its unit. Percent signs and symbols without a number stay.
+    two dotted parts is kept before its unit. Percent signs and symbols without a number stay. Dollars come first, then all
+    other symbols together: before a number, then after it. Only texts with a symbol beside a digit are worked on.
     """
+    known = CURRENCIES if currencies is None else currencies
     out = text
     for _ in range(2):  # a digit between two separators belongs to both matches
         out = F.regexp_replace(out, "([0-9]),+([0-9])", "$1$2")
     out = F.regexp_replace(F.regexp_replace(out, "%([0-9]+)", "$1 percent"), "([0-9]+)%", "$1 percent")
-    for symbol, name in (CURRENCIES if currencies is None else currencies).items():
-        for amount in (rf"\Q{symbol}\E" + "{0}", "{0}" + rf"\Q{symbol}\E"):
-            out = _amounts(out, amount, name)
+    others = [s for s in known if s != "$"]
+    for symbols in (["$"] if "$" in known else [], others):
+        if not symbols:
+            continue
+        kind = "([" + "".join(f"\\Q{s}\\E" for s in symbols) + "])"
+        told = _amounts(_amounts(out, kind + "{0}", 1, 2), "{0}" + kind, 2, 1)
+        told = F.regexp_replace(told, f"(^|[^0-9])1 {_UNIT}(.)s", f"$1{_ONE} {_UNIT}$2")
+        told = F.translate(told, _ONE, "1")
+        for s in symbols:
+            told = F.replace(told, F.lit(_UNIT + s), F.lit(known[s]))
+        told = F.replace(told, F.lit(_UNIT + _CENT), F.lit("cent"))
+        out = F.when(out.rlike(f"{kind}[.0-9]|[0-9]{kind}"), told).otherwise(out)
     return F.regexp_replace(out, r"([0-9]+)\.([0-9]+)", "$1 point $2")
 
 
@@ -54,11 +77,27 @@ def below_thousand(n: Column, joint: str = " ") -> Column:
     return F.concat_ws(joint, hundred, F.when((rest > 0), small))
 
 
+def cardinal(digits: Column, joint: str = " ", last: str = " ") -> Column:
+    """Words of a run of digits, three by three with the group's name, groups apart by commas; null beyond ``GROUPS`` (36 digits).
+
+    ``last`` comes before a last group below 100 that follows another one.
+    """
+    bare = F.regexp_replace(digits, "^0+", "")
+    n = F.floor((F.length(bare) + 2) / 3).cast("int")
+    padded = F.concat(F.repeat(F.lit("0"), n * 3 - F.length(bare)), bare)
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.struct((n - k).alias("left"), F.coalesce(F.substring(padded, k * 3 - 2, F.lit(3)).try_cast("int"), F.lit(0)).alias("value")))
+    groups = F.filter(cut, lambda g: g["value"] > 0)
+    names = F.array(*map(F.lit, GROUPS))
+    told = F.transform(groups, lambda g: F.concat(below_thousand(g["value"], joint), F.get(names, g["left"])))
+    end = F.element_at(groups, -1)
+    short = (F.size(told) > 1) & (end["left"] == 0) & (end["value"] < 100)
+    words = F.when(short, F.concat(F.array_join(F.slice(told, F.lit(1), F.greatest(F.size(told) - 1, F.lit(1))), ", "), F.lit(last), F.element_at(told, -1)))
+    return F.when(bare == "", "zero").when(n <= len(GROUPS), words.otherwise(F.array_join(told, ", ")))
+
+
 def number_words(n: Column, joint: str = " ") -> Column:
-    """Words of a whole number from 0 to below 10^18, groups of three digits apart by commas."""
-    groups = [F.floor(n / F.lit(10 ** (3 * k))) % 1000 for k in range(len(GROUPS))]
-    told = [F.when(g > 0, F.concat(below_thousand(g, joint), F.lit(name))) for g, name in zip(groups, GROUPS)]
-    return F.when(n == 0, "zero").otherwise(F.concat_ws(", ", *reversed(told)))
+    """Words of a whole number that is not negative; null for null."""
+    return cardinal(n.cast("string"), joint, joint)
 
 
 def year_words(n: Column) -> Column:
@@ -85,18 +124,19 @@ def ordinal_words(cardinal: Column) -> Column:
 def spoken(digits: Column, ordinal: Column) -> Column:
     """Words of a run of digits: years between 1000 and 3000, else cardinals; ordinals say ``and`` after hundreds.
 
-    Numbers of more than 18 digits are null.
+    Numbers beyond the named groups (36 digits) are null.
     """
-    n = F.when(F.length(digits) <= 18, digits.try_cast("bigint"))
-    plain = F.when((n > 1000) & (n < 3000), year_words(n)).otherwise(number_words(n))
-    return F.when(ordinal, ordinal_words(number_words(n, " and "))).otherwise(plain)
+    bare = F.regexp_replace(digits, "^0+", "")
+    n = F.when(F.length(bare) <= 4, bare.try_cast("bigint"))
+    plain = F.when((n > 1000) & (n < 3000), year_words(n)).otherwise(cardinal(digits))
+    return F.when(ordinal, ordinal_words(cardinal(digits, " and ", " and "))).otherwise(plain)
 
 
 def number_table(tokens: DataFrame, token: str = "token") -> DataFrame:
     """``token, words``: each distinct token that holds a digit, with its symbols expanded and its numbers in words.
 
     Numbers are cut out of the distinct expanded tokens, told once for each distinct run of digits, and joined
-    back, so that the work follows the distinct numbers and not the text.
+    back, so that the work follows the distinct numbers and not the text. A number without words stays as its digits.
     """
     distinct = tokens.where(F.col(token).rlike("[0-9]")).select(F.col(token).alias("token")).distinct()
     parts = F.expr("regexp_extract_all(__x, '[0-9]+(?:st|nd|rd|th)?|[^0-9]+', 0)")

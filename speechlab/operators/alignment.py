@@ -9,47 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GAP = "-"
-
-
-def align(a: Column, b: Column) -> Column:
-    """``n_match, a, b``: an alignment with the most equal pairs, gaps ``-``.
-
-    Ties: a pair, then a gap in ``b``, then a gap in ``a``, from the end on. Null if either is null. The table
-    of a pair of arrays is folded row by row, so its cost is the product of their lengths: for words and phrases.
-    """
-    cell = "struct<n: int, a: array<string>, b: array<string>>"
-
-    def make(n: Column, left: Column, right: Column) -> Column:
-        return F.struct(n.cast("int").alias("n"), left.alias("a"), right.alias("b")).cast(cell)
-
-    none = F.array().cast("array<string>")
-    gap = F.array(F.lit(GAP))
-    top = F.transform(
-        F.sequence(F.lit(0), F.size(b)),
-        lambda j: make(F.lit(0), F.array_repeat(F.lit(GAP), j), F.slice(b, F.lit(1), j)),
-    )
-
-    def row(above: Column, x: Column) -> Column:
-        first = above[0]
-        start = F.array(make(first["n"], F.concat(first["a"], F.array(x)), F.concat(first["b"], gap)))
-
-        def add(done: Column, pair: Column) -> Column:
-            j, y = pair["j"], pair["y"]
-            corner, up, side = F.get(above, j), F.get(above, j + 1), F.element_at(done, -1)
-            both = corner["n"] + (x == y).cast("int")
-            best = (
-                F.when((both >= up["n"]) & (both >= side["n"]), make(both, F.concat(corner["a"], F.array(x)), F.concat(corner["b"], F.array(y))))
-                .when(up["n"] >= side["n"], make(up["n"], F.concat(up["a"], F.array(x)), F.concat(up["b"], gap)))
-                .otherwise(make(side["n"], F.concat(side["a"], gap), F.concat(side["b"], F.array(y))))
-            )
-            return F.concat(done, F.array(best))
-
-        return F.aggregate(F.transform(b, lambda y, j: F.struct(j.alias("j"), y.alias("y"))), start, add)
-
-    done = F.element_at(F.aggregate(a, top, row), -1)
-    return F.when(a.isNotNull() & b.isNotNull(), F.struct(done["n"].alias("n_match"), F.coalesce(done["a"], none).alias("a"), F.coalesce(done["b"], none).alias("b")))
-
+from speechlab.operators.sequences import GAP, align, edit_distance  # noqa: F401  (the alignment itself)
 
 def equal_split(phones: DataFrame, part: list[str], order: list[str]) -> DataFrame:
     """``start, end``: the time of a run of equal adjacent phones, dealt equally among them, to 0.01 s."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from speechlab.functions.phonetics import collapse_runs
-from speechlab.operators.alignment import GAP, align
+from speechlab.operators.sequences import align, edit_distance
 from speechlab.operators.windows import order_positions
 
 
@@ -142,15 +142,13 @@ def recording_check(frames: DataFrame, expected: DataFrame, least: float, silenc
     included, over their length; standard_rate: of the arrays themselves, over the expected length; silent_share: of frames whose best
     phone is silence; count_ratio: phones found to phones expected. Without any phone found the rates are null.
     """
-    code = lambda c: F.char(F.lit(48) + c.cast("int"))
     listed = lambda o, c: F.transform(F.array_sort(F.collect_list(F.struct(o, c))), lambda x: x[c].cast("string"))
     found = posterior_runs(frames, least, silence).groupBy("rec_id").agg(listed("run", "phone").alias("found"))
     goal = expected.groupBy("rec_id").agg(listed("pos", "phone_id").alias("goal"))
     still = frames.groupBy("rec_id").agg(F.avg((argmax_phone(F.col("probs")) == silence).cast("double")).alias("silent_share"))
     rows = goal.join(still, "rec_id", "left").join(found, "rec_id", "left").withColumn("z", align(F.col("goal"), F.col("found")))
-    text = lambda c: F.array_join(F.transform(c, lambda t: F.when(t == GAP, "-").otherwise(code(t.try_cast("int")))), "")
-    rate = F.levenshtein(text("z.a"), text("z.b")) / F.size("z.a")
-    standard = F.levenshtein(text("goal"), text("found")) / F.size("goal")
+    rate = edit_distance(F.col("z.a"), F.col("z.b")) / F.size("z.a")
+    standard = edit_distance(F.col("goal"), F.col("found")) / F.size("goal")
     return rows.select("rec_id", rate.alias("error_rate"), standard.alias("standard_rate"), "silent_share", (F.coalesce(F.size("found"), F.lit(0)) / F.size("goal")).alias("count_ratio"))
 
 
@@ -211,13 +209,10 @@ def evaluate(selection: DataFrame, scorer: Callable[[DataFrame], DataFrame], key
     return results, marked.where("__e is not null").select(key, F.col("__e").alias("error")).unionByName(silent)
 
 
-def token_error_rate(truth: Column, found: Column, alphabet: Column) -> Column:
-    """Edit distance of token arrays over the longer length; tokens become one character each (alphabets under 220)."""
-
-    def coded(tokens: Column) -> Column:
-        return F.array_join(F.transform(tokens, lambda t: F.char(F.lit(33) + F.array_position(alphabet, t))), "")
-
-    return F.levenshtein(coded(truth), coded(found)) / F.greatest(F.size(truth), F.size(found))
+def token_error_rate(truth: Column, found: Column) -> Column:
+    """Edit distance of two token arrays over the longer length, for any alphabet and length: 0 for two empty arrays, null for null."""
+    size = F.greatest(F.size(truth), F.size(found))
+    return F.when(size > 0, edit_distance(truth, found) / size).when(size == 0, 0.0)
 
 
 def explode_sequences(df: DataFrame, keys: list[str], vectors: str, step: str, value: str) -> DataFrame:

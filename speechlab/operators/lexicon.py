@@ -61,20 +61,20 @@ def alternatives_histogram(lexicon: DataFrame) -> DataFrame:
 def lookup(words: DataFrame, lexicon: DataFrame, fold, oov: DataFrame | None = None) -> DataFrame:
     """``word, phones, how``: the first alternative, by the word itself, then by its folded form, then in the ``oov`` table; else null and ``none``.
 
-    oov: ``word, phones``. Only words that the lexicon lacks and that folding changes are looked up again.
+    oov: ``word, phones``. Both forms of a word meet the lexicon in one join (and the oov table, told apart by its rank), and
+    the best of what is found is a minimum over the word's few rows.
     """
-    first = lexicon.where("alt_idx = 0").select("word", "phones")
-    exact = words.select("word").distinct().join(first, "word", "left")
-    again = exact.where("phones is null").select("word", fold(F.col("word")).alias("folded")).where("word <> folded")
-    told = again.join(first.select(F.col("word").alias("folded"), F.col("phones").alias("more")), "folded").select("word", "more")
-    rows = exact.join(told, "word", "left")
-    how = F.when(F.col("phones").isNotNull(), "exact").when(F.col("more").isNotNull(), "folded")
-    if oov is None:
-        return rows.select("word", F.coalesce("phones", "more").alias("phones"), F.coalesce(how, F.lit("none")).alias("how"))
-    known = oov.groupBy("word").agg(F.min("phones").alias("given"))
-    rows = rows.join(known, "word", "left")
-    how = F.coalesce(how, F.when(F.col("given").isNotNull(), "oov"), F.lit("none"))
-    return rows.select("word", F.coalesce("phones", "more", "given").alias("phones"), how.alias("how"))
+    known = lexicon.where("alt_idx = 0").groupBy("word").agg(F.min("phones").alias("phones")).withColumn("given", F.lit(False))
+    if oov is not None:
+        known = known.unionByName(oov.groupBy("word").agg(F.min("phones").alias("phones")).withColumn("given", F.lit(True)))
+    forms = F.array_distinct(F.array("word", fold(F.col("word"))))
+    each = words.select("word").distinct().select("word", F.posexplode(forms).alias("k", "form"))
+    found = each.join(known.withColumnRenamed("word", "form"), "form", "left")
+    # an oov entry holds for the word itself only
+    rank = F.when(F.col("phones").isNull() | (F.col("given") & (F.col("k") > 0)), 3).when(F.col("given"), 2).otherwise(F.col("k"))
+    best = found.groupBy("word").agg(F.min(F.struct(rank.cast("int").alias("rank"), "phones")).alias("m"))
+    how = F.get(F.array(*map(F.lit, ("exact", "folded", "oov", "none"))), F.col("m.rank"))
+    return best.select("word", F.when(F.col("m.rank") < 3, F.col("m.phones")).alias("phones"), how.alias("how"))
 
 
 def letter_names(lexicon: DataFrame, fixes: DataFrame | None = None) -> DataFrame:

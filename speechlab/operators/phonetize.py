@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from speechlab.functions import numbers, text
 from speechlab.operators import syllables as Y
+from speechlab.operators.hot import join_frequent
+from speechlab.plans.scratch import kept
 
 
 def _ordered(order: str, *columns: str) -> Column:
@@ -26,12 +28,15 @@ def normalized(sentences: DataFrame, key: str = "sent_id") -> DataFrame:
     """
     glued = F.trim(F.regexp_replace(text.glue_punctuation(F.trim("text")), " +", " "))
     rows = sentences.select(key, glued.alias("sentence")).where("sentence <> ''")
-    tokens = rows.select(key, F.posexplode(F.split("sentence", " ")).alias("i", "token"))
-    digits = F.col("token").rlike("[0-9]")
-    told = numbers.number_table(tokens).select("token", F.col("words").alias("e"))
-    spread = tokens.where(~digits).withColumn("e", F.col("token")).unionByName(tokens.where(digits).join(told, "token").select(key, "i", "token", "e"))
-    whole = spread.groupBy(key).agg(_ordered("i", "token", "e").alias("r")).select(key, text.brace_groups(_field("r", "token"), _field("r", "e"))["norm"].alias("n"))
-    whole = whole.select(key, F.split(F.array_join("n", " "), " ").alias("norm")).join(rows, key)
+    digits = F.col("sentence").rlike("[0-9]")
+    plain = rows.where(~digits).withColumn("norm", F.split("sentence", " "))
+    tokens = kept(rows.where(digits).select(key, "sentence", F.posexplode(F.split("sentence", " ")).alias("i", "token")))
+    counted = tokens.where(F.col("token").rlike("[0-9]")).groupBy("token").agg(F.count("*").alias("n"))
+    told = kept(numbers.number_table(counted).select("token", F.col("words").alias("e")).join(counted, "token"))
+    spread = tokens.where(~F.col("token").rlike("[0-9]")).withColumn("e", F.col("token"))
+    spread = spread.unionByName(join_frequent(tokens.where(F.col("token").rlike("[0-9]")), told, ["token"]))
+    whole = spread.groupBy(key, "sentence").agg(_ordered("i", "token", "e").alias("r")).select(key, "sentence", text.brace_groups(_field("r", "token"), _field("r", "e"))["norm"].alias("n"))
+    whole = plain.unionByName(whole.select(key, "sentence", F.split(F.array_join("n", " "), " ").alias("norm")))
     whole = whole.withColumn("maps", text.edge_maps(F.col("norm"))).withColumn("words", text.expand_words(text.strip_marks(F.col("norm"))))
     whole = whole.withColumn("acronyms", text.acronym_indexes(F.col("words")))
     cased = F.transform("words", lambda w: F.when(text.is_acronym(w), F.regexp_replace(w, "(?s)(?<=.)(?=.)", "-")).otherwise(w))
@@ -46,12 +51,11 @@ def part_alternatives(parts: DataFrame, lexicon: DataFrame, mode: str = "CMU") -
     cut = Y.syllabify(lexicon.select("phones"), "phones", mode).select(F.col("word").alias("phones"), F.array_join("syllables", "|").alias("formatted"))
     known = lexicon.join(cut, "phones").groupBy("word").agg(_ordered("alt_idx", "formatted", "phones").alias("r"))
     known = known.select("word", _field("r", "formatted").alias("a"), F.element_at("r", -1)["phones"].alias("l"))
-    distinct = parts.select("part").distinct().withColumn("folded", text.fold_accents(F.col("part")))
-    exact = distinct.join(known.select(F.col("word").alias("part"), "a", "l"), "part", "left")
-    folded = exact.where(F.col("a").isNull() & (F.col("folded") != F.col("part"))).select("part", "folded").join(known.withColumnRenamed("word", "folded"), "folded")
-    return exact.where("a is not null").select("part", F.col("a").alias("alternatives"), F.col("l").alias("last")).unionByName(
-        folded.select("part", F.col("a").alias("alternatives"), F.col("l").alias("last"))
-    )
+    # both forms of a part in one join; its own comes first
+    forms = F.array_distinct(F.array("part", text.fold_accents(F.col("part"))))
+    each = parts.select("part").distinct().select("part", F.posexplode(forms).alias("k", "word")).join(known, "word")
+    first = each.groupBy("part").agg(F.min(F.struct("k", "a", "l")).alias("m"))
+    return first.select("part", F.col("m.a").alias("alternatives"), F.col("m.l").alias("last"))
 
 
 def word_table(words: DataFrame, lexicon: DataFrame, dictionary: DataFrame, lang: str, mode: str = "CMU") -> DataFrame:
@@ -64,11 +68,12 @@ def word_table(words: DataFrame, lexicon: DataFrame, dictionary: DataFrame, lang
     """
     distinct = words.select("lower", "acronym").distinct()
     parts = distinct.select("lower", "acronym", F.posexplode(F.split("lower", "-")).alias("k", "part"))
-    told = part_alternatives(parts, lexicon, mode)
+    names = kept(parts.select("part").distinct())
+    told = part_alternatives(names, lexicon, mode)
     counts = lexicon.where("alt_idx = 0").select(F.col("word").alias("part"), F.size(F.filter(F.split("phones", "_"), lambda p: Y.sonority(p, mode) == 5)).alias("n_vowels"))
-    spelled = parts.select("part").distinct().join(counts, "part", "left")
+    spelled = names.join(counts, "part", "left")
     cut = Y.syllabified_text(spelled.withColumnRenamed("part", "word"), dictionary, lang).withColumnRenamed("word", "part")
-    joined = parts.join(told, "part", "left").join(cut, "part", "left")
+    joined = parts.join(kept(cut.join(told, "part", "left")), "part", "left")
     rows = joined.groupBy("lower", "acronym").agg(_ordered("k", "alternatives", "last", "syllables", "method").alias("r"))
 
     def widen(done: Column, more: Column) -> Column:
@@ -105,11 +110,13 @@ def phonetize(sentences: DataFrame, lexicon: DataFrame, dictionary: DataFrame, l
     in readable phones (``readable`` maps them; null without it); the segmented text in its own case; places of words with
     a syllable or stress mismatch; and for each word its way of segmentation and its alternatives. Sentences without words go.
     """
-    rows = normalized(sentences, key)
+    rows = kept(normalized(sentences, key))
     each = rows.select(key, F.posexplode(F.arrays_zip("lower", "words")).alias("i", "w"))
     each = each.select(key, "i", "w.lower", text.is_acronym(F.col("w.words")).alias("acronym"))
-    table = word_table(each, lexicon, dictionary, lang, mode)
-    found = each.join(table, ["lower", "acronym"])
+    # words are looked up once each; those of many places do not go through a shuffle
+    words = kept(each.groupBy("lower", "acronym").agg(F.count("*").alias("n")))
+    table = kept(word_table(words, lexicon, dictionary, lang, mode).join(words, ["lower", "acronym"]))
+    found = join_frequent(each, table, ["lower", "acronym"])
     names = ["lower", "syllables", "method", "alternatives", "chosen", "bad_count", "bad_stress"]
     whole = rows.join(found.groupBy(key).agg(_ordered("i", *names).alias("r")), key)
     chosen = F.transform("r", lambda x: F.get(x["alternatives"], x["chosen"]))

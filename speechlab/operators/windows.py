@@ -2,31 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from speechlab.operators.ordered import scan
+
+
+def _turns(label: str):
+    """Whether a row starts a run: nothing before it, another label, or a null (every null is a run of its own)."""
+
+    def flag(before, own):
+        return before(label).isNull() | own(label).isNull() | (before(label) != own(label))
+
+    return flag
+
+
+_SCANNED = ("__before", "__after", "__flags", "__since")
+
 
 def run_id(df: DataFrame, label: str, part: list[str], order: list[str]) -> DataFrame:
-    """``run``: number, from 1, of the run of equal labels a row is in."""
-    w = Window.partitionBy(*part).orderBy(*order)
-    before = F.lag(label).over(w)
-    new = (before.isNull() | (before != F.col(label))).cast("long")
-    return df.withColumn("__new", new).withColumn("run", F.sum("__new").over(w)).drop("__new")
+    """``run``: number, from 1, of the run of equal labels a row is in; every null is a run of its own.
+
+    Groups of ``part`` may be of any length (``ordered.scan``), here and in all that stands on runs.
+    """
+    return scan(df, part, order, [label], _turns(label)).withColumn("run", F.col("__flags")).drop(*_SCANNED)
 
 
 def dedupe_runs(df: DataFrame, label: str, part: list[str], order: list[str]) -> DataFrame:
     """The first row of each run of equal labels."""
-    w = Window.partitionBy(*part).orderBy(*order)
-    marked = df.withColumn("__before", F.lag(label).over(w))
-    return marked.where(F.col("__before").isNull() | (F.col("__before") != F.col(label))).drop("__before")
+    return scan(df, part, order, [label], _turns(label)).where("__since = 0").drop(*_SCANNED)
+
+
+def _goes_on(label: str) -> Column:
+    return F.coalesce(F.col(f"__after.{label}") == F.col(label), F.lit(False))
 
 
 def run_edges(df: DataFrame, label: str, part: list[str], order: list[str]) -> DataFrame:
     """The first and last rows of each run."""
-    w = Window.partitionBy(*part).orderBy(*order)
-    marked = df.withColumn("__b", F.lag(label).over(w)).withColumn("__a", F.lead(label).over(w))
-    edge = F.col("__b").isNull() | (F.col("__b") != F.col(label)) | F.col("__a").isNull() | (F.col("__a") != F.col(label))
-    return marked.where(edge).drop("__b", "__a")
+    rows = scan(df, part, order, [label], _turns(label))
+    return rows.where((F.col("__since") == 0) | ~_goes_on(label)).drop(*_SCANNED)
 
 
 def resolve_overlaps(df: DataFrame, part: list[str], order: list[str], end: str = "end") -> DataFrame:
@@ -36,18 +50,18 @@ def resolve_overlaps(df: DataFrame, part: list[str], order: list[str], end: str
 
 
 def sessionize(df: DataFrame, gap: float, part: list[str], order: list[str]) -> DataFrame:
-    """Phrases: rows apart by a silence over ``gap`` seconds start a new one; text, bounds and size of each."""
-    w = Window.partitionBy(*part).orderBy(*order)
-    silent = F.col("start") - F.lag("end").over(w)
-    marked = df.withColumn("__new", F.coalesce((silent > gap).cast("long"), F.lit(0))).withColumn("phrase", F.sum("__new").over(w))
+    """Phrases: rows apart by a silence over ``gap`` seconds start a new one; text, bounds and size of each.
+
+    Files may be of any length; a phrase has to fit a task.
+    """
+    rows = scan(df, part, order, ["start", "end"], lambda before, own: own("start") - before("end") > gap).withColumn("phrase", F.col("__flags"))
     words = F.transform(F.array_sort(F.collect_list(F.struct(*order, "word"))), lambda x: x["word"])
-    return marked.groupBy(*part, "phrase").agg(F.array_join(words, " ").alias("text"), F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_words"))
+    return rows.groupBy(*part, "phrase").agg(F.array_join(words, " ").alias("text"), F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_words"))
 
 
 def segment_numbers(df: DataFrame, label: str, part: list[str], order: list[str]) -> DataFrame:
-    """``segment``: number, from 0, within each run of equal labels."""
-    runs = run_id(df, label, part, order)
-    return runs.withColumn("segment", F.row_number().over(Window.partitionBy(*part, "run").orderBy(*order)) - 1)
+    """``run``, and ``segment``: number, from 0, within each run of equal labels."""
+    return scan(df, part, order, [label], _turns(label)).withColumn("run", F.col("__flags")).withColumn("segment", F.col("__since").cast("int")).drop(*_SCANNED)
 
 
 def segment_names(df: DataFrame, label: str, part: list[str], order: list[str], extension: str = ".wav") -> DataFrame:
@@ -136,10 +150,8 @@ def user_panel(df: DataFrame, user: str, key: str, n_users: int, cap: int) -> Da
 
 def run_blocks(df: DataFrame, label: str, part: list[str], order: list[str]) -> DataFrame:
     """Rows inside runs of two or more equal labels."""
-    w = Window.partitionBy(*part).orderBy(*order)
-    marked = df.withColumn("__b", F.lag(label).over(w)).withColumn("__a", F.lead(label).over(w))
-    inside = (F.col("__b") == F.col(label)) | (F.col("__a") == F.col(label))
-    return marked.where(inside).drop("__b", "__a")
+    rows = scan(df, part, order, [label], _turns(label))
+    return rows.where((F.col("__since") > 0) | _goes_on(label)).drop(*_SCANNED)
 
 
 def order_positions(df: DataFrame, keys: list[str], position: str = "position") -> DataFrame:
