@@ -149,11 +149,12 @@ def _far():
     return F.lit("2030-01-01").cast("timestamp").alias("ts")
 
 
-@add("r1_stream_sessions", "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e) SELECT user_id AS file_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 3600000000 AS \"end\", count(*) AS n_words FROM s GROUP BY user_id, k", "events")
-def _(events):
-    rows = events.select(F.col("user_id").alias("file_id"), F.col("ts").cast("timestamp").alias("ts"))
-    got = _stream(rows, rows.limit(1).select(F.lit(-1).cast("long").alias("file_id"), _far()), lambda df: live.stream_sessions(df, "1 hour", "400 days"))
-    return got.where("file_id >= 0").select("file_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n_words")
+@add("r1_stream_sessions", "WITH e AS (SELECT *, CASE WHEN start - lag(\"end\") OVER (PARTITION BY file_id ORDER BY start, word_id) <= 3600 THEN 0 ELSE 1 END AS new FROM fx_words), s AS (SELECT *, sum(new) OVER (PARTITION BY file_id ORDER BY start, word_id) AS k FROM e) SELECT file_id, string_agg(word, ' ' ORDER BY start, word_id) AS text, round(min(start), 3) AS start, round(max(\"end\"), 3) AS \"end\", count(*) AS n_words FROM s GROUP BY file_id, k", "fx_words")
+def _(words):
+    rows = words.withColumn("ts", F.timestamp_micros(F.round(F.col("start") * 1000000).cast("long")))
+    last = rows.limit(1).select(F.lit(-1).cast("long").alias("file_id"), "word_id", "word", F.lit(1e9).alias("start"), F.lit(1e9).alias("end"), _far())
+    got = _stream(rows, last, lambda df: live.stream_sessions(df, 3600.0, "400 days"))
+    return got.where("file_id >= 0").select("file_id", "text", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "n_words")
 
 
 @add("r2_stream_gate_counts", "SELECT epoch(date_trunc('day', ts))::BIGINT AS start, event_type AS status, count(*) AS n FROM events GROUP BY 1, 2", "events")

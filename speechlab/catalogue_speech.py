@@ -139,10 +139,12 @@ def _(frames):
     return G.posterior_matrix(frames, "label").select("label", _long("phone"), _r("share"))
 
 
-@add("g11_weighted_confidence", "SELECT l_orderkey, round(CAST(sum(CAST(l_discount AS DECIMAL(6, 4)) * CAST(l_quantity AS DECIMAL(8, 2))) AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(8, 2))) AS DOUBLE), 6) AS confidence FROM lineitem GROUP BY 1", "lineitem")
+# rounded to millionths in whole numbers
+@add("g11_weighted_confidence", "SELECT l_orderkey, CAST((2 * 100 * sum(p * n) + sum(n)) // (2 * sum(n)) AS DOUBLE) / 1000000.0::DOUBLE AS confidence FROM (SELECT l_orderkey, CAST(round(l_discount * 10000) AS BIGINT) AS p, CAST(round(l_quantity * 100) AS BIGINT) AS n FROM lineitem) GROUP BY 1", "lineitem")
 def _(lineitem):
-    rows = lineitem.select("l_orderkey", F.col("l_discount").cast("decimal(6,4)").alias("p"), F.col("l_quantity").cast("decimal(8,2)").alias("n"))
-    return G.weighted_confidence(rows, ["l_orderkey"], "p", "n").select("l_orderkey", _r("confidence"))
+    rows = lineitem.select("l_orderkey", F.round(F.col("l_discount") * 10000).cast("long").alias("p"), F.round(F.col("l_quantity") * 100).cast("long").alias("n"))
+    out = G.weighted_confidence(rows, ["l_orderkey"], "p", "n")
+    return out.select("l_orderkey", (F.expr("(200 * weighted + total) div (2 * total)").cast("double") / 1000000.0).alias("confidence"))
 
 
 @add("g12_truth_stats", "SELECT rec_id, round(avg(p), 6) AS mean, round(median(p), 6) AS median, round(avg(hit), 6) AS match_rate FROM (SELECT rec_id, probs[CAST(label % 10 + 1 AS INT)] AS p, CAST(list_position(probs, list_max(probs)) - 1 = label % 10 AS INT) AS hit FROM fx_frames WHERE label % 10 <> 9) GROUP BY 1", "fx_frames")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -172,9 +175,18 @@ def first_focus(text: Column) -> Column:
     return F.nullif(F.array_position(focus_bins(text), 1) - 1, F.lit(-1))
 
 
+@lru_cache(maxsize=1)
+def _digits() -> str:
+    """Ranges of a pattern for all characters that are digits in any script, raised and circled ones included."""
+    found = [c for c in range(sys.maxunicode + 1) if chr(c).isdigit()]
+    starts = [c for k, c in enumerate(found) if not k or found[k - 1] != c - 1]
+    ends = [c for k, c in enumerate(found) if k + 1 == len(found) or found[k + 1] != c + 1]
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends))
+
+
 def clean_letters(text: Column) -> Column:
-    """Without digits and marks."""
-    return F.regexp_replace(text, r"[0-9!-/:-@\[-`{-~»«˃˂〈〉♦•—¿·]", "")
+    """Without digits (of any script) and marks."""
+    return F.regexp_replace(text, rf"[{_digits()}!-/:-@\[-`{{-~»«˃˂〈〉♦•—¿·]", "")
 
 
 def vocabulary(df: DataFrame, text: str = "text") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from speechlab.functions.phonetics import collapse_runs
+from speechlab.operators.ordered import dealt, scan
 
 
 def value_percent(df: DataFrame, col: str, by: list[str]) -> DataFrame:
@@ -63,19 +64,19 @@ def drop_top_words(df: DataFrame, k: int) -> DataFrame:
 def threshold_sweep(df: DataFrame, score: str, positive) -> DataFrame:
     """True and false positive rates of accepting scores up to each distinct value; sums run over distinct scores.
 
-    Scores are dealt by range, each range is summed up, and sums within a range start from those of all ranges
-    before it: no task takes more than its range, also where scores hardly repeat.
+    Scores are dealt by range over stored partitions, and sums within a range start from those of all ranges before it:
+    no task takes more than its range, also where scores hardly repeat. Without a positive (a negative) row ``tpr`` (``fpr``) is null.
     """
     steps = df.groupBy(F.col(score).alias("threshold")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
-    dealt = steps.repartitionByRange("threshold").withColumn("part", F.spark_partition_id())
+    rows = dealt(steps, ["threshold"])
     of = Window.partitionBy("part").orderBy("threshold")
-    run = dealt.withColumn("cp", F.sum("p").over(of)).withColumn("cq", F.sum("q").over(of))
-    sums = run.groupBy("part").agg(F.min("threshold").alias("low"), F.sum("p").alias("sp"), F.sum("q").alias("sq"))
-    before = Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
-    every = Window.orderBy("low").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    base = sums.select("part", F.coalesce(F.sum("sp").over(before), F.lit(0)).alias("bp"), F.coalesce(F.sum("sq").over(before), F.lit(0)).alias("bq"), F.sum("sp").over(every).alias("tp"), F.sum("sq").over(every).alias("tq"))
+    run = rows.withColumn("cp", F.sum("p").over(of)).withColumn("cq", F.sum("q").over(of))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    every = Window.partitionBy()
+    sums = rows.groupBy("part").agg(F.sum("p").alias("sp"), F.sum("q").alias("sq"))
+    base = sums.select("part", *[F.coalesce(F.sum(f"s{k}").over(before), F.lit(0)).alias(f"b{k}") for k in "pq"], *[F.sum(f"s{k}").over(every).alias(f"t{k}") for k in "pq"])
     joined = run.join(F.broadcast(base), "part")
-    return joined.select("threshold", ((F.col("cp") + F.col("bp")) / F.col("tp")).alias("tpr"), ((F.col("cq") + F.col("bq")) / F.col("tq")).alias("fpr"))
+    return joined.select("threshold", F.try_divide(F.col("cp") + F.col("bp"), "tp").alias("tpr"), F.try_divide(F.col("cq") + F.col("bq"), "tq").alias("fpr"))
 
 
 def mean_vectors(df: DataFrame, label: str, vector: str) -> DataFrame:
@@ -98,14 +99,19 @@ def confusion(df: DataFrame, detections: list[str]) -> DataFrame:
 
 
 def posterior_matrix(frames: DataFrame, label: str) -> DataFrame:
-    """``label, phone, share``: probability vectors summed for each label, as shares of the label's sum."""
+    """``label, phone, share``: probability vectors summed for each label, as shares of the label's sum (0 where that is 0)."""
     sums = frames.select(label, F.posexplode("probs").alias("phone", "p")).groupBy(label, "phone").agg(F.sum("p").alias("s"))
-    return sums.select(label, "phone", (F.col("s") / F.sum("s").over(Window.partitionBy(label))).alias("share"))
+    total = F.sum("s").over(Window.partitionBy(label))
+    return sums.select(label, "phone", F.when(total == 0, 0.0).otherwise(F.try_divide("s", total)).alias("share"))
 
 
 def weighted_confidence(segments: DataFrame, by: list[str], p: str, n: str) -> DataFrame:
-    """Confidence weighted by duration; decimal columns are summed exactly and divided once."""
-    return segments.groupBy(*by).agg((F.sum(F.col(p) * F.col(n)).cast("double") / F.sum(n).cast("double")).alias("confidence"))
+    """``weighted, total, confidence``: sums of ``p * n`` and of durations ``n``, and their ratio, null where the total is zero.
+
+    Whole or decimal columns are summed exactly and divided once.
+    """
+    sums = segments.groupBy(*by).agg(F.sum(F.col(p) * F.col(n)).alias("weighted"), F.sum(n).alias("total"))
+    return sums.withColumn("confidence", F.try_divide(F.col("weighted").cast("double"), F.col("total").cast("double")))
 
 
 def truth_stats(frames: DataFrame, true_id, silence: int) -> DataFrame:
@@ -136,8 +142,9 @@ def mismatched_truth_stats(frames: DataFrame, true_id, silence: int) -> DataFram
 
     Recordings are paired in the order of their ids, the last with the first.
     """
-    ids = frames.select("rec_id").distinct().groupBy().agg(F.sort_array(F.collect_set("rec_id")).alias("ids"))
-    pairs = ids.select(F.explode(F.arrays_zip(F.col("ids").alias("a"), F.concat(F.slice("ids", 2, F.size("ids")), F.slice("ids", 1, 1)).alias("b"))).alias("p")).select("p.a", "p.b")
+    ids = scan(frames.select("rec_id").distinct(), [], ["rec_id"], ["rec_id"], lambda before, own: F.lit(False))
+    first = frames.agg(F.min("rec_id").alias("first"))  # one row
+    pairs = ids.join(F.broadcast(first)).select(F.col("rec_id").alias("a"), F.coalesce("__after.rec_id", "first").alias("b"))
     labels = frames.select("rec_id", "frame_idx", true_id.alias("__t")).join(pairs, F.col("rec_id") == F.col("a")).select("b", "frame_idx", "__t")
     rows = frames.select(F.col("rec_id").alias("b"), "frame_idx", "probs").join(labels, ["b", "frame_idx"]).where(F.col("__t") != silence)
     p = F.get("probs", F.col("__t").cast("int"))
@@ -155,7 +162,7 @@ def match_rates(segments: DataFrame, keys: list[str], silence: str = "[SIL]") ->
     whole = segments.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(wrong).alias("bad"), order.alias("r"))
     heard = collapse_runs(F.filter(F.transform("r", lambda x: x["found"]), lambda t: t != silence))
     hit = (heard == F.transform("r", lambda x: x["phone"])).cast("double")
-    return whole.agg(F.sum("n").alias("n_phones"), (1 - F.sum("bad") / F.sum("n")).alias("phone_rate"), F.count("*").alias("n_syllables"), F.avg(hit).alias("syllable_rate"))
+    return whole.agg(F.sum("n").alias("n_phones"), (1 - F.try_divide(F.sum("bad"), F.sum("n"))).alias("phone_rate"), F.count("*").alias("n_syllables"), F.avg(hit).alias("syllable_rate"))
 
 
 def sentence_stress_eval(df: DataFrame) -> DataFrame:
@@ -163,7 +170,7 @@ def sentence_stress_eval(df: DataFrame) -> DataFrame:
 
     df: ``bins`` and ``found`` (0/1 for each word) and ``counts`` (words of each chunk). Sentences without exactly one
     stressed word are left out. ``base_rate, found_rate``: shares of ones in these chunks; ``failure_rate``: chunks without
-    any result; ``hit_rate``: of the others, those where the stressed word is found.
+    any result; ``hit_rate``: of the others, those where the stressed word is found. A rate of nothing is null.
     """
     one = df.where(F.size(F.filter("bins", lambda b: b == 1)) == 1).withColumn("__at", F.array_position("bins", 1) - 1)
     ends = F.transform("counts", lambda c, k: F.aggregate(F.slice("counts", F.lit(1), k + 1), F.lit(0), lambda a, v: a + v.cast("int")))
@@ -171,7 +178,7 @@ def sentence_stress_eval(df: DataFrame) -> DataFrame:
     one = one.withColumn("__c", F.get(chunk, F.lit(0))).where("__c is not null")
     cut = lambda c: F.slice(c, F.col("__c.a") + 1, F.col("__c.e") - F.col("__c.a"))
     rows = one.select(cut("bins").alias("b"), cut("found").alias("f"), (F.get("found", F.col("__at").cast("int")) == 1).alias("hit"))
-    ones = lambda c: F.sum(F.size(F.filter(c, lambda b: b == 1))) / F.sum(F.size(c))
+    ones = lambda c: F.try_divide(F.sum(F.size(F.filter(c, lambda b: b == 1))), F.sum(F.size(c)))
     empty = F.size("f") == 0
     hit = F.avg(F.when(~empty, F.coalesce(F.col("hit"), F.lit(False)).cast("double")))
     return rows.agg(F.count("*").alias("n"), ones("b").alias("base_rate"), ones("f").alias("found_rate"), F.avg(empty.cast("double")).alias("failure_rate"), hit.alias("hit_rate"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -57,7 +59,7 @@ def read_tiers(spark: SparkSession, path: str, silent: tuple[str, ...] = ("sil",
     Intervals of the tier ``phones`` whose mark is silent, and of other tiers whose mark is empty, go; the others keep their number.
     """
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    tiers = files.select("file", F.explode(F.slice(F.split("value", r"item \[[0-9]+\]:"), 2, 1_000_000)).alias("t"))
+    tiers = files.select("file", F.posexplode(F.split("value", r"item \[[0-9]+\]:")).alias("k", "t")).where("k > 0").drop("k")
     tiers = tiers.select("file", F.regexp_extract("t", r'name = "([^"]*)"', 1).alias("tier"), F.regexp_replace("t", r"(?s)^.*?intervals: size", "").alias("t"))
     shape = r'xmin = ([-0-9.eE]+)\s+xmax = ([-0-9.eE]+)\s+text = "((?:[^"]|"")*)"'
     group = lambda k: F.expr(f"regexp_extract_all(t, '{shape}', {k})".replace("\\", "\\\\"))
@@ -88,9 +90,29 @@ def write_results(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def materialize(df: DataFrame, path: str, mode: str = "error") -> DataFrame:
-    """Write a computed table once and read it back."""
-    df.write.mode(mode).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a computed table once and read it back.
+
+    A run writes a folder of its own below ``path``, which counts once Spark has marked it as finished; of several finished ones
+    the newest is the table. So what a failed run left is not taken for it, and writers at once do not meet: each leaves
+    a whole table. mode: ``error`` raises if there is a table, ``ignore`` takes it, ``overwrite`` writes a newer one. Folders
+    that are not taken stay until their owner clears them.
+    """
+    spark = df.sparkSession
+    there = _finished(spark, path)
+    if there and mode == "error":
+        raise FileExistsError(f"{path} holds a table")
+    if not there or mode == "overwrite":
+        run = f"run-{time.time_ns():020d}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{path}/{run}")
+        there = [run]
+    return spark.read.schema(df.schema).parquet(f"{path}/{there[-1]}")
+
+
+def _finished(spark: SparkSession, path: str) -> list[str]:
+    """Names of the finished runs below a path, oldest first."""
+    marks = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/run-*/_SUCCESS")
+    found = marks.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(marks) or []
+    return sorted(f.getPath().getParent().getName() for f in found)
 
 
 def _clock(seconds: Column) -> Column:
