@@ -177,19 +177,19 @@ def _(phones):
     return rows.groupBy(_long("model")).agg(F.round(F.avg((F.col("phone") == F.col("guess")).cast("double")), 6).alias("accuracy"), F.round(F.avg(equal.cast("double")), 6).alias("accuracy_unstressed"))
 
 
-_D = "list_distance(CAST(a.embedding[1:8] AS DOUBLE[]), CAST(t.embedding[1:8] AS DOUBLE[]))"
 
 
-@add("k2_knn_probabilities", f"WITH t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) AS r FROM embeddings) WHERE r <= 4), d AS (SELECT a.vec_id AS id, t.label, t.vec_id AS tid, {_D} AS d FROM embeddings a, t), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, tid) AS r FROM d), k AS (SELECT *, bool_or(d = 0) OVER (PARTITION BY id) AS exact FROM n WHERE r <= 10), v AS (SELECT id, label, sum(CASE WHEN exact THEN CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END ELSE 1 / d END) AS w FROM k GROUP BY 1, 2) SELECT id, label, round(w / sum(w) OVER (PARTITION BY id), 6) AS p FROM v WHERE w > 0", "embeddings")
-def _(embeddings):
-    rows = embeddings.select(F.col("vec_id").alias("id"), "label", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("v"))
-    return A.knn_probabilities(W.cap_per_class(rows, "label", "id", 4), rows.select("id", "v"), 10).withColumn("p", F.round("p", 6))
+_WHOLE = "list_distance(CAST(a.embedding AS DOUBLE[]), CAST(t.embedding AS DOUBLE[]))"
 
 
-_WHOLE = "list_distance(CAST(a.embedding AS DOUBLE[]), CAST(t.embedding AS DOUBLE[]))"
+# every row is a training row, in groups; a row's vector read backwards is told from them
+@add("k2_knn_probabilities", "WITH d AS (SELECT a.vec_id AS id, t.label, t.vec_id AS tid, list_distance(list_reverse(CAST(a.embedding AS DOUBLE[])), CAST(t.embedding AS DOUBLE[])) AS d FROM embeddings a, embeddings t), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, tid) AS r FROM d), k AS (SELECT *, bool_or(d = 0) OVER (PARTITION BY id) AS exact FROM n WHERE r <= 10), v AS (SELECT id, label, sum(CASE WHEN exact THEN CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END ELSE 1 / d END) AS w FROM k GROUP BY 1, 2) SELECT id, label, round(w / sum(w) OVER (PARTITION BY id), 6) AS p FROM v WHERE w > 0", "embeddings")
+def _(embeddings):
+    rows = embeddings.select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("v"))
+    return A.knn_probabilities(rows, rows.select("id", F.reverse("v").alias("v")), 10, most_training=0).withColumn("p", F.round("p", 6))
 
 
-# the whole job: k2_knn_probabilities has an eighth of each vector and 4 rows a label
+# a capped balanced set
 @add("k2_knn_probabilities_whole", f"WITH t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) AS r FROM embeddings) WHERE r <= 500), d AS (SELECT a.vec_id AS id, t.label, t.vec_id AS tid, {_WHOLE} AS d FROM embeddings a, t), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, tid) AS r FROM d), k AS (SELECT *, bool_or(d = 0) OVER (PARTITION BY id) AS exact FROM n WHERE r <= 10), v AS (SELECT id, label, sum(CASE WHEN exact THEN CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END ELSE 1 / d END) AS w FROM k GROUP BY 1, 2) SELECT id, label, round(w / sum(w) OVER (PARTITION BY id), 6) AS p FROM v WHERE w > 0", "embeddings")
 def _(embeddings):
     rows = embeddings.select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("v"))

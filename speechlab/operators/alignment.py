@@ -75,8 +75,8 @@ def spelled(words: DataFrame, letters: DataFrame) -> DataFrame:
     return told.where(~F.exists("s", lambda x: x["name"].isNull())).select("word", F.array_join(F.transform("s", lambda x: x["name"]), "_").alias("phones"))
 
 
-#: Training rows that every task reads at most.
-MOST_TRAINING = 200_000
+#: Training rows up to which every task reads them all, and rows of either side that meet in a task beyond.
+MOST_TRAINING, GROUP_ROWS = 200_000, 50_000
 
 
 def _nearest(x: np.ndarray, train: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,13 +93,68 @@ def _nearest(x: np.ndarray, train: np.ndarray, ids: np.ndarray, k: int) -> tuple
     return row[kept], col[kept], far[kept]
 
 
-def knn_probabilities(train: DataFrame, test: DataFrame, k: int, metric: str = "euclidean", weights: str = "distance") -> DataFrame:
+def _blocks_of(t: np.ndarray) -> int:
+    """Rows whose distances to all of ``t`` are held at once."""
+    return max(1, (1 << 20) // max(1, len(t)))
+
+
+def _vectors(column) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+
+
+def _near_all(train: DataFrame, test: DataFrame, k: int) -> DataFrame:
+    """``id, label, d`` of the neighbours of each row, from a training set that every task reads."""
+    rows = train.toArrow()
+    shared = train.sparkSession.sparkContext.broadcast((_vectors(rows.column("v")), rows.column("id").to_numpy(), rows.column("label").combine_chunks()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, own, labels = shared.value
+        for batch in batches:
+            for j in range(0, batch.num_rows if len(t) else 0, _blocks_of(t)):
+                part = batch.slice(j, _blocks_of(t))
+                row, col, far = _nearest(_vectors(part.column(1)), t, own, k)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), labels.take(pa.array(col)), pa.array(far)], names=["id", "label", "d"])
+
+    kind, label = test.schema["id"].dataType.simpleString(), train.schema["label"].dataType.simpleString()
+    return test.mapInArrow(run, f"id {kind}, label {label}, d double")
+
+
+def _near_in_groups(train: DataFrame, test: DataFrame, k: int, group_rows: int) -> DataFrame:
+    """The same from a training set of any size: both sides are dealt to groups, every pair of groups meets in a task, and the best are merged.
+
+    A task holds ``group_rows`` rows of either side, about; of each row it gives its ``k`` best in the group.
+    """
+    kind, label = test.schema["id"].dataType.simpleString(), train.schema["label"].dataType.simpleString()
+    own_kind = train.schema["id"].dataType.simpleString()
+    n, m = (max(1, -(-x.count() // group_rows)) for x in (train, test))
+    dealt = lambda groups: F.pmod(F.xxhash64("id", "v"), F.lit(groups)).cast("int")
+    every = lambda groups: F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    left = train.select(dealt(n).alias("g"), every(m).alias("h"), "id", "label", "v")
+    right = test.select(every(n).alias("g"), F.col("id"), "v").select("g", dealt(m).alias("h"), "id", "v")
+
+    def meet(t: pa.Table, x: pa.Table) -> pa.Table:
+        vectors, own, labels = _vectors(t.column("v")), t.column("id").to_numpy(), t.column("label").combine_chunks()
+        ids, x = x.column("id").combine_chunks(), _vectors(x.column("v"))
+        found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        for j in range(0, len(x) if len(own) else 0, _blocks_of(own)):
+            row, col, far = _nearest(x[j : j + _blocks_of(own)], vectors, own, k)
+            found.append((row + j, col, far))
+        row, col, far = (np.concatenate(c) for c in zip(*found))
+        return pa.Table.from_arrays([ids.take(pa.array(row)), pa.array(own[col]), labels.take(pa.array(col)), pa.array(far)], names=["id", "tid", "label", "d"])
+
+    best = left.groupBy("g", "h").cogroup(right.groupBy("g", "h")).applyInArrow(meet, f"id {kind}, tid {own_kind}, label {label}, d double")
+    merged = best.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "tid", "label"))), 1, k).alias("e"))
+    return merged.select("id", F.explode("e").alias("e")).select("id", "e.label", "e.d")
+
+
+def knn_probabilities(train: DataFrame, test: DataFrame, k: int, metric: str = "euclidean", weights: str = "distance", most_training: int = MOST_TRAINING, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``id, label, p``: shares of the ``k`` nearest training rows' labels.
 
     metric: euclidean or cosine (1 minus the cosine: half the squared distance of the vectors at length 1; a vector of zeros
-    stays); weights: distance (1 / distance) or uniform. ``train`` (id, label, v) is a capped balanced set, which every task
-    reads: more than ``MOST_TRAINING`` rows raise. Ties go to the smaller id. If a neighbour is at distance zero, only such
-    ones count, unless weights are uniform. Rows whose ``v`` is null or not all finite are left out.
+    stays); weights: distance (1 / distance) or uniform. A training set (id, label, v) of up to ``most_training`` rows is read by
+    every task, a larger one is dealt to groups. Neighbours are exact, ties go to the smaller id. If a neighbour is at distance
+    zero, only such ones count, unless weights are uniform. Rows whose ``v`` is null or not all finite are left out; test ids are distinct.
     """
     if metric == "cosine":
         size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double")))
@@ -107,28 +162,12 @@ def knn_probabilities(train: DataFrame, test: DataFrame, k: int, metric: str = "
         train, test = train.withColumn("v", unit), test.withColumn("v", unit)
     elif metric != "euclidean":
         raise ValueError(f"unknown metric {metric!r}")
-    if train.limit(MOST_TRAINING + 1).count() > MOST_TRAINING:
-        raise ValueError("cap the training rows of each class first")
-    rows = train.select("id", "label", F.col("v").cast("array<double>").alias("v")).where(_finite("v")).toArrow()
-    ids = rows.column("id").to_numpy()
-    vectors = np.array(rows.column("v").to_pylist(), dtype=np.float64).reshape(len(ids), -1)
-    shared = train.sparkSession.sparkContext.broadcast((vectors, ids, rows.column("label").combine_chunks()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, own, labels = shared.value
-        block = max(1, (1 << 20) // max(1, len(t)))
-        for batch in batches:
-            for j in range(0, batch.num_rows if len(t) else 0, block):
-                part = batch.slice(j, block)
-                x = np.array(part.column(1).to_pylist(), dtype=np.float64)
-                row, col, far = _nearest(x, t, own, k)
-                if metric == "cosine":
-                    far = far * far / 2
-                cols = [part.column(0).take(pa.array(row)), labels.take(pa.array(col)), pa.array(far)]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "label", "d"])
-
-    kind, label = test.schema["id"].dataType.simpleString(), train.schema["label"].dataType.simpleString()
-    near = test.select("id", F.col("v").cast("array<double>").alias("v")).where(_finite("v")).mapInArrow(run, f"id {kind}, label {label}, d double")
+    train = train.select("id", "label", F.col("v").cast("array<double>").alias("v")).where(_finite("v"))
+    test = test.select("id", F.col("v").cast("array<double>").alias("v")).where(_finite("v"))
+    small = train.limit(most_training + 1).count() <= most_training
+    near = _near_all(train, test, k) if small else _near_in_groups(train, test, k, group_rows)
+    if metric == "cosine":
+        near = near.withColumn("d", F.col("d") * F.col("d") / 2)
     if weights == "uniform":
         counts = near.groupBy("id", "label").agg(F.count("*").alias("n"))
         return counts.select("id", "label", (F.col("n") / F.sum("n").over(Window.partitionBy("id"))).alias("p"))

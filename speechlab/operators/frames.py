@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from speechlab.functions.phonetics import collapse_runs
 from speechlab.operators.sequences import align, edit_distance
 from speechlab.operators.windows import order_positions
+from speechlab.plans.scratch import kept
 
 
 def argmax_phone(probs: Column) -> Column:
@@ -26,13 +27,42 @@ def drop_silence(frames: DataFrame) -> DataFrame:
     return kept.withColumn("t", (F.row_number().over(Window.partitionBy("rec_id").orderBy("frame_idx")) - 1).cast("long"))
 
 
-def force_align(frames: DataFrame, targets: DataFrame) -> DataFrame:
+#: Cells (frames times phones) of a recording up to which a task takes it whole, and frames of a block beyond.
+WHOLE_CELLS, FRAME_BLOCK = 1 << 24, 256
+
+
+def force_align(frames: DataFrame, targets: DataFrame, whole_cells: int = WHOLE_CELLS, block: int = FRAME_BLOCK) -> DataFrame:
     """``rec_id, cost, path``: the cheapest monotone assignment of a recording's frames to its expected phones.
 
     The cost of a frame is minus the probability of its phone; each frame keeps the phone or goes on to the
     next; the path runs from the first phone to the last (ties go on). Fewer frames than phones, or no frame, give nulls.
-    Recordings are grouped side by side with their phones; a task holds one recording and a byte for each of its cells.
+    Recordings of up to ``whole_cells`` cells are grouped side by side with their phones, a byte a cell. Longer ones pass through
+    their task in blocks of frames twice (``_in_blocks``): a task holds a block's cells and never the recording.
     """
+    own = frames.select("rec_id", "t", F.col("probs").cast("array<double>").alias("probs"))
+    goals = targets.select("rec_id", "pos", F.col("phone_id").cast("long").alias("phone_id"))
+    sizes = goals.groupBy("rec_id").agg(F.count("*").alias("n")).join(own.groupBy("rec_id").agg(F.count("*").alias("t")), "rec_id")
+    long = sizes.where(F.col("n") * F.col("t") > whole_cells).select("rec_id")
+    if not long.limit(1).count():
+        return _whole(own, goals)
+    long = kept(long)
+    parts = [(x.join(long, "rec_id", "left_anti"), x.join(long, "rec_id", "left_semi")) for x in (own, goals)]
+    return _whole(parts[0][0], parts[1][0]).unionByName(_in_blocks(parts[0][1], parts[1][1], block))
+
+
+def _next_row(row: np.ndarray | None, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Costs up to the next frame, whose phones have the probabilities ``p``, and where the path comes from the phone before."""
+    if row is None:
+        row = np.full(len(p), np.inf)
+        row[0] = -p[0]
+        return row, np.zeros(len(p), dtype=bool)
+    before = np.concatenate([[np.inf], row[:-1]])
+    on = (before <= row) & np.isfinite(before)
+    return np.where(on, before, row) - p, on
+
+
+def _whole(frames: DataFrame, targets: DataFrame) -> DataFrame:
+    """``force_align`` of recordings that fit a task."""
 
     def align_one(key: tuple, frame_rows: pa.Table, goal_rows: pa.Table) -> pa.Table:
         goal = goal_rows.sort_by("pos").column("phone_id").to_numpy().astype(np.int64)
@@ -43,12 +73,9 @@ def force_align(frames: DataFrame, targets: DataFrame) -> DataFrame:
         if t >= n:
             flat = frame_rows.sort_by("t").column("probs").combine_chunks()
             p = flat.flatten().to_numpy().reshape(t, -1)[:, goal]
-            row, on = np.full(n, np.inf), np.zeros((t, n), dtype=bool)
-            row[0] = -p[0, 0]
-            for i in range(1, t):
-                before = np.concatenate([[np.inf], row[:-1]])
-                on[i] = (before <= row) & np.isfinite(before)
-                row = np.where(on[i], before, row) - p[i]
+            row, on = None, np.zeros((t, n), dtype=bool)
+            for i in range(t):
+                row, on[i] = _next_row(row, p[i])
             cost, j, path = float(row[-1]), n - 1, []
             for i in range(t - 1, -1, -1):
                 path.append(j)
@@ -60,8 +87,73 @@ def force_align(frames: DataFrame, targets: DataFrame) -> DataFrame:
     kind = to_arrow_type(targets.schema["rec_id"].dataType)
     schema = f"rec_id {targets.schema['rec_id'].dataType.simpleString()}, cost double, path array<int>"
     empty = pa.table({"rec_id": pa.array([], kind), "cost": pa.array([], pa.float64()), "path": pa.array([], pa.list_(pa.int32()))})
-    own = frames.select("rec_id", "t", F.col("probs").cast("array<double>").alias("probs"))
-    return own.groupBy("rec_id").cogroup(targets.select("rec_id", "pos", "phone_id").groupBy("rec_id")).applyInArrow(align_one, schema)
+    return frames.groupBy("rec_id").cogroup(targets.groupBy("rec_id")).applyInArrow(align_one, schema)
+
+
+def _in_blocks(frames: DataFrame, targets: DataFrame, block: int) -> DataFrame:
+    """``force_align`` of long recordings: blocks of frames stream through a task forward, then backward.
+
+    Forward, the costs before each block are put out (a row for each block); backward, a block's cells are computed again
+    from them, and the path goes through the block from where it left the one behind.
+    """
+    kind = targets.schema["rec_id"].dataType.simpleString()
+    n_parts = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = F.array_sort(F.collect_list(F.struct("t", "probs")))
+    cut = frames.groupBy("rec_id", F.floor(F.col("t") / block).cast("long").alias("block")).agg(F.transform(order, lambda x: x["probs"]).alias("probs"))
+    cut = kept(cut.withColumn("n", F.size("probs").cast("long")))
+    goal = F.transform(F.array_sort(F.collect_list(F.struct("pos", "phone_id"))), lambda x: x["phone_id"])
+    goals = kept(targets.groupBy("rec_id").agg(goal.alias("goal")))
+    nothing = {"probs": "array<array<double>>", "goal": "array<bigint>", "costs": "array<double>"}
+    none = lambda name: F.lit(None).cast(nothing[name]).alias(name)
+
+    def streamed(rows: DataFrame, first: int, up: bool, work: Callable, schema: str) -> DataFrame:
+        """``work`` over each recording's goal and then its blocks in order, a row at a time."""
+        head = goals.select("rec_id", F.lit(first).cast("long").alias("block"), none("probs"), "goal", none("costs"))
+        both = head.unionByName(rows.select("rec_id", "block", "probs", none("goal"), "costs")).repartition(n_parts, "rec_id")
+        return both.sortWithinPartitions("rec_id", F.col("block").asc() if up else F.col("block").desc()).mapInArrow(work, schema)
+
+    def each(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                rec, at, probs, goal, costs = (batch.column(c)[k : k + 1] for c in range(5))
+                p = None if probs.null_count else probs.flatten()
+                p = None if p is None else p.flatten().to_numpy(zero_copy_only=False).reshape(len(p), -1)
+                yield rec, at[0].as_py(), p, (None if goal.null_count else goal.flatten().to_numpy()), (None if costs.null_count else costs.flatten().to_numpy())
+
+    def forward(batches):
+        goal, row = None, None
+        for rec, at, p, own, _ in each(batches):
+            if own is not None:
+                goal, row = own, None
+                continue
+            before = None if row is None else row.tolist()
+            for frame in p:
+                row, _ = _next_row(row, frame[goal])
+            # the costs after the block come as the last row's cost
+            yield pa.RecordBatch.from_arrays([rec, pa.array([at], pa.int64()), pa.array([before], pa.list_(pa.float64())), pa.array([float(row[-1])])], names=["rec_id", "block", "costs", "cost"])
+
+    def backward(batches):
+        goal, j = None, None
+        for rec, at, p, own, costs in each(batches):
+            if own is not None:
+                goal, j = own, len(own) - 1
+                continue
+            row, on = costs, np.zeros((len(p), len(goal)), dtype=bool)
+            for i, frame in enumerate(p):
+                row, on[i] = _next_row(row, frame[goal])
+            path = []
+            for i in range(len(p) - 1, -1, -1):
+                path.append(j)
+                j -= int(on[i, j])
+            yield pa.RecordBatch.from_arrays([rec, pa.array([at], pa.int64()), pa.array([path[::-1]], pa.list_(pa.int32()))], names=["rec_id", "block", "path"])
+
+    marks = kept(streamed(cut.withColumn("costs", none("costs")), -1, True, forward, f"rec_id {kind}, block long, costs array<double>, cost double"))
+    parts = streamed(cut.join(marks.select("rec_id", "block", "costs"), ["rec_id", "block"]), (1 << 62), False, backward, f"rec_id {kind}, block long, path array<int>")
+    paths = parts.groupBy("rec_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "path"))), lambda x: x["path"])).alias("path"))
+    ends = marks.groupBy("rec_id").agg(F.max_by("cost", "block").alias("cost")).join(cut.groupBy("rec_id").agg(F.sum("n").alias("t")), "rec_id")
+    whole = ends.join(goals.select("rec_id", F.size("goal").alias("n")), "rec_id").join(paths, "rec_id")
+    able = F.col("t") >= F.col("n")
+    return whole.select("rec_id", F.when(able, F.col("cost")).alias("cost"), F.when(able, F.col("path")).alias("path"))
 
 
 def _runs(rows: DataFrame, order: str) -> DataFrame:
