@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechlab import catalogue_alignment, catalogue_evaluation, catalogue_files, catalogue_pronunciation, catalogue_speech  # noqa: F401  (they register their queries)
+from speechlab import catalogue_alignment, catalogue_evaluation, catalogue_files, catalogue_jobs, catalogue_pronunciation, catalogue_speech  # noqa: F401  (they register their queries)
 from speechlab.functions import phonetics as P
 from speechlab.functions import text as T
 from speechlab.operators import frames as K
