@@ -97,12 +97,12 @@ _JOINED = "SELECT t.doc_id, t.pos, t.word, l.phones FROM fx_tokens t LEFT JOIN (
 @add("x18_phonetize_ok", f"SELECT doc_id * 1000000 + pos // 2 AS doc_id, string_agg(phones, '|' ORDER BY pos) AS phonetics FROM ({_JOINED}) GROUP BY 1 HAVING bool_and(phones IS NOT NULL)", "fx_tokens", "fx_lexicon")
 def _(tokens, lexicon):
     pairs = tokens.withColumn("doc_id", F.expr("doc_id * 1000000 + pos div 2"))  # utterances of two words
-    return X.phonetize_safe(pairs, lexicon)[0]
+    return X.first_phones(pairs, lexicon)[0]
 
 
 @add("x18_phonetize_errors", f"SELECT doc_id, CAST(min(pos) AS BIGINT) AS pos, arg_min(word, pos) AS word FROM ({_JOINED}) WHERE phones IS NULL GROUP BY 1", "fx_tokens", "fx_lexicon")
 def _(tokens, lexicon):
-    return X.phonetize_safe(tokens, lexicon)[1]
+    return X.first_phones(tokens, lexicon)[1]
 
 
 @add("x20_agreement_rate", "WITH e AS (SELECT word, count(*) AS n_text FROM fx_syl GROUP BY 1), v AS (SELECT word, len(list_filter(string_split(phones, '_'), lambda p: regexp_matches(p, '[012]$'))) AS n_phone FROM fx_lexicon WHERE alt_idx = 1) SELECT lang, round(100.0 * avg(CAST(n_text = n_phone AS DOUBLE)), 6) AS agreement, count(*) AS n FROM fx_tokens JOIN e USING (word) JOIN v USING (word) GROUP BY 1", "fx_tokens", "fx_syl", "fx_lexicon")

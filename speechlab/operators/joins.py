@@ -9,7 +9,7 @@ from speechlab.functions.text import focus_bins
 from speechlab.operators.alignment import GAP, align
 from speechlab.operators.windows import first_per_key
 
-#: Expected phonetics that a grid holds beside each recording at most.
+#: Expected phonetics that a task holds beside a recording, about.
 GRID = 10_000
 #: Seconds of a time bucket: intervals meet only within a bucket of a file, so a long file is spread.
 BUCKET = 600.0
@@ -79,13 +79,21 @@ def adversary_grid(recordings: DataFrame) -> DataFrame:
     """Each recording (``rec, phonetics, alt_phonetics, target``) beside every distinct expected phonetics that is not empty.
 
     ``match``: it is the recording's own or its alternative; ``should_reject``: the recording is no target, or does not match.
-    The expected ones are a content list: they are broadcast, and only up to ``GRID`` of them.
+    The expected ones are a content list: up to ``GRID`` of them are broadcast; a longer one is cut into lists of about so many,
+    each recording goes to a task of every list, and a list to as many tasks as a shuffle has.
     """
     expected = recordings.where("phonetics <> ''").select(F.col("phonetics").alias("expected")).distinct()
-    listed = expected.groupBy().agg(F.sort_array(F.collect_set("expected")).alias("all"))
-    if expected.limit(GRID + 1).count() > GRID:
-        raise ValueError(f"more than {GRID} expected phonetics")
-    rows = recordings.join(F.broadcast(listed), F.lit(True), "inner").withColumn("expected", F.explode("all")).drop("all")
+    if expected.limit(GRID + 1).count() <= GRID:
+        listed = expected.groupBy().agg(F.collect_set("expected").alias("all"))
+        rows = recordings.join(F.broadcast(listed), F.lit(True), "inner")
+    else:
+        lists, tasks = -(-expected.count() // GRID), int(recordings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        listed = expected.groupBy(F.pmod(F.xxhash64("expected"), F.lit(lists)).cast("int").alias("__list")).agg(F.collect_set("expected").alias("all"))
+        listed = listed.withColumn("__task", every(tasks))
+        rows = recordings.withColumn("__task", F.pmod(F.xxhash64("rec"), F.lit(tasks)).cast("int")).withColumn("__list", every(lists))
+        rows = rows.join(listed, ["__list", "__task"]).drop("__list", "__task")
+    rows = rows.withColumn("expected", F.explode("all")).drop("all")
     match = F.coalesce((F.col("expected") == F.col("phonetics")) | (F.col("expected") == F.col("alt_phonetics")), F.lit(False))
     return rows.withColumn("match", match).withColumn("should_reject", ~F.col("target") | ~F.col("match"))
 

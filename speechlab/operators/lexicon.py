@@ -150,7 +150,7 @@ def choose_alternative(lexicon: DataFrame, expected: DataFrame) -> DataFrame:
     return scored.groupBy("word").agg(F.coalesce(best, F.lit(0)).cast("long").alias("alt_idx"), best.isNotNull().alias("matched"))
 
 
-def phonetize_safe(tokens: DataFrame, lexicon: DataFrame) -> tuple[DataFrame, DataFrame]:
+def first_phones(tokens: DataFrame, lexicon: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Texts whose words are all known, with their phones; and the other texts with their first unknown word."""
     first = lexicon.where("alt_idx = 0").select("word", "phones")
     joined = tokens.join(first, "word", "left")

@@ -94,9 +94,8 @@ def frequency_band(words: DataFrame, low: float, high: float) -> DataFrame:
     """
     counts = words.groupBy("word").agg(F.count("*").alias("n"))
     steps = counts.groupBy("n").agg(F.sum("n").alias("mass"))
-    total = steps.agg(F.sum("mass").alias("total"))
-    running = steps.withColumn("above", F.sum("mass").over(Window.orderBy(F.desc("n"))))
-    shares = running.join(F.broadcast(total)).select("n", (F.lit(100.0) * F.col("above") / F.col("total")).alias("percent"))
+    running = steps.withColumn("above", F.sum("mass").over(Window.orderBy(F.desc("n")))).withColumn("total", F.sum("mass").over(Window.partitionBy()))
+    shares = running.select("n", (F.lit(100.0) * F.col("above") / F.col("total")).alias("percent"))
     return counts.join(shares, "n").where((F.col("percent") > low) & (F.col("percent") < high)).select("word", "n", "percent")
 
 

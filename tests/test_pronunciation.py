@@ -305,8 +305,12 @@ def test_paths(spark):
     assert [(r["pos"], r["phone_id"], r["predicted"], r["n_frames"]) for r in got] == [(0, 0, 0, 2), (1, 1, 1, 2)]
 
 
-def test_grid_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(J, "GRID", 2)
-    rows = spark.createDataFrame([(i, f"p{i}", "x", True) for i in range(3)], "rec long, phonetics string, alt_phonetics string, target boolean")
-    with pytest.raises(ValueError):
-        J.adversary_grid(rows)
+@pytest.mark.parametrize("grid", [2, 100])
+def test_grid(spark, monkeypatch, grid):
+    """A content list that is cut gives the same pairs as one that is broadcast."""
+    monkeypatch.setattr(J, "GRID", grid)
+    data = [(i, f"p{i % 9}" if i % 4 else "", f"p{i % 5}" if i % 2 else None, i % 3 > 0) for i in range(30)]
+    rows = spark.createDataFrame(data, "rec long, phonetics string, alt_phonetics string, target boolean")
+    every = sorted({p for _, p, _, _ in data if p})
+    want = sorted((i, e, e in (p, a), not t or e not in (p, a)) for i, p, a, t in data for e in every)
+    assert sorted(map(tuple, J.adversary_grid(rows).select("rec", "expected", "match", "should_reject").collect())) == want
