@@ -455,6 +455,74 @@ def test_secrets_random_shapes():
         assert [x for x in secrets.spans(f"a {run} b", encode) if x[1] == 3] == [], run
 
 
+def brute_token_spans(text, encode, ratio=2.2):
+    """The rule told in words, a character at a time: runs, known digests and UUIDs, identifiers, and the ratio."""
+    allowed = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+    letters = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+    runs, at = [], None
+    for k, c in enumerate(text + "\0"):
+        if c in allowed:
+            at = k if at is None else at
+        elif at is not None:
+            runs.append((at, k))
+            at = None
+
+    def hexed(x):
+        return x and (set(x) <= set("0123456789abcdef") or set(x) <= set("0123456789ABCDEF"))
+
+    def uuid(x):
+        parts = x.split("-")
+        return [len(p) for p in parts] == [8, 4, 4, 4, 12] and all(set(p) <= set("0123456789abcdefABCDEF") for p in parts)
+
+    def shaped(x):
+        if x.isdigit():
+            return len(x) <= 8
+        return x.isalpha() and (x.isupper() or x.islower() or x[1:].islower() and len(x) > 1)
+
+    out = []
+    for a, b in runs:
+        x = text[a:b]
+        if len(x) < 20 or not set(x) & letters or uuid(x) or len(x) in (32, 40, 56, 64, 96, 128) and hexed(x):
+            continue
+        if len(x) / len(encode(x)) >= ratio:
+            continue
+        parts = [p for p in "".join(" " if c in "+/_=-" else c for c in x).split(" ") if p]
+        words = [p for p in parts if not p.isdigit()]
+        if all(map(shaped, parts)) and sum(map(len, words)) >= ratio * sum(len(encode(w)) for w in words):
+            continue
+        out.append((a, b))
+    return out
+
+
+def test_secret_tokens_by_brute_force(spark):
+    """Runs of many shapes in whole documents: digests, UUIDs, identifiers, base64, numbers, words and random strings."""
+    import public_tokenizers
+
+    encode = secrets.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).encode_ordinary
+    rng = random.Random(17)
+    pick = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    words = ["user", "name", "token", "count", "House", "table", "value", "INDEX", "file", "x", "qz", "2024", "17", "123456789"]
+    shapes = [
+        lambda: pick("0123456789abcdef", rng.choice([20, 24, 31, 32, 33, 40, 56, 64, 96, 128])),
+        lambda: pick("0123456789ABCDEF", rng.choice([32, 40, 41])),
+        lambda: "-".join(pick("0123456789abcdefABCDEF", n) for n in (8, 4, 4, 4, rng.choice([12, 12, 11]))),
+        lambda: rng.choice("_-/+=").join(rng.choice(words) for _ in range(rng.randint(2, 9))),
+        lambda: pick(lower + lower.upper() + digits + "+/", rng.randint(12, 70)) + "=" * rng.randint(0, 2),
+        lambda: pick(digits, rng.randint(15, 40)),
+        lambda: pick(lower, rng.randint(15, 40)),
+        lambda: pick(lower.upper(), rng.randint(15, 40)),
+        lambda: "_".join(pick(lower, rng.randint(3, 8)).title() for _ in range(4)),
+        lambda: rng.choice(["é", "word", ".", "日本", "x=1"]),
+    ]
+    rows = [(k, " ".join(rng.choice(shapes)() for _ in range(rng.randint(0, 25)))) for k in range(150)]
+    got = secrets.scan(table(spark, rows), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    found = {r["doc_id"]: [(x["start"], x["end"]) for x in r["found"] if x["kind"] == "token"] for r in got}
+    want = {k: brute_token_spans(t, encode) for k, t in rows}
+    assert found == want
+    assert sum(map(len, want.values())) > 200
+
+
 def test_token_files(spark):
     import public_tokenizers
     from tokenizers import Tokenizer

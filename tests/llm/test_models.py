@@ -48,6 +48,27 @@ def test_toxicity_recall(spark):
     assert held.predicted[held.toxic == 0].mean() <= 0.01
 
 
+def test_quality_query(spark):
+    """The query's own held-out rows: nearly all labels are told, of either kind, and empty texts have a score."""
+    folder = "/root/testdata/sf0.1"
+    out = QUERIES["op3_quality_nbsvm"](spark, folder)
+    assert out.columns[:4] == ["doc_id", "held_out", "score", "predicted"]
+    held = out.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out").select("predicted", "quality").toPandas()
+    assert held.predicted[held.quality == 1].mean() >= 0.95
+    assert held.predicted[held.quality == 0].mean() <= 0.05
+    assert out.where("score is null").count() == 0
+
+
+def test_language_query(spark):
+    """The query's own held-out rows, and ``und`` for texts without a letter only."""
+    out = QUERIES["op7_language_id"](spark, SF)
+    assert out.columns[:4] == ["doc_id", "held_out", "lang_pred", "score"]
+    held = out.join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text"), "doc_id")
+    assert held.where("(lang_pred = 'und') <> coalesce(not text rlike '\\\\p{L}', true)").count() == 0
+    held = held.where("held_out and lang is not null and lang_pred <> 'und'").toPandas()
+    assert (held.lang_pred == held.lang).mean() > 0.97
+
+
 def test_language(spark):
     rows = docs(spark)
     out = language.label(rows, language.fit(rows.where("doc_id % 4 <> 1")), ["doc_id"])
