@@ -32,6 +32,8 @@ CORE, CONTEXT, HIDDEN = 96, 16, 16
 BOUNDARY, SYMBOLS = 256, 257
 #: Bounds of training: documents a language, windows a document, steps a window, windows in all (at least LEAST_WINDOWS a language).
 SAMPLE_DOCS, DOC_WINDOWS, STEPS, SAMPLE_WINDOWS, LEAST_WINDOWS = 250, 12, 64, 8_000, 32
+#: Languages that a model learns at most, the most frequent ones of its rows: a column of other things than languages stays bounded.
+LANGUAGES = 500
 #: Bytes of text that are dealt into windows together, and windows that the network reads side by side.
 CHUNK_BYTES, BLOCK = 1 << 18, 1024
 
@@ -234,20 +236,20 @@ def _cut(data: np.ndarray, bounds: np.ndarray) -> dict[str, list[bytes]]:
     return {"cut": out}
 
 
-def fit(rows: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fit to windows of about ``sample_docs`` texts of each language that occurs, picked by a hash of ``order``."""
+def fit(rows: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", sample_docs: int = SAMPLE_DOCS, languages: int = LANGUAGES) -> Model:
+    """Fit to windows of about ``sample_docs`` texts of each language (of the ``languages`` most frequent), picked by a hash of ``order``."""
     known = rows.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.col(order).alias("o")).where("t <> '' and l is not null")
-    counts = {r["l"]: r["count"] for r in known.groupBy("l").count().collect()}  # one row for each language
+    counts = {r["l"]: r["count"] for r in known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(languages).collect()}
     if not counts:
         return Model([], {})
     # a hash bound for each language keeps about sample_docs of its rows; no sort and no window over all rows
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, sample_docs / n) * (1 << 20)) + 1))])
-    picked = known.where(F.pmod(F.xxhash64("o", F.lit("lang")), F.lit(1 << 20)) < share[F.col("l")])
+    picked = known.where(F.pmod(F.xxhash64("o", F.lit("lang")), F.lit(1 << 20)) < F.try_element_at(share, F.col("l")))
     cuts = map_text(picked, lambda: _cut, "cut binary", ["l"], "t").toArrow()  # about sample_docs * DOC_WINDOWS * STEPS symbols a language
     parts = [np.frombuffer(c.as_buffer(), dtype="<u2").reshape(-1, STEPS) for c in cuts.column("cut")]
     labels = cuts.column("l").to_pylist()
-    languages = sorted(set(labels))
-    number = {v: i for i, v in enumerate(languages)}
+    names = sorted(set(labels))
+    number = {v: i for i, v in enumerate(names)}
     x = np.concatenate(parts) if parts else np.zeros((0, STEPS), dtype="<u2")
     target = np.repeat([number[v] for v in labels], [len(p) for p in parts]).astype(np.int64)
     if not len(x):
@@ -256,14 +258,14 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", order: str = "d
     keys = np.lexsort(x.T[::-1])  # the order of rows does not decide what is learned
     x, target = x[keys], target[keys]
     rng = np.random.default_rng(5)
-    most = max(LEAST_WINDOWS, SAMPLE_WINDOWS // len(languages))
+    most = max(LEAST_WINDOWS, SAMPLE_WINDOWS // len(names))
     pick = []
-    for i in range(len(languages)):
+    for i in range(len(names)):
         own = np.flatnonzero(target == i)
         own = rng.permutation(own)[:most]
         pick.append(own[np.arange(most) % len(own)] if 0 < len(own) else own)  # each language weighs the same
     pick = np.concatenate(pick)
-    return Model(languages, train(x[pick], target[pick], len(languages)))
+    return Model(names, train(x[pick], target[pick], len(names)))
 
 
 def predictions(docs: DataFrame, model: Model, text: str = "text"):

@@ -79,6 +79,15 @@ def test_language(spark):
     assert language.label(rows, language.fit(rows.limit(0)), ["doc_id"]).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_column_of_other_things(spark):
+    """The most frequent values are learned, and rows of others are read like any text."""
+    own = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    dirty = own.limit(60).withColumn("lang", F.concat(F.lit("no-"), F.col("doc_id").cast("string")))
+    model = language.fit(own.unionByName(dirty), languages=4)
+    assert model.languages == sorted(r["lang"] for r in own.where("lang is not null").select("lang").distinct().collect())
+    assert language.label(dirty, model, ["doc_id"]).where("lang_pred like 'no-%'").count() == 0
+
+
 def test_language_gradients():
     """Backpropagation through time against differences of the loss, in doubles."""
     rng = np.random.default_rng(2)
