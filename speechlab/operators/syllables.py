@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from speechlab.functions import phonetics as P
+from speechlab.plans.scratch import kept
 
 VOWELS = "".join(P.LETTERS["vowel"])
 #: Sonority by category; what has none is 0.
@@ -74,7 +75,7 @@ def syllabify(words: DataFrame, col: str = "word", mode: str = "letters") -> Dat
 
 def syllables_per_word(tokens: DataFrame) -> DataFrame:
     """``lang, n_syllables, n_words``: counted on distinct words, joined back to word counts by language."""
-    counts = tokens.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    counts = kept(tokens.groupBy("lang", "word").agg(F.count("*").alias("n")))  # read twice: texts are not
     sized = syllabify(counts).select("word", F.size("syllables").cast("long").alias("n_syllables"))
     return counts.join(sized, "word").groupBy("lang", "n_syllables").agg(F.sum("n").alias("n_words"))
 

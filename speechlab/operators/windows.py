@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from speechlab.operators.ordered import scan
+from speechlab.plans.scratch import kept
 
 
 def _turns(label: str):
@@ -92,7 +93,7 @@ def frequency_band(words: DataFrame, low: float, high: float) -> DataFrame:
 
     The running sum goes over distinct counts, few of them, not over words; words of one count share it.
     """
-    counts = words.groupBy("word").agg(F.count("*").alias("n"))
+    counts = kept(words.groupBy("word").agg(F.count("*").alias("n")))  # read twice: tokens are not
     steps = counts.groupBy("n").agg(F.sum("n").alias("mass"))
     running = steps.withColumn("above", F.sum("mass").over(Window.orderBy(F.desc("n")))).withColumn("total", F.sum("mass").over(Window.partitionBy()))
     shares = running.select("n", (F.lit(100.0) * F.col("above") / F.col("total")).alias("percent"))

@@ -17,7 +17,7 @@ SPARK: dict[str, str] = {
     "fx_syl": "SELECT w.word, t.syl_idx, t.syl FROM (SELECT DISTINCT word FROM fx_tokens WHERE word RLIKE '^([b-df-hj-np-tv-z]?[aeiou])+[b-df-hj-np-tv-z]?$') w LATERAL VIEW posexplode(regexp_extract_all(w.word, '[b-df-hj-np-tv-z]?[aeiou](?:[b-df-hj-np-tv-z]$)?', 0)) t AS syl_idx, syl",
     "fx_phones_of_word": "SELECT x.word, x.syl_idx, x.pos, p.phone || CASE WHEN x.letter IN ('a','e','i','o','u') THEN IF(x.syl_idx = 0, '1', '0') ELSE '' END AS phone FROM (SELECT s.word, s.syl_idx, q.pos, substring(s.syl, q.pos + 1, 1) AS letter FROM fx_syl s LATERAL VIEW explode(sequence(0, length(s.syl) - 1)) q AS pos) x JOIN fx_letter_phone p ON p.letter = x.letter",
     "fx_phon": "SELECT word, array_join(transform(array_sort(collect_list(named_struct('i', syl_idx, 's', s))), x -> x.s), '|') AS phonetics FROM (SELECT word, syl_idx, array_join(transform(array_sort(collect_list(named_struct('i', pos, 'p', phone))), x -> x.p), '_') AS s FROM fx_phones_of_word GROUP BY word, syl_idx) GROUP BY word",
-    "fx_lexicon": "SELECT word, 0 AS alt_idx, replace(phonetics, '|', '_') AS phones FROM fx_phon UNION ALL SELECT word, 1, regexp_replace(replace(phonetics, '|', '_'), '^([A-Z]+[0-2]?)_', '$1_AH0_') FROM fx_phon WHERE length(word) > 4",
+    "fx_lexicon": "SELECT word, x.alt_idx, x.phones FROM (SELECT word, replace(phonetics, '|', '_') AS p FROM fx_phon) LATERAL VIEW inline(IF(length(word) > 4, array(named_struct('alt_idx', 0, 'phones', p), named_struct('alt_idx', 1, 'phones', regexp_replace(p, '^([A-Z]+[0-2]?)_', '$1_AH0_'))), array(named_struct('alt_idx', 0, 'phones', p)))) x AS alt_idx, phones",
     "fx_frames": 'SELECT rec_id, frame_idx, label, transform(e, x -> round(x / aggregate(e, 0D, (a, y) -> a + y), 6)) AS probs FROM (SELECT vec_id div 50 AS rec_id, vec_id % 50 AS frame_idx, label, transform(slice(embedding, 1, 10), x -> exp(8D * CAST(x AS DOUBLE))) AS e FROM embeddings)',
     "fx_targets": 'SELECT rec_id, frame_idx div 10 AS pos, label % 9 AS phone_id FROM fx_frames WHERE frame_idx % 10 = 0',
     "fx_words": 'SELECT user_id AS file_id, event_id AS word_id, event_type AS word, (unix_micros(ts) - 1704067200000000) / 1000000D AS start, (unix_micros(ts) - 1704067200000000) / 1000000D + 30D AS end FROM (SELECT event_id, user_id, event_type, CAST(ts AS TIMESTAMP) AS ts FROM events)',
