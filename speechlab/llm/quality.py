@@ -136,7 +136,8 @@ def fit(train: DataFrame, text: str = "text", label: str = "label", order: str =
         return Model(empty, empty, 0.0, 1.0, float(np.log(share / (1 - share))))
     negative, positive = total[0, :CELLS] + 1.0, total[1, :CELLS] + 1.0
     ratios = np.log(positive / positive.sum()) - np.log(negative / negative.sum())
-    marked = rows.withColumn("h", F.xxhash64("o", F.lit("sample")))
+    # rows of one id differ by their texts; equal rows are fitted alike
+    marked = rows.withColumn("h", F.xxhash64("o", F.lit("sample"), "t"))
     # the bound comes from hashes alone, so that no task takes more than sample_rows texts (and ties at the bound)
     bound = marked.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
     picked = marked.where(F.col("h") <= bound).orderBy("h", "o").limit(sample_rows).select("t", "y")
