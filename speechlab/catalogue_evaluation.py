@@ -355,14 +355,28 @@ def _(detect):
 
 # programs
 def _program(region, nation, customer, orders, lineitem) -> DataFrame:
-    """Regions, nations, customers, orders and items as a program of five levels."""
+    """Regions, nations, customers, orders and items as programs of five levels, one for each customer.
+
+    A nation without customers, and a region without nations, is one of its own, so a row holds no more than a customer's orders.
+    """
     phrase = F.create_map(F.lit(" Flag"), "l_returnflag", F.lit("aspect"), F.col("l_linenumber").cast("string"))
-    items = lineitem.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.to_json(phrase).alias("m")))), lambda x: F.from_json(x["m"], "map<string,string>")).alias("phrases"))
-    exercises = orders.join(items, F.col("l_orderkey") == F.col("o_orderkey"), "left").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("name"), F.col("o_orderstatus").alias("aspect"), "phrases")), lambda a, b: (a["name"] - b["name"]).cast("int")).alias("exercises"))
-    activities = customer.join(exercises, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct(F.col("c_custkey").alias("name"), F.col("c_mktsegment").alias("type"), "exercises")), lambda a, b: (a["name"] - b["name"]).cast("int")).alias("activities"))
-    sets = nation.join(activities, F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").alias("name"), "activities")), lambda a, b: (a["name"] - b["name"]).cast("int")).alias("sets"))
-    modules = region.join(sets, F.col("n_regionkey") == F.col("r_regionkey"), "left").select(F.struct(F.col("r_regionkey").alias("name"), "sets").alias("m"), F.col("r_regionkey").alias("k"))
-    return modules.groupBy("k").agg(F.collect_list("m").alias("modules")).drop("k")
+    items = lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.map_entries(phrase).alias("m")))).alias("items"))
+    each = F.struct(F.col("o_orderkey").alias("name"), F.col("o_orderstatus").alias("aspect"), F.col("items").alias("items"))
+    own = orders.join(items, F.col("l_orderkey") == F.col("o_orderkey"), "left").groupBy("o_custkey").agg(F.array_sort(F.collect_list(each)).alias("own"))
+    phrases = lambda e: F.transform(e["items"], lambda x: F.map_from_entries(x["m"]))
+    exercises = F.transform("own", lambda e: F.struct(e["name"].alias("name"), e["aspect"].alias("aspect"), phrases(e).alias("phrases")))
+    activity = F.struct(F.col("c_custkey").alias("name"), F.col("c_mktsegment").alias("type"), exercises.alias("exercises"))
+    places = region.join(nation, F.col("n_regionkey") == F.col("r_regionkey"), "left")  # a few rows, of many customers each
+    rows = F.broadcast(places).join(customer.where("c_nationkey is not null"), F.col("c_nationkey") == F.col("n_nationkey"))
+    lone = places.join(customer.select("c_nationkey"), F.col("c_nationkey") == F.col("n_nationkey"), "left_anti")
+    rows = rows.join(own, F.col("o_custkey") == F.col("c_custkey"), "left").select("r_regionkey", "n_nationkey", activity.alias("activity"))
+    rows = rows.unionByName(lone.select("r_regionkey", "n_nationkey"), allowMissingColumns=True)
+
+    def one(there, member):
+        return F.filter(F.array(F.when(there.isNotNull(), member)), lambda x: x.isNotNull())
+
+    sets = one(F.col("n_nationkey"), F.struct(F.col("n_nationkey").alias("name"), one(F.col("activity"), F.col("activity")).alias("activities")))
+    return rows.select(F.array(F.struct(F.col("r_regionkey").alias("name"), sets.alias("sets"))).alias("modules"))
 
 
 _FLAT = "SELECT r_regionkey AS module, n_nationkey AS set, c_custkey AS activity, o_orderkey AS exercise, l_returnflag AS flag, CASE WHEN c_mktsegment = 'BUILDING' THEN coalesce(CAST(l_linenumber AS VARCHAR), o_orderstatus) ELSE o_orderstatus END AS aspect FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey"
