@@ -279,7 +279,8 @@ def _(frames):
 
 
 _RUN = "SELECT rec_id, frame_idx, frame_idx // 10 AS pos, CASE WHEN frame_idx // 10 IN (1, 2) THEN 3 ELSE 4 END AS phone_id FROM fx_frames WHERE frame_idx <> 19"
-_SHARED = f"SELECT rec_id, frame_idx, phone_id, CASE WHEN phone_id = 3 THEN 1 + least((row_number() OVER (PARTITION BY rec_id, phone_id ORDER BY frame_idx) - 1) // 9, 1) ELSE pos END AS pos FROM ({_RUN})"
+# the frames of k neighbouring positions of one phone are dealt to them, floor(n / k) each, the rest to the last
+_SHARED = f"WITH r AS ({_RUN}), t AS (SELECT *, CAST(lag(phone_id) OVER (PARTITION BY rec_id ORDER BY pos) IS DISTINCT FROM phone_id AS INT) AS new FROM (SELECT DISTINCT rec_id, pos, phone_id FROM r)), g AS (SELECT *, sum(new) OVER (PARTITION BY rec_id ORDER BY pos) AS run FROM t), c AS (SELECT *, count(*) OVER (PARTITION BY rec_id, run) AS k, min(pos) OVER (PARTITION BY rec_id, run) AS low FROM g), f AS (SELECT r.rec_id, r.frame_idx, r.phone_id, k, low, row_number() OVER (PARTITION BY r.rec_id, run ORDER BY r.frame_idx) - 1 AS place, count(*) OVER (PARTITION BY r.rec_id, run) AS n FROM r JOIN c ON c.rec_id = r.rec_id AND c.pos = r.pos) SELECT rec_id, frame_idx, phone_id, low + least(place // greatest(n // k, 1), k - 1) AS pos FROM f"
 
 
 def _path(frames: DataFrame) -> DataFrame:
