@@ -293,10 +293,11 @@ def _(frames):
     return K.halve_shared_runs(_path(frames)).select("rec_id", "frame_idx", "pos")
 
 
-@add("k12_pooled_segments", f'WITH s AS ({_SHARED}), p AS (SELECT rec_id, pos, phone_id, list(probs) AS a, count(*) AS n_frames, min(frame_idx) * 0.02::DOUBLE AS start, (max(frame_idx) + 1) * 0.02::DOUBLE AS "end" FROM s JOIN fx_frames USING (rec_id, frame_idx) GROUP BY 1, 2, 3), m AS (SELECT *, list_transform(range(10), lambda k: list_avg(list_transform(a, lambda v: v[k + 1]))) AS q FROM p) SELECT rec_id, CAST(pos AS BIGINT) AS pos, n_frames, round(q[phone_id + 1], 5) AS p_true, round(list_max(q), 5) AS p_predicted, round(start, 6) AS start, round("end", 6) AS "end" FROM m', "fx_frames")
+@add("k12_pooled_segments", f'WITH s AS ({_SHARED}), p AS (SELECT rec_id, pos, phone_id, list(probs) AS a, count(*) AS n_frames, min(frame_idx) * 0.02::DOUBLE AS start, (max(frame_idx) + 1) * 0.02::DOUBLE AS "end" FROM s JOIN fx_frames USING (rec_id, frame_idx) GROUP BY 1, 2, 3), m AS (SELECT *, list_transform(range(10), lambda k: list_avg(list_transform(a, lambda v: v[k + 1]))) AS q FROM p) SELECT rec_id, CAST(pos AS BIGINT) AS pos, n_frames, CAST(round(CAST(q[phone_id + 1] AS DECIMAL(12, 9)), 5) AS DOUBLE) AS p_true, CAST(round(CAST(list_max(q) AS DECIMAL(12, 9)), 5) AS DOUBLE) AS p_predicted, round(start, 6) AS start, round("end", 6) AS "end" FROM m', "fx_frames")
 def _(frames):
     out = K.pooled_segments(_path(frames), frames)
-    return out.select("rec_id", "pos", "n_frames", F.round("p_true", 5).alias("p_true"), F.round("p_predicted", 5).alias("p_predicted"), _r("start"), _r("end"))
+    told = lambda c: F.round(F.round(c, 9), 5).alias(c)  # noqa: E731  (means of ten six-digit numbers often are halves of the fifth digit)
+    return out.select("rec_id", "pos", "n_frames", told("p_true"), told("p_predicted"), _r("start"), _r("end"))
 
 
 @add("k13_word_segments", "SELECT word, syl_idx, CAST(pos AS BIGINT) AS pos, phone FROM (SELECT word, CAST(syl_idx AS BIGINT) AS syl_idx, pos, phone FROM fx_phones_of_word) WHERE syl_idx = 1", "fx_phones_of_word")
