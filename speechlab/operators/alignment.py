@@ -39,8 +39,9 @@ def assign_lines(words: DataFrame, lines: DataFrame, part: list[str], order: str
 
     a = words.select(*part, F.col(order).alias("__o"), F.col("word"), F.lit(None).cast("long").alias("__l"), counted(words, order, "word").alias("__at"))
     b = lines.select(*part, F.lit(None).cast("long").alias("__o"), F.lit(None).cast("string").alias("word"), F.col(line).cast("long").alias("__l"), counted(lines, line, "letters").alias("__at"))
-    ahead = Window.partitionBy(*part).orderBy("__at", F.col("__l").isNotNull(), "__o", "__l").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    merged = a.unionByName(b).withColumn(line, F.first("__l", ignorenulls=True).over(ahead))
+    # from the end to the start: a frame that only grows is walked through once, one that shrinks is read again for every row
+    back = Window.partitionBy(*part).orderBy(F.desc("__at"), F.col("__l").isNotNull().desc(), F.desc("__o"), F.desc("__l")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = a.unionByName(b).withColumn(line, F.last("__l", ignorenulls=True).over(back))
     return merged.where(F.col("__o").isNotNull()).select(*part, F.col("__o").alias(order), "word", line)
 
 

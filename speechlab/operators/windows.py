@@ -46,7 +46,8 @@ def run_edges(df: DataFrame, label: str, part: list[str], order: list[str]) -> D
 
 def resolve_overlaps(df: DataFrame, part: list[str], order: list[str], end: str = "end") -> DataFrame:
     """Rows whose end is the smallest of their own and all later ends."""
-    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    # from the end: a frame that only grows is walked through once
+    w = Window.partitionBy(*part).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn("__least", F.min(end).over(w)).where(F.col(end) == F.col("__least")).drop("__least")
 
 
