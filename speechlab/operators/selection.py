@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from speechlab.functions import phonetics as P
 from speechlab.functions.text import strip_marks
+from speechlab.operators.hot import join_frequent
 from speechlab.operators.syllables import syllabify
 from speechlab.operators.windows import first_per_key, sample_n
+from speechlab.plans.scratch import kept
 
 
 def ending_class(word: Column, phones: Column) -> Column:
@@ -131,9 +133,9 @@ def select_ed(words: DataFrame, n: int) -> DataFrame:
     long = F.col("phones").rlike("_IH[0-2]_D$")
     rows = rows.withColumn("phone", F.when(long & (size > 2), before(2)).otherwise(before(1)))
     rows = rows.withColumn("said", F.when(long, F.regexp_extract("phones", "IH[0-2]_D$", 0)).otherwise(F.element_at(F.split("phones", "_"), -1)))
-    kept = rows.join(rules, "phone").where(F.array_contains("accepted", F.col("said")))
+    ruled = rows.join(rules, "phone").where(F.array_contains("accepted", F.col("said")))
     rank = F.row_number().over(Window.partitionBy("phone").orderBy(F.desc("n"), "word", "phones"))
-    return kept.withColumn("rank", rank.cast("long")).where(F.col("rank") <= n).select("phone", "ending", "word", "rank")
+    return ruled.withColumn("rank", rank.cast("long")).where(F.col("rank") <= n).select("phone", "ending", "word", "rank")
 
 
 def tagged_union(parts: list[tuple[str, DataFrame]], tag: str = "source") -> DataFrame:
@@ -159,9 +161,12 @@ def format_selection(selection: DataFrame, words: DataFrame, target: str | None
     first of the word that has ``target`` (null without it), or -1, the last, if no target is given.
     """
     filled = words.select("file_id", "word_idx", F.when(F.length("phones") > 0, F.col("phones")).otherwise("AH0").alias("phones"))
-    filled = first_per_key(filled, ["file_id", "word_idx"], ["phones"])
-    cut = syllabify(filled, "phones", "CMU").select(F.col("word").alias("phones"), F.array_join("syllables", "|").alias("s"))
-    said = filled.join(cut, "phones").groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", F.when(F.col("s") != "", F.col("s")).otherwise(F.col("phones")).alias("s")))).alias("r"))
+    filled = kept(first_per_key(filled, ["file_id", "word_idx"], ["phones"]))  # read twice
+    counts = kept(filled.groupBy("phones").agg(F.count("*").alias("n")))
+    cut = syllabify(counts, "phones", "CMU").select(F.col("word").alias("phones"), F.array_join("syllables", "|").alias("s"))
+    # words without phones are one key of most rows
+    told = join_frequent(filled, kept(cut.join(counts, "phones")), ["phones"])
+    said = told.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", F.when(F.col("s") != "", F.col("s")).otherwise(F.col("phones")).alias("s")))).alias("r"))
     rows = selection.join(said, "file_id")
     own = F.get(F.transform(F.filter("r", lambda x: x["word_idx"] == F.col("word_idx")), lambda x: x["s"]), F.lit(0))
     hit = F.array_position(F.transform(F.split(own, r"\|"), lambda s: F.array_contains(F.split(s, "_"), target or "")), True)

@@ -22,3 +22,20 @@ def test_frames_only_grow(spark):
     left = W.resolve_overlaps(spans, ["f"], ["start"])
     assert "unboundedfollowing" not in plan(left)
     assert sorted(r["start"] for r in left.collect()) == [k for k in range(100) if k % 10 != 3]
+
+
+def test_words_without_phones_are_no_hot_key(spark, monkeypatch):
+    """Most words may lack phones, so share one key; it stays in its partitions, and the words are worked out once."""
+    from speechlab.operators import hot
+    from speechlab.operators import selection as E
+
+    monkeypatch.setattr(hot.join_frequent, "__defaults__", ("n", 10, 100))
+    words = spark.range(400).select((F.col("id") % 20).alias("file_id"), F.floor(F.col("id") / 20).alias("word_idx"), F.when(F.col("id") % 9 == 0, "T_AE1").alias("phones"))
+    got = E.format_selection(words.where("word_idx = 3").select("file_id", "word_idx"), words, "T")
+    tree = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in tree and "Range" not in tree.split("Join")[-1]
+    rows = {r["file_id"]: r for r in got.collect()}
+    assert len(rows) == 20
+    for f, r in rows.items():
+        said = ["T_AE1" if (f + 20 * k) % 9 == 0 else "AH0" for k in range(20)]
+        assert r["phonetics"] == " ".join(said) and r["syllable"] == (0 if said[3] == "T_AE1" else None)
