@@ -40,31 +40,45 @@ def _amounts(text: Column, amount: str, group: int, number: int) -> Column:
     return F.regexp_replace(out, amount.format(r"(0+)(?:\.0+)?"), f"zero {unit}")
 
 
+def _in_turn(x: Column, steps: list) -> Column:
+    """``x`` through steps ``(test, work)``: those whose test it meets. Each value is worked out once, however often a step names it."""
+    if not steps:
+        return x
+    (test, work), *rest = steps
+    return _in_turn(F.get(F.transform(F.array(x), lambda v: F.when(test(v), work(v)).otherwise(v)), F.lit(0)), rest)
+
+
 def expand_symbols(text: Column, currencies: dict[str, str] | None = None) -> Column:
     """Thousands separators removed, then percent signs and currency symbols on either side of a number, then decimal points.
 
     ``$2.50`` is two dollars and fifty cents, an amount of nothing is zero of its unit, and a number of more than
     two dotted parts is kept before its unit. Percent signs and symbols without a number stay. Dollars come first, then all
-    other symbols together: before a number, then after it. Only texts with a symbol beside a digit are worked on.
+    other symbols together: before a number, then after it. No rule reaches over a blank, so only words with a digit are
+    worked on, and by the rules whose symbol they hold.
     """
     known = CURRENCIES if currencies is None else currencies
-    out = text
-    for _ in range(2):  # a digit between two separators belongs to both matches
-        out = F.regexp_replace(out, "([0-9]),+([0-9])", "$1$2")
-    out = F.regexp_replace(F.regexp_replace(out, "%([0-9]+)", "$1 percent"), "([0-9]+)%", "$1 percent")
+    thousands = lambda v: F.regexp_replace(v, "([0-9]),+([0-9])", "$1$2")
+    # a digit between two separators belongs to both matches
+    steps: list = [(lambda v: v.contains(","), lambda v: thousands(thousands(v)))]
+    steps.append((lambda v: v.contains("%"), lambda v: F.regexp_replace(F.regexp_replace(v, "%([0-9]+)", "$1 percent"), "([0-9]+)%", "$1 percent")))
     others = [s for s in known if s != "$"]
     for symbols in (["$"] if "$" in known else [], others):
         if not symbols:
             continue
         kind = "([" + "".join(f"\\Q{s}\\E" for s in symbols) + "])"
-        told = _amounts(_amounts(out, kind + "{0}", 1, 2), "{0}" + kind, 2, 1)
-        told = F.regexp_replace(told, f"(^|[^0-9])1 {_UNIT}(.)s", f"$1{_ONE} {_UNIT}$2")
-        told = F.translate(told, _ONE, "1")
-        for s in symbols:
-            told = F.replace(told, F.lit(_UNIT + s), F.lit(known[s]))
-        told = F.replace(told, F.lit(_UNIT + _CENT), F.lit("cent"))
-        out = F.when(out.rlike(f"{kind}[.0-9]|[0-9]{kind}"), told).otherwise(out)
-    return F.regexp_replace(out, r"([0-9]+)\.([0-9]+)", "$1 point $2")
+        steps.append((lambda v, kind=kind: v.rlike(f"{kind}[.0-9]"), lambda v, kind=kind: _amounts(v, kind + "{0}", 1, 2)))
+        steps.append((lambda v, kind=kind: v.rlike(f"[0-9]{kind}"), lambda v, kind=kind: _amounts(v, "{0}" + kind, 2, 1)))
+
+        def named(told: Column, symbols: list[str] = symbols) -> Column:
+            told = F.regexp_replace(told, f"(^|[^0-9])1 {_UNIT}(.)s", f"$1{_ONE} {_UNIT}$2")
+            told = F.translate(told, _ONE, "1")
+            for s in symbols:
+                told = F.replace(told, F.lit(_UNIT + s), F.lit(known[s]))
+            return F.replace(told, F.lit(_UNIT + _CENT), F.lit("cent"))
+
+        steps.append((lambda v: v.contains(_UNIT), named))
+    steps.append((lambda v: v.contains("."), lambda v: F.regexp_replace(v, r"([0-9]+)\.([0-9]+)", "$1 point $2")))
+    return F.array_join(F.transform(F.split(text, " "), lambda w: F.when(w.rlike("[0-9]"), _in_turn(w, steps)).otherwise(w)), " ")
 
 
 def below_thousand(n: Column, joint: str = " ") -> Column:

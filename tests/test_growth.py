@@ -39,3 +39,13 @@ def test_words_without_phones_are_no_hot_key(spark, monkeypatch):
     for f, r in rows.items():
         said = ["T_AE1" if (f + 20 * k) % 9 == 0 else "AH0" for k in range(20)]
         assert r["phonetics"] == " ".join(said) and r["syllable"] == (0 if said[3] == "T_AE1" else None)
+
+
+def test_symbols_are_looked_for_in_words_that_hold_them(spark):
+    """A text is not worked out again for each rule that tests it: every rule stands once in the plan."""
+    from speechlab.functions import numbers as N
+
+    rows = spark.createDataFrame([("$1.50 at %7, 1.00€ of 7,500\n2.5 1,2,3",), ("no number, $ % €",), (None,)], "t string")
+    got = rows.select(N.expand_symbols(F.col("t")).alias("o"))
+    assert plan(got).count("regexp_replace(") <= 30
+    assert [r["o"] for r in got.collect()] == ["1 dollar and 50 cents at 7 percent, 1 euro of 7500\n2 point 5 123", "no number, $ % €", None]
