@@ -41,13 +41,17 @@ def force_align(frames: DataFrame, targets: DataFrame, whole_cells: int = WHOLE_
     """
     own = frames.select("rec_id", "t", F.col("probs").cast("array<double>").alias("probs"))
     goals = targets.select("rec_id", "pos", F.col("phone_id").cast("long").alias("phone_id"))
-    sizes = goals.groupBy("rec_id").agg(F.count("*").alias("n")).join(own.groupBy("rec_id").agg(F.count("*").alias("t")), "rec_id")
-    long = sizes.where(F.col("n") * F.col("t") > whole_cells).select("rec_id")
+    # only recordings with a frame for each phone go to tasks of Python
+    sizes = goals.groupBy("rec_id").agg(F.count("*").alias("n")).join(own.groupBy("rec_id").agg(F.count("*").alias("t")), "rec_id", "left")
+    sizes = kept(sizes.select("rec_id", (F.col("n") * F.col("t")).alias("cells"), F.coalesce(F.col("t") >= F.col("n"), F.lit(False)).alias("able")))
+    nothing = sizes.where("not able").select("rec_id", F.lit(None).cast("double").alias("cost"), F.lit(None).cast("array<int>").alias("path"))
+    able = sizes.where("able").select("rec_id")
+    own, goals = own.join(able, "rec_id", "left_semi"), goals.join(able, "rec_id", "left_semi")
+    long = sizes.where(F.col("able") & (F.col("cells") > whole_cells)).select("rec_id")
     if not long.limit(1).count():
-        return _whole(own, goals)
-    long = kept(long)
+        return _whole(own, goals).unionByName(nothing)
     parts = [(x.join(long, "rec_id", "left_anti"), x.join(long, "rec_id", "left_semi")) for x in (own, goals)]
-    return _whole(parts[0][0], parts[1][0]).unionByName(_in_blocks(parts[0][1], parts[1][1], block))
+    return _whole(parts[0][0], parts[1][0]).unionByName(_in_blocks(parts[0][1], parts[1][1], block)).unionByName(nothing)
 
 
 def _next_row(row: np.ndarray | None, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

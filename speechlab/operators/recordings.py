@@ -157,21 +157,24 @@ def build_corpus(sentences: DataFrame, frames: DataFrame, lexicon: DataFrame, di
     silence). First table: ``sent_id, pos, phone, found, p_true, p_predicted, n_frames, start, end``. Second: ``sent_id, error``: a
     word without pronunciation, phones outside the alphabet, or fewer frames with speech than phones.
     """
-    every = kept(Z.phonetize(sentences, lexicon, dictionary, lang, mode).select("sent_id", "phonetics", "unknown"))
+    every = Z.phonetize(sentences, lexicon, dictionary, lang, mode).select("sent_id", "phonetics", "unknown")
     each = F.transform(F.split(F.translate("phonetics", "{}", ""), "[ |_-]"), P.unstress)
-    said = every.where("phonetics is not null").select("sent_id", F.posexplode(each).alias("pos", "phone"))
+    every = every.withColumn("said", each).withColumn("odd", F.get(F.filter("said", lambda p: ~p.isin(alphabet)), F.lit(0)))
+    every = kept(every.select("sent_id", "said", "odd", F.get("unknown", F.lit(0)).alias("word")))
+    good = every.where("said is not null and odd is null")
+    # phones are rows only where there are frames beside them
+    heard = kept(frames.select("sent_id").distinct().join(good.select("sent_id"), "sent_id", "left_semi"))
     code = F.array_position(F.array(*map(F.lit, alphabet)), F.col("phone")) - 1
-    said = kept(said.select(F.col("sent_id").alias("rec_id"), F.col("pos").cast("long").alias("pos"), "phone", code.cast("long").alias("phone_id")))
-    odd = said.where("phone_id < 0").groupBy("rec_id").agg(F.min_by("phone", "pos").alias("phone"))
-    targets = said.join(odd.select("rec_id"), "rec_id", "left_anti").select("rec_id", "pos", "phone_id")
-    own = frames.select(F.col("sent_id").alias("rec_id"), "frame_idx", "probs").join(targets.select("rec_id").distinct(), "rec_id", "left_semi")
+    targets = good.join(heard, "sent_id", "left_semi").select("sent_id", F.posexplode("said").alias("pos", "phone"))
+    targets = kept(targets.select(F.col("sent_id").alias("rec_id"), F.col("pos").cast("long").alias("pos"), code.cast("long").alias("phone_id")))
+    own = frames.join(heard, "sent_id", "left_semi").select(F.col("sent_id").alias("rec_id"), "frame_idx", "probs")
     spoken = kept(K.drop_silence(own))
     aligned = kept(K.force_align(spoken, targets))
     path = K.path_rows(aligned, targets).join(spoken.select("rec_id", "t", "frame_idx"), ["rec_id", "t"]).select("rec_id", "frame_idx", "pos", "phone_id")
     pooled = K.pooled_segments(kept(path), spoken, how)
     out = pooled.select(F.col("rec_id").alias("sent_id"), "pos", _no_gaps(F.col("phone_id"), alphabet).alias("phone"), _no_gaps(F.col("predicted"), alphabet).alias("found"), "p_true", "p_predicted", "n_frames", "start", "end")
-    unknown = every.where("phonetics is null").select("sent_id", F.concat(F.lit("no pronunciation: "), F.get("unknown", F.lit(0))).alias("error"))
-    strange = odd.select(F.col("rec_id").alias("sent_id"), F.concat(F.lit("not in the alphabet: "), "phone").alias("error"))
-    done = aligned.where("path is not null").select("rec_id")
-    short = targets.select("rec_id").distinct().join(done, "rec_id", "left_anti").select(F.col("rec_id").alias("sent_id"), F.lit("too few frames").alias("error"))
+    unknown = every.where("said is null").select("sent_id", F.concat(F.lit("no pronunciation: "), "word").alias("error"))
+    strange = every.where("odd is not null").select("sent_id", F.concat(F.lit("not in the alphabet: "), "odd").alias("error"))
+    done = aligned.where("path is not null").select(F.col("rec_id").alias("sent_id"))
+    short = good.join(done, "sent_id", "left_anti").select("sent_id", F.lit("too few frames").alias("error"))
     return out, unknown.unionByName(strange).unionByName(short)

@@ -49,3 +49,15 @@ def test_symbols_are_looked_for_in_words_that_hold_them(spark):
     got = rows.select(N.expand_symbols(F.col("t")).alias("o"))
     assert plan(got).count("regexp_replace(") <= 30
     assert [r["o"] for r in got.collect()] == ["1 dollar and 50 cents at 7 percent, 1 euro of 7500\n2 point 5 123", "no number, $ % €", None]
+
+
+def test_only_recordings_with_enough_frames_are_aligned(spark, monkeypatch):
+    """A recording without a frame for each phone has no path, and no task of Python is started for it."""
+    from speechlab.operators import frames as K
+
+    seen, whole = [], K._whole
+    monkeypatch.setattr(K, "_whole", lambda own, goals: seen.extend(r["rec_id"] for r in goals.select("rec_id").distinct().collect()) or whole(own, goals))
+    targets = spark.range(40).select(F.col("id").alias("rec_id"), F.explode(F.expr("array(0L, 1L)")).alias("pos")).withColumn("phone_id", F.col("pos"))
+    frames = spark.createDataFrame([(3, 0, [0.9, 0.1]), (3, 1, [0.2, 0.8]), (4, 0, [0.5, 0.5])], "rec_id long, t long, probs array<double>")
+    got = {r["rec_id"]: r["path"] for r in K.force_align(frames, targets).collect()}
+    assert seen == [3] and len(got) == 40 and got.pop(3) == [0, 1] and not any(got.values())
