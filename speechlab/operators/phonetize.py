@@ -102,35 +102,56 @@ def word_table(words: DataFrame, lexicon: DataFrame, dictionary: DataFrame, lang
     )
 
 
-def phonetize(sentences: DataFrame, lexicon: DataFrame, dictionary: DataFrame, lang: str = "en", mode: str = "CMU", key: str = "sent_id", readable: dict[str, str] | None = None) -> DataFrame:
-    """The linguistic record of each sentence (``key, text``); words are looked up and syllabified once for each distinct one.
+def _told_tokens(tokens: DataFrame, lexicon: DataFrame, dictionary: DataFrame, lang: str, mode: str) -> DataFrame:
+    """What distinct tokens (``token``) tell of their sentences: ``token, text, phonetics, segmented, bad_count, bad_stress, methods, alternatives, unknown``.
 
-    Gives ``key, text, phonetics, guide, segmented_text, n_syl_mismatches, n_stress_inconsistencies, methods, phonetics_alt,
-    n_alternatives, unknown``: the sentence with braces around acronyms; the chosen phonetics (null if a word is unknown); these
-    in readable phones (``readable`` maps them; null without it); the segmented text in its own case; places of words with
-    a syllable or stress mismatch; and for each word its way of segmentation and its alternatives. Sentences without words go.
+    Arrays have an entry for each word of the token (a number may have several).
     """
-    rows = kept(normalized(sentences, key))
-    each = rows.select(key, F.posexplode(F.arrays_zip("lower", "words")).alias("i", "w"))
-    each = each.select(key, "i", "w.lower", text.is_acronym(F.col("w.words")).alias("acronym"))
-    # words are looked up once each; those of many places do not go through a shuffle
+    rows = kept(normalized(tokens.select(F.col("token").alias("told"), F.col("token").alias("text")), "told"))
+    each = rows.select("told", F.posexplode(F.arrays_zip("lower", "words")).alias("i", "w"))
+    each = each.select("told", "i", "w.lower", text.is_acronym(F.col("w.words")).alias("acronym"))
+    # words are looked up once each; those of many tokens do not go through a shuffle
     words = kept(each.groupBy("lower", "acronym").agg(F.count("*").alias("n")))
     table = kept(word_table(words, lexicon, dictionary, lang, mode).join(words, ["lower", "acronym"]))
     found = join_frequent(each, table, ["lower", "acronym"])
     names = ["lower", "syllables", "method", "alternatives", "chosen", "bad_count", "bad_stress"]
-    whole = rows.join(found.groupBy(key).agg(_ordered("i", *names).alias("r")), key)
+    whole = rows.join(found.groupBy("told").agg(_ordered("i", *names).alias("r")), "told")
     chosen = F.transform("r", lambda x: F.get(x["alternatives"], x["chosen"]))
     braces = lambda m: F.map_filter(m, lambda _, v: v.isin("{", "}"))
     compound = text.acronym_compound(chosen, F.col("acronyms"))
     phonetics = F.array_join(text.reattach(compound, braces("before"), braces("after")), " ")
     whole = whole.withColumn("unknown", F.transform(F.filter("r", lambda x: F.size(x["alternatives"]) == 0), lambda x: x["lower"]))
-    whole = whole.withColumn("phonetics", F.when(F.size("unknown") == 0, phonetics))
     segmented = text.acronym_compound(text.restore_case(_field("r", "syllables"), F.col("cased")), F.col("acronyms"))
     marks = "".join(c for c in text.MARKS if c not in "{}")
     segmented = F.translate(F.array_join(text.reattach(segmented, F.col("before"), F.col("after")), " "), marks, "")
-    bare = text.strip_marks(F.split("sentence", " "))
-    raw = text.edge_maps(F.split("sentence", " "))
-    places = lambda name: F.filter(F.transform("r", lambda x: F.when(x[name], x["i"])), lambda i: i.isNotNull())
+    bare, raw = text.strip_marks(F.array("sentence")), text.edge_maps(F.array("sentence"))
+    return whole.select(
+        F.col("told").alias("token"),
+        F.array_join(text.reattach(text.acronym_compound(bare, text.acronym_indexes(bare), True), raw["before"], raw["after"]), " ").alias("text"),
+        F.when(F.size("unknown") == 0, phonetics).alias("phonetics"), segmented.alias("segmented"),
+        _field("r", "bad_count").alias("bad_count"), _field("r", "bad_stress").alias("bad_stress"),
+        _field("r", "method").alias("methods"), _field("r", "alternatives").alias("alternatives"), "unknown",
+    )
+
+
+def _looked_up(sentences: DataFrame, lexicon: DataFrame, dictionary: DataFrame, lang: str, mode: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """Tokens of the sentences in their places (``key, i, token``), and what each distinct one tells (``_told_tokens``) with its number ``n``."""
+    glued = F.trim(F.regexp_replace(text.glue_punctuation(F.trim("text")), " +", " "))
+    rows = sentences.select(key, glued.alias("sentence")).where((F.col("sentence") != "") & F.col(key).isNotNull())
+    each = kept(rows.select(key, F.posexplode(F.split("sentence", " ")).alias("i", "token")))
+    counts = kept(each.groupBy("token").agg(F.count("*").alias("n")))
+    return each, kept(_told_tokens(counts, lexicon, dictionary, lang, mode).join(counts, "token"))
+
+
+def _records(each: DataFrame, told: DataFrame, key: str, readable: dict[str, str] | None = None) -> DataFrame:
+    """``phonetize`` of tokens that are looked up."""
+    columns = [c for c in told.columns if c not in ("token", "n")]
+    whole = join_frequent(each, told, ["token"]).groupBy(key).agg(_ordered("i", *columns).alias("r"))
+    over = lambda name: F.flatten(_field("r", name))
+    line = lambda name: F.array_join(_field("r", name), " ")
+    whole = whole.select(key, line("text").alias("text"), line("phonetics").alias("phonetics"), line("segmented").alias("segmented_text"), *[over(c).alias(c) for c in ("bad_count", "bad_stress", "methods", "alternatives", "unknown")])
+    whole = whole.withColumn("phonetics", F.when(F.size("unknown") == 0, F.col("phonetics")))
+    places = lambda name: F.filter(F.transform(name, lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
     if readable is None:
         guide = F.lit(None).cast("string")
     else:
@@ -139,19 +160,31 @@ def phonetize(sentences: DataFrame, lexicon: DataFrame, dictionary: DataFrame, l
         plain = lambda p: F.regexp_replace(p, "[0-2]$", "")
         guide = F.replace(F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(known, plain(p)), plain(p))), ""), F.lit("_"), F.lit(""))
     return whole.select(
-        key,
-        F.array_join(text.reattach(text.acronym_compound(bare, text.acronym_indexes(bare), True), raw["before"], raw["after"]), " ").alias("text"),
-        "phonetics", guide.alias("guide"), segmented.alias("segmented_text"),
+        key, "text", "phonetics", guide.alias("guide"), "segmented_text",
         places("bad_count").alias("n_syl_mismatches"), places("bad_stress").alias("n_stress_inconsistencies"),
-        _field("r", "method").alias("methods"), _field("r", "alternatives").alias("phonetics_alt"),
-        F.transform("r", lambda x: F.size(x["alternatives"])).alias("n_alternatives"), "unknown",
+        "methods", F.col("alternatives").alias("phonetics_alt"),
+        F.transform("alternatives", F.size).alias("n_alternatives"), "unknown",
     )
 
 
+def phonetize(sentences: DataFrame, lexicon: DataFrame, dictionary: DataFrame, lang: str = "en", mode: str = "CMU", key: str = "sent_id", readable: dict[str, str] | None = None) -> DataFrame:
+    """The linguistic record of each sentence (``key, text``, a row for each key); tokens and words are worked out once for each distinct one.
+
+    Gives ``key, text, phonetics, guide, segmented_text, n_syl_mismatches, n_stress_inconsistencies, methods, phonetics_alt,
+    n_alternatives, unknown``: the sentence with braces around acronyms; the chosen phonetics (null if a word is unknown); these
+    in readable phones (``readable`` maps them; null without it); the segmented text in its own case; places of words with
+    a syllable or stress mismatch; and for each word its way of segmentation and its alternatives. Sentences without words go.
+    """
+    each, told = _looked_up(sentences, lexicon, dictionary, lang, mode, key)
+    return _records(each, told, key, readable)
+
+
 def phonetize_safe(sentences: DataFrame, lexicon: DataFrame, dictionary: DataFrame, lang: str = "en", mode: str = "CMU", key: str = "sent_id") -> tuple[DataFrame, DataFrame]:
     """Records of the sentences whose words are all known, and ``key, word`` of the others: their first unknown word."""
-    every = phonetize(sentences, lexicon, dictionary, lang, mode, key)
-    return every.where(F.size("unknown") == 0).drop("unknown"), every.where(F.size("unknown") > 0).select(key, F.get("unknown", F.lit(0)).alias("word"))
+    each, told = _looked_up(sentences, lexicon, dictionary, lang, mode, key)
+    lacking = kept(told.where(F.size("unknown") > 0).select("token", F.get("unknown", F.lit(0)).alias("word"), "n"))
+    first = join_frequent(each, lacking, ["token"]).groupBy(key).agg(F.min(F.struct("i", "word"))["word"].alias("word"))
+    return _records(each, told, key).where(F.size("unknown") == 0).drop("unknown"), first
 
 
 def mismatch_report(records: DataFrame, key: str = "sent_id") -> DataFrame:

@@ -61,3 +61,19 @@ def test_only_recordings_with_enough_frames_are_aligned(spark, monkeypatch):
     frames = spark.createDataFrame([(3, 0, [0.9, 0.1]), (3, 1, [0.2, 0.8]), (4, 0, [0.5, 0.5])], "rec_id long, t long, probs array<double>")
     got = {r["rec_id"]: r["path"] for r in K.force_align(frames, targets).collect()}
     assert seen == [3] and len(got) == 40 and got.pop(3) == [0, 1] and not any(got.values())
+
+
+def test_tokens_of_sentences_are_worked_out_once(spark, monkeypatch):
+    """Marks, case, numbers and syllables are told of distinct tokens, not of all sentences."""
+    from speechlab.operators import phonetize as Z
+
+    seen, normalized = [], Z.normalized
+    monkeypatch.setattr(Z, "normalized", lambda rows, key="sent_id": seen.append(rows.count()) or normalized(rows, key))
+    lexicon = spark.createDataFrame([("sat", 0, "S_AE1_T"), ("two", 0, "T_UW1")], "word string, alt_idx int, phones string")
+    dictionary = spark.createDataFrame([("sat", "sat", 1, 1)], "syllables string, word string, n_syls long, n_syls_phones long")
+    texts = spark.range(50).select(F.col("id").alias("sent_id"), F.when(F.col("id") % 2 == 0, "Sat , 2 sat!").otherwise("Sat xyzzy, 2.").alias("text"))
+    good, bad = Z.phonetize_safe(texts, lexicon, dictionary)
+    assert seen == [6]  # tokens with their marks: two that hold Sat, two 2, one sat and one xyzzy
+    rows = {(r["phonetics"], r["segmented_text"], tuple(r["methods"])) for r in good.collect()}
+    assert len(rows) == 1 and next(iter(rows))[0] == "S_AE1_T T_UW1 S_AE1_T" and good.count() == 25
+    assert {r["word"] for r in bad.collect()} == {"xyzzy"} and bad.count() == 25
