@@ -77,3 +77,12 @@ def test_tokens_of_sentences_are_worked_out_once(spark, monkeypatch):
     rows = {(r["phonetics"], r["segmented_text"], tuple(r["methods"])) for r in good.collect()}
     assert len(rows) == 1 and next(iter(rows))[0] == "S_AE1_T T_UW1 S_AE1_T" and good.count() == 25
     assert {r["word"] for r in bad.collect()} == {"xyzzy"} and bad.count() == 25
+
+
+def test_texts_are_cut_to_words_once(spark):
+    """Tables of words that a query reads beside each other stand on one stored table of tokens."""
+    from speechlab import catalogue
+
+    for name in ("j11_stem_semi", "x18_phonetize_errors"):
+        read = catalogue.queries()[name](spark, "/root/testdata/sf0.001").inputFiles()
+        assert read and not any("documents" in f for f in read)
