@@ -155,10 +155,12 @@ def first_phones(tokens: DataFrame, lexicon: DataFrame) -> tuple[DataFrame, Data
     first = lexicon.where("alt_idx = 0").select("word", "phones")
     joined = tokens.join(first, "word", "left")
     order = F.transform(F.array_sort(F.collect_list(F.struct("pos", "phones"))), lambda x: x["phones"])
-    unknown = F.min(F.when(F.col("phones").isNull(), F.struct("pos", "word")))
-    each = joined.groupBy("doc_id").agg(order.alias("phones"), unknown.alias("bad"))
-    ok = each.where("bad is null").select("doc_id", F.array_join("phones", "|").alias("phonetics"))
-    return ok, each.where("bad is not null").select("doc_id", F.col("bad.pos").cast("long").alias("pos"), F.col("bad.word").alias("word"))
+    lacking = F.count_if(F.col("phones").isNull())
+    each = joined.groupBy("doc_id").agg(order.alias("phones"), lacking.alias("lacking"))
+    ok = each.where("lacking = 0").select("doc_id", F.array_join("phones", "|").alias("phonetics"))
+    # only unknown words are sorted and grouped for the other texts
+    bad = joined.where("phones is null").groupBy("doc_id").agg(F.min(F.struct("pos", "word")).alias("bad"))
+    return ok, bad.select("doc_id", F.col("bad.pos").cast("long").alias("pos"), F.col("bad.word").alias("word"))
 
 
 def diff_versions(a: DataFrame, b: DataFrame) -> DataFrame:

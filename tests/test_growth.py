@@ -86,3 +86,13 @@ def test_texts_are_cut_to_words_once(spark):
     for name in ("j11_stem_semi", "x18_phonetize_errors"):
         read = catalogue.queries()[name](spark, "/root/testdata/sf0.001").inputFiles()
         assert read and not any("documents" in f for f in read)
+
+
+def test_only_unknown_words_are_grouped_for_errors(spark):
+    """The first unknown word of a text is taken from its unknown words, not from all its words."""
+    from speechlab.operators import lexicon as X
+
+    tokens = spark.createDataFrame([(1, 0, "a"), (1, 1, "x"), (1, 2, "y"), (2, 0, "a")], "doc_id long, pos int, word string")
+    ok, bad = X.first_phones(tokens, spark.createDataFrame([("a", 0, "AH0")], "word string, alt_idx int, phones string"))
+    assert "CASE WHEN" not in plan(bad)
+    assert [tuple(r) for r in bad.collect()] == [(1, 1, "x")] and [tuple(r) for r in ok.collect()] == [(2, "AH0")]
