@@ -15,6 +15,7 @@ from speechlab.operators import selection as E
 from speechlab.operators import windows as W
 from speechlab.operators.alignment import knn_probabilities
 from speechlab.plans.registry import add
+from speechlab.plans.scratch import tasks_for
 
 
 def _long(col: str):
@@ -144,7 +145,8 @@ _LINES = "(SELECT l_orderkey AS rec_id, l_linenumber AS word, max(CAST(l_quantit
 
 @add("w14_stress_table", f"WITH s AS (SELECT rec_id, CAST(word // 2 AS BIGINT) AS chunk, CAST(word AS BIGINT) AS word, CAST(unnest([0, 1]) AS BIGINT) AS syllable, q FROM {_LINES}), v AS (SELECT *, (q * (syllable + 3)) % 101 AS score FROM s), w AS (SELECT *, row_number() OVER (PARTITION BY rec_id, word ORDER BY score DESC, syllable) = 1 AS first, max(score) OVER (PARTITION BY rec_id, word) AS top FROM v), c AS (SELECT rec_id, chunk, word, row_number() OVER (PARTITION BY rec_id, chunk ORDER BY top DESC, word) AS k, count(*) OVER (PARTITION BY rec_id, chunk) AS n, top FROM (SELECT DISTINCT rec_id, chunk, word, top FROM w)) SELECT w.rec_id, w.word, w.syllable, CAST(w.first AS INT) AS word_bit, CAST(n = 1 OR (k <= ceil(n / 3.0) AND c.top >= 60) AS INT) AS sentence_bit FROM w JOIN c ON c.rec_id = w.rec_id AND c.word = w.word", "lineitem")
 def _(lineitem):
-    rows = lineitem.groupBy(F.col("l_orderkey").alias("rec_id"), _long("l_linenumber").alias("word")).agg((F.max(F.col("l_quantity").cast("long")) * 2).alias("q"))
+    lines = lineitem.select("l_orderkey", "l_linenumber", "l_quantity").repartition(tasks_for(lineitem), "l_orderkey")
+    rows = lines.groupBy(F.col("l_orderkey").alias("rec_id"), _long("l_linenumber").alias("word")).agg((F.max(F.col("l_quantity").cast("long")) * 2).alias("q"))
     rows = rows.select("rec_id", F.floor(F.col("word") / 2).alias("chunk"), "word", "q", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("syllable"))
     rows = rows.withColumn("score", (F.col("q") * (F.col("syllable") + 3)) % 101)
     return W.stress_table(rows.drop("q")).select("rec_id", "word", "syllable", "word_bit", "sentence_bit")

@@ -170,6 +170,11 @@ def stress_table(syllables: DataFrame, key: str = "rec_id") -> DataFrame:
     alone = F.count("*").over(Window.partitionBy(key)) == 1
     rows = syllables.withColumn("__one", alone).withColumn("score", F.when(F.col("__one"), 100).otherwise(F.col("score")))
     rows = word_stress_bins(rows, [key, "word"], "score", "syllable").withColumnRenamed("bit", "word_bit")
-    words = rows.groupBy(key, "chunk", "word").agg(F.max("score").alias("score"))
-    bits = top_binary(words, [key, "chunk"], "score", "word", 3, 60.0).select(key, "word", F.col("bit").alias("sentence_bit"))
-    return rows.join(bits, [key, "word"]).drop("__one")
+    # the syllables of a word share its rank among the words of its chunk, so one more sort of the same parts gives it to all of them
+    rows = rows.withColumn("__top", F.max("score").over(Window.partitionBy(key, "word")))
+    chunk = Window.partitionBy(key, "chunk")
+    rows = rows.withColumn("__rank", F.dense_rank().over(chunk.orderBy(F.desc("__top"), "word")))
+    n = F.max("__rank").over(chunk)
+    top = (F.col("__rank") <= F.ceil(n / 3)) & (F.col("__top") >= 60.0)
+    rows = rows.withColumn("sentence_bit", ((n == 1) | top).cast("int"))
+    return rows.where(F.col(key).isNotNull() & F.col("word").isNotNull()).drop("__one", "__top", "__rank")

@@ -96,3 +96,28 @@ def test_only_unknown_words_are_grouped_for_errors(spark):
     ok, bad = X.first_phones(tokens, spark.createDataFrame([("a", 0, "AH0")], "word string, alt_idx int, phones string"))
     assert "CASE WHEN" not in plan(bad)
     assert [tuple(r) for r in bad.collect()] == [(1, 1, "x")] and [tuple(r) for r in ok.collect()] == [(2, "AH0")]
+
+
+def test_stress_is_told_in_one_shuffle(spark, monkeypatch):
+    """Words meet in as many tasks as there are rows for, and bits come back to their syllables without a join."""
+    from speechlab import catalogue
+    from speechlab.plans import scratch
+
+    rows = [(r, w // 2, w, s, (r * 31 + w * 17 + s * 53) % 101) for r in range(30) for w in range(r % 7 + 1) for s in range((r + w) % 3 + 1)]
+    got = W.stress_table(spark.createDataFrame([*rows, (None, 0, 0, 0, 5), (99, 0, None, 0, 5)], "rec_id long, chunk long, word long, syllable long, score long"))
+    tree = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in tree and tree.count("hashpartitioning") == 1
+    want = set()
+    for r in range(30):
+        own = [x for x in rows if x[0] == r]
+        score = {(w, s): 100 if len(own) == 1 else v for _, _, w, s, v in own}
+        top = {w: max(v for (u, _), v in score.items() if u == w) for _, _, w, _, _ in own}
+        for _, c, w, s, _ in own:
+            best = min(u for (x, u), v in score.items() if x == w and v == top[w])
+            chunk = sorted((u for u in top if u // 2 == c), key=lambda u: (-top[u], u))
+            want.add((r, w, s, int(s == best), int(len(chunk) == 1 or (chunk.index(w) < -(-len(chunk) // 3) and top[w] >= 60))))
+    assert {tuple(x) for x in got.select("rec_id", "word", "syllable", "word_bit", "sentence_bit").collect()} == want and len(want) == len(rows)
+    monkeypatch.setattr(scratch, "TASK_ROWS", 500)
+    assert scratch.tasks_for(spark.range(2001)) == 5 and scratch.tasks_for(spark.range(9)) == 4
+    tree = catalogue.queries()["w14_stress_table"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert tree.count("hashpartitioning") == 1 and "l_orderkey#" in tree.split("hashpartitioning")[1][:20]
