@@ -119,8 +119,8 @@ def _(events):
 def _(words):
     path = folder(words.sparkSession)
     S.write_srt(words.withColumnRenamed("word", "text"), path, ["file_id"])
-    lines = words.sparkSession.read.text(path)
-    return lines.groupBy(_long("file_id")).agg(F.count_if(F.col("value").contains(" --> ")).alias("n_cues"), F.count("*").alias("n_lines"))
+    lines = S.read_srt(words.sparkSession, path, "file_id long")
+    return lines.groupBy("file_id").agg(F.count_if(F.col("line").contains(" --> ")).alias("n_cues"), F.count("*").alias("n_lines"))
 
 
 @add("s13_materialize", "SELECT user_id, count(*) AS n FROM events GROUP BY 1", "events")

@@ -131,3 +131,20 @@ def test_keys_of_a_phrase_are_worked_out_once(spark):
     out = R.clean_keys(rows, {"flag": "mark"}, dropped=("id",)).where(F.coalesce(F.size("phrase"), F.lit(0)) < 3)
     assert plan(out).count("map_entries(") == 1 and out.columns == ["n", "phrase"]
     assert {r["n"]: r["phrase"] for r in out.collect()} == {1: {"mark": "a"}, 2: {"a": "x", "b": None}, 3: None, 4: {}}
+
+
+def test_subtitles_are_in_few_files(spark):
+    """Files grow with the tasks, not with the recordings; a recording's lines are its subtitles in order."""
+    from speechlab.plans.scratch import folder
+    from speechlab.sources import files as S
+
+    said = [(f"r\t{k}\n", k % 2, f"w{i}" if i else "a\tb\nc", float(i), i + 0.5) for k in range(60) for i in (2, 0, 1)] + [(None, 1, "x", 0.0, 1.0)]
+    path = folder(spark)
+    S.write_srt(spark.createDataFrame(said, "rec string, part long, text string, start double, end double"), path, ["rec", "part"])
+    assert len(spark.read.text(path).inputFiles()) <= 4
+    got = S.read_srt(spark, path, "rec string, part long")
+    assert got.select("rec", "part").distinct().count() == 61
+    lines = [r["line"] for r in got.where(F.col("rec") == "r\t7\n").where("part = 1").collect()]
+    cue = lambda n, a: [str(n), f"00:00:0{n - 1},000 --> 00:00:0{n - 1},500", *a, ""]
+    assert lines == cue(1, ["a\tb", "c"]) + cue(2, ["w1"]) + cue(3, ["w2"])
+    assert [r["line"] for r in got.where("rec is null").collect()] == ["1", "00:00:00,000 --> 00:00:01,000", "x", ""]
