@@ -134,14 +134,20 @@ def _(events):
 def _stream(rows: DataFrame, last: DataFrame, job) -> DataFrame:
     """What ``job`` of a stream of the rows has put out when all are read; ``last``: a row so late that it closes all windows."""
     spark = rows.sparkSession
-    source, out = folder(spark), folder(spark)
-    rows.repartition(3).write.parquet(source)
+    source, out, state = folder(spark), folder(spark), folder(spark)
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(3 * files).write.parquet(source)  # three batches of files for all tasks
+    feed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(source)
+    result = job(feed)
+
+    def run():
+        query = result.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+
     for _ in range(2):  # the second one brings the batch after the watermark has moved
+        run()
         last.write.mode("append").parquet(source)
-    feed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    result = job(feed)
-    query = result.writeStream.format("parquet").option("path", out).option("checkpointLocation", folder(spark)).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+    run()
     return spark.read.schema(result.schema).parquet(out)
 
 

@@ -17,7 +17,7 @@ def stream_sessions(words: DataFrame, gap: float, delay: str) -> DataFrame:
     micros = F.round((F.col("end") - F.col("start") + F.lit(gap)) * 1_000_000).cast("long") + 1  # a silence of just the gap goes on
     seen = words.withWatermark("ts", delay)
     phrases = seen.groupBy("file_id", F.session_window("ts", F.concat(micros.cast("string"), F.lit(" microseconds"))).alias("w")).agg(
-        F.array_sort(F.collect_list(F.struct("start", "word_id", "word"))).alias("words"), F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_words")
+        F.sort_array(F.collect_list(F.struct("start", "word_id", "word"))).alias("words"), F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_words")
     )
     return phrases.select("file_id", F.array_join(F.transform("words", lambda x: x["word"]), " ").alias("text"), "start", "end", "n_words")
 

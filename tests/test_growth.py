@@ -148,3 +148,17 @@ def test_subtitles_are_in_few_files(spark):
     cue = lambda n, a: [str(n), f"00:00:0{n - 1},000 --> 00:00:0{n - 1},500", *a, ""]
     assert lines == cue(1, ["a\tb", "c"]) + cue(2, ["w1"]) + cue(3, ["w2"])
     assert [r["line"] for r in got.where("rec is null").collect()] == ["1", "00:00:00,000 --> 00:00:01,000", "x", ""]
+
+
+def test_a_batch_of_a_feed_is_read_by_all_tasks(spark, monkeypatch):
+    """Batches of a feed stay three and hold as many files as a shuffle has tasks, instead of one."""
+    from speechlab import catalogue_files as CF
+    from speechlab.plans.scratch import folder
+    from speechlab.streaming import live
+
+    paths = []
+    monkeypatch.setattr(CF, "folder", lambda s: paths.append(folder(s)) or paths[-1])
+    rows = spark.range(1000).select(F.lit("x").alias("status"), F.timestamp_seconds(F.col("id")).alias("ts"))
+    got = CF._stream(rows, rows.limit(1).select(F.lit("late").alias("status"), CF._far()), lambda df: live.stream_gate_counts(df, "1 day", "400 days"))
+    assert [(r["status"], r["n"]) for r in got.where("status = 'x'").collect()] == [("x", 1000)]
+    assert len(spark.read.parquet(paths[0]).inputFiles()) == 3 * 4 + 2
