@@ -248,9 +248,9 @@ def _(events):
     return out.select("event_id", F.try_element_at("record", F.lit("question")).alias("question"), F.try_element_at("record", F.lit("answer")).alias("answer"))
 
 
-@add("e13_ed_pairs", f"WITH l AS (SELECT doc_id, pos, word || 'ed' AS a, w2 || CASE WHEN pos % 2 = 0 THEN 'ed' ELSE 'e' END AS b FROM ({_STAR}) WHERE w2 IS NOT NULL) SELECT doc_id, CAST(pos AS BIGINT) AS pos, CASE WHEN md5(a || '/' || b || '-side')[1] < '8' THEN a ELSE b END AS target, CASE WHEN md5(a || '/' || b || '-side')[1] < '8' THEN b ELSE a END AS incorrect FROM l WHERE ends_with(b, 'ed')", "fx_tokens")
-def _(tokens):
-    rows = tokens.selectExpr("doc_id", "pos", "word", "lead(word) over (partition by doc_id order by pos) as w2").where("w2 is not null")
+@add("e13_ed_pairs", f"WITH l AS (SELECT doc_id, pos, word || 'ed' AS a, w2 || CASE WHEN pos % 2 = 0 THEN 'ed' ELSE 'e' END AS b FROM ({_STAR}) WHERE w2 IS NOT NULL) SELECT doc_id, CAST(pos AS BIGINT) AS pos, CASE WHEN md5(a || '/' || b || '-side')[1] < '8' THEN a ELSE b END AS target, CASE WHEN md5(a || '/' || b || '-side')[1] < '8' THEN b ELSE a END AS incorrect FROM l WHERE ends_with(b, 'ed')", "fx_neighbours")
+def _(neighbours):
+    rows = neighbours.select("doc_id", "pos", "word", F.col("next").alias("w2")).where("w2 is not null")
     line = F.concat((F.col("pos") + 1).cast("string"), F.lit(". "), F.concat("word", F.lit("ed/"), "w2", F.when(F.col("pos") % 2 == 0, "ed").otherwise("e")))
     return E.ed_pairs(rows.withColumn("line", line), "side").select("doc_id", _long("pos"), "target", "incorrect")
 

@@ -271,8 +271,9 @@ def parse_records(df: DataFrame, min_stars: int, n: int, key: str, column: str =
 def ed_pairs(df: DataFrame, seed: str, column: str = "line") -> DataFrame:
     """``target, incorrect`` of lines ``a/b`` whose both words end in -ed; the md5 of line and seed chooses the side."""
     line = F.lower(F.regexp_replace(F.trim(column), r"^[0-9]+[.)] *", ""))
-    parts = F.split(line, "/")
-    rows = df.withColumn("__l", line).withColumn("__a", F.trim(F.get(parts, F.lit(0)))).withColumn("__b", F.trim(F.get(parts, F.lit(1))))
+    rows = df.select("*", F.explode(F.array(line)).alias("__l"))  # a row of its own for the line, which is worked out once
+    parts = F.split("__l", "/")
+    rows = rows.withColumn("__a", F.trim(F.get(parts, F.lit(0)))).withColumn("__b", F.trim(F.get(parts, F.lit(1))))
     rows = rows.where(F.col("__a").endswith("ed") & F.col("__b").endswith("ed"))
     first = F.substring(F.md5(F.concat_ws("-", "__l", F.lit(seed))), 1, 1) < "8"
     return rows.withColumn("target", F.when(first, F.col("__a")).otherwise(F.col("__b"))).withColumn("incorrect", F.when(first, F.col("__b")).otherwise(F.col("__a"))).drop("__l", "__a", "__b")

@@ -162,3 +162,18 @@ def test_a_batch_of_a_feed_is_read_by_all_tasks(spark, monkeypatch):
     got = CF._stream(rows, rows.limit(1).select(F.lit("late").alias("status"), CF._far()), lambda df: live.stream_gate_counts(df, "1 day", "400 days"))
     assert [(r["status"], r["n"]) for r in got.where("status = 'x'").collect()] == [("x", 1000)]
     assert len(spark.read.parquet(paths[0]).inputFiles()) == 3 * 4 + 2
+
+
+def test_pairs_of_neighbours_are_cut_with_the_words(spark):
+    """The next word is known where a text is cut, so documents are not shuffled and sorted for it."""
+    from speechlab import catalogue
+    from speechlab.plans.fixtures import table
+
+    sf = "/root/testdata/sf0.001"
+    want = table(spark, sf, "fx_tokens").selectExpr("doc_id", "lang", "pos", "word", "lead(word) over (partition by doc_id order by pos) as next")
+    got = table(spark, sf, "fx_neighbours")
+    assert got.columns == want.columns and got.count() == want.count() and not got.exceptAll(want).count()
+    physical = lambda name: catalogue.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    tree = physical("e13_ed_pairs")
+    assert "Exchange" not in tree and tree.count("regexp_replace(trim(") == 1
+    assert "Window" not in physical("x12_compounds") and "Window" not in physical("e6_contrast_pairs")
