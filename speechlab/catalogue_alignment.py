@@ -47,9 +47,9 @@ def _(lexicon):
     return E.stress_groups(_first(lexicon))
 
 
-@add("e6_contrast_pairs", "WITH m AS (SELECT word, bool_or(regexp_matches(phones, 'IH')) AS o, bool_or(regexp_matches(phones, 'AE')) AS t FROM fx_lexicon GROUP BY 1), p AS (SELECT word AS a, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM fx_tokens) SELECT DISTINCT a, b FROM p JOIN m x ON x.word = a JOIN m y ON y.word = b WHERE (x.o AND y.t) OR (x.t AND y.o)", "fx_tokens", "fx_lexicon")
-def _(tokens, lexicon):
-    pairs = tokens.select(F.col("word").alias("a"), F.lead("word").over(Window.partitionBy("doc_id").orderBy("pos")).alias("b")).distinct()
+@add("e6_contrast_pairs", "WITH m AS (SELECT word, bool_or(regexp_matches(phones, 'IH')) AS o, bool_or(regexp_matches(phones, 'AE')) AS t FROM fx_lexicon GROUP BY 1), p AS (SELECT word AS a, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM fx_tokens) SELECT DISTINCT a, b FROM p JOIN m x ON x.word = a JOIN m y ON y.word = b WHERE (x.o AND y.t) OR (x.t AND y.o)", "fx_neighbours", "fx_lexicon")
+def _(neighbours, lexicon):
+    pairs = neighbours.select(F.col("word").alias("a"), F.col("next").alias("b")).distinct()
     return E.contrast_pairs(pairs, lexicon, "IH", "AE")
 
 
@@ -110,13 +110,13 @@ def _(lineitem):
 _PARTS = "WITH p AS (SELECT word AS a, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM fx_tokens), d AS (SELECT DISTINCT a, b FROM p WHERE b IS NOT NULL)"
 
 
-@add("x12_compounds", f"{_PARTS} SELECT a || '-' || b AS word, row_number() OVER (PARTITION BY a, b ORDER BY x.alt_idx, y.alt_idx) - 1 AS alt_idx, x.phones || '_' || y.phones AS phones FROM d JOIN fx_lexicon x ON x.word = a JOIN fx_lexicon y ON y.word = b", "fx_tokens", "fx_lexicon")
-def _(tokens, lexicon):
-    pairs = tokens.select(F.col("word").alias("a"), F.lead("word").over(Window.partitionBy("doc_id").orderBy("pos")).alias("b")).where("b is not null").distinct()
+@add("x12_compounds", f"{_PARTS} SELECT a || '-' || b AS word, row_number() OVER (PARTITION BY a, b ORDER BY x.alt_idx, y.alt_idx) - 1 AS alt_idx, x.phones || '_' || y.phones AS phones FROM d JOIN fx_lexicon x ON x.word = a JOIN fx_lexicon y ON y.word = b", "fx_neighbours", "fx_lexicon")
+def _(neighbours, lexicon):
+    pairs = neighbours.select(F.col("word").alias("a"), F.col("next").alias("b")).where("b is not null").distinct()
     known = lexicon.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("alt_idx", "phones"))), lambda x: x["phones"]).alias("alternatives"))
-    parts = pairs.select(F.concat_ws("-", "a", "b").alias("compound"), F.posexplode(F.array("a", "b")).alias("i", "word")).join(known, "word")
-    whole = A.compounds(parts.withColumn("n", F.count("*").over(Window.partitionBy("compound"))).where("n = 2"), ["compound"], "i")
-    return whole.select(F.col("compound").alias("word"), _long("alt_idx"), "phones")
+    both = pairs.join(known.toDF("a", "x"), "a").join(known.toDF("b", "y"), "b")
+    whole = A.compounds(both.select("a", "b", F.posexplode(F.array("x", "y")).alias("i", "alternatives")), ["a", "b"], "i")
+    return whole.select(F.concat_ws("-", "a", "b").alias("word"), _long("alt_idx"), "phones")
 
 
 @add("x13_spelled_acronyms", "WITH w AS (SELECT DISTINCT word FROM fx_tokens), l AS (SELECT word, unnest(range(length(word))) AS i FROM w), n AS (SELECT l.word, i, CASE WHEN p.letter IN ('b', 'd', 'g', 'p', 't') THEN p.phone || '_IH1' ELSE p.phone END AS name FROM l LEFT JOIN fx_letter_phone p ON p.letter = substring(l.word, CAST(i + 1 AS INT), 1)) SELECT word, string_agg(name, '_' ORDER BY i) AS phones FROM n GROUP BY 1 HAVING count(*) = count(name)", "fx_tokens", "fx_letter_phone")
