@@ -168,5 +168,5 @@ def inflection_pairs(words: DataFrame, lexicon: DataFrame, suffix: str, sounds:
 
 def stem_semi(words: DataFrame, ends: DataFrame) -> DataFrame:
     """Words whose stem, one or two characters shorter, is among ``ends``."""
-    stems = words.select("word", F.explode(F.array(F.expr("left(word, length(word) - 1)"), F.expr("left(word, length(word) - 2)"))).alias("stem"))
+    stems = words.select("word").distinct().select("word", F.explode(F.array(F.expr("left(word, length(word) - 1)"), F.expr("left(word, length(word) - 2)"))).alias("stem"))
     return stems.join(ends.select(F.col("word").alias("stem")).distinct(), "stem", "left_semi").select("word").distinct()

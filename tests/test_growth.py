@@ -177,3 +177,14 @@ def test_pairs_of_neighbours_are_cut_with_the_words(spark):
     tree = physical("e13_ed_pairs")
     assert "Exchange" not in tree and tree.count("regexp_replace(trim(") == 1
     assert "Window" not in physical("x12_compounds") and "Window" not in physical("e6_contrast_pairs")
+
+
+def test_stems_are_told_of_distinct_words(spark):
+    """A word's stems are looked up once, however often it stands in the texts."""
+    from speechlab.operators import joins as J
+
+    words = spark.range(4000).select(F.expr("array('cats', 'rating', 'dog', 'cating')[id % 4]").alias("word"))
+    got = J.stem_semi(words, spark.createDataFrame([("cat",), ("rati",), ("cati",)], "word string"))
+    tree = plan(got)
+    assert tree.index("Generate explode") < tree.rindex("Aggregate [word") and "Range" not in tree[: tree.rindex("Aggregate [word")].split("Generate")[0]
+    assert {r["word"] for r in got.collect()} == {"cats", "rating", "cating"} and tree.count("Aggregate [word") == 2
