@@ -14,8 +14,9 @@ from speechlab.operators import programs as R
 from speechlab.operators import selection as E
 from speechlab.operators import windows as W
 from speechlab.operators.alignment import knn_probabilities
+from speechlab.operators.hot import join_frequent
 from speechlab.plans.registry import add
-from speechlab.plans.scratch import tasks_for
+from speechlab.plans.scratch import kept, tasks_for
 
 
 def _long(col: str):
@@ -432,8 +433,10 @@ def _(customer, words):
 
 @add("j9_first_match_phonetics", "WITH l AS (SELECT word, min_by(phones, alt_idx) AS phones FROM fx_lexicon GROUP BY 1) SELECT doc_id AS file_id, string_agg(coalesce(phones, ''), ' ' ORDER BY pos) AS phonetics FROM fx_tokens t LEFT JOIN l ON l.word = t.word GROUP BY 1", "fx_tokens", "fx_lexicon")
 def _(tokens, lexicon):
-    rows = tokens.join(lexicon, "word", "left").select(F.col("doc_id").alias("file_id"), F.col("pos").alias("word_idx"), "word", "phones", "alt_idx")
-    return J.sentence_phonetics(rows, ["alt_idx"])
+    told = tokens.groupBy("word").agg(F.count("*").alias("n")).join(W.first_per_key(lexicon, ["word"], ["alt_idx"]), "word", "left")
+    parts = tasks_for(tokens)
+    rows = join_frequent(tokens, kept(told), ["word"], parts=parts)
+    return J.sentence_phonetics(rows.select(F.col("doc_id").alias("file_id"), F.col("pos").alias("word_idx"), "word", "phones", "alt_idx"), ["alt_idx"], parts)
 
 
 @add("j12_pair_labels", f"WITH a AS (SELECT l_orderkey AS rec, q FROM ({_ORDER})), b AS (SELECT o_orderkey AS rec, list_transform(range(o_orderkey % 4 + 1), lambda i: i * 3) AS d FROM orders) SELECT a.rec, array_to_string(q, ',') AS truth, array_to_string(d, ',') AS found FROM a JOIN b ON a.rec = b.rec AND len(q) = len(d)", "lineitem", "orders")

@@ -57,9 +57,13 @@ def attach_alignments(metadata: DataFrame, alignments: DataFrame, name: str, fil
     return metadata.withColumn(file, F.concat(name, F.lit(extension))).join(alignments, file)
 
 
-def sentence_phonetics(words: DataFrame, order: list[str]) -> DataFrame:
-    """``file_id, phonetics``: the phones of each file's words in their places, the first of several rows (by ``order``) of a place and word; empty where null."""
-    first = first_per_key(words, ["file_id", "word_idx", "word"], order)
+def sentence_phonetics(words: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
+    """``file_id, phonetics``: the phones of each file's words in their places, the first of several rows (by ``order``) of a place and word; empty where null.
+
+    parts: tasks that the files are dealt to (see ``tasks_for``).
+    """
+    dealt = words.repartition(parts, "file_id") if parts else words.repartition("file_id")
+    first = first_per_key(dealt, ["file_id", "word_idx", "word"], order)
     rows = first.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", F.coalesce("phones", F.lit("")).alias("p")))).alias("r"))
     return rows.select("file_id", F.array_join(F.transform("r", lambda x: x["p"]), " ").alias("phonetics"))
 

@@ -188,3 +188,18 @@ def test_stems_are_told_of_distinct_words(spark):
     tree = plan(got)
     assert tree.index("Generate explode") < tree.rindex("Aggregate [word") and "Range" not in tree[: tree.rindex("Aggregate [word")].split("Generate")[0]
     assert {r["word"] for r in got.collect()} == {"cats", "rating", "cating"} and tree.count("Aggregate [word") == 2
+
+
+def test_words_of_files_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    """Both shuffles of a text's words grow with them, and a word has one row when it gets there."""
+    import re
+
+    from speechlab import catalogue
+    from speechlab.plans import scratch
+    from speechlab.plans.fixtures import table
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(scratch, "TASK_ROWS", 5000)
+    n = scratch.tasks_for(table(spark, sf, "fx_tokens"))
+    tree = catalogue.queries()["j9_first_match_phonetics"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert n > 4 and len(set(re.findall(rf"hashpartitioning\((\w+)#\d+L?, {n}\)", tree))) == 2
