@@ -97,7 +97,7 @@ class Words(NamedTuple):
 
 
 #: Positions that are hashed together; powers beyond are products of two tables.
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 
 
 @lru_cache(maxsize=1)

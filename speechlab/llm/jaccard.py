@@ -40,8 +40,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 from speechlab.llm._common import free_name, hashed_words, join_counted, mix, small_side, stored, text_chunks
 
 WORDS = 5
+#: Bytes of text whose shingles are made together: temporary arrays are many times as large, and a worker keeps their memory.
+CHUNK_BYTES = 1 << 18
 #: Cells of the count sketch; lists up to this length are paired whole.
 CELLS, SHORT = 1 << 19, 6
+#: Sketches of tasks that are added up in one task, on average.
+FAN_IN = 8
 #: Rows of a component from which it is joined by broadcast.
 LARGE_GROUP = 1000
 #: Members of one size class of a long list that a join key holds, about.
@@ -129,7 +133,7 @@ def _described(docs: DataFrame, text: str, key: str) -> DataFrame:
         names = ["id", "t", "cls", "n", "part"]
         total = np.zeros(CELLS, dtype=np.int64)
         for batch in batches:
-            for first, end, data, bounds in text_chunks(batch.column(2)):
+            for first, end, data, bounds in text_chunks(batch.column(2), CHUNK_BYTES):
                 sets = shingle_sets(data, bounds)
                 every = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
                 total += np.bincount((every & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
@@ -144,6 +148,31 @@ def _described(docs: DataFrame, text: str, key: str) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind.simpleString()}, t long, cls long, n long, part binary")
 
 
+def _summed(parts: DataFrame) -> np.ndarray:
+    """The sum of the sketches in ``parts``, about ``FAN_IN`` of them in a task, and so on with their sums; one row comes to the driver.
+
+    Not by an RDD: its Python workers are of another kind than a DataFrame's, and both kinds would stay in the executors.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, met = np.zeros(CELLS, dtype=np.int64), False
+        for batch in batches:
+            for part in batch.column(0):
+                total += np.frombuffer(zlib.decompress(part.as_buffer()), dtype=np.int64)
+                met = True
+        if met:
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["part"])
+
+    n = parts.count()
+    while n > 1:
+        n = -(-n // FAN_IN)
+        parts = parts.repartition(n).mapInArrow(add, "part binary")
+    total = np.zeros(CELLS, dtype=np.int64)
+    for r in parts.collect():
+        total += np.frombuffer(zlib.decompress(bytes(r["part"])), dtype=np.int64)
+    return total
+
+
 def _keys(docs: DataFrame, counts: np.ndarray, percent: int, text: str, often: int | None, frequent: bool) -> DataFrame:
     """``key, rank, cls, n, tail``: index rows of rare or of frequent keys, one for each class and key in a task.
 
@@ -155,7 +184,7 @@ def _keys(docs: DataFrame, counts: np.ndarray, percent: int, text: str, often: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
         for batch in batches:
-            for _, _, data, bounds in text_chunks(batch.column(0)):
+            for _, _, data, bounds in text_chunks(batch.column(0), CHUNK_BYTES):
                 if len(known) > 1_000_000:
                     known = set()
                 out: list[tuple[np.ndarray, ...]] = []
@@ -276,7 +305,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, described: DataFrame, percent:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, bounds in text_chunks(batch.column(0)):
+            for _, _, data, bounds in text_chunks(batch.column(0), CHUNK_BYTES):
                 found = shingle_sets(data, bounds)
                 yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["cls", "s"])
 
@@ -328,8 +357,7 @@ def _grouped(docs: DataFrame, percent: int, text: str, key: str, often: int | No
     """``id, t, n, g`` for every row of ``docs``: id, hash of the text, shingles, and the component's class (null without shingles)."""
     all_rows = stored(_described(docs, text, key), "described")
     described = all_rows.where("part is null").select("id", "t", "cls", "n")
-    parts = all_rows.where("part is not null").select("part").rdd.map(lambda r: np.frombuffer(zlib.decompress(bytes(r[0])), dtype=np.int64))
-    counts = parts.treeReduce(lambda x, y: x + y, 2) if not parts.isEmpty() else np.zeros(CELLS, dtype=np.int64)
+    counts = _summed(all_rows.where("part is not null").select("part"))
     rare = _rare_candidates(_keys(docs, counts, percent, text, often, False), percent, short_list)
     frequent = _frequent_candidates(stored(_keys(docs, counts, percent, text, often, True), "frequent"))
     listed = stored(rare.union(frequent), "candidates")

@@ -37,8 +37,8 @@ from speechlab.llm._common import stored
 HEAD, LONGEST = 1 << 17, 24
 #: Tasks that the head's lattice and fold are dealt to, at most.
 FOLD_TASKS = 256
-#: Units that a worker remembers the ids of, in each of two generations.
-REMEMBERED = 200_000
+#: Units that a worker remembers the ids of, in each of two generations: about 10 MB each, held for as long as the worker lives.
+REMEMBERED = 50_000
 BLANK = "▁"
 UNIT = rf"\n|{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+"
 #: What the fold subtracts from the lowest score for a character without an edge (unigram models).
@@ -166,8 +166,9 @@ def viterbi_fold(lowest: float):
 def encode_words(words: DataFrame, model: Pieces, merges: bool | None = None) -> DataFrame:
     """``word, ids`` of distinct words without spaces, by the lattice; merges None: as the model's kind asks."""
     spark = words.sparkSession
-    rows = [(p, i, model.scores[p]) for p, i in model.ids.items()]
-    table = spark.createDataFrame(rows, "piece string, id int, score double")
+    columns = [pa.array(model.ids, pa.string()), pa.array(model.ids.values(), pa.int32()), pa.array([model.scores[p] for p in model.ids], pa.float64())]
+    # from Arrow: a list of rows would pass through Python workers of another kind, which then stay beside the others
+    table = spark.createDataFrame(pa.table(columns, names=["piece", "id", "score"]), "piece string, id int, score double")
     edges = lattice(words.where(F.length("word") > 0), table, model.longest)
     keyed = edges.select(
         "word", "edges",
